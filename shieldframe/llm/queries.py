@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shieldframe.llm import simhash
+from shieldframe.llm import chat, mixing, pii, simhash, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own control strings."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    every = rows.union(more)
+    return chat.digests(chat.format_chats(every.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
+
+
 def queries():
-    return {f.__name__: f for f in (op8_simhash,)}
+    return {f.__name__: f for f in (op1_pii, op6_mixing, op8_simhash, op9_chat)}
 
 
 def oracle_sql():
-    return {}
+    return {"op1_pii": sql.PII, "op6_mixing": sql.MIX, "op9_chat": sql.CHATS}
