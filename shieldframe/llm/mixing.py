@@ -74,8 +74,8 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOS
     point = F.col("slot") * F.lit(GOLDEN)
     slots = spark.range(0, n_slots, 1, n_tasks).select(F.col("id").alias("slot")).withColumn("point", point - F.floor(point))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
-    parts = targets.where("hi > lo").select("source", "source_size", "lo", "hi", F.explode(cells).cast("int").alias("cell"))
+    cells = F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))
+    parts = targets.where("hi > lo").select("source", "source_size", "lo", "hi", F.explode(cells).alias("cell"))
     last = F.max("hi").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     parts = parts.withColumn("hi", F.when(F.col("hi") == last, F.lit(2.0)).otherwise(F.col("hi")))  # rounding leaves no gap at 1
     placed = slots.join(parts, "cell").where("point >= lo and point < hi").select("slot", "source", "source_size")

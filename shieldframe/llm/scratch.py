@@ -36,3 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Has Spark hand rows to Python tasks in batches of at most `rows`, so that long texts don't add up in a worker.
+
+    The setting is read when the plan runs, so it stays for the session. A smaller setting of the user's stands.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

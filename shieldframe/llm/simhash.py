@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.components import connected_components
-from shieldframe.llm.scratch import checkpoint
+from shieldframe.llm.scratch import checkpoint, small_batches
 
 SEED = 42
 RADIUS = 4
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fps.view(np.int64)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "id long, fp long")
 
