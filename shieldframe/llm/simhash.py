@@ -117,7 +117,7 @@ def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = nxt
 
 
-def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, entries: int = 1 << 19) -> np.ndarray:
+def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, entries: int = 1 << 16) -> np.ndarray:
     """For each fingerprint (uint64, in order of its group), the least index of those that links within its group reach."""
     n = len(fps)
     label = np.arange(n)
@@ -146,9 +146,13 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, entri
         w = word[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
         at, lanes = _within(planes, valid, fps[row], w, radius)
         row, w = row[at], w[at]
-        for i in range(0, len(row), 32768):
-            e, bit = np.nonzero((lanes[i : i + 32768, None] >> _LANES) & _ONE)
-            _merge(label, row[i : i + 32768][e], first_row[w[i : i + 32768][e]] + bit)
+        for i in range(0, len(row), 2048):
+            least, most = np.minimum.reduceat(label, first_row), np.maximum.reduceat(label, first_row)
+            r, v = row[i : i + 2048], w[i : i + 2048]
+            new = (least[v] != label[r]) | (most[v] != label[r])  # a word that is all of the query's group has nothing to add
+            r, v = r[new], v[new]
+            e, bit = np.nonzero((lanes[i : i + 2048][new, None] >> _LANES) & _ONE)
+            _merge(label, r[e], first_row[v[e]] + bit)
         lo = hi
     return label
 
