@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldframe.llm import chat, mixing, pii, simhash, sql, toxicity
+from shieldframe.llm import chat, decontam, mixing, pii, simhash, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(every.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents with the benchmark items found in them."""
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op6_mixing, op8_simhash, op9_chat)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op6_mixing, op8_simhash, op9_chat, op10_decontamination)}
 
 
 def oracle_sql():
