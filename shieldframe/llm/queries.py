@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldframe.llm import chat, decontam, mixing, pii, simhash, sql, toxicity
+from shieldframe.llm import chat, decontam, mixing, pii, simhash, sql, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op6_mixing, op8_simhash, op9_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
 
 
 def oracle_sql():
-    return {"op1_pii": sql.PII, "op6_mixing": sql.MIX, "op9_chat": sql.CHATS}
+    return {"op1_pii": sql.PII, "op6_mixing": sql.MIX, "op7_warc": sql.WARC, "op9_chat": sql.CHATS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shieldframe.llm import mixing, pii
+from shieldframe.llm import mixing, pii, warc
 
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -75,4 +75,9 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t ||
  sum(length('<turn role="') + length(replace(replace(replace(r, '\', '\b'), '<', '\l'), '"', '\q')) + 2 + length(replace(replace(t, '\', '\b'), '<', '\l')) + length('</turn>') + 1)::bigint formatted_chars
 from m group by conv_id"""
 
-PII, MIX, CHATS = _pii(), _mix(), _CHATS
+_WARC = f"""with p as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+m as (select payload_digest d, max(page_id) last from p where payload_bytes >= {warc.REVISIT_BYTES} group by 1)
+select page_id, payload_bytes, payload_digest, case when last != page_id then 'revisit' else 'response' end record_type, case when last != page_id then last end refers_to
+from p left join m on d = payload_digest and payload_bytes >= {warc.REVISIT_BYTES}"""
+
+PII, MIX, WARC, CHATS = _pii(), _mix(), _WARC, _CHATS
