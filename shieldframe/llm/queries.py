@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldframe.llm import chat, decontam, mixing, pii, simhash, sql, toxicity, warc
+from shieldframe.llm import chat, decontam, media, mixing, pii, simhash, sql, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op4_media, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
 
 
 def oracle_sql():
