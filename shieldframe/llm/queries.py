@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldframe.llm import chat, decontam, media, mixing, pii, simhash, sql, toxicity, warc
+from shieldframe.llm import chat, decontam, license_scan, media, mixing, pii, simhash, sql, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.document_path())
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +55,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op4_media, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
 
 
 def oracle_sql():
-    return {"op1_pii": sql.PII, "op6_mixing": sql.MIX, "op7_warc": sql.WARC, "op9_chat": sql.CHATS}
+    return {"op1_pii": sql.PII, "op5_license": sql.LICENSE, "op6_mixing": sql.MIX, "op7_warc": sql.WARC, "op9_chat": sql.CHATS}

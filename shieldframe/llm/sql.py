@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shieldframe.llm import mixing, pii, warc
+from shieldframe.llm import license_scan, mixing, pii, warc
 
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -80,4 +80,28 @@ m as (select payload_digest d, max(page_id) last from p where payload_bytes >= {
 select page_id, payload_bytes, payload_digest, case when last != page_id then 'revisit' else 'response' end record_type, case when last != page_id then last end refers_to
 from p left join m on d = payload_digest and payload_bytes >= {warc.REVISIT_BYTES}"""
 
-PII, MIX, WARC, CHATS = _pii(), _mix(), _WARC, _CHATS
+def _license() -> str:
+    x = license_scan
+    values = ", ".join(f"({t}, '{n}', '{w}', {k})" for t, n, w, k in x.template_words())
+    return f"""with t(template, license, word, times) as (values {values}),
+d as (select row_number() over () rid, doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id // 100) dir, lower(coalesce(text, '')) x from documents),
+df as (select word, count(distinct rid) having_ from (select rid, unnest(regexp_extract_all(x, '{x.TOKEN}')) word from d) where word in (select word from t) group by 1),
+n as (select count(*) n from d),
+k as (select t.*, ln((n.n + 1.0) / (coalesce(having_, 0) + 1)) + 1 idf from t left join df using (word), n),
+s as (select rid, len(regexp_extract_all(x, '{x.TOKEN}')) doc_words, seg[i] segment, i pos from (select rid, x, string_split_regex(x, '{x.CUT}') seg, unnest(range(1, len(string_split_regex(x, '{x.CUT}')) + 1)) i from d where regexp_matches(x, '{x.KEYWORDS}')) where regexp_matches(seg[i], '{x.KEYWORDS}')),
+c as (select rid, doc_words, pos, n_words, word, count(*) tf from (select rid, doc_words, pos, len(regexp_extract_all(segment, '{x.TOKEN}')) n_words, unnest(regexp_extract_all(segment, '{x.TOKEN}')) word from s) group by all),
+w as (select c.*, tf * coalesce(idf, (select ln(n + 1.0) + 1 from n)) x from c left join (select distinct word, idf from k) using (word)),
+l as (select rid, doc_words, pos, n_words, sqrt(sum(x * x)) length from w group by all),
+tl as (select template, sqrt(sum((times * idf) ** 2)) t_length from k group by 1),
+sc as (select w.rid, w.pos, template, license, round(sum(x * times * idf) / (any_value(length) * any_value(t_length)), 6) score, any_value(l.doc_words) doc_words, any_value(l.n_words) n_words
+  from w join k using (word) join l on l.rid = w.rid and l.pos = w.pos join tl using (template) group by 1, 2, 3, 4),
+ps as (select *, row_number() over (partition by rid, pos order by score desc, template) r from sc where score >= {x.LEAST_COSINE}),
+pd as (select rid, first(license order by score desc, pos, template) own_license, max(score) own_score, round(sum(n_words) / any_value(doc_words), 6) share, count(*) n_matches from ps where r = 1 group by 1),
+f as (select d.rid, doc_id, dir, dir || '/' || doc_id || '.txt' path, own_license, coalesce(own_score, 0.0) own_score, coalesce(n_matches, 0)::bigint n_matches, coalesce(share >= {x.LEAST_SHARE}, false) speaks from d left join pd using (rid)),
+o as (select dir above, first(own_license order by own_score desc, own_license) dir_license from f where speaks group by 1),
+a as (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) depth from (select distinct dir from f)),
+nr as (select dir, arg_max(above, depth) from_dir, arg_max(dir_license, depth) dir_license from (select dir, depth, above, dir_license from a join o on above = array_to_string(string_split(dir, '/')[1:depth], '/')) group by 1)
+select doc_id, path, own_license, own_score, n_matches, speaks, coalesce(own_license, dir_license) license, case when own_license is null then from_dir end inherited_from from f left join nr using (dir)"""
+
+
+PII, MIX, LICENSE, WARC, CHATS = _pii(), _mix(), _license(), _WARC, _CHATS
