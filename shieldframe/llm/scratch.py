@@ -38,11 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Has Spark hand rows to Python tasks in batches of at most `rows`, so that long texts don't add up in a worker.
+def small_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 4) -> None:
+    """Has Spark hand rows to Python tasks in batches of at most so many rows and bytes, so that long texts don't add up.
 
-    The setting is read when the plan runs, so it stays for the session. A smaller setting of the user's stands.
+    The settings are read when the plan runs, so they stay for the session. Smaller settings of the user's stand.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
