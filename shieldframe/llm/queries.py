@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shieldframe.llm import chat, decontam, license_scan, media, mixing, pii, simhash, sql, toxicity, warc
+from shieldframe.llm import chat, decontam, license_scan, media, mixing, pii, simhash, sql, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
 
 
 def oracle_sql():
