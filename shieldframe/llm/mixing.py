@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shieldframe.llm.scratch import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 MOST_REPEATS = 3
 SLOT_CHUNK = 4096
 CELLS = 1024
@@ -48,7 +48,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     rest_size = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(by_ratio), F.lit(0))
     rest_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0))
     level = named.withColumn("level", rest_size / rest_weight).withColumn("capped", F.col("cap") <= F.col("weight") * F.col("level"))
-    free = F.min(F.when(~F.col("capped"), F.col("level"))).over(whole)
+    free = F.max(F.when(~F.col("capped"), F.col("level"))).over(whole)  # the first that isn't capped has the true level
     done = level.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * free))
     total = F.sum("source_size").over(whole)
     upto = F.sum("target").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
@@ -97,6 +97,19 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return checkpoint(rows.select(F.monotonically_increasing_id().alias("rid"), "*", F.substring("key", 1, 2).alias("bucket")))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` of which the mix takes words, with size, source_size, target and taken (see `mix`).
+
+    Rows that share an id are told apart by nothing, so ids have to be unique; if they aren't this raises. Columns of
+    `docs` with the added names are replaced.
+    """
+    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_col} isn't unique")
+    numbers = mix(docs, id_col, text_col, source_col).where("taken > 0").withColumnRenamed("doc_id", "_id")
+    kept = docs.select(*(c for c in docs.columns if c not in ("size", "source_size", "target", "taken")))
+    return kept.join(numbers, kept[id_col].eqNullSafe(numbers["_id"])).drop("_id")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of `docs`: doc_id, size, source_size, target (its source's), taken (words the mix takes of it).
 

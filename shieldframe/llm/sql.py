@@ -57,7 +57,7 @@ w as (select *, case (row_number() over (order by source is null, source) - 1) %
   row_number() over (order by source is null, source) place, sum(source_size) over () total from t),
 l as (select *, {m} * source_size cap, (total - coalesce(sum({m} * source_size) over o, 0))::double / (sum(weight) over () - coalesce(sum(weight) over o, 0)) lev
   from w window o as (order by {m} * source_size / weight::double, place rows between unbounded preceding and 1 preceding)),
-f as (select *, case when cap <= weight * lev then cap::double else weight * min(case when cap > weight * lev then lev end) over () end target from l),
+f as (select *, case when cap <= weight * lev then cap::double else weight * max(case when cap > weight * lev then lev end) over () end target from l),
 c as (select *, sum(target) over (order by place) / total hi, (sum(target) over (order by place) - target) / total lo, max(place) filter (target > 0) over () last from f),
 s as (select slot, slot * {mixing.GOLDEN} - floor(slot * {mixing.GOLDEN}) point from range((select coalesce(ceil(sum(source_size) / {b}::double), 0)::bigint from t)) x(slot)),
 p as (select place, source_size, row_number() over (partition by place order by slot) - 1 n from s join c on target > 0 and point >= lo and (point < hi or place = last)),
