@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 4) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 1) -> None:
     """Has Spark hand rows to Python tasks in batches of at most so many rows and bytes, so that long texts don't add up.
 
     The settings are read when the plan runs, so they stay for the session. Smaller settings of the user's stand.
