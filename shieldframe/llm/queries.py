@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shieldframe.llm import chat, decontam, license_scan, media, mixing, pii, simhash, sql, suffix_dedup, toxicity, warc
 
 
@@ -59,8 +60,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination, pipeline)}
 
 
 def oracle_sql():

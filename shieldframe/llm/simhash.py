@@ -252,3 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.join(least, "root").select("fp", "component_id")
     out = fps.join(named, "fp")
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` whose id is the least of their near-duplicate group; the columns stay as they are.
+
+    Rows that share an id stay or go together; rows with a null id stay if their group has no other ids.
+    """
+    groups = near_duplicates(docs, id_col, text_col, radius)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
