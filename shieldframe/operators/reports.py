@@ -29,7 +29,7 @@ def scalar_kind(value: Column) -> Column:
         .when(F.lower(v).isin("true", "false"), "boolean")
         .when(v.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email")
         .when(day, "date")
-        .when(v.rlike(r"^\+?[0-9][0-9 ().-]{5,19}[0-9]$"), "phone")
+        .when(v.rlike(r"^\+?[0-9][0-9 .()-]{6,20}$"), "phone")
         .when(v.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*$"), "integer")
         .when(v.rlike(r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|nan|inf(?:inity)?)$"), "float")
         .otherwise("text")

@@ -1,18 +1,500 @@
-"""Registry of the engine's queries over the standard tables."""
+"""Registry of the engine's queries over the standard tables, with their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shieldframe.functions import actions, checks
+from shieldframe.operators import payloads, protect, reports, restore, synthesis, vault
+from shieldframe.policy import Policy, Rule, preset, uniform
+from shieldframe.streaming import restore as streams
+from shieldframe.streaming import webhooks
+
+KEY = bytes(32)  # a key for tests only
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """Accepted spans of all entities, counted by language and entity."""
+    return detect_entities(spark, sf_dir)
+
+
+# detection and resolution
+
+
+@query()
+def detect_entities(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    spans = protect.span_table(docs, ["doc_id", "lang"], "text", uniform("redact"))
+    return spans.groupBy("lang", "entity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def detect_spans(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return protect.span_table(docs, ["doc_id"], "text", uniform("redact")).select("doc_id", "entity", "start", "end", "value")
+
+
+@query()
+def detect_pages(spark, sf_dir):
+    pages = _spread(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    spans = protect.span_table(pages, ["page_id"], "html", uniform("redact"))
+    return spans.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query(
+    r"""select doc_id, len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}'))::bigint n from documents
+    where regexp_matches(text, 'AKIA[A-Z0-9]{16}') and not regexp_matches(text, '[A-Za-z0-9]AKIA|AKIA[A-Z0-9]{16}[A-Za-z0-9]')"""
+)
+def detect_access_keys(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = protect.span_table(docs, ["doc_id"], "text", uniform("redact", ("API_KEY",)))
+    return spans.where(F.startswith("value", F.lit("AKIA"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, (len(lower(text)) - len(replace(lower(text), 'trash', '')))::bigint // 5 n from documents where contains(lower(text), 'trash')")
+def detect_deny_terms(spark, sf_dir):
+    policy = Policy("deny", (Rule("ORGANIZATION", "label", minimum_confidence_ppm=650_000),), deny_terms={"trash": "ORGANIZATION"})
+    spans = protect.span_table(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text", policy, found=[])
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def decision_outcomes(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    policy = preset("strict")
+    traced = docs.select("doc_id", F.explode(protect.trace(F.col("text"), policy)).alias("d"))
+    return traced.groupBy("d.entity", "d.outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with c as (select l_orderkey k, l_linenumber i, (l_partkey % 50)::int s, ((l_partkey % 50) + 5 + l_quantity % 7)::int e, (l_suppkey % 3)::int p from lineitem where l_orderkey % 97 = 0),
+    r as (select *, row_number() over (partition by k order by p desc, e - s desc, s, i) n from c)
+    select k, s, e, p from r where n = 1"""
+)
+def precedence_first(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")
+    rows = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 50).cast("int").alias("s"), ((F.col("l_partkey") % 50) + 5 + F.col("l_quantity") % 7).cast("int").alias("e"), (F.col("l_suppkey") % 3).cast("int").alias("p"))
+    best = F.min(F.struct((-F.col("p")).alias("mp"), (F.col("s") - F.col("e")).alias("mb"), "s", "i", "e", "p"))
+    return rows.groupBy("k").agg(best.alias("b")).select("k", "b.s", "b.e", "b.p")
+
+
+# checks
+
+_NUMBER = "lpad((o_orderkey * 7919 + o_custkey)::varchar, 16, '4')"
+
+
+@query(
+    f"""select o_orderkey, list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then substr(v, i, 1)::int when substr(v, i, 1)::int > 4 then substr(v, i, 1)::int * 2 - 9 else substr(v, i, 1)::int * 2 end)) % 10 = 0 ok
+    from (select o_orderkey, {_NUMBER} v from orders)"""
+)
+def luhn_valid(spark, sf_dir):
+    v = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 16, "4")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.luhn(v).alias("ok"))
+
+
+@query(
+    """select o_orderkey, list_sum(list_transform(range(1, 10), lambda i: substr(v, i, 1)::int * [3, 7, 1][(i - 1) % 3 + 1])) % 10 = 0 ok
+    from (select o_orderkey, lpad((o_orderkey * 131 + o_custkey)::varchar, 9, '0') v from orders)"""
+)
+def aba_valid(spark, sf_dir):
+    v = F.lpad((F.col("o_orderkey") * 131 + F.col("o_custkey")).cast("string"), 9, "0")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.aba(v).alias("ok"))
+
+
+@query(
+    """select c_custkey, (lpad((c_custkey * 7907)::varchar, 18, '0') || '1314' || lpad((c_custkey % 97)::varchar, 2, '0'))::hugeint % 97 = 1 ok from customer"""
+)
+def iban_valid(spark, sf_dir):
+    v = F.concat(F.lit("DE"), F.lpad((F.col("c_custkey") % 97).cast("string"), 2, "0"), F.lpad((F.col("c_custkey") * 7907).cast("string"), 18, "0"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", checks.iban(v).alias("ok"))
+
+
+@query(
+    """select event_id, (event_id % 300) <= 255 and (user_id % 300) <= 255 and not (event_id % 7 = 0) ok from events"""
+)
+def ipv4_valid(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    v = F.concat((e % 300).cast("string"), F.lit(".1."), F.when(e % 7 == 0, "0").otherwise(""), (u % 300).cast("string"), F.lit(".9"))
+    fixed = F.when(e % 7 == 0, F.regexp_replace(v, r"\.0([0-9]*)\.9$", ".00$1.9")).otherwise(v)
+    return _table(spark, sf_dir, "events").select("event_id", checks.ipv4(fixed).alias("ok"))
+
+
+@query(
+    r"""select page_id, url is not null and regexp_matches(url, '(?i)^https?://[^/?#@:]+(:[^/?#@]*)?([/?#]|$)') ok from pages"""
+)
+def url_valid(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(checks.url(F.col("url")), F.lit(False)).alias("ok"))
+
+
+# actions
+
+_IPAD, _OPAD = (bytes(b ^ p for b in KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
+
+
+def _hmac_sql(message: str) -> str:
+    return f"sha256(unhex('{_OPAD}' || sha256(unhex('{_IPAD}' || hex(encode({message}))))))"
+
+
+_DIGEST = "sha256(unhex('" + _OPAD + "' || sha256(unhex('" + _IPAD + "' || hex(encode('{e}')) || '00' || hex(encode({v}))))))"
+
+
+@query(f"select c_custkey, 'sha256:' || left({_DIGEST.format(e='PERSON', v='c_name')}, 48) hashed from customer")
+def hash_keyed(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", actions.replacement("hash", F.lit("PERSON"), F.col("c_name"), KEY).alias("hashed"))
+
+
+def _seed_sql(e: str, v: str) -> str:
+    return f"('0x' || left({_DIGEST.format(e=e, v=v)}, 16))::ubigint::hugeint"
+
+
+@query(
+    f"""select c_custkey, 'person' || ({_seed_sql("EMAIL_ADDRESS", "c_name")} % 100000) || '@example.test' email,
+    '+1-202-555-' || lpad(({_seed_sql("PHONE_NUMBER", "c_name")} % 10000)::varchar, 4, '0') phone,
+    '192.0.2.' || (1 + {_seed_sql("IP_ADDRESS", "c_name")} % 254) ip,
+    '20' || (20 + {_seed_sql("DATE_TIME", "c_name")} % 7) || '-' || lpad((1 + ({_seed_sql("DATE_TIME", "c_name")} // 7) % 12)::varchar, 2, '0') || '-' || lpad((1 + ({_seed_sql("DATE_TIME", "c_name")} // 97) % 28)::varchar, 2, '0') made_on,
+    ['Alex', 'Jordan', 'Morgan', 'Riley', 'Taylor', 'Casey'][({_seed_sql("PERSON", "c_name")} % 6 + 1)::int] || ' ' || ['Brooks', 'Chen', 'Diaz', 'Patel', 'Rivera', 'Singh'][(({_seed_sql("PERSON", "c_name")} // 7) % 6 + 1)::int] person
+    from customer"""
+)
+def synthetic_values(spark, sf_dir):
+    made = lambda e: actions.replacement("synthetic", F.lit(e), F.col("c_name"), KEY, (e,))
+    return _table(spark, sf_dir, "customer").select("c_custkey", made("EMAIL_ADDRESS").alias("email"), made("PHONE_NUMBER").alias("phone"), made("IP_ADDRESS").alias("ip"), made("DATE_TIME").alias("made_on"), made("PERSON").alias("person"))
+
+
+@query("select c_custkey, true card_ok, true iban_ok, true aba_ok, true ssn_ok from customer")
+def synthetic_checks(spark, sf_dir):
+    made = lambda e: actions.replacement("synthetic", F.lit(e), F.col("c_name"), KEY, (e,))
+    return _table(spark, sf_dir, "customer").select("c_custkey", checks.luhn(made("CREDIT_CARD")).alias("card_ok"), checks.iban(made("IBAN_CODE")).alias("iban_ok"), checks.aba(made("US_BANK_NUMBER")).alias("aba_ok"), made("US_SSN").rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$").alias("ssn_ok"))
+
+
+@query("select o_orderkey, '$~10^' || greatest(0, length(ltrim(floor(o_totalprice)::bigint::varchar, '0')) - 1) money, left(strftime(o_orderdate, '%Y-%m-%d'), 4) y from orders")
+def generalized(spark, sf_dir):
+    price = F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0), F.lit(".50"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", actions.generalize(F.lit("MONEY"), price).alias("money"), actions.generalize(F.lit("DATE_TIME"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("y"))
+
+
+@query("select c_custkey, '***@' || c_mktsegment || '.test' email, '[PERSON]' person, '<PERSON>' label, '[REDACTED:PERSON]' redacted from customer")
+def masks(spark, sf_dir):
+    address = F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit(".test"))
+    p = F.lit("PERSON")
+    return _table(spark, sf_dir, "customer").select("c_custkey", actions.generalize(F.lit("EMAIL_ADDRESS"), address).alias("email"), actions.generalize(p, F.col("c_name")).alias("person"), actions.replacement("label", p, F.col("c_name")).alias("label"), actions.replacement("redact", p, F.col("c_name")).alias("redacted"))
+
+
+@query()
+def redact_documents(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = protect.protect(docs, "text", uniform("redact"))
+    return done.select("doc_id", "protected.state", F.size("protected.detections").alias("n"), F.md5("protected.text").alias("text_md5"))
+
+
+@query("select doc_id, true same, 'protected' state from documents")
+def keep_documents(spark, sf_dir):
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = protect.protect(docs, "text", uniform("keep"))
+    return done.select("doc_id", F.col("text").eqNullSafe(F.col("protected.text")).alias("same"), "protected.state")
+
+
+@query("select doc_id, 'blocked' state, null::varchar text, 'reversible rules need a key' reason from documents")
+def blocked_without_key(spark, sf_dir):
+    done = protect.protect(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", preset("balanced"))
+    return done.select("doc_id", "protected.state", "protected.text", "protected.reason")
+
+
+@query("select doc_id, true same from documents")
+def tokenize_round_trip(spark, sf_dir):
+    """Tokens for all values, texts rendered with them, and the texts restored from the mappings."""
+    _checkpoints(spark)
+    policy = uniform("tokenize")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("session_id"), "text"))
+    spans = protect.span_table(docs, ["session_id"], "text", policy)
+    mappings = protect.allocate(spans, policy, KEY)
+    shown = protect.render(docs, "text", policy, mappings, KEY, row="doc_id")
+    pairs = shown.select("doc_id", "session_id", "text", "protected_text", F.explode_outer(F.array_distinct(F.regexp_extract_all("protected_text", F.lit(actions.TOKEN), F.lit(0)))).alias("replacement"))
+    own = pairs.join(mappings.select("session_id", "replacement", "value"), ["session_id", "replacement"], "left").groupBy("doc_id").agg(F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("replacement", "value"))))).alias("reverse"))
+    back = shown.join(own, "doc_id", "left")
+    return back.select("doc_id", restore.restore(F.col("protected_text"), F.col("reverse")).eqNullSafe(F.col("text")).alias("same"))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """Names a folder for checkpoints where neither the cluster nor the user has."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shieldframe-"))
+
+
+@query("select c_custkey, true opened, true wrong_key_null, true wrong_session_null from customer")
+def capsules(spark, sf_dir):
+    one = _table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.concat(F.lit("t"), F.col("c_custkey").cast("string")), "c_name").alias("reverse"), F.col("c_name").alias("session"))
+    sealed = one.withColumn("capsule", restore.seal(F.col("reverse"), KEY, F.col("session")))
+    opened = restore.open_capsule(F.col("capsule"), KEY, F.col("session"))
+    other = restore.open_capsule(F.col("capsule"), b"\x01" * 32, F.col("session"))
+    moved = restore.open_capsule(F.col("capsule"), KEY, F.concat("session", F.lit("x")))
+    return sealed.select("c_custkey", (F.map_values(opened) == F.map_values("reverse")).alias("opened"), other.isNull().alias("wrong_key_null"), moved.isNull().alias("wrong_session_null"))
+
+
+@query("select conv_id::varchar stream_id, string_agg(replace(coalesce(text, ''), ' the ', ' THE '), '' order by turn) as text from conversations group by 1")
+def stream_restore_batch(spark, sf_dir):
+    token = "[[PG1|PERSON|" + "A" * 26 + "|" + "B" * 16 + "]]"
+    words = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("t"), F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(f" {token} ")).alias("text"))
+    halves = F.array(F.struct((F.col("t") * 2).alias("seq"), F.expr("left(text, cast(length(text) / 2 as int))").alias("chunk")), F.struct((F.col("t") * 2 + 1).alias("seq"), F.expr("substr(text, cast(length(text) / 2 as int) + 1)").alias("chunk")))
+    chunks = words.select("stream_id", F.explode(halves).alias("c")).select("stream_id", "c.seq", "c.chunk")
+    return streams.restore_batch(chunks, {token: "THE"})
+
+
+# vault
+
+_DETECTIONS = """select event_id::varchar id, user_id, ['EMAIL_ADDRESS', 'PERSON', 'URL'][(event_id % 3 + 1)::int] entity_type, event_type, (event_id * 37 % 1000000)::int ppm, floor(epoch(ts))::bigint at_ from events"""
+
+
+def _detections(spark, sf_dir):
+    e = F.col("event_id")
+    return _table(spark, sf_dir, "events").select(
+        e.cast("string").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("mapping_id"),
+        F.element_at(F.array(F.lit("EMAIL_ADDRESS"), F.lit("PERSON"), F.lit("URL")), (e % 3 + 1).cast("int")).alias("entity_type"), F.col("event_type").alias("detector"),
+        (e * 37 % 1_000_000).cast("int").alias("confidence_ppm"), F.lit("redact").alias("action"), F.lit("p").alias("policy_name"), F.lit(1).alias("policy_version"),
+        F.unix_timestamp("ts").alias("created_at"), (F.unix_timestamp("ts") + (e % 30) * 86_400).alias("expires_at"),
+    )
+
+
+_NOW = 1_704_067_200 + 15 * 86_400
+
+
+@query(f"select entity_type, event_type detector, 'redact' as action, 'p' policy_name, 1 policy_version, count(*) n, min(ppm) least_ppm, max(ppm) most_ppm from ({_DETECTIONS}) where at_ + (id::bigint % 30) * 86400 > {_NOW} group by 1, 2")
+def session_summary(spark, sf_dir):
+    return vault.session_summary(_detections(spark, sf_dir), _NOW)
+
+
+@query(f"select 'detections' as \"table\", count(*) filter (at_ + (id::bigint % 30) * 86400 <= {_NOW}) purged from ({_DETECTIONS})")
+def purge_counts(spark, sf_dir):
+    return vault.purge_counts({"detections": _detections(spark, sf_dir)}, _NOW)
+
+
+@query("select c_custkey, c_mktsegment from customer where not exists (select 1 from supplier where s_suppkey = c_custkey and s_suppkey % 5 != 0)")
+def new_mappings(spark, sf_dir):
+    offered = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("s").alias("session_id"), F.lit("PERSON").alias("entity_type"), F.col("c_custkey").cast("string").alias("original_hmac"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("replacement"), "c_custkey", "c_mktsegment")
+    known = _table(spark, sf_dir, "supplier").select(F.lit("s").alias("session_id"), F.lit("PERSON").alias("entity_type"), F.col("s_suppkey").cast("string").alias("original_hmac"), F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("replacement"), F.when(F.col("s_suppkey") % 5 == 0, 0).otherwise(10).cast("long").alias("expires_at"))
+    return vault.new_mappings(offered, known, 5).select("c_custkey", "c_mktsegment")
+
+
+# profiles and reports
+
+_PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
+
+
+def _profile_sql() -> str:
+    one = []
+    for c in _PROFILED:
+        text = c == "l_returnflag"
+        n = lambda f: "null::double" if text else f"round({f}, 6)"  # noqa: E731,B023
+        one.append(f"""select '{c}' as "column", count(*) n, round(avg(({c} is null{" or " + c + " = ''" if text else ""})::int), 6) null_rate, count(distinct {c}) n_distinct, {n(f"min({c})::double")} minimum, {n(f"max({c})::double")} maximum, {n(f"avg({c})").replace(", 6)", ", 4)")} mean, {n(f"stddev_pop({c})").replace(", 6)", ", 4)")} deviation from lineitem""")
+    return " union all ".join(one)
+
+
+@query(_profile_sql())
+def profile_lineitem(spark, sf_dir):
+    rows = reports.profile(_table(spark, sf_dir, "lineitem").select(*_PROFILED), _PROFILED)
+    return rows.withColumns({c: F.round(c, 4) for c in ("mean", "deviation")})
+
+
+@query("select l_shipmode as category, n, round(n / sum(n) over (), 9) weight from (select l_returnflag l_shipmode, count(*) n from lineitem group by 1)")
+def category_weights(spark, sf_dir):
+    return reports.weights(_table(spark, sf_dir, "lineitem"), "l_returnflag").select("category", "n", F.round("weight", 9).alias("weight"))
+
+
+def _halves(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem")
+    return rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1")
+
+
+@query(
+    """with p as (select l_returnflag c, count(*) / (select count(*) from lineitem where l_orderkey % 2 = 0) w from lineitem where l_orderkey % 2 = 0 group by 1),
+    q as (select l_returnflag c, count(*) / (select count(*) from lineitem where l_orderkey % 2 = 1) w from lineitem where l_orderkey % 2 = 1 group by 1)
+    select round(sum(abs(coalesce(p.w, 0) - coalesce(q.w, 0))) / 2, 6) total_variation from p full join q on p.c = q.c"""
+)
+def quality_variation(spark, sf_dir):
+    return reports.total_variation(*_halves(spark, sf_dir), "l_returnflag")
+
+
+@query(
+    """select round(count(distinct p_brand) filter (p_partkey in (select p_partkey from part where p_size < 5)) / count(distinct p_brand), 6) category_coverage from part"""
+)
+def quality_coverage(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return reports.category_coverage(part, part.where("p_size < 5"), "p_brand")
+
+
+@query(
+    """select round(abs(avg(l_extendedprice) filter (l_orderkey % 2 = 0) - avg(l_extendedprice) filter (l_orderkey % 2 = 1)) / greatest(max(l_extendedprice) filter (l_orderkey % 2 = 0) - min(l_extendedprice) filter (l_orderkey % 2 = 0), 1), 6) normalized_mean_delta from lineitem"""
+)
+def quality_mean_delta(spark, sf_dir):
+    return reports.mean_delta(*_halves(spark, sf_dir), "l_extendedprice")
+
+
+@query(
+    """with c as (select case when o_custkey % 3 = 0 then null else o_orderpriority end p, o_orderkey % 2 h from orders)
+    select 'p' as "column", round(avg((p is null)::int) filter (h = 0), 6) source_null_rate, round(avg((p is null)::int) filter (h = 1), 6) synthetic_null_rate, round(abs(avg((p is null)::int) filter (h = 0) - avg((p is null)::int) filter (h = 1)), 6) null_rate_delta from c"""
+)
+def quality_null_rates(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("p"), (F.col("o_orderkey") % 2).alias("h"))
+    return reports.null_rates(rows.where("h = 0"), rows.where("h = 1"), ["p"])
+
+
+@query(
+    """with r as (select distinct c_nationkey::varchar a, c_mktsegment b from customer where c_custkey % 3 = 0), s as (select c_nationkey::varchar a, c_mktsegment b from customer where c_custkey % 3 = 1)
+    select round(avg((exists (select 1 from r where r.a = s.a and r.b = s.b))::int), 6) exact_row_match_rate from s"""
+)
+def exact_match(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return reports.exact_match_rate(rows.where("c_custkey % 3 = 0"), rows.where("c_custkey % 3 = 1"), ["c_nationkey", "c_mktsegment"])
+
+
+@query(
+    """with r as (select c_nationkey::varchar v from customer where c_custkey % 50 = 0 union select c_mktsegment from customer where c_custkey % 50 = 0),
+    s as (select c_nationkey::varchar v from customer where c_custkey % 3 = 1 union all select c_mktsegment from customer where c_custkey % 3 = 1)
+    select round(avg((v in (select v from r))::int), 6) non_key_cell_copy_rate from s"""
+)
+def cell_copy(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return reports.cell_copy_rate(rows.where("c_custkey % 50 = 0"), rows.where("c_custkey % 3 = 1"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("select min(n) k_anonymity from (select count(*) n from customer group by c_nationkey, c_mktsegment)")
+def k_anonymity(spark, sf_dir):
+    return reports.k_anonymity(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("select min(n) l_diversity from (select count(distinct c_mktsegment) n from customer group by c_nationkey)")
+def l_diversity(spark, sf_dir):
+    return reports.l_diversity(_table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment")
+
+
+@query("select o_orderkey, o_custkey from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 != 0)")
+def foreign_key_orphans(spark, sf_dir):
+    orphans = synthesis.orphans(_table(spark, sf_dir, "orders"), "o_custkey", _table(spark, sf_dir, "customer").where("c_custkey % 10 != 0"), "c_custkey")
+    return orphans.select("o_orderkey", "o_custkey")
+
+
+@query(
+    """with e as (select doc_id, toxic, quality from labels)
+    select toxic, (count(*) filter (quality = 1 and n > 500))::bigint tp, (count(*) filter (quality != 1 and n > 500))::bigint fp, (count(*) filter (quality = 1 and n <= 500))::bigint fn from e join (select doc_id, n_chars n from documents) using (doc_id)
+    where quality = 1 or n > 500 group by 1"""
+)
+def label_scores(spark, sf_dir):
+    both = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    as_span = both.select(F.col("doc_id").alias("case_id"), F.col("toxic").alias("entity"), F.lit(0).alias("start"), F.lit(1).alias("end"), "quality", "n_chars")
+    return reports.span_scores(as_span.where("quality = 1"), as_span.where("n_chars > 500")).select(F.col("entity").alias("toxic"), "tp", "fp", "fn")
+
+
+@query(
+    """select event_type, count(value) n, round(median(value), 6) median, round(list_sort(list(value))[greatest(1, ceil(count(value) * 0.95))::int], 6) p95, round(min(value), 6) least from events where value is not null group by 1"""
+)
+def timing_stats(spark, sf_dir):
+    return reports.timing(_table(spark, sf_dir, "events").where("value is not null"), ["event_type"], "value")
+
+
+# synthesis
+
+
+def _spec() -> synthesis.TableSpec:
+    c = synthesis.ColumnSpec
+    return synthesis.TableSpec("people", (c("id", "integer", primary_key=True, minimum=10), c("age", "integer", minimum=18, maximum=90), c("score", "float", minimum=0.0, maximum=1.0, mean=0.5, deviation=0.2), c("segment", "category", categories=("a", "b"), weights={"a": 0.25, "b": 0.75}), c("joined", "date", nullable=True, null_rate=0.1), c("email", "email"), c("note", "text", locale="es-ES")))
+
+
+@query("select count(*) rows, count(distinct c_custkey) ids, true ages, true scores, true segments, true notes from customer")
+def synthetic_table(spark, sf_dir):
+    n = _table(spark, sf_dir, "customer").count()
+    made = synthesis.table(spark, _spec(), n, "seed")
+    return made.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("age").between(18, 90)).alias("ages"), F.bool_and(F.col("score").between(0, 1)).alias("scores"), F.bool_and(F.col("segment").isin("a", "b")).alias("segments"), F.bool_and(F.col("note").rlike("^[A-Z][a-z]+ note [0-9]+$")).alias("notes"))
+
+
+@query("select count(*) rows, 0::bigint orphans from orders")
+def synthetic_children(spark, sf_dir):
+    n, parents = _table(spark, sf_dir, "orders").count(), _table(spark, sf_dir, "customer")
+    made = synthesis.sample_parents(spark.range(n).withColumnRenamed("id", "_row"), "_row", parents, "c_custkey", "seed", "account")
+    lost = synthesis.orphans(made, "account", parents, "c_custkey")
+    return made.agg(F.count("*").alias("rows")).join(F.broadcast(lost.agg(F.count("*").alias("orphans"))))
+
+
+@query()
+def inferred_kinds(spark, sf_dir):
+    spec = synthesis.infer(_table(spark, sf_dir, "customer"), "c_custkey")
+    return spark.createDataFrame([(c.name, c.kind, c.nullable, len(c.categories)) for c in spec.columns], "name string, kind string, nullable boolean, categories int")
+
+
+# payloads and deliveries
+
+
+@query("select conv_id, count(*) messages, (count(*) filter (text is null or role not in ('system', 'developer', 'user', 'assistant', 'tool', 'function')))::bigint blocked, case when count(*) filter (text is null or role not in ('system', 'developer', 'user', 'assistant', 'tool', 'function')) > 0 then 'blocked' else 'protected' end state from conversations group by 1")
+def chat_requests(spark, sf_dir):
+    return payloads.valid_messages(_table(spark, sf_dir, "conversations"), "conv_id", "role", "text")
+
+
+@query(
+    """select pointer, count(*) n, count(distinct value) as "values" from (select '/role' pointer, role as value from conversations
+    union all select '/content/0/text', text from conversations union all select '/content/1', left(text, 5) from conversations) group by 1"""
+)
+def json_leaves(spark, sf_dir):
+    block = F.to_json(F.struct(F.col("text").alias("text"), F.lit(3).alias("size")))
+    tree = F.concat(F.lit('{"role":'), F.to_json(F.array("role")), F.lit(',"content":['), block, F.lit(","), F.to_json(F.array(F.left("text", F.lit(5)))), F.lit("]}"))
+    flat = F.regexp_replace(F.regexp_replace(tree, r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=,\"content\")", "$1"), r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=\]\})", "$1")
+    rows = payloads.leaves(_table(spark, sf_dir, "conversations").select("conv_id", "turn", flat.alias("props")), ["conv_id", "turn"], "props", depth=4)
+    return rows.groupBy("pointer").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
+
+
+@query("select event_id, case event_id % 4 when 0 then 'chat/completions' when 1 then 'responses' when 2 then 'messages' end endpoint from events")
+def provider_endpoints(spark, sf_dir):
+    path = F.element_at(F.array(F.lit("/v1/chat/completions/"), F.lit("responses"), F.lit("v1/messages"), F.lit("v1/files")), (F.col("event_id") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", payloads.endpoint(path).alias("endpoint"))
+
+
+@query(
+    f"select event_id, 'sha256=' || {_hmac_sql('''floor(epoch(ts))::bigint::varchar || '.' || event_id::varchar || '.' || coalesce(props, '')''')} signature, abs(floor(epoch(ts))::bigint - {_NOW}) <= 86400 on_time from events"
+)
+def webhook_signatures(spark, sf_dir):
+    ts = F.unix_timestamp("ts")
+    return _table(spark, sf_dir, "events").select("event_id", webhooks.signature(KEY, ts, F.col("event_id").cast("string"), F.coalesce("props", F.lit(""))).alias("signature"), webhooks.on_time(ts, F.lit(_NOW), 86_400).alias("on_time"))
+
+
+@query("select user_id, count(*) n from (select user_id, row_number() over (partition by user_id, event_type order by ts, event_id) r from events) where r = 1 group by 1")
+def replay_first(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("delivery"), F.unix_timestamp("ts").alias("t"))
+    return webhooks.first_deliveries(rows, "delivery", "t", ttl=10**9).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, n_name, r_name from nation left join region on n_regionkey = r_regionkey")
+def policy_lookup(spark, sf_dir):
+    """A small rule table joined to every row, as a policy's rules are to detections."""
+    return _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
