@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from conftest import table
+from pyspark.sql import functions as F
+
+from shieldframe.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(text):
+    out = []
+    for n, (k, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            v = m[0]
+            d = re.sub("[^0-9]", "", v)
+            ok = {"email": True, "ip": all(int(x) < 256 for x in v.split(".")) if k == "ip" else False, "card": 12 <= len(d) <= 19 and luhn(d or "0"), "phone": 9 <= len(d) <= 15}[k]
+            if ok:
+                out.append((m.start(), n, m.end(), k))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+ODD = [
+    "a@b.c_d@e.f x@y.z..q@w.e", "1.2.3.4.5.6.7.8 999.1.1.1 0000001.2.3.4", "+1 (((( 23", "4111 1111 1111 1111 é 4111-1111-1111-1111é a@b.com", "😀 t@ex.com", "", None,
+    "x" * 20000 + "@a.b", "1" * 20000, "a@" * 8000, "+1 " + " " * 9000, "1.2." * 8000, "+1 212 555 0100 4242424242424242+49 30 1234567", "a@b.co\na@b.co",
+]
+
+
+def test_base_spans(spark):
+    rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(5, ODD[3], "x"), (None, "a@b.co", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
+    got = pii.find(df).collect()
+    assert len(got) == len(rows)
+    want = sorted((-1 if i is None else i, hashlib.sha256(base(t).encode()).hexdigest()) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.base_sha256) for r in got) == want
+
+
+def test_added_kinds_need_checks_and_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "ssn 123-45-6789", "123-45-6789", "social 000-45-6789", "ssn 1123-45-67890"]
+    got = [r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["iban:5:32", "", "ssn:4:15", "", "", ""]
+
+
+def test_redaction_replaces_spans_only(spark):
+    df = spark.createDataFrame([(1, "é a@b.co +1 212 555 0100", 3), (2, None, 4), (3, "clean", 5)], "doc_id long, text string, n_chars int")
+    assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "é [EMAIL] [PHONE]", 3), (2, None, 4), (3, "clean", 5)]
+
+
+def test_empty_table_and_plan_without_python(spark):
+    docs = table(spark, "documents").where(F.lit(False))
+    assert pii.find(docs).count() == 0
+    assert "Python" not in pii.find(table(spark, "documents"))._jdf.queryExecution().toString()
