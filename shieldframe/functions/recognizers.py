@@ -27,7 +27,7 @@ class Recognizer:
     entity: str
     pattern: str
     valid: Callable[[Column], Column] | None = None
-    gate: Callable[[Column], Column] | None = None  # cheap and never false where the pattern matches
+    gate: str | None = None  # name of a cheap test (see GATES) that is never false where the pattern matches
 
 
 def _has(*parts: str) -> Callable[[Column], Column]:
@@ -40,44 +40,55 @@ def _has(*parts: str) -> Callable[[Column], Column]:
     return test
 
 
+#: Recognizers with one gate are behind one test, which most texts fail.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "at": _has("@"),
+    "key": _has("sk-", "gh", "AKIA"),
+    "scheme": _has("://"),
+    "digit": lambda t: t.rlike(r"\p{Nd}"),
+    "digits": lambda t: t.rlike(r"\p{Nd}{3}"),
+    "address": lambda t: F.contains(t, F.lit(":")) | t.rlike(r"\p{Nd}\."),
+    "money": lambda t: (_has("$", "€", "£")(t) | t.rlike("(?i)(?:usd|eur|gbp)")) & t.rlike(r"\p{Nd}"),
+}
 #: The accepted languages, in Java's dialect with Unicode classes.
 RECOGNIZERS = (
     Recognizer(
         "EMAIL_ADDRESS",
         rf"(?Ui)(?<![{_WORD}.!#$%&'*+=?^`{{|}}~-])[A-Zİ0-9.!#$%&'*+=?^_`{{|}}~-]{{1,64}}@{_ATOM}(?:\.{_ATOM})+(?![{_WORD}-])",
-        gate=_has("@"),
+        gate="at",
     ),
-    Recognizer("PHONE_NUMBER", r"(?U)(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\d)"),
-    Recognizer("US_SSN", r"(?U)(?<!\d)(?!000|666|9\d\d)\d{3}([- ]?)(?!00)\d{2}\1(?!0000)\d{4}(?!\d)"),
-    Recognizer("CREDIT_CARD", r"(?U)(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", checks.luhn),
+    Recognizer("PHONE_NUMBER", r"(?U)(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\d)", gate="digits"),
+    Recognizer("US_SSN", r"(?U)(?<!\d)(?!000|666|9\d\d)\d{3}([- ]?)(?!00)\d{2}\1(?!0000)\d{4}(?!\d)", gate="digits"),
+    Recognizer("CREDIT_CARD", r"(?U)(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", checks.luhn, "digit"),
     Recognizer(
         "IP_ADDRESS",
         r"(?U)(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:.])|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])",
         checks.ip,
+        "address",
     ),
     Recognizer(
         "API_KEY",
         r"(?U)(?<![A-Za-z0-9])(?:sk-[A-Za-z0-9_-]{16,200}|gh[pousr]_[A-Za-z0-9]{20,255}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9])",
-        gate=_has("sk-", "gh", "AKIA"),
+        gate="key",
     ),
-    Recognizer("DATE_TIME", r"(?U)(?<!\d)(?:20\d{2}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]20\d{2})(?!\d)"),
+    Recognizer("DATE_TIME", r"(?U)(?<!\d)(?:20\d{2}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]20\d{2})(?!\d)", gate="digits"),
     Recognizer(
         "MONEY",
         rf"(?Ui)(?<![{_WORD}])(?:[$€£][{_SPACE}]?\d[\d ,.]*\d|[$€£][{_SPACE}]?\d|\d[\d ,.]*\d[{_SPACE}]?(?:USD|EUR|GBP)|\d[{_SPACE}]?(?:USD|EUR|GBP))(?![{_WORD}])",
         lambda v: F.octet_length(v) <= MONEY_BYTES,
-        lambda t: F.contains(t, F.lit("$")) | F.contains(t, F.lit("€")) | F.contains(t, F.lit("£")) | t.rlike("(?i)(?:usd|eur|gbp)"),
+        "money",
     ),
-    Recognizer("URL", rf"(?Ui)(?<![{_WORD}])https?://[^{_SPACE}<>\"']+", checks.url, _has("://")),
+    Recognizer("URL", rf"(?Ui)(?<![{_WORD}])https?://[^{_SPACE}<>\"']+", checks.url, "scheme"),
     Recognizer(
         "IBAN_CODE",
         r"(?Ui)(?<![A-Zİ0-9])(?:DE(?: ?[A-Zİ0-9]){20}|ES(?: ?[A-Zİ0-9]){22}|FR(?: ?[A-Zİ0-9]){25}|GB(?: ?[A-Zİ0-9]){20})(?![A-Zİ0-9])",
         checks.iban,
     ),
-    Recognizer("US_BANK_NUMBER", r"(?U)(?<!\d)\d{3}(?:[ -]?\d{3}){2}(?!\d)", checks.aba),
+    Recognizer("US_BANK_NUMBER", r"(?U)(?<!\d)\d{3}(?:[ -]?\d{3}){2}(?!\d)", checks.aba, "digits"),
 )
 
 
-def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detector: str, gate: Column | None = None) -> Column:
+def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detector: str) -> Column:
     """Every leftmost, non-overlapping match as a span. The pattern must consume at least one character."""
     none = F.array().cast(SPANS)
 
@@ -101,7 +112,7 @@ def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detect
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), placed)).otherwise(none)
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(hits if gate is None else F.when(gate, hits).otherwise(F.array().cast("array<string>")), spans)
+    return let(hits, spans)
 
 
 class Detector:
@@ -121,12 +132,13 @@ class RegexDetector(Detector):
 
     def spans(self, text: Column, entities: Iterable[str]) -> Column:
         wanted = set(entities)
-        found = []
+        by_gate: dict[str | None, list[Column]] = {}
         for r in RECOGNIZERS:
             if r.entity in wanted:
-                spans = matches(text, r.pattern, r.entity, REGEX_CONFIDENCE, self.name, r.gate(text) if r.gate else None)
-                found.append(_checked(spans, r))
-        return F.concat(*found) if found else F.array().cast(SPANS)
+                by_gate.setdefault(r.gate, []).append(_checked(matches(text, r.pattern, r.entity, REGEX_CONFIDENCE, self.name), r))
+        none = F.array().cast(SPANS)
+        found = [F.concat(*spans) if gate is None else F.when(GATES[gate](text), F.concat(*spans)).otherwise(none) for gate, spans in by_gate.items()]
+        return F.concat(*found) if found else none
 
 
 def _checked(spans: Column, recognizer: Recognizer) -> Column:
