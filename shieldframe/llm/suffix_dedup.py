@@ -7,7 +7,8 @@ row. In a group, runs with equal bytes are settled by their first; the first run
 strings. Those get their bytes, and their suffixes whose prefix hash occurs again are sorted by a mergesort that
 compares two suffixes by the longest common extension: a binary search over prefix polynomial hashes. Neighbours with a
 common extension of `LENGTH` are verified byte by byte. The sort is stable over (document, place), so the first of each
-class of equal strings is the one that stays.
+class of equal strings is the one that stays. Groups of over `GROUP_RUNS` such runs (a line in a great many contexts)
+are first split into their strings, by the strings' own hashes, and copies inside a batch are settled there.
 
 Copies inside a batch are settled before the shuffle, so a passage that a third of all documents hold is sent once per
 batch. Texts are shuffled once, by document, and read for both joins.
@@ -28,6 +29,10 @@ from shieldframe.llm.scratch import small_batches, stored
 
 LENGTH = 100
 ANCHOR = 24
+#: Groups of more open runs are split into their strings.
+GROUP_RUNS = 1000
+#: A list of at most so many large groups may be broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 100_000
 _WIDTH = LENGTH - ANCHOR + 1
 _PIECE = 1 << 23  # bytes worked on at once; longer texts go in overlapping pieces
 _LOW = np.uint64((1 << 24) - 1)
@@ -243,8 +248,45 @@ def _reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (h[-1], x[-1])
 
 
+_OPEN = ["h", "d", "tie", "s", "n", "a", "bytes"]
+
+
+def _split_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open runs with their bytes and whether their group is large. Runs of large groups become single strings under keys
+    made of the strings themselves, so that no group holds all contexts of a frequent passage; strings that are in the
+    batch before, compared byte by byte, go on without bytes, as settled, under keys that spread them."""
+    for batch in batches:
+        large = batch.column("large").to_numpy(zero_copy_only=False).astype(bool)
+        plain = batch.select(_OPEN)
+        yield plain.filter(pa.array(~large))
+        if not large.any():
+            continue
+        part = plain.filter(pa.array(large))
+        h, d, tie, s, n, a = (part.column(c).to_numpy() for c in _OPEN[:-1])
+        data, at = joined(part.column("bytes"))
+        row = np.repeat(np.arange(len(h)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        place = (a[row] - k).astype(np.uint64)
+        key = mixed(h[row].view(np.uint64) ^ mixed(stretch(prefix_hashes(data), at[row] + k, LENGTH) + place))
+        order = np.lexsort((s[row] + k, tie[row], d[row], key))
+        row, k, key = row[order], k[order], key[order]
+        start, p = at[row] + k, s[row] + k
+        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        again = np.zeros(len(row), dtype=bool)
+        equal = np.flatnonzero(key[1:] == key[:-1])
+        for i in range(0, len(equal), 20_000):
+            u = equal[i : i + 20_000]
+            again[u + 1] = (windows[start[u]] == windows[start[u + 1]]).all(axis=1)
+        spread = np.where(again, mixed(p.astype(np.uint64) ^ mixed(d[row].view(np.uint64))), key).view(np.int64)
+        raw = data.tobytes()
+        strings = [None if settled else raw[b : b + LENGTH] for settled, b in zip(again.tolist(), start.tolist(), strict=True)]
+        columns = [spread, d[row], tie[row], p.astype(np.int64), np.ones(len(row), dtype=np.int32), (a[row] - k).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], names=_OPEN)
+
+
 def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open runs with their bytes, in order of h: settles the strings that earlier runs of the group have."""
+    """Open runs with their bytes, in order of h: settles the strings that earlier runs of the group have. Strings that
+    are settled already have no bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -268,6 +310,12 @@ def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(zero + SETTLED, zero, zero, d[row[first]], tie[row[first]], p[first], count, zero)
 
     for batch in batches:
+        done = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
+        if done.any():
+            d, tie, s, n = (batch.column(c).to_numpy()[done] for c in ("d", "tie", "s", "n"))
+            zero = np.zeros(len(d), dtype=np.int64)
+            yield _batch(zero + SETTLED, zero, zero, d, tie, s, n, zero)
+            batch = batch.filter(pa.array(~done))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -307,6 +355,15 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
+def _marked(open_: DataFrame) -> DataFrame:
+    """Open runs with `large`: whether their group has over GROUP_RUNS of them."""
+    large = stored(open_.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > GROUP_RUNS).select("h", F.lit(True).alias("large")), "large")
+    n = large.count()
+    if not n:
+        return open_.withColumn("large", F.lit(False))
+    return open_.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, kept (the bytes that are left), n_bytes, n_removed, n_spans (removed runs).
 
@@ -324,12 +381,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = texts.where(F.octet_length("text") >= LENGTH).select("d", "tie", "text").mapInArrow(_map_runs, _ROW)
     dealt = sent.repartition("h").sortWithinPartitions("h", "x", "d", "tie", "s")
     found = stored(dealt.mapInArrow(_reduce_runs, _ROW), "runs")
-    open_ = found.where(F.col("kind") == OPEN).select("h", "d", "tie", "s", "n", "a")
+    open_ = _marked(found.where(F.col("kind") == OPEN).select("h", "d", "tie", "s", "n", "a"))
     source = texts.select("d", "tie", "text")
-    with_bytes = open_.join(source, ["d", "tie"]).select("h", "d", "tie", "s", "n", "a", F.substring("text", (F.col("s") + 1).cast("int"), F.col("n") + (LENGTH - 1)).alias("bytes"))
+    with_bytes = open_.join(source, ["d", "tie"]).select("h", "d", "tie", "s", "n", "a", F.substring("text", (F.col("s") + 1).cast("int"), F.col("n") + (LENGTH - 1)).alias("bytes"), "large")
     if shared_ids:
         with_bytes = with_bytes.distinct()
-    settled = stored(with_bytes.repartition("h").sortWithinPartitions("h").mapInArrow(_settle_open, _ROW).select("d", "tie", "s", "n"), "settled")
+    groups = with_bytes.mapInArrow(_split_large, "h long, d long, tie long, s long, n int, a int, bytes binary").repartition("h").sortWithinPartitions("h")
+    settled = stored(groups.mapInArrow(_settle_open, _ROW).select("d", "tie", "s", "n"), "settled")
     every = found.where(F.col("kind") == SETTLED).select("d", "tie", "s", "n").union(settled)
     spans = every.groupBy("d", "tie").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     cut = texts.join(spans, ["d", "tie"], "left").select("id", "text", "spans")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from conftest import table
 
 from shieldframe.llm import suffix_dedup as sd
@@ -38,6 +39,19 @@ def test_documents(spark):
     same(table(spark, "documents"))
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_large_groups_are_split_into_strings(spark, monkeypatch, most):
+    """A line in many contexts, and a passage whose ends run into different texts; all groups are over the bound, or some."""
+    monkeypatch.setattr(sd, "GROUP_RUNS", most)
+    rng = np.random.default_rng(4)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line, passage = noise(60), noise(300)
+    rows = [(i, f"{noise(int(rng.integers(0, 80)))}{passage if i % 3 else line}{noise(60)}{line}{noise(50)}") for i in range(80)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:5])] + [(300, None), (301, "")]
+    same(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    same(table(spark, "documents"))
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 400)))
     df = spark.createDataFrame([(1, text), (1, text), (1, text[50:] + "z"), (2, text)], "doc_id long, text string")
