@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shieldframe.llm.scratch import checkpoint
+from shieldframe.llm.scratch import checkpoint, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -89,25 +89,27 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOS
     return at.where(F.col("rank") < blocks * most).select("slot", "source", "rank", (F.col("rank") % blocks).alias("block"))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(rid, doc_id, source, size, key, bucket): one row per row of `docs`; `key` is the shuffled order within a source."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rid: Column | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, key, bucket): one row per row of `docs`; `key` is the shuffled order within a source.
+
+    `rid` is a number that each row has for itself; one is made where none is given."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"))
-    return checkpoint(rows.select(F.monotonically_increasing_id().alias("rid"), "*", F.substring("key", 1, 2).alias("bucket")))
+    number = F.monotonically_increasing_id() if rid is None else rid
+    rows = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"))
+    return checkpoint(rows.select("*", F.substring("key", 1, 2).alias("bucket")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs` of which the mix takes words, with size, source_size, target and taken (see `mix`).
 
-    Rows that share an id are told apart by nothing, so ids have to be unique; if they aren't this raises. Columns of
-    `docs` with the added names are replaced.
+    Ids may be repeated or null: rows are numbered and written before they are mixed, so each has a taken of its own.
+    Columns of `docs` with the added names are replaced.
     """
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        raise ValueError(f"{id_col} isn't unique")
-    numbers = mix(docs, id_col, text_col, source_col).where("taken > 0").withColumnRenamed("doc_id", "_id")
-    kept = docs.select(*(c for c in docs.columns if c not in ("size", "source_size", "target", "taken")))
-    return kept.join(numbers, kept[id_col].eqNullSafe(numbers["_id"])).drop("_id")
+    rows = stored(docs.withColumn("_mix_rid", F.monotonically_increasing_id()), "mix-rows")
+    numbers = _mixed(sized(rows, id_col, text_col, source_col, F.col("_mix_rid")), BLOCK_WORDS).where("taken > 0").drop("doc_id").withColumnRenamed("rid", "_mix_rid")
+    kept = rows.select(*(c for c in rows.columns if c not in ("size", "source_size", "target", "taken")))
+    return kept.join(numbers, "_mix_rid").drop("_mix_rid")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -116,7 +118,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0 and take 0; rows of a null source form a source of their own, last in order.
     Ties in the shuffled order fall only between equal rows. Repeated rows count each by itself, and reruns agree.
     """
-    rows = sized(docs, id_col, text_col, source_col)
+    return _mixed(sized(docs, id_col, text_col, source_col), block_words).drop("rid")
+
+
+def _mixed(rows: DataFrame, block_words: int) -> DataFrame:
+    """The rows of `mix` with their rid, from those of `sized`."""
     sums = checkpoint(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     targets = checkpoint(source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size"))))
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "before")
@@ -132,4 +138,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     took = pieces.alias("p").join(times.alias("t"), _same_source("p", "t") & (F.col("p.block") == F.col("t.block")))
     took = took.groupBy("p.rid").agg(F.sum(F.col("p.overlap") * F.col("t.times")).alias("taken"))
     out = rows.join(took, "rid", "left").alias("r").join(targets.alias("s"), _same_source("r", "s"))
-    return out.select("r.doc_id", "r.size", "s.source_size", F.round("s.target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("r.rid", "r.doc_id", "r.size", "s.source_size", F.round("s.target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

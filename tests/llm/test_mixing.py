@@ -58,3 +58,14 @@ def test_schedule_stays_near_the_weights(spark):
     share = {r.source: r.hi - r.lo for r in t.collect()}
     first = mixing.schedule(t).where("slot < 2000").groupBy("source").count().collect()
     assert all(abs(r["count"] - 2000 * share[r.source]) < 20 for r in first)
+
+
+def test_repeated_rows_and_null_ids_are_mixed_each_by_itself(spark):
+    rows = [(i % 50, "w " * (i % 5 * 30 + 1), f"s{i % 2}", i) for i in range(100)] + [(7, "same words here", "s0", 0)] * 3
+    rows += [(None, "a b c d", "s1", 1), (None, "a b c d", "s1", 2), (None, "e f", None, 3), (None, None, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    want = [(r.doc_id, r.size, r.taken) for r in mixing.mix(df).collect() if r.taken]
+    kept = mixing.mixed_documents(df).collect()
+    assert sorted(((r.doc_id, r.size, r.taken) for r in kept), key=str) == sorted(want, key=str)
+    assert all(r.size == len((r.text or "").split()) for r in kept) and sum(r.doc_id is None for r in kept) > 1
+    assert kept[0].__fields__ == [*df.columns, "size", "source_size", "target", "taken"]
