@@ -171,7 +171,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with each span of its text replaced by its kind in brackets, such as [EMAIL]; the columns stay as they are.
 
-    Of overlapping spans the one that starts first goes through, of those the longest, then the first kind listed.
+    Of overlapping spans the one that starts first gives the label, of those the longest, then the first kind listed; what
+    the others have beyond its end is removed too.
     Null texts stay null; texts without spans stay as they are.
     """
     first = "struct<byte_start:int,length:int,kind_no:int,kind:string,byte_end:int>"
@@ -185,7 +186,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             s["byte_end"].alias("at"),
             F.concat(acc["out"], F.array(cut(acc["at"], s["byte_start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
         )
-        return F.when(s["byte_start"] >= acc["at"], more.cast(piece)).otherwise(acc)
+        longer = F.struct(F.greatest(acc["at"], s["byte_end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["byte_start"] >= acc["at"], more.cast(piece)).otherwise(longer.cast(piece))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(piece)
     folded = F.aggregate(F.array_sort(F.transform("pii_spans", order)), zero, add)

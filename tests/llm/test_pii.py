@@ -58,6 +58,12 @@ def test_redaction_replaces_spans_only(spark):
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "é [EMAIL] [PHONE]", 3), (2, None, 4), (3, "clean", 5)]
 
 
+def test_redaction_takes_what_sticks_out_of_an_overlap(spark):
+    texts = ["é 1.2.3.4 111111111111111 é", "4111 1111 1111 1111@b.co x", "1.2.3.4 a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["é [IP] é", "[CARD] x", "[IP] [EMAIL]"]
+
+
 def test_empty_table_and_plan_without_python(spark):
     docs = table(spark, "documents").where(F.lit(False))
     assert pii.find(docs).count() == 0
