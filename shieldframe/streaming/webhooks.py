@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from shieldframe.functions.actions import hmac_sha256
 
@@ -23,13 +25,25 @@ def on_time(ts: Column, now: Column, tolerance: int = TOLERANCE_SECONDS) -> Colu
 
 
 def first_deliveries(df: DataFrame, delivery: str, ts: str, ttl: int = TOLERANCE_SECONDS) -> DataFrame:
-    """Rows at rest that aren't replays: an id counts again only once `ttl` seconds have passed since it was last accepted."""
-    w = W.partitionBy(delivery).orderBy(ts)
-    gap = F.col(ts) - F.lag(ts).over(w)
-    chained = df.withColumn("_new", (gap.isNull() | (gap > ttl)).cast("int")).withColumn("_chain", F.sum("_new").over(w))
-    first = F.min(ts).over(W.partitionBy(delivery, "_chain"))
-    window = F.floor((F.col(ts) - first) / (ttl + 1))
-    return chained.withColumn("_w", window).withColumn("_r", F.row_number().over(W.partitionBy(delivery, "_chain", "_w").orderBy(ts))).where("_r = 1").drop("_new", "_chain", "_w", "_r")
+    """Rows at rest that aren't replays: an id counts again only once `ttl` seconds have passed since it was last accepted.
+
+    Rows go through in order of id and time, and a task holds nothing but the time at which the id at hand was last
+    accepted. Rows without a time can't be judged and go through; rows without an id count as one id's.
+    """
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = last = None
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch.column(delivery).to_pylist(), batch.column(ts).to_pylist()):
+                if key != current:
+                    current, last = key, None
+                keep.append(at is None or last is None or at - last > ttl)
+                if keep[-1] and at is not None:
+                    last = at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(delivery).sortWithinPartitions(delivery, ts).mapInArrow(accepted, df.schema)
 
 
 def without_replays(stream: DataFrame, delivery: str, ts: str, ttl: int = TOLERANCE_SECONDS) -> DataFrame:

@@ -169,3 +169,19 @@ def test_sources(spark, tmp_path):
 def test_plan_prunes_columns(spark):
     plan = catalog.k_anonymity(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan and table(spark, "customer").count() > 0
+
+
+def test_replays_are_judged_by_the_last_accepted_delivery(spark):
+    times = [("d", t) for t in (0, 10, 15, 22, 33, 33, 34)] + [("e", 5), ("e", 16)] + [(None, 1), (None, 2), ("f", None), ("f", 3), ("f", 4)]
+    got = [tuple(r) for r in webhooks.first_deliveries(spark.createDataFrame(times, "id string, t long"), "id", "t", ttl=10).collect()]
+    assert sorted(got, key=str) == sorted([("d", 0), ("d", 15), ("d", 33), ("e", 5), ("e", 16), (None, 1), ("f", None), ("f", 3)], key=str)
+
+
+def test_replays_of_events_at_the_real_ttl(spark):
+    rows = table(spark, "events").select(F.col("event_type").alias("id"), F.unix_timestamp("ts").alias("t"))
+    last, want = {}, []
+    for r in sorted(rows.collect()):
+        if r.id not in last or r.t - last[r.id] > 300:
+            last[r.id] = r.t
+            want.append(tuple(r))
+    assert sorted(map(tuple, webhooks.first_deliveries(rows, "id", "t").collect())) == want
