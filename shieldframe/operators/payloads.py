@@ -43,18 +43,22 @@ def escape_pointer(key: Column) -> Column:
 
 
 def leaves(df: DataFrame, keys: list[str], json: str, depth: int = 8) -> DataFrame:
-    """A row per string leaf of the JSON text column: the keys, pointer and value. Levels are walked by exploding variants;
-    deeper trees than `depth` raise, so that nothing is left out silently."""
+    """A row per string leaf of the JSON text column: the keys, pointer and value. Levels are walked by exploding variants,
+    however many there are: what is left nested after each `depth` levels is checkpointed and walked on. Texts that
+    `try_parse_json` doesn't take (such as over 1000 levels) have no leaves."""
     level = df.select(*keys, F.lit("").alias("pointer"), F.try_parse_json(json).alias("v"))
     out = None
-    for _ in range(depth):
-        typed = level.withColumn("t", F.schema_of_variant("v"))
-        strings = typed.where("t = 'STRING'").select(*keys, F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("pointer"), F.expr("variant_get(v, '$', 'string')").alias("value"))
-        out = strings if out is None else out.unionByName(strings)
-        nested = typed.where("t like 'OBJECT<%' or t like 'ARRAY<%'")
-        exploded = nested.select(*keys, "pointer", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        level = exploded.select(*keys, F.concat("pointer", F.lit("/"), F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("pointer"), F.col("value").alias("v"))
-    return out
+    while True:
+        for _ in range(depth):
+            typed = level.withColumn("t", F.schema_of_variant("v"))
+            strings = typed.where("t = 'STRING'").select(*keys, F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("pointer"), F.expr("variant_get(v, '$', 'string')").alias("value"))
+            out = strings if out is None else out.unionByName(strings)
+            nested = typed.where("t like 'OBJECT<%' or t like 'ARRAY<%'")
+            exploded = nested.select(*keys, "pointer", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+            level = exploded.select(*keys, F.concat("pointer", F.lit("/"), F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("pointer"), F.col("value").alias("v"))
+        level = level.where("v is not null").checkpoint()
+        if level.isEmpty():
+            return out
 
 
 def content_ok(content: Column) -> Column:

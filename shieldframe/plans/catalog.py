@@ -459,6 +459,7 @@ def chat_requests(spark, sf_dir):
     union all select '/content/0/text', text from conversations union all select '/content/1', left(text, 5) from conversations) group by 1"""
 )
 def json_leaves(spark, sf_dir):
+    _checkpoints(spark)
     block = F.to_json(F.struct(F.col("text").alias("text"), F.lit(3).alias("size")))
     tree = F.concat(F.lit('{"role":'), F.to_json(F.array("role")), F.lit(',"content":['), block, F.lit(","), F.to_json(F.array(F.left("text", F.lit(5)))), F.lit("]}"))
     flat = F.regexp_replace(F.regexp_replace(tree, r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=,\"content\")", "$1"), r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=\]\})", "$1")

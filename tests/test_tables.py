@@ -185,3 +185,10 @@ def test_replays_of_events_at_the_real_ttl(spark):
             last[r.id] = r.t
             want.append(tuple(r))
     assert sorted(map(tuple, webhooks.first_deliveries(rows, "id", "t").collect())) == want
+
+
+def test_leaves_of_deep_trees(spark):
+    deep = lambda n: '{"a":[' * n + '"x"' + "]}" * n
+    df = spark.createDataFrame([(n, deep(n)) for n in (0, 1, 4, 5, 9)] + [(-1, None), (-2, "{}"), (-3, "[null, 1]"), (-4, "no")], "id int, j string")
+    got = {r.id: (r.pointer, r.value) for r in payloads.leaves(df, ["id"], "j").collect()}
+    assert got == {n: ("/a/0" * n or "/", "x") for n in (0, 1, 4, 5, 9)}
