@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST_CATEGORIES = 50
@@ -175,6 +177,26 @@ def span_scores(expected: DataFrame, found: DataFrame, by: Sequence[str] = ("ent
 
 
 def timing(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Per group: samples, median, nearest-rank 95th percentile and minimum."""
-    rank = F.greatest(F.lit(1), F.ceil(F.count(value) * 0.95)).cast("int")
-    return samples.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.median(value), 6).alias("median"), F.round(F.element_at(F.array_sort(F.collect_list(value)), rank), 6).alias("p95"), F.round(F.min(value), 6).alias("least"))
+    """Per group: samples, median, nearest-rank 95th percentile and minimum; null without samples.
+
+    Equal values of a group are counted first, then dealt to ranges of group and value. Ranks are prefix sums over the
+    ranges' totals and windows within a range, so a large group is spread over many tasks.
+    """
+    groups = [f"_g{i}" for i in range(len(by))]
+    named = samples.select(*(F.col(c).alias(g) for c, g in zip(by, groups)), F.col(value).alias("_v"))
+    counts = named.where("_v is not null").groupBy(*groups, "_v").agg(F.count("*").alias("_times"))
+    counts = counts.repartitionByRange(*groups, "_v").withColumn("_range", F.spark_partition_id()).checkpoint()  # the ranges are drawn once
+    sums = counts.groupBy(*groups, "_range").agg(F.sum("_times").alias("_times"))
+    before = F.sum("_times").over(W.partitionBy(*groups).orderBy("_range")) - F.col("_times")
+    sums = sums.select(*groups, "_range", before.alias("_before"), F.sum("_times").over(W.partitionBy(*groups)).alias("_n"))
+    within = counts.withColumn("_upto", F.sum("_times").over(W.partitionBy(*groups, "_range").orderBy("_v")))
+    same = lambda a, b, names: reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), names, F.lit(True))
+    placed = within.alias("a").join(sums.alias("b"), same("a", "b", [*groups, "_range"]))
+    placed = placed.select(*(F.col(f"a.{g}").alias(g) for g in groups), "_v", "_times", "_n", (F.col("_before") + F.col("_upto")).alias("_upto"))
+    ranks = {"_low": F.expr("(_n + 1) div 2"), "_high": F.expr("_n div 2 + 1"), "_p95": F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.95))}
+    held = {k: (F.col("_upto") - F.col("_times") < r) & (r <= F.col("_upto")) for k, r in ranks.items()}
+    chosen = placed.where(reduce(lambda x, y: x | y, held.values()))
+    chosen = chosen.groupBy(*groups).agg(*(F.max(F.when(h, F.col("_v"))).alias(k) for k, h in held.items()))
+    whole = named.groupBy(*groups).agg(F.count("_v").alias("n"), F.round(F.min("_v"), 6).alias("least"))
+    out = whole.alias("a").join(chosen.alias("b"), same("a", "b", groups), "left")
+    return out.select(*(F.col(f"a.{g}").alias(c) for c, g in zip(by, groups)), "n", F.round(F.col("_low") * 0.5 + F.col("_high") * 0.5, 6).alias("median"), F.round("_p95", 6).alias("p95"), "least")

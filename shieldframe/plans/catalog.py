@@ -414,6 +414,7 @@ def label_scores(spark, sf_dir):
     """select event_type, count(value) n, round(median(value), 6) median, round(list_sort(list(value))[greatest(1, ceil(count(value) * 0.95))::int], 6) p95, round(min(value), 6) least from events where value is not null group by 1"""
 )
 def timing_stats(spark, sf_dir):
+    _checkpoints(spark)
     return reports.timing(_table(spark, sf_dir, "events").where("value is not null"), ["event_type"], "value")
 
 

@@ -192,3 +192,16 @@ def test_leaves_of_deep_trees(spark):
     df = spark.createDataFrame([(n, deep(n)) for n in (0, 1, 4, 5, 9)] + [(-1, None), (-2, "{}"), (-3, "[null, 1]"), (-4, "no")], "id int, j string")
     got = {r.id: (r.pointer, r.value) for r in payloads.leaves(df, ["id"], "j").collect()}
     assert got == {n: ("/a/0" * n or "/", "x") for n in (0, 1, 4, 5, 9)}
+
+
+def test_timing_by_ranks(spark):
+    rows = [("a", float(i * 37 % 1000)) for i in range(2000)] + [("b", 1.0), ("b", 4.0), ("b", None), (None, 2.0), (None, 7.5), (None, 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    want = {}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        n = len(v)
+        want[g] = (n, (v[(n - 1) // 2] + v[n // 2]) / 2, v[max(1, math.ceil(n * 0.95)) - 1], v[0]) if v else (0, None, None, None)
+    made = reports.timing(df, ["g"], "v")
+    assert {r.g: (r.n, r["median"], r.p95, r.least) for r in made.collect()} == want
+    assert not any(f in made._jdf.queryExecution().toString() for f in ("collect_list(", "percentile(", "median("))
