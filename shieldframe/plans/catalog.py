@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shieldframe.functions import actions, checks
-from shieldframe.operators import payloads, protect, reports, restore, synthesis, vault
+from shieldframe.functions.recognizers import SPANS
+from shieldframe.operators import payloads, protect, reports, resolve, restore, synthesis, vault
 from shieldframe.policy import Policy, Rule, preset, uniform
 from shieldframe.streaming import restore as streams
 from shieldframe.streaming import webhooks
@@ -99,8 +100,9 @@ def decision_outcomes(spark, sf_dir):
 def precedence_first(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")
     rows = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 50).cast("int").alias("s"), ((F.col("l_partkey") % 50) + 5 + F.col("l_quantity") % 7).cast("int").alias("e"), (F.col("l_suppkey") % 3).cast("int").alias("p"))
-    best = F.min(F.struct((-F.col("p")).alias("mp"), (F.col("s") - F.col("e")).alias("mb"), "s", "i", "e", "p"))
-    return rows.groupBy("k").agg(best.alias("b")).select("k", "b.s", "b.e", "b.p")
+    one = F.struct("s", "e", F.lit("PERSON").alias("entity"), (F.col("p") + 500_000).alias("confidence_ppm"), F.lit("l").alias("detector"), F.lit("").alias("value"))
+    decided = rows.groupBy("k").agg(F.collect_list(one).cast(SPANS).alias("spans")).select("k", resolve.decisions(F.col("spans"), uniform("redact", ("PERSON",)))[0].alias("b"))
+    return decided.select("k", F.col("b.start").alias("s"), F.col("b.end").alias("e"), (F.col("b.confidence_ppm") - 500_000).alias("p"))
 
 
 # checks

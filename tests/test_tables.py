@@ -205,3 +205,7 @@ def test_timing_by_ranks(spark):
     made = reports.timing(df, ["g"], "v")
     assert {r.g: (r.n, r["median"], r.p95, r.least) for r in made.collect()} == want
     assert not any(f in made._jdf.queryExecution().toString() for f in ("collect_list(", "percentile(", "median("))
+
+
+def test_precedence_first_goes_through_resolution(spark):
+    assert "overlap_suppressed" in catalog.queries()["precedence_first"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
