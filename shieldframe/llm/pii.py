@@ -2,9 +2,10 @@
 
 Each kind's pattern runs over the whole text, leftmost and without overlaps; matches that fail their check are dropped
 and not retried. Email, IP address, card and phone number are the base kinds, of which every confirmed match is kept.
-IBANs (mod-97) and US social security numbers (allocation rules) are added where their score reaches `THRESHOLD`; a
-social security number needs a context word for that. Patterns use possessive quantifiers and look behind for the
-start of a run, so that they take time in proportion to the text.
+IBANs (mod-97), US social security numbers (allocation rules), access keys of known form and other secrets (long runs
+of letters and digits) are added where their score reaches `THRESHOLD`; social security numbers and secrets need a
+context word within `CONTEXT_CHARS` before or after them for that. Patterns use possessive quantifiers and look behind
+for the start of a run, so that they take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -16,12 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.functions.nested import let, running
+from shieldframe.llm.scratch import unused
 
 CONTEXT_CHARS = 40
 THRESHOLD = 500
 CONTEXT_POINTS = 150
 #: Lengths of IBANs by country, from the public registry (fixed values).
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PT": 25}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _SPAN = "struct<kind_no:int,kind:string,start:int,end:int,byte_start:int,byte_end:int,score:int>"
 
 
@@ -35,14 +45,24 @@ class Kind:
     hint: str | None = None  # a character that every match holds
 
 
-_IBAN = "(?:" + "|".join(f"{c}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + ")"
+def _iban() -> str:
+    """Countries by length, so that a place in the text is tried once a length."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    return "(?:" + "|".join(f"(?:{'|'.join(cs)})[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}" for n, cs in sorted(by_length.items())) + ")"
+
+
+IBAN = _iban()
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 900, "mail|contact|correo|courriel", True, "@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 600, "ip|host|server|address|adresse", True, "."),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", 800, "card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 700, "phone|tel|call|mobile|fax|mobil|handy", True, "+"),
-    Kind("iban", _IBAN, 850, "iban|account|bank|konto|cuenta|compte", False),
+    Kind("iban", "(?=[A-Z]{2}[0-9]{2})" + IBAN, 850, "iban|account|bank|konto|cuenta|compte", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 400, "ssn|social|security", False, "-"),
+    Kind("key", r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,200})", 850, "key|token|secret", False),
+    Kind("secret", r"[A-Za-z0-9_+/-]{20,}+", 400, "token|secret|passw|api[ _-]?key|access[ _-]?key|auth|bearer|credential", False),
 )
 
 
@@ -80,6 +100,10 @@ def _confirmed(kind: Kind) -> Callable[[Column], Column]:
         if kind.name == "ssn":
             free = ~(m["before"].rlike("[0-9-]$") | m["after"].rlike("^[0-9-]")) & ~m["touching"]
             return free & ~v.rlike("^(?:000|666|9)") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000")
+        if kind.name == "key":
+            return ~(m["before"].rlike("[A-Za-z0-9]$") | m["after"].rlike("^[A-Za-z0-9]"))
+        if kind.name == "secret":
+            return v.rlike("[0-9]") & v.rlike("[A-Za-z]")
         return F.lit(True)
 
     return check
@@ -103,7 +127,7 @@ def _spans(text: Column, number: int, kind: Kind) -> Column:
                     F.octet_length(gaps[i]).alias("gap_bytes"),
                     F.octet_length(v).alias("bytes"),
                     F.right(gaps[i], F.lit(CONTEXT_CHARS)).alias("before"),
-                    F.left(gaps[i + 1], F.lit(1)).alias("after"),
+                    F.left(gaps[i + 1], F.lit(CONTEXT_CHARS)).alias("after"),
                     ((i > 0) & (gaps[i] == "")).alias("touching"),
                 ),
             )
@@ -128,7 +152,7 @@ def _spans(text: Column, number: int, kind: Kind) -> Column:
                     (low(x) + x["m"]["chars"]).alias("end"),
                     high(x).alias("byte_start"),
                     (high(x) + x["m"]["bytes"]).alias("byte_end"),
-                    (F.lit(kind.points) + F.when(F.lower(x["m"]["before"]).rlike(near), CONTEXT_POINTS).otherwise(0)).alias("score"),
+                    (F.lit(kind.points) + F.when(F.lower(x["m"]["before"]).rlike(near) | F.lower(x["m"]["after"]).rlike(near), CONTEXT_POINTS).otherwise(0)).alias("score"),
                 ).cast(_SPAN),
             )
             return scored if kind.base else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
@@ -175,6 +199,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the others have beyond its end is removed too.
     Null texts stay null; texts without spans stay as they are.
     """
+    spans = unused("pii_spans", docs.columns)
     first = "struct<byte_start:int,length:int,kind_no:int,kind:string,byte_end:int>"
     piece = "struct<at:int,out:array<string>>"
     order = lambda s: F.struct(s["byte_start"], (s["byte_start"] - s["byte_end"]).alias("length"), s["kind_no"], s["kind"], s["byte_end"]).cast(first)
@@ -190,7 +215,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["byte_start"] >= acc["at"], more.cast(piece)).otherwise(longer.cast(piece))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(piece)
-    folded = F.aggregate(F.array_sort(F.transform("pii_spans", order)), zero, add)
+    folded = F.aggregate(F.array_sort(F.transform(spans, order)), zero, add)
     new = let(folded, lambda a: F.concat(F.array_join(a["out"], ""), cut(a["at"], F.octet_length(raw))))
-    columns = docs.columns
-    return with_spans(docs, text_col).withColumn(text_col, F.when(F.size("pii_spans") > 0, new).otherwise(F.col(text_col))).select(*columns)
+    return with_spans(docs, text_col, spans).withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(F.col(text_col))).select(*docs.columns)

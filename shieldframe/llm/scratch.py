@@ -4,22 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of our own."""
+    """The folder in ``spark.checkpoint.dir``, or the one set on the context. Where neither is set, a local master (tests on
+    one machine) gets one of our own; a cluster, whose executors wouldn't see it, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             own = "file://" + tempfile.mkdtemp(prefix="shieldframe-")
             spark.sparkContext.setCheckpointDir(own)
         found = own
     return found.rstrip("/")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """`name`, with as many underscores in front as make it differ from all of `columns` (Spark ignores their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column, parts: int = 64) -> DataFrame:
+    """`rows` inner-joined with `found` (one row per key) on `key`, with the rows of one key dealt to `parts` tasks.
+
+    Rows get a part by the hash of `spread`; the distinct (key, part) pairs, of which a key has at most `parts`, are
+    joined with `found` first, and the rows then with those. So no task gets more than a part of a hot key's rows,
+    whichever keys are hot. Null keys match nothing.
+    """
+    part = unused("key_part", [*rows.columns, *found.columns])
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    return dealt.join(dealt.select(key, part).distinct().join(found, key), [key, part]).drop(part)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "iban": pii.IBAN,
+    "secret": r"[A-Za-z0-9_+/-]{20,}",
 }
 
 
@@ -24,13 +26,15 @@ def _pii() -> str:
         "phone": f"length({digits}) between 9 and 15",
         "iban": f"list_reduce({codes}, lambda a, x: case when x > 9 then (a * 100 + x) % 97 else (a * 10 + x) % 97 end) = 1",
         "ssn": "not regexp_matches(before, '[0-9-]$') and not regexp_matches(after, '^[0-9-]') and not (i > 1 and gap = '') and not regexp_matches(v, '^(?:000|666|9)') and substr(v, 5, 2) != '00' and substr(v, 8, 4) != '0000'",
+        "key": "not regexp_matches(before, '[A-Za-z0-9]$') and not regexp_matches(after, '^[A-Za-z0-9]')",
+        "secret": "regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')",
     }
     found, base = [], ", ".join(f"'{k.name}'" for k in pii.KINDS if k.base)
     for n, k in enumerate(pii.KINDS):
         p = _PLAIN.get(k.name, k.pattern).replace("'", "''")
         found.append(
-            f"""select doc_id, {n} kind_no, '{k.name}' kind, i, h[i] v, g[i] gap, right(g[i], {pii.CONTEXT_CHARS}) before, left(g[i + 1], 1) after,
-  {k.points} + case when regexp_matches(lower(right(g[i], {pii.CONTEXT_CHARS})), '(?:^|[^a-z])(?:{k.context})') then {pii.CONTEXT_POINTS} else 0 end score,
+            f"""select doc_id, {n} kind_no, '{k.name}' kind, i, h[i] v, g[i] gap, right(g[i], {pii.CONTEXT_CHARS}) before, left(g[i + 1], {pii.CONTEXT_CHARS}) after,
+  {k.points} + case when regexp_matches(lower(right(g[i], {pii.CONTEXT_CHARS})), '(?:^|[^a-z])(?:{k.context})') or regexp_matches(lower(left(g[i + 1], {pii.CONTEXT_CHARS})), '(?:^|[^a-z])(?:{k.context})') then {pii.CONTEXT_POINTS} else 0 end score,
   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) s
  from (select doc_id, h, g, unnest(range(1, len(h) + 1)) i from (select doc_id, regexp_extract_all(t, '{p}') h, string_split_regex(t, '{p}') g from d))"""
         )
