@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shieldframe.llm.scratch import checkpoint
+from shieldframe.llm.scratch import attach, checkpoint
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """edges (u, v): joins each u's least neighbour (or itself) to each of its rows as m."""
+    """edges (u, v): joins each u's least neighbour (or itself) to each of its rows as m; a hub's rows are dealt to many tasks."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    return attach(edges, least, "u", F.col("v"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Rows (node, label) for every node of the undirected `edges` (u, v), label the least node of its component.
+    """Rows (node, label) for every node of the undirected `edges` (u, v), label the least node of its component. Nodes are of
+    any one type that has an order.
 
     Each round links every node's larger neighbours to its least one (large star), then its smaller ones
     (small star), so chains shorten by a factor each round and nothing is gathered per node; group minima are
-    combined before the shuffle and hot nodes are left to the skew join. Self-loops and repeated edges are
+    combined before the shuffle and the rows of a hub are split (see `attach`). Self-loops and repeated edges are
     allowed; null ends are dropped. Raises if it hasn't settled after `most_rounds`.
     """
     edges = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())

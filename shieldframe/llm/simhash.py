@@ -5,7 +5,9 @@ Candidates come from every choice of `KEPT` of `BLOCKS` bit blocks: two fingerpr
 BLOCKS - KEPT bits agree on at least one choice, so the search is exact for the radius. Within a bucket, bit planes
 are stored vertically (one 64-bit word holds one bit of 64 fingerprints), distances of 64 fingerprints at a time are
 counted with carry-save bitwise counters, and words of which all lanes exceed the radius are abandoned early. No pairs
-leave a bucket: only a star of links for each of its connected groups. A bucket of over `BUCKET_ROWS` fingerprints goes
+leave a bucket: only a star of links for each of its connected groups. Links are between nodes, one per fingerprint,
+made of the least id that has it; so the least node of a component is the answer, and no step gathers a component or
+the copies of a text under one key. A bucket of over `BUCKET_ROWS` fingerprints goes
 another exact way, by hashes of all fingerprints within half the radius (see `_halfway`).
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.components import connected_components
-from shieldframe.llm.scratch import checkpoint, small_batches
+from shieldframe.llm.scratch import attach, checkpoint, small_batches
 
 SEED = 42
 RADIUS = 4
@@ -167,15 +169,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: A fingerprint's node: the least id that has it; fingerprints that only null ids have come after all others, by themselves.
+NODE = "struct<none:boolean,id:long>"
+_LINK = "un boolean, u long, vn boolean, v long, fp long"
+
+
 def _bucketed(radius: int):
-    """Streams rows (t, key, fp) in order of (t, key): whole buckets at a time, gathered to batches of tens of thousands."""
+    """Streams rows (t, key, fp, none, id) in order of (t, key): whole buckets at a time, gathered to batches of tens of
+    thousands. Gives links between nodes; the rows of buckets that are too large come out with their fp instead."""
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
-        fps = part["fp"].to_numpy(np.int64)
+        fps, none, ids = (part[c].to_numpy() for c in ("fp", "none", "id"))
         group = np.cumsum(np.r_[0, (np.diff(part["key"].to_numpy()) != 0) | (np.diff(part["t"].to_numpy()) != 0)])
         label = bucket_links(fps.view(np.uint64), group, radius)
-        own = label != np.arange(len(fps))
-        return pd.DataFrame({"u": fps[own], "v": fps[label[own]], "full": np.zeros(int(own.sum()), dtype=bool)})
+        u = np.flatnonzero(label != np.arange(len(fps)))
+        v = label[u]
+        return pd.DataFrame({"un": none[u], "u": ids[u], "vn": none[v], "v": ids[v], "fp": pd.array([None] * len(u), dtype="Int64")})
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"un": part["none"], "u": part["id"], "vn": part["none"], "v": part["id"], "fp": part["fp"].astype("Int64")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -183,7 +195,7 @@ def _bucketed(radius: int):
         for pdf in batches:
             if full is not None:
                 same = ((pdf["t"] == full[0]) & (pdf["key"] == full[1])).to_numpy()
-                yield pd.DataFrame({"u": pdf["fp"][same], "v": pdf["fp"][same], "full": True})
+                yield whole(pdf[same])
                 pdf = pdf[~same]
                 if not len(pdf):
                     continue
@@ -200,7 +212,7 @@ def _bucketed(radius: int):
             part = part[open_]
             if len(part) > BUCKET_ROWS:
                 full = (t, key)
-                yield pd.DataFrame({"u": part["fp"], "v": part["fp"], "full": True})
+                yield whole(part)
                 part = part[:0]
             held, rows = [part], len(part)
         if rows:
@@ -210,30 +222,34 @@ def _bucketed(radius: int):
 
 
 def _halfway(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) of `fps` (fp) without buckets: each fingerprint goes out under every value within half the radius.
+    """Links (u, v) of the nodes of `fps` (fp, node) without buckets: each fingerprint goes out under every value within half
+    the radius.
 
     Two fingerprints share such a value exactly if they are within the radius (for even radii; odd ones are rounded up
     and checked). Every value links its fingerprints to the least one, by a minimum that combines before the shuffle.
     """
     half = (radius + 1) // 2
     flips = [0] + [_signed(sum(1 << b for b in c)) for k in range(1, half + 1) for c in combinations(range(64), k)]
-    near = fps.select("fp", F.explode(F.lit(flips)).alias("flip"))  # 2,081 values for radius 4
-    near = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    least = near.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v != w").select("key", "v")
-    found = near.join(least, "key").select(F.col("fp").alias("u"), "v").where("u != v")
-    return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
+    near = fps.select("fp", "node", F.explode(F.lit(flips)).alias("flip"))  # 2,081 values for radius 4
+    near = near.select("fp", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    first = F.min(F.struct("fp", "node"))
+    least = near.groupBy("key").agg(first.alias("first"), F.max("fp").alias("w")).where("first.fp != w").select("key", "first")
+    found = attach(near, least, "key", F.col("fp")).where("fp != first.fp")
+    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (fp) whose components are those of all pairs within the radius."""
+    """Links (u, v) between the nodes of distinct fingerprints (fp, node) whose components are those of all pairs within the
+    radius."""
     if not 0 <= radius <= BLOCKS - KEPT:
         raise ValueError(f"the radius can be 0 to {BLOCKS - KEPT}")
     tables = F.explode(F.array(*(F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(_masks()))))
-    keyed = fps.select("fp", tables.alias("k")).select("k.t", "k.key", "fp")
+    keyed = fps.select("fp", "node", tables.alias("k")).select("k.t", "k.key", "fp", "node.none", "node.id")
     dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
-    found = checkpoint(dealt.mapInPandas(_bucketed(radius), "u long, v long, full boolean"))
-    near = found.where("not full").select("u", "v")
-    full = found.where("full").select(F.col("u").alias("fp")).distinct()
+    found = checkpoint(dealt.mapInPandas(_bucketed(radius), _LINK))
+    node = lambda n, i: F.struct(F.col(n).alias("none"), F.col(i).alias("id")).cast(NODE)
+    near = found.where("fp is null").select(node("un", "u").alias("u"), node("vn", "v").alias("v"))
+    full = found.where("fp is not null").select("fp", node("un", "u").alias("node")).distinct()
     return near if full.isEmpty() else near.union(_halfway(full, radius))
 
 
@@ -244,13 +260,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other. component_id is the least id that links of at most `radius` differing bits reach, the row's own
     included (null ids are not counted; null where a group has no other). Repeated rows stay. Extra columns are ignored.
     """
-    fps = checkpoint(fingerprints(docs, id_col, text_col, words))
-    each = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    groups = connected_components(links(each.select("fp"), radius)).withColumnsRenamed({"node": "fp", "label": "root"})
-    rooted = each.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    fps = checkpoint(fingerprints(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
+    least = F.min("id")
+    node = F.struct(least.isNull().alias("none"), F.coalesce(least, F.col("fp")).alias("id")).cast(NODE)
+    each = fps.groupBy("fp").agg(node.alias("node"))
+    groups = connected_components(links(each, radius))
+    named = each.join(groups, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
+    named = named.select("fp", F.when(~F.col("label.none"), F.col("label.id")).alias("component_id"))
+    out = attach(fps, named, "fp", F.col("row"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -74,8 +74,8 @@ def test_buckets_and_the_other_exact_way(spark, monkeypatch):
     for i, r in enumerate(label.tolist()):
         first.setdefault(r, i)
     assert [first[r] for r in label.tolist()] == want
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps[:120]], "fp long")
-    got = {r.node: r.label for r in components.connected_components(simhash._halfway(df, 4)).collect()}
+    df = spark.createDataFrame([(simhash._signed(f), (False, simhash._signed(f))) for f in fps[:120]], f"fp long, node {simhash.NODE}")
+    got = {r.node.id: r.label.id for r in components.connected_components(simhash._halfway(df, 4)).collect()}
     part = groups(fps[:120], list(range(120)))
     same = {}
     for f, g in zip(fps[:120], part, strict=True):
@@ -87,3 +87,14 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (102, 102), (None, 5)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 102}
+
+
+def test_hubs_and_null_ids(spark, monkeypatch):
+    """A third of all rows in one group; groups that only null ids have; and the same with every bucket over the bound."""
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, base + f" end{i % 40}") for i in range(300)] + [(1000 + i, f"text {i} " * (i % 9 + 1)) for i in range(300)]
+    rows += [(None, base + " end3"), (None, "only null has this one text here"), (None, "only null has this one text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 0)
+    check(df.limit(400))
