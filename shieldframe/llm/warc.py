@@ -96,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name = f"archive-{task.partitionId():06d}.warc.gz"
+        # an attempt has files of its own: captures name the one whose rows count, whatever other attempts write later
+        name = f"archive-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out = None
         for batch in batches:
             rows = []
@@ -116,7 +117,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name = f"index-{task.partitionId():06d}"
+        name = f"index-{task.partitionId():06d}-{task.taskAttemptId()}"
         out, lines, directory = None, [], []
 
         def flush() -> None:
