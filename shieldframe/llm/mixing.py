@@ -6,7 +6,7 @@ sources near their weights. Slots are ranked per source; a source's documents, i
 words cut into blocks of `BLOCK_WORDS`, and the source's slot of rank r takes block r modulo the number of blocks.
 
 All ranks and offsets are prefix sums over (source, bucket) totals and windows within a bucket, so that a source with a
-third of all rows is spread over 256 buckets. Only tables with a row per source go through a single task.
+third of all rows is spread over `16 ** BUCKET_DIGITS` buckets. Only tables with a row per source go through a single task.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shieldframe.llm.scratch import checkpoint, stored
+from shieldframe.llm.scratch import checkpoint, stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 MOST_REPEATS = 3
 SLOT_CHUNK = 4096
 CELLS = 1024
+#: Hexadecimal digits of a document's place in the shuffled order that make its bucket.
+BUCKET_DIGITS = 3
 GOLDEN = 0.6180339887498949
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
@@ -97,7 +99,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     number = F.monotonically_increasing_id() if rid is None else rid
     rows = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"))
-    return checkpoint(rows.select("*", F.substring("key", 1, 2).alias("bucket")))
+    return checkpoint(rows.select("*", F.substring("key", 1, BUCKET_DIGITS).alias("bucket")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,10 +108,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids may be repeated or null: rows are numbered and written before they are mixed, so each has a taken of its own.
     Columns of `docs` with the added names are replaced.
     """
-    rows = stored(docs.withColumn("_mix_rid", F.monotonically_increasing_id()), "mix-rows")
-    numbers = _mixed(sized(rows, id_col, text_col, source_col, F.col("_mix_rid")), BLOCK_WORDS).where("taken > 0").drop("doc_id").withColumnRenamed("rid", "_mix_rid")
-    kept = rows.select(*(c for c in rows.columns if c not in ("size", "source_size", "target", "taken")))
-    return kept.join(numbers, "_mix_rid").drop("_mix_rid")
+    rid = unused("mix_rid", docs.columns)
+    rows = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-rows")
+    numbers = _mixed(sized(rows, id_col, text_col, source_col, F.col(rid)), BLOCK_WORDS).where("taken > 0").drop("doc_id").withColumnRenamed("rid", rid)
+    kept = rows.select(*(c for c in rows.columns if c.lower() not in ("size", "source_size", "target", "taken")))
+    return kept.join(numbers, rid).drop(rid)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
