@@ -33,18 +33,20 @@ _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _GAP = 32  # zeros before each clip: the hash's window never reaches the clip before
 
 
-def wav(payload: bytes) -> bytes:
-    """A mono WAV clip with one unsigned 8-bit sample per byte."""
+def wav(payload: bytes, length: int) -> bytes:
+    """A mono WAV clip with one unsigned 8-bit sample per byte, and the unpadded length in a chunk of its own at the end."""
     n = len(payload)
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, _RATE, _RATE, 1, 8, b"data", n) + payload
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 52 + n, b"WAVE", b"fmt ", 16, 1, 1, _RATE, _RATE, 1, 8, b"data", n)
+    return head + payload + struct.pack("<4sIQ", b"blen", 8, length)
 
 
-def samples(clip: bytes) -> bytes:
-    """The samples of such a clip; raises if it isn't one."""
+def samples(clip: bytes) -> tuple[bytes, int]:
+    """The samples of such a clip and their unpadded length; raises if it isn't one."""
     riff, size, wave, fmt, _, pcm, channels, _, _, align, bits, data, n = struct.unpack_from("<4sI4s4sIHHIIHH4sI", clip)
-    if (riff, wave, fmt, data) != (b"RIFF", b"WAVE", b"fmt ", b"data") or (pcm, channels, align, bits) != (1, 1, 1, 8) or n != len(clip) - 44 or size != n + 36:
+    mono = (riff, wave, fmt, data) == (b"RIFF", b"WAVE", b"fmt ", b"data") and (pcm, channels, align, bits) == (1, 1, 1, 8)
+    if not mono or n != len(clip) - 60 or size != n + 52 or clip[-16:-8] != struct.pack("<4sI", b"blen", 8):
         raise ValueError("no 8-bit mono WAV clip")
-    return clip[44:]
+    return clip[44:-16], struct.unpack("<Q", clip[-8:])[0]
 
 
 def padded(text: bytes) -> bytes:
@@ -89,7 +91,7 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def _clips(column: pa.Array) -> list[bytes]:
-    return [wav(padded(t or b"")) for t in column.to_pylist()]
+    return [wav(padded(t := text or b""), len(t)) for text in column.to_pylist()]
 
 
 def _pieces(clips: list[bytes]) -> Iterator[list[bytes]]:
@@ -98,8 +100,7 @@ def _pieces(clips: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def write_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores a clip per row. Returns the clip table (rid, id, n_bytes, chunks: digest and, unless it may be shared, data;
-    n_shared) and the chunk store (digest, data), both as stored."""
+    """Stores a clip per row. Returns the clip table (rid, id, chunks: digest and, unless it may be shared, data; n_shared) and the chunk store (digest, data), both as stored."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -125,8 +126,7 @@ def write_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            texts_ = batch.column(1).to_pylist()
-            for doc_id, text, pieces in zip(batch.column(0).to_pylist(), texts_, _pieces(_clips(batch.column(1))), strict=True):
+            for doc_id, pieces in zip(batch.column(0).to_pylist(), _pieces(_clips(batch.column(1))), strict=True):
                 chunks, n_shared = [], 0
                 for p in pieces:
                     d = _digest(p)
@@ -138,40 +138,40 @@ def write_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                             if len(sent) >= SENT_DIGESTS:
                                 sent.clear()
                             sent.add(d)
-                            rows.append((1, None, None, None, None, None, d, p))
+                            rows.append((1, None, None, None, None, d, p))
                     else:
                         chunks.append({"digest": d, "data": p})
-                rows.append((0, rid, doc_id, len(text or b""), chunks, n_shared, None, None))
+                rows.append((0, rid, doc_id, chunks, n_shared, None, None))
                 rid += 1
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), part, pa.int64(), pa.binary(), pa.binary())
-            names = ["kind", "rid", "id", "n_bytes", "chunks", "n_shared", "digest", "data"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), part, pa.int64(), pa.binary(), pa.binary())
+            names = ["kind", "rid", "id", "chunks", "n_shared", "digest", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
-    packed = stored(texts.mapInArrow(pack, "kind int, rid long, id long, n_bytes long, chunks array<struct<digest:binary,data:binary>>, n_shared long, digest binary, data binary"), "clips")
+    packed = stored(texts.mapInArrow(pack, "kind int, rid long, id long, chunks array<struct<digest:binary,data:binary>>, n_shared long, digest binary, data binary"), "clips")
     store = stored(packed.where("kind = 1").select("digest", "data").dropDuplicates(["digest"]), "chunks")
-    return packed.where("kind = 0").select("rid", "id", "n_bytes", "chunks", "n_shared"), store
+    return packed.where("kind = 0").select("rid", "id", "chunks", "n_shared"), store
 
 
 def read_clips(clips: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, n_bytes, clip): every clip, put together from its ordered chunk list. Raises where a chunk is missing or isn't
-    what its digest says."""
+    """(id, clip): every clip, put together from its ordered chunk list. Raises where a chunk is missing or isn't
+    what its digest says. A digest that very many clips share is left to Spark's skew join: both sides are sorted."""
     refs = clips.where("n_shared > 0").select("rid", F.posexplode("chunks").alias("pos", "c")).where("c.data is null").select("rid", "pos", F.col("c.digest").alias("digest"))
     got = refs.join(store, "digest").groupBy("rid").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
-    whole = clips.where("n_shared = 0").select("id", "n_bytes", "chunks", F.lit(None).cast("array<struct<pos:int,data:binary>>").alias("got"))
-    mended = clips.where("n_shared > 0").join(got, "rid", "left").select("id", "n_bytes", "chunks", "got")
+    whole = clips.where("n_shared = 0").select("id", "chunks", F.lit(None).cast("array<struct<pos:int,data:binary>>").alias("got"))
+    mended = clips.where("n_shared > 0").join(got, "rid", "left").select("id", "chunks", "got")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for chunks, got in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for chunks, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 fetched = {g["pos"]: g["data"] for g in got or ()}
                 pieces = [fetched[i] if c["data"] is None else c["data"] for i, c in enumerate(chunks)]
                 if any(_digest(p) != c["digest"] for p, c in zip(pieces, chunks, strict=True)):
                     raise OSError("a chunk doesn't have its digest")
                 out.append(b"".join(pieces))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "n_bytes", "clip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "clip"])
 
-    return whole.union(mended).mapInArrow(build, "id long, n_bytes long, clip binary")
+    return whole.union(mended).mapInArrow(build, "id long, clip binary")
 
 
 def feature(payload: bytes) -> str:
@@ -193,11 +193,11 @@ def store_and_describe(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for clip in batch.column(2).to_pylist():
-                p = samples(clip)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(clip), hashlib.sha256(clip).hexdigest(), feature(p)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            for clip in batch.column(1).to_pylist():
+                p, n = samples(clip)
+                rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(clip), hashlib.sha256(clip).hexdigest(), feature(p)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True))], names=names)
 
     return clips.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

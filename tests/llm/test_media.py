@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from shieldframe.llm import media
 
 
+def feature(p):
+    x = [b - 128 for b in p]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"mean={round(1000 * sum(x) / len(x))};rms={round(1000 * (sum(v * v for v in x) / len(x)) ** 0.5)};crossings={crossings};peak={max(map(abs, x))}"
+
+
 def check(df):
     got = media.store_and_describe(df).collect()
     src = df.select("doc_id", "text").collect()
@@ -16,8 +22,8 @@ def check(df):
     for r in src:
         b = (r.text or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        want.append((r.doc_id or -1, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 44, hashlib.sha256(media.wav(p)).hexdigest()))
-    assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in got) == sorted(want)
+        want.append((r.doc_id or -1, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 60, hashlib.sha256(media.wav(p, len(b))).hexdigest(), feature(p)))
+    assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == sorted(want)
 
 
 def test_documents_come_back(spark):
