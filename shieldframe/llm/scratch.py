@@ -33,8 +33,8 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
-def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column, parts: int = 64) -> DataFrame:
-    """`rows` inner-joined with `found` (one row per key) on `key`, with the rows of one key dealt to `parts` tasks.
+def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column, parts: int = 64, how: str = "inner") -> DataFrame:
+    """`rows` joined (`inner` or `left`) with `found` (one row per key) on `key`, the rows of one key dealt to `parts` tasks.
 
     Rows get a part by the hash of `spread`; the distinct (key, part) pairs, of which a key has at most `parts`, are
     joined with `found` first, and the rows then with those. So no task gets more than a part of a hot key's rows,
@@ -42,7 +42,7 @@ def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column, parts: i
     """
     part = unused("key_part", [*rows.columns, *found.columns])
     dealt = rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
-    return dealt.join(dealt.select(key, part).distinct().join(found, key), [key, part]).drop(part)
+    return dealt.join(dealt.select(key, part).distinct().join(found, key), [key, part], how).drop(part)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -86,21 +86,22 @@ from p left join m on d = payload_digest and payload_bytes >= {warc.REVISIT_BYTE
 
 def _license() -> str:
     x = license_scan
-    values = ", ".join(f"({t}, '{n}', '{w}', {k})" for t, n, w, k in x.template_words())
-    return f"""with t(template, license, word, times) as (values {values}),
+    values = ", ".join(f"({t}, '{n}', '{w}', {k}, {'true' if m else 'false'}, {c})" for t, n, w, k, m, c in x.template_words())
+    words = lambda c: f"list_filter(string_split_regex({c}, '{x.BETWEEN}'), lambda w: w != '')"
+    return f"""with t(template, license, word, times, must, n_must) as (values {values}),
 d as (select row_number() over () rid, doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id // 100) dir, lower(coalesce(text, '')) x from documents),
-df as (select word, count(distinct rid) having_ from (select rid, unnest(regexp_extract_all(x, '{x.TOKEN}')) word from d) where word in (select word from t) group by 1),
-n as (select count(*) n from d),
-k as (select t.*, ln((n.n + 1.0) / (coalesce(having_, 0) + 1)) + 1 idf from t left join df using (word), n),
-s as (select rid, len(regexp_extract_all(x, '{x.TOKEN}')) doc_words, seg[i] segment, i pos from (select rid, x, string_split_regex(x, '{x.CUT}') seg, unnest(range(1, len(string_split_regex(x, '{x.CUT}')) + 1)) i from d where regexp_matches(x, '{x.KEYWORDS}')) where regexp_matches(seg[i], '{x.KEYWORDS}')),
-c as (select rid, doc_words, pos, n_words, word, count(*) tf from (select rid, doc_words, pos, len(regexp_extract_all(segment, '{x.TOKEN}')) n_words, unnest(regexp_extract_all(segment, '{x.TOKEN}')) word from s) group by all),
-w as (select c.*, tf * coalesce(idf, (select ln(n + 1.0) + 1 from n)) x from c left join (select distinct word, idf from k) using (word)),
-l as (select rid, doc_words, pos, n_words, sqrt(sum(x * x)) length from w group by all),
-tl as (select template, sqrt(sum((times * idf) ** 2)) t_length from k group by 1),
-sc as (select w.rid, w.pos, template, license, round(sum(x * times * idf) / (any_value(length) * any_value(t_length)), 6) score, any_value(l.doc_words) doc_words, any_value(l.n_words) n_words
-  from w join k using (word) join l on l.rid = w.rid and l.pos = w.pos join tl using (template) group by 1, 2, 3, 4),
-ps as (select *, row_number() over (partition by rid, pos order by score desc, template) r from sc where score >= {x.LEAST_COSINE}),
-pd as (select rid, first(license order by score desc, pos, template) own_license, max(score) own_score, round(sum(n_words) / any_value(doc_words), 6) share, count(*) n_matches from ps where r = 1 group by 1),
+df as (select word, ln({1 + x.RARE} / (count(*) / (select count(*) from d) + {x.RARE})) idf from (select rid, unnest(list_distinct({words("x")})) word from d) group by 1),
+k as (select t.*, case when times > 0 then (1 + ln(times)) * coalesce(idf, ln({1 + x.RARE} / {x.RARE})) else 0.0 end y from t left join df using (word)),
+s as (select rid, doc_words, unnest(u) unit, unnest(range(1, len(u) + 1)) pos from (select rid, len({words("x")}) doc_words, list_concat(list_concat(string_split_regex(x, '{x.CUT}'), string_split_regex(x, '{x.PARAGRAPH}')), [x]) u from d)),
+u as (select rid, doc_words, pos, md5(unit) k, {words("unit")} ws from s),
+c as (select k, word, count(*) tf from (select k, unnest(ws) word from (select distinct k, ws from u)) group by 1, 2),
+w as (select k, word, tf, (1 + ln(tf)) * idf x from c join df using (word)),
+l as (select k, sqrt(sum(x * x)) length, sum(tf) n_words from w group by 1),
+tl as (select template, sqrt(sum(y * y)) t_length from k group by 1),
+sc as (select w.k, template, license, sum(x * y) dot, count(*) filter (must) have, any_value(n_must) n_must from w join k on k.word = w.word group by 1, 2, 3),
+ps as (select k, license, template, n_words, round(dot / (length * t_length), 6) score from sc join l using (k) join tl using (template) where have = n_must and length > 0 and t_length > 0),
+b as (select k, arg_max(license, (score, -template)) license, arg_max(template, (score, -template)) template, max(score) score, any_value(n_words) n_words from ps where score >= {x.LEAST_COSINE} group by 1),
+pd as (select rid, first(license order by score desc, pos, template) own_license, max(score) own_score, round(max(n_words) / any_value(doc_words), 6) share, count(distinct k) n_matches from u join b using (k) group by 1),
 f as (select d.rid, doc_id, dir, dir || '/' || doc_id || '.txt' path, own_license, coalesce(own_score, 0.0) own_score, coalesce(n_matches, 0)::bigint n_matches, coalesce(share >= {x.LEAST_SHARE}, false) speaks from d left join pd using (rid)),
 o as (select dir above, first(own_license order by own_score desc, own_license) dir_license from f where speaks group by 1),
 a as (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) depth from (select distinct dir from f)),
