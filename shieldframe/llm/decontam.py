@@ -8,7 +8,10 @@ document's in at least `MATCHES` places. The masks hit every such window, whiche
 is missed; items of fewer tokens count when whole with at most one substitution (from 8 tokens) or none (5 to 7), which
 the plain mask of four tokens always hits. Items of under 5 tokens are no evidence and never found.
 
-A bitmap of fixed size with the items' hashes goes to every task and lets only likely hits into the join.
+A bitmap of fixed size with the items' hashes goes to every task and lets only likely hits into the join. Documents then
+give, for each alignment, the hashes of the tokens that face the item, and these are compared with the item's. Tables
+are broadcast only where their bytes, summed up first, are at most `BROADCAST_BYTES`; beyond that they are shuffled, and
+the alignments of a frequent item or document are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.buffers import Powers, joined, mixed
-from shieldframe.llm.scratch import checkpoint, small_batches
+from shieldframe.llm.scratch import attach, checkpoint, small_batches
 
 WINDOW = 13
 MATCHES = 11
@@ -31,8 +34,8 @@ LEAST_TOKENS = 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3))
 SHORT = 2
 BITMAP_BITS = 26
-#: Tables of at most so many small rows (about 100 bytes) may be broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 100_000
+#: Tables of at most so many bytes may be broadcast; larger ones are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 _KEEP = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 _POWERS = Powers(0x9E3779B97F4A7C15)
@@ -117,7 +120,6 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     keys = checkpoint(tests.mapInArrow(_item_seeds, "h long, item_id long, place long").distinct())
     n_keys = keys.count()
-    items = tests.mapInArrow(_item_tokens, "item_id long, item array<long>")
     cell = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
     words = keys.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c % 64 as int)))").alias("b"))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
@@ -137,35 +139,53 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[hit])), pa.array(h[hit].view(np.int64)), pa.array(place[hit])], names=["doc_id", "h", "place"])
 
     likely = own.mapInArrow(candidates, "doc_id long, h long, place long")
-    if n_keys <= BROADCAST_ROWS:
+    if n_keys * 32 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
     hits = likely.alias("d").join(keys.alias("k"), "h").select("d.doc_id", "k.item_id", (F.col("d.place") - F.col("k.place")).alias("shift")).distinct()
-    hits = checkpoint(hits)
-    alignments = hits.alias("x").join(items.distinct().alias("i"), F.col("x.item_id").eqNullSafe(F.col("i.item_id"))).select("x.doc_id", F.struct("x.item_id", "x.shift", "i.item").alias("a"))
-    per_doc = alignments.groupBy("doc_id").agg(F.collect_list("a").alias("alignments"))
-    n_docs = hits.agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1)))).first()[0]
-    if n_docs <= BROADCAST_ROWS and hits.count() <= BROADCAST_ROWS:
+    lists = checkpoint(tests.mapInArrow(_item_tokens, "item_id long, item array<long>").distinct().withColumn("row", F.monotonically_increasing_id()))
+    rows = lists.select(F.col("item_id").alias("own"), "row", F.size("item").alias("n"))
+    n_lists, list_bytes = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("item") * 8 + 32), F.lit(0))).first()
+    if n_lists * 32 <= BROADCAST_BYTES:
+        rows = F.broadcast(rows)
+    # ids are replaced by the numbers of item texts: repeated ids, and the null one, are items of their own from here on
+    hits = checkpoint(hits.join(rows, F.col("item_id").eqNullSafe(F.col("own"))).select("doc_id", "row", "shift", "n"))
+    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "shift", "n")).alias("alignments"))  # 24 bytes each
+    n_hits, n_docs = hits.agg(F.count("*"), F.approx_count_distinct("doc_id")).first()
+    if n_hits * 24 + n_docs * 64 <= BROADCAST_BYTES:
         per_doc = F.broadcast(per_doc)
     texts = own.alias("o").join(per_doc.alias("p"), F.col("o.doc_id").eqNullSafe(F.col("p.doc_id"))).select("o.doc_id", "o.text", "p.alignments")
+
+    def facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each alignment: the document's tokens from where the item begins (or the document), to where it ends."""
+        for batch in batches:
+            hashes, offsets = tokens(batch.column(1))
+            hashes = hashes.view(np.int64)
+            for i, (doc_id, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                doc = hashes[offsets[i] : offsets[i + 1]]
+                row, shift, n = (found.values.field(k).to_numpy() for k in range(3))
+                for k in range(0, len(row), 1000):
+                    parts = [doc[max(0, s) : max(0, s + m)] for s, m in zip(shift[k : k + 1000].tolist(), n[k : k + 1000].tolist(), strict=True)]
+                    at = np.cumsum([0] + [len(p) for p in parts])
+                    part = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts)))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(parts), pa.int64()), pa.array(row[k : k + 1000]), pa.array(shift[k : k + 1000]), part], names=["doc_id", "row", "shift", "part"])
+
+    faced = texts.mapInArrow(facing, "doc_id long, row long, shift long, part array<long>")
+    both = faced.join(F.broadcast(lists), "row") if list_bytes <= BROADCAST_BYTES else attach(faced, lists, "row", F.struct("doc_id", "shift"))
+    texts = both.select("doc_id", "item_id", "shift", "part", "item")
     schema = "doc_id long, item_id long, item_words long, matched_words long, best_window long, first_word long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = tokens(batch.column(1))
             out = []
-            ids, lists = batch.column(0).to_pylist(), batch.column(2)
-            for i, doc_id in enumerate(ids):
-                doc = hashes[offsets[i] : offsets[i + 1]].view(np.int64)
-                for a in lists[i]:
-                    item = np.array(a["item"].values, dtype=np.int64)
-                    shift = a["shift"].as_py()
-                    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-                    same = np.zeros(len(item), dtype=np.int64)
-                    if lo < hi:
-                        same[lo:hi] = doc[lo + shift : hi + shift] == item[lo:hi]
-                    best, k = best_window(same, len(item))
-                    if best >= needed(len(item)):
-                        out.append((doc_id, a["item_id"].as_py(), len(item), int(same.sum()), best, shift + k))
+            doc_ids, item_ids, shifts = (batch.column(k).to_pylist() for k in range(3))
+            for doc_id, item_id, shift, part, item in zip(doc_ids, item_ids, shifts, batch.column(3), batch.column(4), strict=True):
+                doc, item = (np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in (part, item))
+                lo = max(0, -shift)
+                same = np.zeros(len(item), dtype=np.int64)
+                same[lo : lo + len(doc)] = doc == item[lo : lo + len(doc)]
+                best, k = best_window(same, len(item))
+                if best >= needed(len(item)):
+                    out.append((doc_id, item_id, len(item), int(same.sum()), best, shift + k))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "item_id", "item_words", "matched_words", "best_window", "first_word"]).astype({"item_words": "int64", "matched_words": "int64", "best_window": "int64", "first_word": "int64", "doc_id": "Int64", "item_id": "Int64"}), preserve_index=False)
 
     found = texts.mapInArrow(verify, schema)

@@ -73,3 +73,9 @@ def test_odd_rows(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert decontam.find(d.limit(0), b).count() == 0 and decontam.find(d, b.limit(0)).count() == 0
+
+
+def test_without_any_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    test_odd_rows(spark)
+    test_documents(spark)
