@@ -13,6 +13,8 @@ from shieldframe.functions.checks import digits_of, mod97
 from shieldframe.policy import ENTITIES
 
 KEY_BYTES = 32
+#: For `spark.sql.redaction.string.regex`: the hexadecimal and binary literals that keys become in plans.
+REDACT = r"(?i)(?:[0-9a-f]{128}|0x[0-9a-f]{64}|X'[0-9a-f]{64}')"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A reversible token, as written, and as found in text after small changes of case and blanks.
 TOKEN = r"\[\[PG1\|[A-Z_]+\|[A-Z2-7]{26}\|[A-Z2-7]{16}\]\]"
@@ -46,7 +48,11 @@ def _xored(key: bytes, pad: int) -> str:
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
-    """HMAC-SHA256 of a binary column, as lower-case hex. The key becomes a literal of the plan."""
+    """HMAC-SHA256 of a binary column, as lower-case hex.
+
+    The key becomes a literal of the plan, so it shows in explain output, the UI and event logs: keep those from whom the
+    key is kept from (`spark.redaction.string.regex` masks plans in both, see `REDACT`).
+    """
     inner = F.sha2(F.concat(F.unhex(F.lit(_xored(key, 0x36))), message), 256)
     return F.sha2(F.concat(F.unhex(F.lit(_xored(key, 0x5C))), F.unhex(inner)), 256)
 
@@ -60,9 +66,10 @@ def joined_with_nul(*parts: Column | str) -> Column:
 
 
 def keyed_digest(key: bytes | None, entity: Column | str, value: Column) -> Column:
-    """The hex digest that hashes and synthetic values start from; without a key a plain SHA-256."""
-    message = joined_with_nul(entity, value)
-    return hmac_sha256(key, message) if key else F.sha2(message, 256)
+    """The hex digest that hashes and synthetic values start from. It needs a key: a plain hash of a short value can be looked up."""
+    if not key:
+        raise ValueError("hashes and synthetic values need a key")
+    return hmac_sha256(key, joined_with_nul(entity, value))
 
 
 def base32(hexes: Column, n_bytes: int) -> Column:

@@ -6,6 +6,7 @@ a token for each once and checkpoints them; `render` then joins nothing but a do
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,7 +70,8 @@ def protect(df: DataFrame, text: str, policy: Policy, *, scope: str = "*", key:
     """`df` with a struct column: text, state and detections. For policies without reversible rules in the scope.
 
     Fails closed: a missing detector or key blocks the whole batch (text null, state blocked, reason), and a row whose
-    result would be null is blocked, never passed through. Null text stays null and protected.
+    result would be null is blocked, never passed through. Null text stays null and protected. Hashes and synthetic values
+    without a key come from a random one that is drawn for the call: they agree within it and can't be looked up.
     """
     found = detectors() if found is None else list(found)
     try:
@@ -82,6 +84,7 @@ def protect(df: DataFrame, text: str, policy: Policy, *, scope: str = "*", key:
         fields = [s[f].alias(f) for f in ("start", "end", "entity", "confidence_ppm", "detector", "value")]
         return F.struct(*fields, action_of(policy, s["entity"]).alias("action"), _choose(policy, s, key, lambda x: x["value"]).alias("replacement")).cast(APPLIED)
 
+    key = key or secrets.token_bytes(actions.KEY_BYTES)  # without a key, one for this call that nobody keeps
     spans = F.transform(detect(F.col(text), policy, scope, found), with_replacement)
     body = lambda all_: F.struct(all_.alias("detections"), rewrite(F.col(text), all_, lambda s: s["replacement"]).alias("text"))
     done = df.withColumn("_p", let(spans, body))
@@ -110,11 +113,26 @@ def allocate(spans: DataFrame, policy: Policy, key: bytes, known: DataFrame | No
     return (new if known is None else known.select(group, "entity", "value", "replacement").unionByName(new)).checkpoint()
 
 
-def render(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", scope: str = "*", into: str = "protected_text") -> DataFrame:
-    """`df` with its text protected under `policy`, reversible values by `mappings` (see `allocate`). `row` names a unique column."""
-    marked = df.withColumn("_spans", detect(F.col(text), policy, scope))
-    own = marked.select(row, group, F.explode("_spans").alias("s")).select(row, group, "s.entity", "s.value").distinct()
+def marked(df: DataFrame, text: str, policy: Policy, scope: str = "*", into: str = "spans", **options) -> DataFrame:
+    """`df` with a column of the accepted spans, checkpointed: what is allocated and rendered from it detects only once."""
+    return df.withColumn(into, detect(F.col(text), policy, scope, **options)).checkpoint()
+
+
+def spans_of(rows: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
+    """A span table (keys, entity, value, ...) of a table that `marked` made."""
+    return rows.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.entity", "s.start", "s.end", "s.confidence_ppm", "s.detector", "s.value")
+
+
+def render_marked(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", spans: str = "spans", into: str = "protected_text") -> DataFrame:
+    """`df` (see `marked`) with its text protected under `policy`, reversible values by `mappings` (see `allocate`). `row` names
+    a unique column. A row whose value has no mapping gets [BLOCKED] in its place."""
+    own = df.select(row, group, F.explode(spans).alias("s")).select(row, group, "s.entity", "s.value").distinct()
     pairs = own.join(mappings, [group, "entity", "value"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "entity", "value"), "replacement"))).alias("_map"))
-    joined = marked.join(pairs, row, "left")
+    joined = df.join(pairs, row, "left")
     mapped = lambda s: F.element_at(F.col("_map"), F.concat_ws("\x00", s["entity"], s["value"]))
-    return joined.withColumn(into, rewrite(F.col(text), F.col("_spans"), lambda s: _choose(policy, s, key, mapped))).drop("_spans", "_map")
+    return joined.withColumn(into, rewrite(F.col(text), F.col(spans), lambda s: _choose(policy, s, key, mapped))).drop(spans, "_map")
+
+
+def render(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", scope: str = "*", into: str = "protected_text") -> DataFrame:
+    """The same for a table whose spans aren't marked yet."""
+    return render_marked(marked(df, text, policy, scope, "_spans"), text, policy, mappings, key, row=row, group=group, spans="_spans", into=into)

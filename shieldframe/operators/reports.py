@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shieldframe.functions.recognizers import SPANS, Detector, detectors
+from shieldframe.operators import resolve
+from shieldframe.policy import Blocked, Policy
+
 MOST_CATEGORIES = 50
 
 
@@ -176,6 +180,28 @@ def span_scores(expected: DataFrame, found: DataFrame, by: Sequence[str] = ("ent
     return out.select(*by, "tp", "fp", "fn", F.round(F.try_divide(tp, tp + fp), 6).alias("precision"), F.round(F.try_divide(tp, tp + fn), 6).alias("recall"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
 
 
+def span_accuracy(cases: DataFrame, policy: Policy, found: Sequence[Detector] | None = None) -> DataFrame:
+    """cases (case_id, text, expected, allow_terms) to rows by entity, and one for ALL: true and false positives, false negatives,
+    precision, recall, F1 (null on empty denominators), and the blocked cases of the whole run.
+
+    A detector that the policy requires and that isn't there blocks every case: then nothing is found.
+    """
+    own = detectors() if found is None else list(found)
+    try:
+        policy.gate([d.name for d in own], has_key=True)
+        blocked = False
+    except Blocked:
+        blocked = True
+    spans = resolve.resolve(resolve.candidates(F.coalesce("text", F.lit("")), policy, own), policy, allow=F.col("allow_terms"))
+    rows = cases.select("case_id", "expected", F.when(F.lit(not blocked), spans).otherwise(F.array().cast(SPANS)).alias("s"))
+    keys = ["case_id", "entity", "start", "end"]
+    flat = lambda name: rows.select("case_id", F.explode(name).alias("x")).select("case_id", "x.entity", "x.start", "x.end")
+    expected, got = flat("expected"), flat("s")
+    every = span_scores(expected, got, keys=keys).unionByName(span_scores(expected, got, by=(), keys=keys).withColumn("entity", F.lit("ALL")))
+    n_blocked = cases.agg(F.count(F.when(F.lit(blocked), 1)).alias("blocked"))
+    return every.join(F.broadcast(n_blocked))
+
+
 def timing(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per group: samples, median, nearest-rank 95th percentile and minimum; null without samples.
 

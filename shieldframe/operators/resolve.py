@@ -32,8 +32,9 @@ def candidates(text: Column, policy: Policy, found: Sequence[Detector] | None =
     return F.concat(*every) if every else F.array().cast(SPANS)
 
 
-def decisions(spans: Column, policy: Policy, scope: Column | str = "*") -> Column:
-    """Every candidate with its outcome, in order of precedence among those eligible, the others first.
+def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: Column | None = None) -> Column:
+    """Every candidate with its outcome, in order of precedence among those eligible, the others first. `allow` is a column of
+    terms (array) that the row allows besides the policy's.
 
     Outcomes: inactive_rule, below_confidence, allowed_value, overlap_suppressed, scope_not_claimed, applied. Confidence
     is checked before the allow list. Precedence: claimed by the scope, deny list, priority, confidence, byte length,
@@ -41,7 +42,9 @@ def decisions(spans: Column, policy: Policy, scope: Column | str = "*") -> Colum
     """
     scope = F.lit(scope) if isinstance(scope, str) else scope
     rules = policy.active()
-    allow = F.array(*(fold_case(F.lit(t)) for t in policy.allow_terms)).cast("array<string>")
+    more, allow = allow, F.array(*(fold_case(F.lit(t)) for t in policy.allow_terms)).cast("array<string>")
+    if more is not None:
+        allow = F.concat(allow, F.transform(F.coalesce(more, F.array().cast("array<string>")), fold_case))
 
     def look(entity: Column, value) -> Column:
         return F.coalesce(*(F.when(entity == e, value(r)) for e, r in rules.items()), F.lit(None)) if rules else F.lit(None)
@@ -91,6 +94,6 @@ def applied(decided: Column) -> Column:
     return F.array_sort(order)
 
 
-def resolve(spans: Column, policy: Policy, scope: Column | str = "*") -> Column:
+def resolve(spans: Column, policy: Policy, scope: Column | str = "*", allow: Column | None = None) -> Column:
     """Accepted spans: disjoint, in order of start."""
-    return applied(decisions(spans, policy, scope))
+    return applied(decisions(spans, policy, scope, allow))

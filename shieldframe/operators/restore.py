@@ -63,6 +63,16 @@ def restore_by_join(df: DataFrame, text: str, mappings: DataFrame, *, group: str
     return df.join(reverse_maps(mappings, group), group, "left").withColumn(into, F.coalesce(restore(F.col(text), F.col("reverse")), F.col(text))).drop("reverse")
 
 
+def restore_found(df: DataFrame, text: str, mappings: DataFrame, *, row: str, group: str = "session_id", into: str = "restored") -> DataFrame:
+    """The same, with no more than a row's own mappings in its map: the tokens in its text are joined with the mappings. `row`
+    names a unique column."""
+    token = lambda c: F.regexp_extract_all(c, F.lit(LOOSE_TOKEN), F.lit(0))
+    own = df.select(row, group, F.explode(F.array_distinct(F.transform(token(F.col(text)), canonical))).alias("_t"))
+    known = mappings.select(group, "replacement", "value", F.explode(F.transform(token(F.col("replacement")), canonical)).alias("_t"))
+    pairs = own.join(known, [group, "_t"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("replacement", "value"))).alias("_reverse"))
+    return df.join(pairs, row, "left").withColumn(into, F.coalesce(restore(F.col(text), F.col("_reverse")), F.col(text))).drop("_reverse")
+
+
 def seal(reverse: Column, key: bytes, session: Column) -> Column:
     """A reverse map as a capsule: AES-256-GCM over its JSON, bound to the session, base64url without padding."""
     sealed = F.aes_encrypt(F.to_json(reverse).cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), F.concat(F.lit(CAPSULE_CONTEXT), session))
