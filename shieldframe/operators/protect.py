@@ -66,7 +66,7 @@ def action_of(policy: Policy, entity: Column) -> Column:
     return F.coalesce(*(F.when(entity == e, F.lit(r.action)) for e, r in policy.active().items()), F.lit("keep"))
 
 
-def protect(df: DataFrame, text: str, policy: Policy, *, scope: str = "*", key: bytes | None = None, found: Sequence[Detector] | None = None, into: str = "protected") -> DataFrame:
+def protect(df: DataFrame, text: str, policy: Policy, *, scope: Column | str = "*", key: bytes | None = None, found: Sequence[Detector] | None = None, into: str = "protected") -> DataFrame:
     """`df` with a struct column: text, state and detections. For policies without reversible rules in the scope.
 
     Fails closed: a missing detector or key blocks the whole batch (text null, state blocked, reason), and a row whose
@@ -75,7 +75,7 @@ def protect(df: DataFrame, text: str, policy: Policy, *, scope: str = "*", key:
     """
     found = detectors() if found is None else list(found)
     try:
-        policy.gate([d.name for d in found], scope, has_key=False)
+        policy.gate([d.name for d in found], scope if isinstance(scope, str) else None, has_key=False)
     except Blocked as e:
         blocked = F.struct(F.lit(None).cast("string").alias("text"), F.lit("blocked").alias("state"), F.array().cast(f"array<{APPLIED}>").alias("detections"), F.lit(str(e)).alias("reason"))
         return df.withColumn(into, blocked)

@@ -80,9 +80,10 @@ class Policy:
     def active(self) -> dict[str, Rule]:
         return {r.entity: r for r in self.rules if r.active}
 
-    def gate(self, available: Sequence[str], scope: str = "*", has_key: bool = False) -> None:
-        """Raises Blocked where a required detector or the key for a reversible rule is missing."""
-        reversible = [r for r in self.active().values() if r.reversible and r.claims(scope)]
+    def gate(self, available: Sequence[str], scope: str | None = "*", has_key: bool = False) -> None:
+        """Raises Blocked where a required detector or the key for a reversible rule is missing. Without a scope (rows have
+        scopes of their own) every rule counts."""
+        reversible = [r for r in self.active().values() if r.reversible and (scope is None or r.claims(scope))]
         if reversible and not has_key:
             raise Blocked("reversible rules need a key")
         missing = sorted({d for r in self.active().values() for d in r.required_detectors} - set(available))
