@@ -4,12 +4,12 @@ from __future__ import annotations
 
 #: Licence id, name as notices have it, and the words of it that a notice can't do without (fixed values).
 NAMES = (
-    ("Apache-2.0", "Apache License, Version 2.0", "apache"),
-    ("MIT", "MIT License", "mit"),
+    ("Apache-2.0", "Apache License, Version 2.0", "apache license"),
+    ("MIT", "MIT License", "mit license"),
     ("BSD-2-Clause", "BSD 2-Clause License", "bsd 2"),
     ("BSD-3-Clause", "BSD 3-Clause License", "bsd 3"),
-    ("ISC", "ISC License", "isc"),
-    ("Zlib", "zlib License", "zlib"),
+    ("ISC", "ISC License", "isc license"),
+    ("Zlib", "zlib License", "zlib license"),
     ("Unlicense", "Unlicense", "unlicense"),
     ("BSL-1.0", "Boost Software License, Version 1.0", "boost"),
     ("GPL-2.0", "GNU General Public License, version 2", "gnu general 2"),
