@@ -42,10 +42,22 @@ def scalar_kind(value: Column) -> Column:
     )
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n_distinct) of the cells that aren't missing: a cell per row and column, each (column, cell) kept once."""
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns))).alias("x")).select("x.*")
+    return cells.where(~missing(F.col("cell"))).distinct().groupBy("column").agg(F.count("*").alias("n_distinct"))
+
+
+def kind_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, kind, n): how many cells of each kind a column has."""
+    kinds = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), scalar_kind(F.col(f"`{c}`")).alias("kind")) for c in columns))).alias("x")).select("x.*")
+    return kinds.groupBy("column", "kind").agg(F.count("*").alias("n"))
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column: rows, null rate, distinct values, and for numbers minimum, maximum, mean, population deviation.
 
-    One pass: all columns are aggregated side by side, then turned into rows.
+    All columns are aggregated side by side in one pass, and their distinct cells are counted in another.
     """
     kinds = dict(df.dtypes)
     numeric = {c: kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal") for c in columns}
@@ -59,14 +71,15 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.count("*").alias("n"),
                 F.round(F.avg(missing(x).cast("int")), 6).alias("null_rate"),
-                F.count_distinct(F.when(~missing(x), x)).alias("n_distinct"),
                 F.round(F.min(number), 6).alias("minimum"),
                 F.round(F.max(number), 6).alias("maximum"),
                 F.round(F.avg(number), 6).alias("mean"),
                 F.round(F.stddev_pop(number), 6).alias("deviation"),
             ).alias(f"_{c}")
         )
-    return df.agg(*aggs).select(F.explode(F.array(*(F.col(f"_{c}") for c in columns))).alias("p")).select("p.*")
+    rows = df.agg(*aggs).select(F.explode(F.array(*(F.col(f"_{c}") for c in columns))).alias("p")).select("p.*")
+    both = rows.join(F.broadcast(distinct_counts(df, columns)), "column", "left")  # a row per column
+    return both.select("column", "n", "null_rate", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "minimum", "maximum", "mean", "deviation")
 
 
 def is_category(n_distinct: Column, n: Column) -> Column:

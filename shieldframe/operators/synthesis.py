@@ -56,7 +56,7 @@ class TableSpec:
 
 
 def infer(df: DataFrame, name: str) -> TableSpec:
-    """A table's specification from its rows, in one aggregation per column set: kinds of all cells, ranges, categories.
+    """A table's specification from its rows, in one aggregation and one count of distinct cells: kinds, ranges, categories.
 
     Cells of several kinds make a text column (integers and floats a float one) with a diagnostic that holds no values.
     """
@@ -67,10 +67,10 @@ def infer(df: DataFrame, name: str) -> TableSpec:
     row = df.agg(
         F.count("*").alias("n"),
         *(F.collect_set(kind_of[c]).alias(f"k_{i}") for i, c in enumerate(cols)),
-        *(F.count_distinct(F.when(~reports.missing(F.col(c)), F.col(c))).alias(f"d_{i}") for i, c in enumerate(cols)),
         *(F.sum(reports.missing(F.col(c)).cast("long")).alias(f"m_{i}") for i, c in enumerate(cols)),
         *(f(number[c]).alias(f"{p}_{i}") for i, c in enumerate(cols) for p, f in (("lo", F.min), ("hi", F.max), ("avg", F.avg), ("sd", F.stddev_pop))),
     ).first()
+    different = {r["column"]: r["n_distinct"] for r in reports.distinct_counts(df, cols).collect()}  # a row per column
     specs, notes = [], []
     for i, c in enumerate(cols):
         kinds = set(row[f"k_{i}"]) - {"null"}
@@ -83,7 +83,7 @@ def infer(df: DataFrame, name: str) -> TableSpec:
         else:
             kind = "text"
             notes.append(f"{c}: mixed kinds {', '.join(sorted(kinds))}")
-        filled, distinct = row["n"] - row[f"m_{i}"], row[f"d_{i}"]
+        filled, distinct = row["n"] - row[f"m_{i}"], different.get(c, 0)
         categories, shares = (), {}
         if kind == "text" and len(set(row[f"k_{i}"]) - {"null"}) == 1 and distinct <= min(reports.MOST_CATEGORIES, max(4, -(-filled // 5))):
             kind = "category"
@@ -100,6 +100,63 @@ def infer(df: DataFrame, name: str) -> TableSpec:
     return TableSpec(name, tuple(specs), diagnostics=tuple(notes))
 
 
+def spec_table(spark: SparkSession, spec: TableSpec) -> DataFrame:
+    """A specification as a table of its own, a row per column: what a schema file holds."""
+    rows = [(c.name, c.kind, c.nullable, list(c.categories), c.minimum, c.maximum, c.primary_key, round(c.null_rate, 6), c.mean, c.deviation) for c in spec.columns]
+    rows = [tuple(float(v) if i in (4, 5, 8, 9) and v is not None else v for i, v in enumerate(r)) for r in rows]
+    return spark.createDataFrame(rows, "name string, kind string, nullable boolean, categories array<string>, minimum double, maximum double, primary_key boolean, null_rate double, mean double, deviation double")
+
+
+def valid(spec: ColumnSpec, value: Column) -> Column:
+    """Whether a cell fits a column: missing where that is allowed, one of its categories, or of its kind (whole numbers are
+    numbers too)."""
+    if spec.kind == "category":
+        fits = value.cast("string").isin(*spec.categories) if spec.categories else F.lit(False)
+    else:
+        fits = reports.scalar_kind(value).isin(*({spec.kind, "integer"} if spec.kind == "float" else {spec.kind}))
+    return F.when(reports.missing(value), F.lit(spec.nullable)).otherwise(fits)
+
+
+def quality_report(real: DataFrame, made: DataFrame, spec: TableSpec) -> DataFrame:
+    """A row per column of the specification: null rates and their difference, the part of made cells that are valid, for
+    categories coverage and total variation from the specification's weights, for numbers the difference of the means over
+    the real range. One row says so where nothing can be evaluated. Columns that a table lacks count as null.
+
+    Both tables are aggregated once; categories are counted once per table.
+    """
+    spark = made.sparkSession
+    schema = "status string, reason string, source_rows long, synthetic_rows long, column string, kind string, source_null_rate double, synthetic_null_rate double, null_rate_delta double, synthetic_type_valid_rate double, category_coverage double, category_total_variation double, normalized_mean_delta double"
+    if not spec.columns or real.isEmpty() or made.isEmpty():
+        return spark.createDataFrame([("not_evaluable", "both tables need a row", *[None] * 11)], schema)
+
+    def aggregated(df: DataFrame) -> dict:
+        cells = {c.name: F.col(f"`{c.name}`") if c.name in df.columns else F.lit(None).cast("string") for c in spec.columns}
+        number = {n: F.when(~reports.missing(x) & reports.scalar_kind(x).isin("integer", "float"), x.cast("string").try_cast("double")) for n, x in cells.items()}
+        parts = []
+        for i, c in enumerate(spec.columns):
+            x = cells[c.name]
+            parts += [F.avg(reports.missing(x).cast("int")).alias(f"m_{i}"), F.avg(F.coalesce(valid(c, x), F.lit(False)).cast("int")).alias(f"v_{i}")]
+            if c.kind in ("integer", "float"):
+                parts += [f(number[c.name]).alias(f"{p}_{i}") for p, f in (("lo", F.min), ("hi", F.max), ("avg", F.avg))]
+        return df.agg(F.count("*").alias("n"), *parts).first().asDict()
+
+    a, b = aggregated(real), aggregated(made)
+    rows = []
+    for i, c in enumerate(spec.columns):
+        coverage = variation = delta = None
+        if c.kind == "category" and c.name in made.columns:
+            counts = {r["category"]: r["n"] for r in reports.weights(made, c.name).where(F.col("category").isin(*c.categories)).collect()} if c.categories else {}
+            filled = round(b["n"] * (1 - b[f"m_{i}"]))
+            coverage = round(len(counts) / len(set(c.categories)), 6) if c.categories else None
+            if c.weights and filled:
+                other = (filled - sum(counts.values())) / filled  # cells that are no category at all
+                variation = round((sum(abs(w - counts.get(k, 0) / filled) for k, w in c.weights.items()) + other) / 2, 6)
+        if c.kind in ("integer", "float") and a[f"avg_{i}"] is not None and b[f"avg_{i}"] is not None:
+            delta = round(abs(a[f"avg_{i}"] - b[f"avg_{i}"]) / max(a[f"hi_{i}"] - a[f"lo_{i}"], 1.0), 6)
+        rows.append(("evaluated", None, a["n"], b["n"], c.name, c.kind, round(a[f"m_{i}"], 6), round(b[f"m_{i}"], 6), round(abs(a[f"m_{i}"] - b[f"m_{i}"]), 6), round(b[f"v_{i}"], 6), coverage, variation, delta))
+    return spark.createDataFrame(rows, schema)
+
+
 def uniform(seed: str, table: str, column: str, row: Column, draw: int = 0) -> Column:
     """A number in [0, 1) from 52 bits of a SHA-256 of where it is drawn."""
     text = F.concat_ws("\x00", F.lit("shieldframe"), F.lit(seed), F.lit(table), F.lit(column), row.cast("string"), F.lit(str(draw)))
@@ -210,11 +267,11 @@ def order_of(specs: Sequence[TableSpec]) -> list[TableSpec]:
 def sample_parents(children: DataFrame, row: str, parents: DataFrame, parent_column: str, seed: str, name: str, unique: bool = False) -> DataFrame:
     """`children` with a column `name` of parent values: drawn by a hash of the row, or, if unique, each parent once.
 
-    Parents are numbered by an equi-join on index: a distinct parent's rank within its hash bucket plus the bucket's
-    offset, so numbering is spread over the buckets.
+    Parents are numbered in order of a SHA-256 and joined by number: a distinct parent's rank within its hash bucket plus
+    the bucket's offset, so numbering is spread over the buckets.
     """
-    h = F.xxhash64(F.lit(f"{seed}/{name}"), F.col("parent"))
-    distinct = parents.select(F.col(parent_column).alias("parent")).where("parent is not null").distinct().withColumn("h", h).withColumn("b", F.pmod("h", F.lit(256)))
+    h = F.sha2(F.concat_ws("\x00", F.lit(seed), F.lit(name), F.col("parent").cast("string")), 256)
+    distinct = parents.select(F.col(parent_column).alias("parent")).where("parent is not null").distinct().withColumn("h", h).withColumn("b", F.substring("h", 1, 2))
     sizes = distinct.groupBy("b").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("offset", F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))  # 256 rows
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -224,7 +281,7 @@ def sample_parents(children: DataFrame, row: str, parents: DataFrame, parent_col
         raise ValueError(f"{name}: fewer parents than rows")
     ranked = distinct.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("h", "parent"))).join(F.broadcast(offsets), "b")
     ranked = ranked.select((F.col("offset") + F.col("r") - 1).alias("_i"), F.col("parent").alias(name))
-    index = F.col(row) if unique else F.pmod(F.xxhash64(F.lit(f"{seed}/{name}/row"), F.col(row)), F.lit(total))
+    index = F.col(row) if unique else F.floor(uniform(seed, "parents", name, F.col(row)) * F.lit(total))
     return children.withColumn("_i", index.cast("long")).join(ranked, "_i").drop("_i")
 
 

@@ -1,18 +1,23 @@
 """The mapping vault: sessions, mappings, detections and audit events as tables, with expiry, uniqueness and cascades.
 
-Tables are DataFrames in, DataFrames out; `VaultStore` keeps them as Parquet with one writer, each change a new version
-of a table's folder that a small pointer file names, so readers and failed writers don't meet.
+Tables are DataFrames in, DataFrames out. `VaultStore` keeps them as Parquet in a folder, with numbered manifests that
+name their parts; `JdbcVault` keeps them in a database. Both do the same with sessions, mappings and audit events.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from shieldframe.functions.actions import hmac_sha256, joined_with_nul
+from shieldframe.operators import restore
+from shieldframe.policy import Policy
+
 SCHEMAS = {
     "sessions": "id string, policy_json string, metadata_encrypted binary, created_at long, expires_at long",
     "mappings": "id string, session_id string, entity_type string, original_hmac string, original_encrypted binary, replacement string, action string, created_at long, expires_at long",
@@ -84,38 +89,208 @@ def _without(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, Data
     return kept
 
 
-class VaultStore:
-    """The four tables in a folder. One writer at a time; every write makes a new version and then moves the pointer."""
+def fingerprint(key: bytes, session: Column, entity: Column, value: Column) -> Column:
+    """What a value is found by again without being stored in clear: a keyed hash that differs from session to session."""
+    return hmac_sha256(key, joined_with_nul("mapping-match", session, entity, value))
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}/_current"
+def source_digest(key: bytes, text: Column) -> Column:
+    """A keyed hash of a whole source text."""
+    return hmac_sha256(key, joined_with_nul("source", text))
+
+
+def _sealed(value: Column, key: bytes, context: Column) -> Column:
+    return F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), context)
+
+
+def _opened(sealed: Column, key: bytes, context: Column) -> Column:
+    return F.try_aes_decrypt(sealed, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), context).cast("string")
+
+
+def canonical_json(detail: Column) -> Column:
+    """A flat map as JSON with its keys in order and no blanks."""
+    entries = F.array_sort(F.map_entries(detail))
+    quoted = lambda t: F.substring(F.to_json(F.array(t)), F.lit(2), F.length(F.to_json(F.array(t))) - 2)
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"]))), ","), F.lit("}"))
+
+
+def session_rows(requests: DataFrame, policy: Policy, now: int, key: bytes | None = None, ttl: int | None = None) -> DataFrame:
+    """Rows of `sessions` for requests (id, metadata: map or absent). Metadata is sealed, bound to the session, and needs the key.
+    Sessions live as long as the longer of the policy's retentions unless `ttl` says otherwise."""
+    sealed = F.lit(None).cast("binary")
+    if "metadata" in requests.columns:
+        if key is None:
+            raise ValueError("session metadata needs a key")
+        filled = F.coalesce(F.size("metadata"), F.lit(0)) > 0
+        sealed = F.when(filled, _sealed(canonical_json(F.col("metadata")), key, F.concat(F.lit("session-metadata:"), "id")))
+    lives = ttl or max(policy.mapping_retention_seconds, policy.audit_retention_seconds)
+    return requests.select("id", F.lit(policy.to_json()).alias("policy_json"), sealed.alias("metadata_encrypted"), F.lit(now).cast("long").alias("created_at"), F.lit(now + lives).cast("long").alias("expires_at"))
+
+
+def mapping_rows(made: DataFrame, action: str, key: bytes, now: int, retention: int) -> DataFrame:
+    """Rows of `mappings` for (session_id, entity, value, replacement): originals fingerprinted and sealed, bound to their session
+    and id. The ids are drawn once: the rows are checkpointed."""
+    drawn = made.select(F.uuid().alias("id"), "session_id", F.col("entity").alias("entity_type"), "value", "replacement").checkpoint()
+    context = F.concat_ws(":", F.lit("mapping"), "session_id", "id")
+    return drawn.select(
+        "id", "session_id", "entity_type", fingerprint(key, F.col("session_id"), F.col("entity_type"), F.col("value")).alias("original_hmac"), _sealed(F.col("value"), key, context).alias("original_encrypted"),
+        "replacement", F.lit(action).alias("action"), F.lit(now).cast("long").alias("created_at"), F.lit(now + retention).cast("long").alias("expires_at"),
+    )
+
+
+def detection_rows(applied: DataFrame, policy: Policy, key: bytes, now: int) -> DataFrame:
+    """Rows of `detections` for accepted spans (session_id, text, entity, detector, confidence_ppm, action, start, end, mapping_id)."""
+    return applied.select(
+        F.uuid().alias("id"), "session_id", "mapping_id", F.col("entity").alias("entity_type"), "detector", "confidence_ppm", "action", F.lit(policy.name).alias("policy_name"), F.lit(policy.version).alias("policy_version"),
+        source_digest(key, F.col("text")).alias("source_hash"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.audit_retention_seconds).cast("long").alias("expires_at"),
+    )
+
+
+def audit_rows(events: DataFrame, now: int, retention: int = 30 * 86_400) -> DataFrame:
+    """Rows of `audit_events` for (session_id, event_type, outcome, detail: map): details as canonical JSON."""
+    return events.select(F.uuid().alias("id"), "session_id", "event_type", "outcome", canonical_json(F.col("detail")).alias("detail_json"), F.lit(now).cast("long").alias("created_at"), F.lit(now + retention).cast("long").alias("expires_at"))
+
+
+def reverse_mappings(sessions: DataFrame, mappings: DataFrame, key: bytes, now: int) -> DataFrame:
+    """(session_id, entity, value, replacement) of the live mappings of live sessions, originals opened; those that another key
+    sealed, or that were moved, are left out."""
+    alive = live(sessions, now).select(F.col("id").alias("session_id"))
+    value = _opened(F.col("original_encrypted"), key, F.concat_ws(":", F.lit("mapping"), "session_id", "id"))
+    own = live(mappings, now).join(alive, "session_id", "left_semi")
+    return own.select("session_id", F.col("entity_type").alias("entity"), value.alias("value"), "replacement").where("value is not null")
+
+
+class Vault:
+    """What both kinds of vault do with their tables. Subclasses read, append and replace; one writer at a time."""
+
+    spark: SparkSession
 
     def read(self, name: str) -> DataFrame:
-        """A table's current version; empty before the first write."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.folder}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        raise NotImplementedError
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows))
+        raise NotImplementedError
+
+    def apply(self, tables: Mapping[str, DataFrame]) -> None:
+        raise NotImplementedError
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.read(n) for n in SCHEMAS}
 
+    def create_session(self, policy: Policy, now: int, metadata: Mapping[str, str] | None = None, key: bytes | None = None, ttl: int | None = None) -> str:
+        session = str(uuid.uuid4())
+        requests = self.spark.createDataFrame([(session, dict(metadata))], "id string, metadata map<string,string>") if metadata else self.spark.createDataFrame([(session,)], "id string")
+        self.append("sessions", session_rows(requests, policy, now, key, ttl))
+        return session
+
+    def policy_for(self, session: str, now: int) -> Policy:
+        """A live session's policy. An expired one is deleted with all that hangs on it; then, and for unknown ones, KeyError."""
+        row = self.read("sessions").where(F.col("id") == session).first()
+        if row is not None and row["expires_at"] > now:
+            return Policy.from_json(row["policy_json"])
+        if row is not None:
+            self.delete(session)
+        raise KeyError(f"unknown or expired session: {session}")
+
+    def store_mappings(self, made: DataFrame, policy: Policy, action: str, key: bytes, now: int) -> DataFrame:
+        """Stores mappings for (session_id, entity, value, replacement) and gives each with its id: the one stored, or that of the
+        live one which its value has already. Raises MappingCollision where a replacement is another value's."""
+        known = self.read("mappings")
+        offered = mapping_rows(made, action, key, now, policy.mapping_retention_seconds).checkpoint()
+        fresh = new_mappings(offered, known, now).checkpoint()
+        on = ["session_id", "entity_type", "original_hmac"]
+        every = fresh.select(*on, F.col("id").alias("mapping_id"), "replacement").unionByName(live(known, now).select(*on, F.col("id").alias("mapping_id"), "replacement"))
+        placed = offered.select(*on, F.col("replacement").alias("offered")).distinct().join(every, on, "left").checkpoint()
+        if not placed.where("mapping_id is null").isEmpty():
+            raise MappingCollision("a replacement is taken by another value")
+        dead = known.where(F.col("expires_at") <= now)
+        if not dead.join(fresh, on, "left_semi").isEmpty() or not dead.join(fresh, ["session_id", "replacement"], "left_semi").isEmpty():
+            self.apply({"mappings": live(known, now).checkpoint()})  # expired rows give way, as the unique keys count them
+        self.append("mappings", fresh)
+        return placed.drop("offered")
+
+    def restore(self, df: DataFrame, text: str, key: bytes, now: int, row: str, into: str = "restored") -> DataFrame:
+        """`df` (session_id, ...) with its texts restored from live mappings only; an audit event per session says how many rows."""
+        mappings = reverse_mappings(self.read("sessions"), self.read("mappings"), key, now).checkpoint()
+        out = restore.restore_found(df, text, mappings, row=row, into=into).checkpoint()
+        counts = out.groupBy("session_id").agg(F.count("*").alias("n"), F.count(F.when(~F.col(text).eqNullSafe(F.col(into)), 1)).alias("changed"))
+        known = self.read("sessions").select(F.col("id").alias("session_id"))
+        detail = F.create_map(F.lit("rows"), F.col("n").cast("string"), F.lit("changed"), F.col("changed").cast("string"))
+        self.append("audit_events", audit_rows(counts.join(known, "session_id", "left_semi").select("session_id", F.lit("restore").alias("event_type"), F.lit("ok").alias("outcome"), detail.alias("detail")), now).checkpoint())
+        return out
+
+    def purge(self, now: int) -> dict[str, int]:
+        """Deletes what has expired, with what hangs on it; the numbers of expired rows by table."""
+        tables = self.tables()
+        counts = {r["table"]: r["purged"] for r in purge_counts(tables, now).collect()}
+        self.apply({n: t.checkpoint() for n, t in purge(tables, now).items()})
+        return counts
+
+    def delete(self, session: str) -> bool:
+        """Deletes a session with its mappings and detections; whether there was one."""
+        tables = self.tables()
+        if tables["sessions"].where(F.col("id") == session).isEmpty():
+            return False
+        self.apply({n: t.checkpoint() for n, t in delete_session(tables, session).items()})
+        return True
+
+
+class MappingCollision(Exception):
+    """A replacement already stands for another value of the session."""
+
+
+class VaultStore(Vault):
+    """The four tables in a folder. A table is the list of part folders that the newest manifest names.
+
+    An append writes one new part and a manifest with it added; nothing is rewritten. A change of several tables writes
+    all parts first and then one manifest for all of them, which appears under its name by a rename: readers see all of a
+    change or nothing. Manifests are numbered; a number that is taken fails the writer, who hasn't changed anything then.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """The newest manifest's number and the parts of each table."""
+        folder = self._path(f"{self.folder}/_manifests")
+        if not self._fs.exists(folder):
+            return 0, {n: [] for n in SCHEMAS}
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        if not names:
+            return 0, {n: [] for n in SCHEMAS}
+        line = self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).first()[0]
+        return int(names[-1].removesuffix(".json")), json.loads(line)
+
+    def _commit(self, number: int, parts: Mapping[str, list[str]]) -> None:
+        target = f"{self.folder}/_manifests/{number:012d}.json"
+        draft = self._path(f"{self.folder}/_manifests/.{uuid.uuid4().hex}")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps(dict(parts), sort_keys=True).encode()))
+        stream.close()
+        if self._fs.exists(self._path(target)) or not self._fs.rename(draft, self._path(target)):
+            self._fs.delete(draft, False)
+            raise RuntimeError("another writer changed the vault")
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = f"{name}/p-{uuid.uuid4().hex}"
+        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.folder}/{part}")
+        return part
+
+    def read(self, name: str) -> DataFrame:
+        """A table as the newest manifest has it."""
+        _, parts = self._manifest()
+        paths = [f"{self.folder}/{p}" for p in parts[name]]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        number, parts = self._manifest()
+        self._commit(number + 1, parts | {name: [*parts[name], self._write(name, rows)]})
+
     def apply(self, tables: Mapping[str, DataFrame]) -> None:
-        for name, rows in tables.items():
-            self.replace(name, rows)
+        number, parts = self._manifest()
+        self._commit(number + 1, parts | {name: [self._write(name, rows)] for name, rows in tables.items()})
 
 
 def open_vault(spark: SparkSession, target: str) -> VaultStore | JdbcVault:
@@ -125,8 +300,12 @@ def open_vault(spark: SparkSession, target: str) -> VaultStore | JdbcVault:
     return VaultStore(spark, target)
 
 
-class JdbcVault:
-    """The same tables in PostgreSQL through Spark's JDBC source; needs the driver's jar on the class path."""
+class JdbcVault(Vault):
+    """The same tables in PostgreSQL through Spark's JDBC source; needs the driver's jar on the class path.
+
+    A table is replaced by truncating and refilling it (its rows are checkpointed before), so its definition, keys and
+    indexes stay. JDBC writes of several tables are no one transaction: a failed purge or delete is repeated.
+    """
 
     def __init__(self, spark: SparkSession, url: str, **options: str):
         self.spark, self.options = spark, options
@@ -136,4 +315,9 @@ class JdbcVault:
         return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.format("jdbc").options(url=self.url, dbtable=name, **self.options).mode("append").save()
+        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.format("jdbc").options(url=self.url, dbtable=name, **self.options).mode("append").save()
+
+    def apply(self, tables: Mapping[str, DataFrame]) -> None:
+        for name in reversed(PURGE_ORDER):  # parents before what refers to them
+            if name in tables:
+                tables[name].write.format("jdbc").options(url=self.url, dbtable=name, truncate="true", cascadeTruncate="false", **self.options).mode("overwrite").save()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shieldframe.functions import actions, checks
 from shieldframe.functions.recognizers import SPANS
-from shieldframe.operators import payloads, protect, reports, resolve, restore, synthesis, vault
+from shieldframe.operators import json_trees, payloads, protect, providers, reports, resolve, restore, synthesis, vault
 from shieldframe.plans import detection_sql
 from shieldframe.plans.cases import CASES
 from shieldframe.policy import ENTITIES, PRESETS, Policy, Rule, preset, uniform
@@ -443,22 +443,25 @@ def quality_null_rates(spark, sf_dir):
 
 
 @query(
-    """with r as (select distinct c_nationkey::varchar a, c_mktsegment b from customer where c_custkey % 3 = 0), s as (select c_nationkey::varchar a, c_mktsegment b from customer where c_custkey % 3 = 1)
+    """with r as (select distinct s_nationkey::varchar a, left(s_name, 9) b from supplier), s as (select c_nationkey::varchar a, 'Supplier#' b, c_mktsegment from customer)
     select round(avg((exists (select 1 from r where r.a = s.a and r.b = s.b))::int), 6) exact_row_match_rate from s"""
 )
 def exact_match(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return reports.exact_match_rate(rows.where("c_custkey % 3 = 0"), rows.where("c_custkey % 3 = 1"), ["c_nationkey", "c_mktsegment"])
+    """Customers whose nation some supplier has, as rows of two columns."""
+    real = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.left("s_name", F.lit(9)).alias("kind"))
+    made = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("Supplier#").alias("kind"))
+    return reports.exact_match_rate(real, made, ["nation", "kind"])
 
 
 @query(
-    """with r as (select c_nationkey::varchar v from customer where c_custkey % 50 = 0 union select c_mktsegment from customer where c_custkey % 50 = 0),
-    s as (select c_nationkey::varchar v from customer where c_custkey % 3 = 1 union all select c_mktsegment from customer where c_custkey % 3 = 1)
+    """with r as (select p_size::varchar v from part union select p_brand from part), s as (select l_quantity::bigint::varchar v from lineitem union all select l_returnflag from lineitem)
     select round(avg((v in (select v from r))::int), 6) non_key_cell_copy_rate from s"""
 )
 def cell_copy(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return reports.cell_copy_rate(rows.where("c_custkey % 50 = 0"), rows.where("c_custkey % 3 = 1"), ["c_nationkey", "c_mktsegment"])
+    """Cells of `lineitem` that are some cell of `part`."""
+    real = _table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), F.col("p_brand").alias("b"))
+    made = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("a"), F.col("l_returnflag").alias("b"))
+    return reports.cell_copy_rate(real, made, ["a", "b"])
 
 
 @query("select min(n) k_anonymity from (select count(*) n from customer group by c_nationkey, c_mktsegment)")
@@ -504,25 +507,86 @@ def _spec() -> synthesis.TableSpec:
     return synthesis.TableSpec("people", (c("id", "integer", primary_key=True, minimum=10), c("age", "integer", minimum=18, maximum=90), c("score", "float", minimum=0.0, maximum=1.0, mean=0.5, deviation=0.2), c("segment", "category", categories=("a", "b"), weights={"a": 0.25, "b": 0.75}), c("joined", "date", nullable=True, null_rate=0.1), c("email", "email"), c("note", "text", locale="es-ES")))
 
 
-@query("select count(*) rows, count(distinct c_custkey) ids, true ages, true scores, true segments, true notes from customer")
+def _draw_sql(table: str, column: str, draw: int = 0, row: str = "i", seed: str = "seed") -> str:
+    """The number in [0, 1) that a cell draws."""
+    head = f"shieldframe\0{seed}\0{table}\0{column}\0".encode().hex()
+    return f"(('0x' || left(sha256(unhex('{head}' || hex(encode({row}::varchar)) || '00' || hex(encode('{draw}')))), 13))::ubigint / 4503599627370496.0)"
+
+
+def _people_sql() -> str:
+    u = lambda c, k=1: _draw_sql("people", c, k)
+    normal = f"sqrt(-2 * ln(1 - {u('score')})) * cos(2 * pi() * {u('score', 2)})"
+    names = list(synthesis.NAMES["es-ES"])
+    return f"""select i + 10 id, 18 + floor({u("age")} * 73)::bigint age, round(least(1.0, greatest(0.0, 0.5 + {normal} * 0.2)), 4) score, case when {u("segment")} < 0.25 then 'a' else 'b' end segment,
+    case when {u("joined", 0)} >= 0.1 then (date '2020-01-01' + floor({u("joined")} * 3653)::int)::varchar end joined, 'person' || (100000 + floor({u("email")} * 899999)::bigint) || '@example.test' email,
+    {names}[floor({u("note")} * {len(names)})::int + 1] || ' note ' || (i + 1) note from range((select count(*) from customer)) x(i)"""
+
+
+@query(_people_sql())
 def synthetic_table(spark, sf_dir):
-    n = _table(spark, sf_dir, "customer").count()
-    made = synthesis.table(spark, _spec(), n, "seed")
-    return made.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("age").between(18, 90)).alias("ages"), F.bool_and(F.col("score").between(0, 1)).alias("scores"), F.bool_and(F.col("segment").isin("a", "b")).alias("segments"), F.bool_and(F.col("note").rlike("^[A-Z][a-z]+ note [0-9]+$")).alias("notes"))
+    """As many people as there are customers, every cell drawn from its place."""
+    return synthesis.table(spark, _spec(), _table(spark, sf_dir, "customer").count(), "seed")
 
 
-@query("select count(*) rows, 0::bigint orphans from orders")
+@query(
+    f"""with p as (select c_custkey, row_number() over (order by sha256(unhex('{"seed".encode().hex()}00{"account".encode().hex()}00' || hex(encode(c_custkey::varchar)))), c_custkey) - 1 i, count(*) over () n from customer),
+    r as (select i row, floor({_draw_sql("parents", "account")} * (select count(*) from customer))::bigint i from range((select count(*) from orders)) x(i))
+    select row as "_row", c_custkey account from r join p using (i)"""
+)
 def synthetic_children(spark, sf_dir):
-    n, parents = _table(spark, sf_dir, "orders").count(), _table(spark, sf_dir, "customer")
-    made = synthesis.sample_parents(spark.range(n).withColumnRenamed("id", "_row"), "_row", parents, "c_custkey", "seed", "account")
-    lost = synthesis.orphans(made, "account", parents, "c_custkey")
-    return made.agg(F.count("*").alias("rows")).join(F.broadcast(lost.agg(F.count("*").alias("orphans"))))
+    """As many children as there are orders, each with a customer for a parent."""
+    n = _table(spark, sf_dir, "orders").count()
+    return synthesis.sample_parents(spark.range(n).withColumnRenamed("id", "_row"), "_row", _table(spark, sf_dir, "customer"), "c_custkey", "seed", "account")
+
+
+def _kind_sql(value: str) -> str:
+    v = f"({value})::varchar"
+    return f"""case when {v} is null or {v} = '' then 'null' when lower({v}) in ('true', 'false') then 'boolean' when regexp_matches({v}, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'email'
+    when regexp_matches({v}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') and try_cast({v} as date) is not null then 'date' when regexp_matches({v}, '^[0-9]{{8}}$') and try_strptime({v}, '%Y%m%d') is not null then 'date'
+    when regexp_matches({v}, '^\\+?[0-9][0-9 .()-]{{6,20}}$') then 'phone' when regexp_matches({v}, '^[+-]?[0-9]+$') then 'integer' when try_cast({v} as double) is not null then 'float' else 'text' end""".replace("\\\\", "\\")
+
+
+_MIXED = {"key": "c_custkey", "half": "case when c_custkey % 2 = 0 then c_custkey end", "share": "(c_custkey % 7) * cast(0.5 as double)", "name": "c_name", "segment": "c_mktsegment", "mail": "concat(c_custkey, '@shop.example')", "joined": "case when c_custkey % 3 = 0 then '2024-02-29' else '20240101' end", "phone": "concat('+1 202 555 ', 1000 + c_custkey % 9000)", "flag": "case when c_custkey % 2 = 0 then 'True' else '' end", "odd": "case when c_custkey % 2 = 0 then 'x' else concat('1', '') end"}
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(*(F.expr(f"cast({e} as string)").alias(c) for c, e in _MIXED.items()))
 
 
-@query()
+_MIXED_SQL = " union all ".join(f"select '{c}' c, ({e})::varchar v from customer" for c, e in _MIXED.items())
+
+
+@query(f"select c as \"column\", {_kind_sql('v')} kind, count(*) n from ({_MIXED_SQL}) group by 1, 2")
+def kind_histogram(spark, sf_dir):
+    return reports.kind_counts(_mixed(spark, sf_dir), list(_MIXED))
+
+
+@query(
+    f"""with k as (select c, v, {_kind_sql('v')} kind from ({_MIXED_SQL})),
+    g as (select c, list(distinct kind) filter (kind != 'null') kinds, count(*) n, count(*) filter (kind != 'null') filled, count(distinct v) filter (kind != 'null') d from k group by 1),
+    f as (select *, case when len(kinds) = 0 then 'null' when len(list_filter(kinds, lambda x: x not in ('integer', 'float'))) = 0 then case when list_contains(kinds, 'float') then 'float' else 'integer' end
+     when len(kinds) = 1 then case when kinds[1] = 'text' and d <= least(50, greatest(4, (filled + 4) // 5)) then 'category' else kinds[1] end else 'text' end kind from g)
+    select c as name, kind, filled < n nullable, (case when kind = 'category' then d else 0 end)::bigint categories, round((n - filled) / n, 6) null_rate,
+     case when kind in ('integer', 'float') then (select min(try_cast(v as double)) from k where k.c = f.c) end minimum, case when kind in ('integer', 'float') then (select max(try_cast(v as double)) from k where k.c = f.c) end maximum from f"""
+)
 def inferred_kinds(spark, sf_dir):
-    spec = synthesis.infer(_table(spark, sf_dir, "customer"), "c_custkey")
-    return spark.createDataFrame([(c.name, c.kind, c.nullable, len(c.categories)) for c in spec.columns], "name string, kind string, nullable boolean, categories int")
+    """The specification inferred from texts of every kind."""
+    spec = synthesis.infer(_mixed(spark, sf_dir), "mixed")
+    return synthesis.spec_table(spark, spec).select("name", "kind", "nullable", F.size("categories").cast("long").alias("categories"), "null_rate", "minimum", "maximum")
+
+
+@query(
+    """with b as (select *, l_orderkey % 2 h from lineitem), a as (select h, count(*) n, avg(l_quantity) q, max(l_quantity) - min(l_quantity) r, avg((l_returnflag = 'N')::int) from b group by 1),
+    w as (select l_returnflag f, count(*) filter (h = 0) / (select count(*) from b where h = 0) p, count(*) filter (h = 1) / (select count(*) from b where h = 1) q from b group by 1)
+    select 'l_quantity' as "column", 'float' kind, 0.0::double source_null_rate, 0.0::double synthetic_null_rate, 1.0::double synthetic_type_valid_rate, null::double category_coverage, null::double category_total_variation,
+     round(abs((select q from a where h = 0) - (select q from a where h = 1)) / greatest((select r from a where h = 0), 1), 6) normalized_mean_delta
+    union all select 'l_returnflag', 'category', 0.0, 0.0, 1.0, (select count(*) filter (q > 0) / count(*) filter (p > 0) from w), (select round(sum(abs(p - q)) / 2, 6) from w), null"""
+)
+def quality_table(spark, sf_dir):
+    """The quality report of the odd orders' lines against a specification of the even ones'."""
+    real, made = (h.select("l_quantity", "l_returnflag") for h in _halves(spark, sf_dir))
+    report = synthesis.quality_report(real, made, synthesis.infer(real, "lines"))
+    return report.select("column", "kind", "source_null_rate", "synthetic_null_rate", "synthetic_type_valid_rate", "category_coverage", "category_total_variation", "normalized_mean_delta")
 
 
 # payloads and deliveries
@@ -535,15 +599,83 @@ def chat_requests(spark, sf_dir):
 
 @query(
     """select pointer, count(*) n, count(distinct value) as "values" from (select '/role' pointer, role as value from conversations
-    union all select '/content/0/text', text from conversations union all select '/content/1', left(text, 5) from conversations) group by 1"""
+    union all select '/content/0/text', text from conversations union all select repeat('/a', (turn % 12)::int) || '/0', left(text, 5) from conversations) group by 1"""
 )
 def json_leaves(spark, sf_dir):
+    """String leaves of trees of up to a dozen levels and more."""
+    _checkpoints(spark)
+    quoted = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    deep = F.concat(F.expr("repeat('{\"a\":', cast(turn % 12 as int))"), F.lit("["), quoted("left(text, 5)"), F.lit("]"), F.expr("repeat('}', cast(turn % 12 as int))"))
+    plain = F.concat(F.lit('{"role":'), quoted("role"), F.lit(',"content":[{"text":'), quoted("text"), F.lit(',"size":3}]}'))
+    turns = _table(spark, sf_dir, "conversations")
+    rows = turns.select("conv_id", "turn", plain.alias("props")).union(turns.select("conv_id", "turn", deep.alias("props")))
+    found = payloads.leaves(rows, ["conv_id", "turn"], "props")
+    return found.groupBy("pointer").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """A request per conversation: its turns as messages of text blocks; odd turns are plain texts."""
+    turns = _table(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    quoted = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    content = F.when(F.col("turn") % 2 == 1, quoted("text")).otherwise(F.concat(F.lit('[{"type":"text","text":'), quoted("text"), F.lit("}]")))
+    message = F.concat(F.lit('{"role":'), quoted("role"), F.lit(',"content":'), content, F.lit("}"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",")
+    body = F.concat(F.lit('{"model":"m","messages":['), listed, F.lit(']}'))
+    return turns.groupBy("conv_id").agg(body.alias("body")).withColumn("endpoint", payloads.endpoint(F.lit("/v1/chat/completions")))
+
+
+_TURNS = "(select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 i from conversations where text is not null and role is not null)"
+
+
+@query(
+    detection_sql.resolved(_TURNS, "text", "conv_id, turn, role, i") + ", " + detection_sql.rewritten("'[REDACTED:' || entity || ']'")
+    + """, b as (select conv_id, bool_or(role not in ('system', 'developer', 'user', 'assistant', 'tool')) bad from d group by 1)
+    select conv_id, case when turn % 2 = 1 then '/messages/' || i || '/content' else '/messages/' || i || '/content/0/text' end pointer, md5(p.t) text_md5 from p join d using (r) join b using (conv_id) where not bad"""
+)
+def chat_bodies(spark, sf_dir):
+    """Whole request bodies protected, and the texts in them."""
+    _checkpoints(spark)
+    done, _ = providers.protect_requests(_bodies(spark, sf_dir), "conv_id", "body", "endpoint", uniform("redact"))
+    texts = payloads.leaves(done, ["conv_id"], "body").where(F.col("pointer").rlike("^/messages/[0-9]+/content(?:/0/text)?$"))
+    return texts.select("conv_id", "pointer", F.md5("value").alias("text_md5"))
+
+
+@query(
+    "select conv_id, '/messages/' || i || '/content' || case when turn % 2 = 1 then '' else '/0/text' end pointer, md5(text) text_md5 from " + _TURNS
+)
+def tree_round_trip(spark, sf_dir):
+    """Whole JSON trees with their values made tokens, and restored."""
     _checkpoints(spark)
-    block = F.to_json(F.struct(F.col("text").alias("text"), F.lit(3).alias("size")))
-    tree = F.concat(F.lit('{"role":'), F.to_json(F.array("role")), F.lit(',"content":['), block, F.lit(","), F.to_json(F.array(F.left("text", F.lit(5)))), F.lit("]}"))
-    flat = F.regexp_replace(F.regexp_replace(tree, r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=,\"content\")", "$1"), r"\[(\"(?:[^\"\\\\]|\\\\.)*\")\](?=\]\})", "$1")
-    rows = payloads.leaves(_table(spark, sf_dir, "conversations").select("conv_id", "turn", flat.alias("props")), ["conv_id", "turn"], "props", depth=4)
-    return rows.groupBy("pointer").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
+    bodies = _bodies(spark, sf_dir).select("conv_id", "body")
+    done, mappings = json_trees.protect_trees(bodies, "conv_id", "body", uniform("tokenize"), key=KEY)
+    back = json_trees.restore_trees(done.select("conv_id", "body"), "conv_id", "body", mappings)
+    texts = payloads.leaves(back, ["conv_id"], "body").where(F.col("pointer").rlike("^/messages/[0-9]+/content(?:/0/text)?$"))
+    return texts.select("conv_id", "pointer", F.md5("value").alias("text_md5"))
+
+
+@query(
+    """with e as (select event_id, event_id % 4 k, event_type from events)
+    select event_id, case when k = 3 then 'blocked' else 'restored' end state, case when k = 3 then 'a token would reach a tool or side effect' end reason,
+     case k when 0 then 'to ' || event_type when 1 then event_type when 2 then event_type end text from e"""
+)
+def provider_responses(spark, sf_dir):
+    """Responses of all providers restored from the mappings; the ones with a token in a tool's input are blocked."""
+    _checkpoints(spark)
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    kinds = events.select("event_type").distinct().select(F.lit("s").alias("session_id"), F.lit("PERSON").alias("entity"), F.col("event_type").alias("value"))
+    mappings = protect.allocate(kinds, uniform("tokenize", ("PERSON",)), KEY)
+    k = F.col("event_id") % 4
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"choices":[{"message":{"content":"to '), "replacement", F.lit('"}}]}')))
+        .when(k == 1, F.concat(F.lit('{"output":[{"type":"message","content":[{"type":"output_text","text":"'), "replacement", F.lit('"}]}]}')))
+        .when(k == 2, F.concat(F.lit('{"content":[{"type":"thinking","thinking":"'), "replacement", F.lit('"}]}')))
+        .otherwise(F.concat(F.lit('{"content":[{"type":"tool_use","input":{"a":"'), "replacement", F.lit('"}}]}')))
+    )
+    path = F.when(k == 0, "chat/completions").when(k == 1, "responses").otherwise("v1/messages")
+    rows = events.join(F.broadcast(mappings), events["event_type"] == mappings["value"]).select("event_id", body.alias("body"), payloads.endpoint(path).alias("endpoint"))
+    done = providers.restore_responses(rows, "event_id", "body", "endpoint", mappings, rows.select("event_id", F.lit("s").alias("session_id")))
+    paths = ("$.choices[0].message.content", "$.output[0].content[0].text", "$.content[0].thinking")
+    return done.select("event_id", "state", "reason", F.coalesce(*(F.get_json_object("body", p) for p in paths)).alias("text"))
 
 
 @query("select event_id, case event_id % 4 when 0 then 'chat/completions' when 1 then 'responses' when 2 then 'messages' end endpoint from events")
@@ -560,16 +692,40 @@ def webhook_signatures(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", webhooks.signature(KEY, ts, F.col("event_id").cast("string"), F.coalesce("props", F.lit(""))).alias("signature"), webhooks.on_time(ts, F.lit(_NOW), 86_400).alias("on_time"))
 
 
-@query("select user_id, count(*) n from (select user_id, row_number() over (partition by user_id, event_type order by ts, event_id) r from events) where r = 1 group by 1")
+@query(
+    """with t as (select user_id, event_type, floor(epoch(ts))::bigint t from events),
+    f as (select user_id, list_reduce(list(t order by t), lambda a, x: case when x - a.last > 300 then {'last': x, 'n': a.n + 1} else a end, {'last': -1000000::bigint, 'n': 0::bigint}) a from t group by user_id, event_type)
+    select user_id, sum(a.n)::bigint n from f group by 1"""
+)
 def replay_first(spark, sf_dir):
+    """Deliveries that are no replays within the real time to live, by user."""
     rows = _table(spark, sf_dir, "events").select("user_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("delivery"), F.unix_timestamp("ts").alias("t"))
-    return webhooks.first_deliveries(rows, "delivery", "t", ttl=10**9).groupBy("user_id").agg(F.count("*").alias("n"))
+    return webhooks.first_deliveries(rows, "delivery", "t").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+#: What the presets are to do, entity by entity, as plain rows.
+_PRESET_ROWS = """('balanced', 'API_KEY', 'redact'), ('balanced', 'DATE_TIME', 'generalize'), ('balanced', 'MONEY', 'generalize'), ('balanced', 'URL', 'keep'),
+ ('strict', 'API_KEY', 'redact'), ('strict', 'CREDIT_CARD', 'redact'), ('strict', 'US_SSN', 'redact'), ('strict', 'IBAN_CODE', 'redact'), ('strict', 'US_BANK_NUMBER', 'redact'), ('strict', 'PASSPORT', 'redact'), ('strict', 'DRIVER_LICENSE', 'redact'), ('strict', 'MEDICAL_LICENSE', 'redact'),
+ ('healthcare', 'API_KEY', 'redact'), ('healthcare', 'CREDIT_CARD', 'redact'), ('healthcare', 'US_SSN', 'redact'), ('healthcare', 'IBAN_CODE', 'redact'), ('healthcare', 'US_BANK_NUMBER', 'redact'), ('healthcare', 'PASSPORT', 'redact'), ('healthcare', 'DRIVER_LICENSE', 'redact'), ('healthcare', 'MEDICAL_LICENSE', 'redact'),
+ ('healthcare', 'PERSON', 'synthetic'), ('healthcare', 'LOCATION', 'synthetic'), ('healthcare', 'DATE_TIME', 'synthetic'),
+ ('finance', 'API_KEY', 'redact'), ('finance', 'US_SSN', 'redact'), ('finance', 'PASSPORT', 'redact'), ('finance', 'DRIVER_LICENSE', 'redact'), ('finance', 'MEDICAL_LICENSE', 'redact'), ('finance', 'MONEY', 'synthetic'),
+ ('devsecops', 'API_KEY', 'redact'), ('devsecops', 'PERSON', 'keep'), ('devsecops', 'ORGANIZATION', 'keep'), ('devsecops', 'LOCATION', 'keep'), ('devsecops', 'DATE_TIME', 'keep'), ('devsecops', 'MONEY', 'keep'), ('devsecops', 'URL', 'keep')"""
 
 
-@query("select n_nationkey, n_name, r_name from nation left join region on n_regionkey = r_regionkey")
+@query(
+    f"""with p(preset, entity, act) as (values {_PRESET_ROWS}), e as (select event_id, {list(PRESETS)}[(event_id % 5 + 1)::int] preset, {list(ENTITIES)}[(user_id % 17 + 1)::int] entity, (event_id * 37 % 1000000)::int ppm from events)
+    select event_id, coalesce(act, 'tokenize') as action, coalesce(act, 'tokenize') = 'tokenize' or (preset = 'healthcare' and act = 'synthetic') reversible,
+     case when coalesce(act, 'tokenize') = 'keep' then 'inactive_rule' when ppm < case when entity in ('PERSON', 'LOCATION', 'ORGANIZATION') then 650000 else 500000 end then 'below_confidence' else 'applied' end outcome from e left join p using (preset, entity)"""
+)
 def policy_lookup(spark, sf_dir):
-    """A small rule table joined to every row, as a policy's rules are to detections."""
-    return _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+    """Detections joined to their preset's rules: the action, whether it is reversible, and what comes of the detection."""
+    rules = [(name, r.entity, r.action, r.reversible) for name in PRESETS for r in (preset(name).rule(e) for e in ENTITIES)]
+    table = spark.createDataFrame(rules, "preset string, entity string, action string, reversible boolean")
+    e = F.col("event_id")
+    found = _table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, PRESETS)), (e % 5 + 1).cast("int")).alias("preset"), F.element_at(F.array(*map(F.lit, ENTITIES)), (F.col("user_id") % 17 + 1).cast("int")).alias("entity"), (e * 37 % 1_000_000).cast("int").alias("ppm"))
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), "entity", F.col("ppm").alias("confidence_ppm"), F.lit("x").alias("detector"), F.lit("v").alias("value"))).cast(SPANS)
+    outcome = F.coalesce(*(F.when(F.col("preset") == name, resolve.decisions(one, preset(name))[0]["outcome"]) for name in PRESETS))
+    return found.join(F.broadcast(table), ["preset", "entity"], "left").select("event_id", "action", "reversible", outcome.alias("outcome"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

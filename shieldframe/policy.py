@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 #: Fixed values; the order is that of presets.
 ENTITIES = (
@@ -74,6 +75,16 @@ class Policy:
         if any(not t for t in self.deny_terms) or set(self.deny_terms.values()) - set(ENTITIES):
             raise ValueError("deny terms need a text and a known entity")
 
+    def to_json(self) -> str:
+        """The policy as JSON, keys in order."""
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> Policy:
+        found = json.loads(text)
+        rules = tuple(Rule(**(r | {"scopes": tuple(r["scopes"]), "required_detectors": tuple(r["required_detectors"])})) for r in found["rules"])
+        return Policy(**(found | {"rules": rules, "allow_terms": tuple(found["allow_terms"])}))
+
     def rule(self, entity: str) -> Rule | None:
         return next((r for r in self.rules if r.entity == entity and r.enabled), None)
 
@@ -100,7 +111,9 @@ PRESETS: dict[str, dict[str, str]] = {
     "finance": {"API_KEY": "redact", "US_SSN": "redact", "PASSPORT": "redact", "DRIVER_LICENSE": "redact", "MEDICAL_LICENSE": "redact", "MONEY": "synthetic"},
     "devsecops": {"API_KEY": "redact", "PERSON": "keep", "ORGANIZATION": "keep", "LOCATION": "keep", "DATE_TIME": "keep", "MONEY": "keep", "URL": "keep"},
 }
-_SOFT = ("PERSON", "LOCATION", "ORGANIZATION")
+#: Entities whose made-up values a preset can take back, and entities with a floor of their own.
+REVERSIBLE: dict[str, tuple[str, ...]] = {"healthcare": ("PERSON", "LOCATION", "DATE_TIME")}
+FLOORS = {"PERSON": 650_000, "LOCATION": 650_000, "ORGANIZATION": 650_000}
 
 
 def preset(name: str) -> Policy:
@@ -108,12 +121,8 @@ def preset(name: str) -> Policy:
     actions = PRESETS.get(name.lower())
     if actions is None:
         raise ValueError(f"unknown preset {name!r}")
-    reversible = ("PERSON", "LOCATION", "DATE_TIME") if name.lower() == "healthcare" else ()
-    rules = []
-    for e in ENTITIES:
-        action = actions.get(e, "tokenize")
-        rule = Rule(e, action, minimum_confidence_ppm=650_000 if e in _SOFT else 500_000, reversible=True if e in reversible else None)
-        rules.append(rule)
+    own = REVERSIBLE.get(name.lower(), ())
+    rules = (Rule(e, actions.get(e, "tokenize"), reversible=True if e in own else None, minimum_confidence_ppm=FLOORS.get(e, 500_000)) for e in ENTITIES)
     return Policy(name.lower(), tuple(rules))
 
 

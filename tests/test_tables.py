@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import hmac
 import math
 
 import duckdb
@@ -8,8 +10,9 @@ from conftest import DATA, table
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from shieldframe.operators import payloads, reports, synthesis, vault
+from shieldframe.operators import payloads, protect, reports, synthesis, vault
 from shieldframe.plans import catalog
+from shieldframe.policy import preset, uniform
 from shieldframe.sources import tables
 from shieldframe.streaming import restore as streams
 from shieldframe.streaming import webhooks
@@ -104,6 +107,70 @@ def test_vault_lifecycle(spark, tmp_path):
     assert isinstance(vault.open_vault(spark, "postgresql://h/db"), vault.JdbcVault)
 
 
+def test_sessions_mappings_and_audit(spark, tmp_path):
+    key, other = b"k" * 32, b"o" * 32
+    store = vault.open_vault(spark, f"file://{tmp_path}/vault")
+    policy = preset("healthcare")
+    session = store.create_session(policy, 100, {"b": "2", "a": "é"}, key)
+    assert store.policy_for(session, 101) == policy
+    row = store.read("sessions").first()
+    detail = store.read("sessions").select(F.try_aes_decrypt("metadata_encrypted", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(f"session-metadata:{session}").cast("binary")).cast("string")).first()[0]
+    assert detail == '{"a":"2"}'.replace("2", "é").replace("}", ',"b":"2"}') and row.expires_at == 100 + policy.audit_retention_seconds
+    with pytest.raises(ValueError):
+        store.create_session(policy, 100, {"a": "b"})
+    made = spark.createDataFrame([(session, "PERSON", "Ann", "T1"), (session, "PERSON", "Bob", "T2")], "session_id string, entity string, value string, replacement string")
+    ids = {r.replacement: r.mapping_id for r in store.store_mappings(made, policy, "tokenize", key, 100).collect()}
+    assert set(ids) == {"T1", "T2"} and store.read("mappings").count() == 2
+    again = spark.createDataFrame([(session, "PERSON", "Ann", "T9")], made.schema)
+    assert [(r.mapping_id, r.replacement) for r in store.store_mappings(again, policy, "tokenize", key, 101).collect()] == [(ids["T1"], "T1")] and store.read("mappings").count() == 2
+    with pytest.raises(vault.MappingCollision):
+        store.store_mappings(spark.createDataFrame([(session, "PERSON", "Eve", "T1")], made.schema), policy, "tokenize", key, 101)
+    want = hmac.new(key, f"mapping-match\0{session}\0PERSON\0Ann".encode(), hashlib.sha256).hexdigest()
+    assert want in {r.original_hmac for r in store.read("mappings").collect()} and b"Ann" not in b"".join(bytes(r.original_encrypted) for r in store.read("mappings").collect())
+    opened = vault.reverse_mappings(store.read("sessions"), store.read("mappings"), key, 101)
+    assert {(r.replacement, r.value) for r in opened.collect()} == {("T1", "Ann"), ("T2", "Bob")}
+    assert vault.reverse_mappings(store.read("sessions"), store.read("mappings"), other, 101).count() == 0
+    late = 100 + policy.mapping_retention_seconds
+    assert vault.reverse_mappings(store.read("sessions"), store.read("mappings"), key, late).count() == 0
+    fresh = store.store_mappings(spark.createDataFrame([(session, "PERSON", "Eve", "T1")], made.schema), policy, "tokenize", key, late).collect()
+    assert [r.replacement for r in fresh] == ["T1"] and {r.replacement for r in store.read("mappings").collect()} == {"T1"}
+    with pytest.raises(KeyError):
+        store.policy_for(session, 10**9)
+    assert store.read("sessions").count() == 0 and store.read("mappings").count() == 0 and not store.delete(session)
+
+
+def test_restoring_from_the_vault_takes_live_mappings_and_is_audited(spark, tmp_path):
+    key, policy = b"k" * 32, uniform("tokenize", ("EMAIL_ADDRESS",))
+    store = vault.open_vault(spark, f"file://{tmp_path}/vault")
+    session = store.create_session(policy, 0)
+    docs = spark.createDataFrame([(1, session, "to ann@post.example"), (2, session, "nothing"), (3, "none", "x")], "id int, session_id string, t string")
+    marked = protect.marked(docs, "t", policy)
+    mappings = protect.allocate(protect.spans_of(marked, ["session_id"]), policy, key)
+    store.store_mappings(mappings, policy, "tokenize", key, 0)
+    shown = protect.render_marked(marked, "t", policy, mappings, key, row="id").drop("t").checkpoint()
+    assert {r.id: r.restored for r in store.restore(shown, "protected_text", key, 1, "id").collect()} == {1: "to ann@post.example", 2: "nothing", 3: "x"}
+    event = store.read("audit_events").collect()
+    assert [(e.session_id, e.event_type, e.outcome, e.detail_json) for e in event] == [(session, "restore", "ok", '{"changed":"1","rows":"2"}')]
+    expired = {r.id: r.restored for r in store.restore(shown, "protected_text", key, policy.mapping_retention_seconds, "id").collect()}
+    assert expired[1].startswith("to [[PG1|") and store.purge(policy.mapping_retention_seconds)["mappings"] == 1
+    spans = protect.spans_of(marked, ["session_id", "t"]).select("session_id", F.col("t").alias("text"), "entity", "detector", "confidence_ppm", F.lit("tokenize").alias("action"), "start", "end", F.lit(None).cast("string").alias("mapping_id"))
+    store.append("detections", vault.detection_rows(spans, policy, key, 5))
+    row = store.read("detections").first()
+    assert (row.start_offset, row.end_offset, row.source_hash) == (3, 19, hmac.new(key, b"source\0to ann@post.example", hashlib.sha256).hexdigest())
+
+
+def test_a_second_writer_fails_and_changes_nothing(spark, tmp_path):
+    store, other = (vault.VaultStore(spark, f"file://{tmp_path}/vault") for _ in range(2))
+    rows = spark.createDataFrame([("s1", "{}", None, 1, 10)], vault.SCHEMAS["sessions"])
+    store.append("sessions", rows)
+    seen = other._manifest()
+    other._manifest = lambda: seen
+    store.append("sessions", rows)
+    with pytest.raises(RuntimeError):
+        other.append("sessions", rows)
+    assert store.read("sessions").count() == 2
+
+
 TOKEN = "[[PG1|PERSON|" + "A" * 26 + "|" + "B" * 16 + "]]"
 
 
