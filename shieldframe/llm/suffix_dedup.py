@@ -3,15 +3,20 @@
 A string of `LENGTH` bytes that also starts earlier in the corpus is removed wherever it isn't the first. To find them
 without sorting every suffix in one place, each string goes to the group of its least-hashed `ANCHOR`-byte part: equal
 strings have the same anchor at the same place in them. Consecutive strings with one anchor form a run, which is one
-row. In a group, runs with equal bytes are settled by their first; the first runs of different bytes may still share
-strings. Those get their bytes, and their suffixes whose prefix hash occurs again are sorted by a mergesort that
-compares two suffixes by the longest common extension: a binary search over prefix polynomial hashes. Neighbours with a
-common extension of `LENGTH` are verified byte by byte. The sort is stable over (document, place), so the first of each
-class of equal strings is the one that stays. Groups of over `GROUP_RUNS` such runs (a line in a great many contexts)
-are first split into their strings, by the strings' own hashes, and copies inside a batch are settled there.
-
-Copies inside a batch are settled before the shuffle, so a passage that a third of all documents hold is sent once per
-batch. Texts are shuffled once, by document, and read for both joins.
+row. In a group, runs with equal hashes of all their bytes are settled by their first; the first runs of different bytes
+may still share strings. Those get their bytes, and all their suffixes are sorted by a mergesort that compares two
+suffixes by the longest common extension: a binary search over prefix polynomial hashes. Neighbours with a common
+extension of `LENGTH` are verified byte by byte. The sort is stable over (document, place), so the first of each class
+of equal strings is the one that stays. Groups of over `GROUP_RUNS` such runs (a line in a great many contexts) are
+first split into their strings, by the strings' own hashes, and copies inside a batch are settled there.
+
+Whatever a hash settles is verified by bytes. Copies inside a batch are compared in the batch, before the shuffle, so a
+passage that a third of all documents hold is sent once per batch. Runs settled by one of another batch are put together
+to the longest stretches that two documents share, both documents' bytes of each stretch are fetched with those of the
+open runs, and compared. If any differ, everything is done again without settling runs by their hashes.
+
+Runs are dealt by ranges of (anchor, hash of the run), so that even an anchor that a third of all documents hold is
+spread over many tasks. A range can't know whether the groups at its two ends go on elsewhere; they count as if.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.buffers import Powers, joined, mixed
-from shieldframe.llm.scratch import small_batches, stored
+from shieldframe.llm.scratch import attach, small_batches, stored
 
 LENGTH = 100
 ANCHOR = 24
@@ -110,29 +115,37 @@ def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: n
     return order
 
 
+def same_bytes(data: np.ndarray, u: np.ndarray, v: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[u : u + length] and data[v : v + length] are the same, for each triple."""
+    out = np.ones(len(u), dtype=bool)
+    ends = np.cumsum(length)
+    lo = 0
+    while lo < len(u):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+        n = length[lo:hi]
+        pair = np.repeat(np.arange(hi - lo), n)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        differ = pair[data[u[lo:hi][pair] + k] != data[v[lo:hi][pair] + k]]
+        out[lo + differ] = False
+        lo = hi
+    return out
+
+
 def repeats(data: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which suffixes' first LENGTH bytes also are those of an earlier suffix of their (contiguous) group."""
-    sums = prefix_hashes(data)
     out = np.zeros(len(suffix), dtype=bool)
     if not len(suffix):
         return out
-    key = mixed(stretch(sums, suffix, LENGTH) ^ mixed(group.astype(np.uint64)))
-    order = np.argsort(key, kind="stable")
-    equal = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(suffix), dtype=bool)
-    again[order[1:][equal]] = True
-    again[order[:-1][equal]] = True
-    some = np.flatnonzero(again)
+    change = group[1:] != group[:-1]
+    some = np.flatnonzero(~(np.r_[True, change] & np.r_[change, True]))  # a suffix alone in its group needs no sort
     own, of = suffix[some], group[some]
+    sums = prefix_hashes(data)
     order = suffix_sort(data, sums, own, of)
     u, v = order[:-1], order[1:]
     near = np.flatnonzero(of[u] == of[v])
     near = near[common_extension(sums, own[u[near]], own[v[near]]) == LENGTH]
-    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(data) >= LENGTH else None
-    for i in range(0, len(near), 20_000):
-        part = near[i : i + 20_000]
-        if not np.array_equal(rows[own[u[part]]], rows[own[v[part]]]):
-            return _repeats_by_bytes(data, suffix, group)  # a hash collision: compare the bytes themselves
+    if not same_bytes(data, own[u[near]], own[v[near]], np.full(len(near), LENGTH)).all():
+        return _repeats_by_bytes(data, suffix, group)  # a hash collision: compare the bytes themselves
     out[some[v[near]]] = True
     return out
 
@@ -148,10 +161,10 @@ def _repeats_by_bytes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray) -
 
 def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """The runs of texts (bytes end to end, offsets `at`): anchor hash, hash of the run's bytes, text, first string's
-    place in the text, number of strings, and the anchor's place after the first string's start."""
+    place in the text, number of strings, the anchor's place after the first string's start, and that start in the bytes."""
     n, none = len(data), np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none
     sums = prefix_hashes(data)
     anchors = mixed(stretch(sums, np.arange(n - ANCHOR + 1), ANCHOR))
     least = (anchors & ~_LOW) | np.arange(len(anchors), dtype=np.uint64)  # the leftmost of the least
@@ -165,22 +178,24 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = np.flatnonzero(text[: len(anchor)] == text[LENGTH - 1 : LENGTH - 1 + len(anchor)])
     if not len(inside):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none
     anchor, text = anchor[inside], text[inside]
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     start, end = inside[first], inside[np.r_[first[1:] - 1, len(inside) - 1]]
     anchor, text = anchor[first], text[first]
     size = end - start + 1
-    return anchors[anchor], mixed(stretch(sums, start, size + LENGTH - 1) + size.astype(np.uint64)), text, start - at[text], size, anchor - start
+    return anchors[anchor], mixed(stretch(sums, start, size + LENGTH - 1) + size.astype(np.uint64)), text, start - at[text], size, anchor - start, start
 
 
 _ROW = "kind int, h long, x long, d long, tie long, s long, n int, a int"
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_KINDS = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+#: Rows that are settled or open: those settled by a run of another batch say which (fs is -1 elsewhere).
+_FOUND = "kind int, h long, d long, tie long, s long, n int, a int, fd long, ft long, fs long"
+_TYPES = {"int": np.int32, "long": np.int64}
 
 
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(k, copy=False)) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(_TYPES[t], copy=False)) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _pieces(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -202,53 +217,95 @@ def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = joined(batch.column(2))
         for i, j, lo, hi in _pieces(at):
             offsets = np.clip(at[i : j + 1], lo, hi) - lo
-            h, x, text, s, n, a = runs(data[lo:hi], offsets)
+            h, x, text, s, n, a, start = runs(data[lo:hi], offsets)
             s = s + np.maximum(0, lo - at[i : j + 1][text])
             text = text + i
             key = mixed(h ^ mixed(x))
             by = np.argsort(key, kind="stable")
             later = np.zeros(len(key), dtype=bool)
-            later[by[1:]] = key[by[1:]] == key[by[:-1]]
+            u, v = by[:-1], by[1:]
+            equal = np.flatnonzero((key[u] == key[v]) & (n[u] == n[v]))
+            u, v = u[equal], v[equal]
+            later[v[same_bytes(data[lo:hi], start[u], start[v], n[v] + (LENGTH - 1))]] = True
             kind = np.where(later, SETTLED, SENT)
             # settled rows only pass through: spread them
-            yield _batch(kind, np.where(later, mixed(s.astype(np.uint64) ^ mixed(ids[text].view(np.uint64))), h).view(np.int64), x.view(np.int64), ids[text], ties[text], s, n, a)
-
-
-def _reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (h, x, d, tie, s): settles runs with the bytes of an earlier one; the first of each kind of bytes
-    stay open if their group has several."""
-    last = held = None  # (h, x) of the row before; the group's only first so far
-    several_before = False
+            yield _batch(_ROW, kind, np.where(later, mixed(s.astype(np.uint64) ^ mixed(ids[text].view(np.uint64))), h).view(np.int64), x.view(np.int64), ids[text], ties[text], s, n, a)
+
+
+def _reduce_runs(by_hash: bool):
+    """Streams rows in order of (h, x, d, tie, s): settles runs with the hash of an earlier one; the first of each hash stay open
+    if their group has several, or may have in another range. Without `by_hash` all runs of such groups stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = first = None  # (h, x) of the row before; the group's only first so far; (d, tie, s) of that x's first
+        several_before, begun = False, False
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            done = cols[0] == SETTLED
+            if done.any():
+                k, h, _, d, tie, s, n, a = (c[done] for c in cols)
+                none = np.full(len(k), -1)
+                yield _batch(_FOUND, k, h, d, tie, s, n, a, none, none, none)
+                cols = [c[~done] for c in cols]
+            kind, h, x, d, tie, s, n, a = cols
+            if not len(h):
+                continue
+            new_h = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
+            new_x = new_h | np.r_[last is None or x[0] != last[1], x[1:] != x[:-1]]
+            at = np.maximum.accumulate(np.where(new_x, np.arange(len(h)), -1))
+            fd, ft, fs = (np.where(at >= 0, c[at], 0 if first is None else first[i]) for i, c in enumerate((d, tie, s)))
+            if not by_hash:
+                new_x = np.ones(len(h), dtype=bool)
+            settled = ~new_x
+            if new_h[0]:
+                held, several_before = None, False
+            group = np.cumsum(new_h)  # 0: the group that the batch before ended with
+            firsts = np.bincount(group[new_x], minlength=int(group[-1]) + 1)
+            firsts[0] += 2 if several_before else held is not None
+            if not begun:
+                firsts[1] += 1  # the range before may end with this group
+                begun = True
+            if held is not None and firsts[0] > 1:
+                yield _batch(_FOUND, *([v] for v in held))
+                held, several_before = None, True
+            rows = (np.where(new_x, OPEN, SETTLED), h, d, tie, s, n, a, *(np.where(settled, c, -1) for c in (fd, ft, fs)))
+            alone = new_x & (firsts[group] == 1)
+            yield _batch(_FOUND, *(c[~alone] for c in rows))
+            if group[-1] > 0:
+                several_before = bool(firsts[-1] > 1)
+                tail = np.flatnonzero(new_x)[-1]
+                held = None if several_before else [c[tail] for c in rows]
+            last, first = (h[-1], x[-1]), (fd[-1], ft[-1], fs[-1])
+        if held is not None:
+            yield _batch(_FOUND, *([v] for v in held))  # the next range may begin with this group
+
+    return run
+
+
+_SHARED = "d long, tie long, s long, n int, fd long, ft long, fs long"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settled runs in order of (d, tie, fd, ft, fs - s, s) to the longest stretches of strings that two documents share."""
+    held = None
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        done = cols[0] == SETTLED
-        if done.any():
-            yield _batch(*(c[done] for c in cols))
-            cols = [c[~done] for c in cols]
-        h, x = cols[1], cols[2]
-        if not len(h):
+        d, tie, s, n, fd, ft, fs = (c.to_numpy() for c in batch.columns)
+        if not len(d):
             continue
-        new_h = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
-        new_x = new_h | np.r_[last is None or x[0] != last[1], x[1:] != x[:-1]]
-        if new_h[0]:
-            held, several_before = None, False
-        group = np.cumsum(new_h)  # 0: the group that the batch before ended with
-        firsts = np.bincount(group[new_x], minlength=int(group[-1]) + 1)
-        firsts[0] += 2 if several_before else held is not None
-        if held is not None and firsts[0] > 1:
-            yield _batch(*([v] for v in held))
-            held, several_before = None, True
-        alone = new_x & (firsts[group] == 1)
-        cols[0] = np.where(new_x, OPEN, SETTLED)
-        yield _batch(*(c[~alone] for c in cols))
-        if group[-1] > 0:
-            several_before = bool(firsts[-1] > 1)
-            tail = np.flatnonzero(new_x)[-1]
-            held = None if several_before else [c[tail] for c in cols]
-        last = (h[-1], x[-1])
+        if held is not None:
+            d, tie, s, n, fd, ft, fs = (np.r_[x, y] for x, y in zip(held, (d, tie, s, n, fd, ft, fs), strict=True))
+        goes_on = (d[1:] == d[:-1]) & (tie[1:] == tie[:-1]) & (fd[1:] == fd[:-1]) & (ft[1:] == ft[:-1]) & (fs[1:] - s[1:] == fs[:-1] - s[:-1]) & (s[1:] == s[:-1] + n[:-1])
+        first = np.flatnonzero(np.r_[True, ~goes_on])
+        total = np.add.reduceat(n.astype(np.int64), first)
+        rows = [d[first], tie[first], s[first], total, fd[first], ft[first], fs[first]]
+        yield _batch(_SHARED, *(c[:-1] for c in rows))
+        held = [c[-1:] for c in rows]
+    if held is not None:
+        yield _batch(_SHARED, *held)
 
 
 _OPEN = ["h", "d", "tie", "s", "n", "a", "bytes"]
+_SPAN = "d long, tie long, s long, n int"
 
 
 def _split_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +363,12 @@ def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, p = row[order], p[order]
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (p[1:] != p[:-1] + 1)]) if len(row) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.r_[first, len(row)])
-        zero = np.zeros(len(first), dtype=np.int64)
-        yield _batch(zero + SETTLED, zero, zero, d[row[first]], tie[row[first]], p[first], count, zero)
+        yield _batch(_SPAN, d[row[first]], tie[row[first]], p[first], count)
 
     for batch in batches:
         done = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
         if done.any():
-            d, tie, s, n = (batch.column(c).to_numpy()[done] for c in ("d", "tie", "s", "n"))
-            zero = np.zeros(len(d), dtype=np.int64)
-            yield _batch(zero + SETTLED, zero, zero, d, tie, s, n, zero)
+            yield _batch(_SPAN, *(batch.column(c).to_numpy()[done] for c in ("d", "tie", "s", "n")))
             batch = batch.filter(pa.array(~done))
         if not batch.num_rows:
             continue
@@ -379,16 +433,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tie = F.xxhash64("text") if shared_ids else F.lit(0).cast("long")
     texts = rows.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("d"), tie.alias("tie"), "text")
     sent = texts.where(F.octet_length("text") >= LENGTH).select("d", "tie", "text").mapInArrow(_map_runs, _ROW)
-    dealt = sent.repartition("h").sortWithinPartitions("h", "x", "d", "tie", "s")
-    found = stored(dealt.mapInArrow(_reduce_runs, _ROW), "runs")
-    open_ = _marked(found.where(F.col("kind") == OPEN).select("h", "d", "tie", "s", "n", "a"))
     source = texts.select("d", "tie", "text")
-    with_bytes = open_.join(source, ["d", "tie"]).select("h", "d", "tie", "s", "n", "a", F.substring("text", (F.col("s") + 1).cast("int"), F.col("n") + (LENGTH - 1)).alias("bytes"), "large")
     if shared_ids:
-        with_bytes = with_bytes.distinct()
-    groups = with_bytes.mapInArrow(_split_large, "h long, d long, tie long, s long, n int, a int, bytes binary").repartition("h").sortWithinPartitions("h")
-    settled = stored(groups.mapInArrow(_settle_open, _ROW).select("d", "tie", "s", "n"), "settled")
-    every = found.where(F.col("kind") == SETTLED).select("d", "tie", "s", "n").union(settled)
-    spans = every.groupBy("d", "tie").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    cut = texts.join(spans, ["d", "tie"], "left").select("id", "text", "spans")
+        source = source.dropDuplicates(["d", "tie"])
+    spans, verified = _spans(sent, source, True)
+    if not verified:
+        spans, _ = _spans(sent, source, False)
+    every = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    cut = texts.join(every, ["d", "tie"], "left").select("id", "text", "spans")
     return cut.mapInArrow(_cut_texts, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def _spans(sent: DataFrame, source: DataFrame, by_hash: bool) -> tuple[DataFrame, bool]:
+    """The strings to remove (d, tie, s, n), and whether all that hashes settled is the same in bytes too."""
+    dealt = sent.repartitionByRange("h", "x").sortWithinPartitions("h", "x", "d", "tie", "s")
+    found = stored(dealt.mapInArrow(_reduce_runs(by_hash), _FOUND), "runs")
+    open_ = _marked(found.where(F.col("kind") == OPEN).select("h", "d", "tie", "s", "n", "a"))
+    claims = found.where("fs >= 0").select("d", "tie", "s", "n", "fd", "ft", "fs")
+    claims = claims.repartition("d", "tie").sortWithinPartitions("d", "tie", "fd", "ft", F.col("fs") - F.col("s"), "s").mapInArrow(_stretches, _SHARED)
+    claims = stored(claims.withColumn("claim", F.monotonically_increasing_id()), "claims")
+    # the bytes of open runs, of stretches, and of what these repeat (once, however many repeat it), all by one join
+    none = F.lit(None)
+    wanted = open_.select("h", "d", "tie", "s", "n", "a", "large", none.cast("long").alias("claim"), F.lit(0).alias("use"))
+    wanted = wanted.union(claims.select(none.cast("long"), "d", "tie", "s", "n", none.cast("int"), none.cast("boolean"), "claim", F.lit(1)))
+    wanted = wanted.union(claims.select("fd", "ft", "fs", "n").distinct().select(none.cast("long"), "fd", "ft", "fs", "n", none.cast("int"), none.cast("boolean"), none.cast("long"), F.lit(2)))
+    raw = F.substring("text", (F.col("s") + 1).cast("int"), F.col("n") + (LENGTH - 1))
+    fetched = stored(wanted.join(source, ["d", "tie"]).select("h", "d", "tie", "s", "n", "a", "large", "claim", "use", raw.alias("bytes")), "bytes")
+    verified = not by_hash or _differing(claims, fetched).isEmpty()
+    with_bytes = fetched.where("use = 0").select(*_OPEN, "large")
+    groups = with_bytes.mapInArrow(_split_large, "h long, d long, tie long, s long, n int, a int, bytes binary").repartition("h").sortWithinPartitions("h")
+    settled = stored(groups.mapInArrow(_settle_open, _SPAN), "settled")
+    return found.where(F.col("kind") == SETTLED).select("d", "tie", "s", "n").union(settled), verified
+
+
+def _differing(claims: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Stretches whose bytes aren't those of what they are said to repeat. A passage that very many repeat is dealt to many tasks."""
+    place = F.struct(*(F.col(a).alias(b) for a, b in zip(("fd", "ft", "fs", "n"), ("d", "tie", "s", "n"), strict=True)))
+    own = claims.select("claim", place.alias("place")).join(fetched.where("use = 1").select("claim", F.col("bytes").alias("own")), "claim")
+    first = fetched.where("use = 2").select(F.struct("d", "tie", "s", "n").alias("place"), F.col("bytes").alias("first"))
+    return attach(own, first, "place", F.col("claim")).where("own != first").select("claim")

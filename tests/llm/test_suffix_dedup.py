@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
-from conftest import table
+from conftest import ROOT, table
 
 from shieldframe.llm import suffix_dedup as sd
 
@@ -60,6 +62,52 @@ def test_repeated_rows_and_empty_table(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_groups_over_the_ends_of_ranges(spark, tasks):
+    """One anchor in most documents, so that its group is spread over ranges, and copies over batches and tasks."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line = noise(40)
+    rows = [(i, f"{noise(70)}{line}{noise(70)}") for i in range(120)]
+    rows += [(500 + i, t + noise(30)) for i, (_, t) in enumerate(rows[:60])] + [(900 + i, noise(20) + rows[3][1] * 2) for i in range(30)]
+    same(spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks))
+
+
+@pytest.mark.parametrize("shared", [0, 1])
+def test_colliding_hashes_are_found_out(spark, tmp_path, shared):
+    """Runs of one anchor with one hash for all bytes: the bytes show it, and all is done without settling by hashes."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path[:0] = [{ROOT!r}, {ROOT + "/tests/llm"!r}, {ROOT + "/tests"!r}]
+import numpy as np
+from pyspark.sql import SparkSession
+from shieldframe.llm import suffix_dedup as sd
+import test_suffix_dedup as t
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
+spark.sparkContext.setCheckpointDir("file://{tmp_path}")
+before, calls = sd._spans, []
+def weak(sent, source, by_hash):
+    calls.append(by_hash)
+    return before(sent.withColumn("x", sent.n.cast("long")) if by_hash else sent, source, by_hash)
+sd._spans = weak
+rng = np.random.default_rng(1)
+noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+line = noise(50)
+rows = [(i, noise(60) + line + noise(60)) for i in range(20)] + [(100, noise(400))] + [(200 + i, line * 4) for i in range(3)]
+rows += [(1, "other " + noise(200))] * {shared}
+df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+if {shared}:
+    assert sd.remove_repeats(df).count() == len(rows)
+else:
+    t.same(df)
+assert calls == [True, False], calls
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": ROOT})
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
