@@ -169,7 +169,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     part = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(parts), pa.int64()), pa.array(row[k : k + 1000]), pa.array(shift[k : k + 1000]), part], names=["doc_id", "row", "shift", "part"])
 
-    faced = texts.mapInArrow(facing, "doc_id long, row long, shift long, part array<long>")
+    faced = checkpoint(texts.mapInArrow(facing, "doc_id long, row long, shift long, part array<long>"))  # one Python worker a task
     both = faced.join(F.broadcast(lists), "row") if list_bytes <= BROADCAST_BYTES else attach(faced, lists, "row", F.struct("doc_id", "shift"))
     texts = both.select("doc_id", "item_id", "shift", "part", "item")
     schema = "doc_id long, item_id long, item_words long, matched_words long, best_window long, first_word long"

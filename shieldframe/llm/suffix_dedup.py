@@ -39,9 +39,11 @@ GROUP_RUNS = 1000
 #: A list of at most so many large groups may be broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 100_000
 _WIDTH = LENGTH - ANCHOR + 1
-_PIECE = 1 << 23  # bytes worked on at once; longer texts go in overlapping pieces
+_PIECE = 1 << 21  # bytes worked on at once; longer texts go in overlapping pieces
 _LOW = np.uint64((1 << 24) - 1)
 _POWERS = Powers(0x9E3779B97F4A7C15)
+#: Open runs worked on at once, groups kept whole.
+SETTLE_RUNS = 8000
 SENT, SETTLED, OPEN = 0, 1, 2
 
 
@@ -69,15 +71,17 @@ def common_extension(sums: np.ndarray, u: np.ndarray, v: np.ndarray, most: int =
     return low
 
 
-def _before(data: np.ndarray, sums: np.ndarray, u: np.ndarray, v: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-    """Whether the first LENGTH bytes at u come before those at v (or, where or_equal, are the same)."""
+def _before(data: np.ndarray, sums: np.ndarray, u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+    """Whether the first lu bytes at u come before the first lv at v (or, where or_equal, are the same); a beginning goes first."""
     n = common_extension(sums, u, v)
+    over = n >= np.minimum(lu, lv)
     cut = np.minimum(n, LENGTH - 1)
-    return np.where(n == LENGTH, or_equal, data[u + cut] < data[v + cut])
+    return np.where(over, (lu < lv) | (or_equal & (lu == lv)), data[u + cut] < data[v + cut])
 
 
-def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The order that sorts suffixes by their first LENGTH bytes within each group; equal ones stay in their order.
+def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """The order that sorts suffixes by their first LENGTH bytes (or `limit`, at most that many) within each group; equal
+    ones stay in their order. LENGTH bytes from each suffix on must be there, whatever its limit.
 
     Groups are contiguous. All groups are merged side by side, bottom up: each element finds its place among the
     sibling run's by binary search, so a level of the mergesort takes a logarithmic number of comparisons an element.
@@ -86,6 +90,8 @@ def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: n
     order = np.arange(n)
     if not n:
         return order
+    if limit is None:
+        limit = np.full(n, LENGTH)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[first, n])
     start, length = np.repeat(first, size), np.repeat(size, size)
@@ -99,12 +105,12 @@ def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: n
         sibling = np.where(left, pair + width, pair)
         low = np.minimum(sibling, m)
         base, high = low.copy(), np.minimum(np.where(left, sibling + width, pair + width), m)
-        mine = suffix[order[active]]
+        mine, own = suffix[order[active]], limit[order[active]]
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            other = suffix[order[s[open_] + mid]]
+            other = order[s[open_] + mid]
             # an element of the left run goes before equal ones of the right run, and the other way round
-            ahead = _before(data, sums, other, mine[open_], ~left[open_])
+            ahead = _before(data, sums, suffix[other], mine[open_], limit[other], own[open_], ~left[open_])
             low[open_] = np.where(ahead, mid + 1, low[open_])
             high[open_] = np.where(ahead, high[open_], mid)
         place = s + pair + (k - run * width) + (low - base)
@@ -115,6 +121,19 @@ def suffix_sort(data: np.ndarray, sums: np.ndarray, suffix: np.ndarray, group: n
     return order
 
 
+def nearest(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The longest extension, up to both limits, that each suffix has in common with any other of its group: suffixes are
+    sorted, and the longest is that with a neighbour."""
+    sums = prefix_hashes(data)
+    order = suffix_sort(data, sums, suffix, group, limit)
+    u, v = order[:-1], order[1:]
+    common = np.where(group[u] == group[v], np.minimum(common_extension(sums, suffix[u], suffix[v]), np.minimum(limit[u], limit[v])), 0)
+    out = np.zeros(len(suffix), dtype=np.int64)
+    np.maximum.at(out, u, common)
+    np.maximum.at(out, v, common)
+    return out
+
+
 def same_bytes(data: np.ndarray, u: np.ndarray, v: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether data[u : u + length] and data[v : v + length] are the same, for each triple."""
     out = np.ones(len(u), dtype=bool)
@@ -348,12 +367,22 @@ def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by([("h", "ascending"), ("d", "ascending"), ("tie", "ascending"), ("s", "ascending")])
         h, d, tie, s, n, a = (table.column(c).to_numpy() for c in ("h", "d", "tie", "s", "n", "a"))
+        n, a = n.astype(np.int64), a.astype(np.int64)
         data, at = joined(table.column("bytes").combine_chunks())
-        row = np.repeat(np.arange(len(h)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        # equal strings have the anchor at the same place: groups are (h, the anchor's place after the string's start)
-        order = np.lexsort((s[row] + k, tie[row], d[row], (a[row] - k), h[row]))
+        # equal strings have the anchor at the same place. How far runs agree from their anchors on, and back from them,
+        # bounds the places of the strings that can have an equal: only those are sorted as strings
+        data = np.r_[np.zeros(LENGTH, dtype=np.uint8), data, np.zeros(LENGTH, dtype=np.uint8)]
+        at = at + LENGTH
+        of = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        ahead = nearest(data, at[:-1] + a, of, np.minimum(LENGTH, n - 1 + LENGTH - a))
+        back = nearest(data[::-1], len(data) - (at[:-1] + a), of, np.minimum(LENGTH, a))
+        low, high = np.maximum(LENGTH - ahead, a - (n - 1)), np.minimum(back, a)
+        some = np.maximum(0, high - low + 1)
+        row = np.repeat(np.arange(len(h)), some)
+        k = (a - high)[row] + np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+        order = np.lexsort((s[row] + k, tie[row], d[row], a[row] - k, of[row]))
         row, k = row[order], k[order]
         place = a[row] - k
         group = np.cumsum(np.r_[False, (h[row][1:] != h[row][:-1]) | (place[1:] != place[:-1])])
@@ -374,7 +403,7 @@ def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         size += batch.num_rows
-        if size < 20_000:
+        if size < SETTLE_RUNS:
             continue
         table = pa.Table.from_batches(held)
         h = table.column("h").to_numpy()

@@ -108,6 +108,23 @@ assert calls == [True, False], calls
     assert done.returncode == 0, done.stderr[-3000:]
 
 
+def test_nearest_extensions():
+    rng = np.random.default_rng(5)
+    data = np.r_[rng.integers(97, 99, 400).astype(np.uint8), np.zeros(100, dtype=np.uint8)]
+    suffix, group = np.sort(rng.integers(0, 300, 60)), np.repeat(np.arange(6), 10)
+    limit = rng.integers(1, 101, 60)
+    got = sd.nearest(data, suffix, group, limit)
+    for i in range(60):
+        best = 0
+        for j in range(60):
+            if i != j and group[i] == group[j]:
+                n, most = 0, min(limit[i], limit[j])
+                while n < most and data[suffix[i] + n] == data[suffix[j] + n]:
+                    n += 1
+                best = max(best, n)
+        assert got[i] == best
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
