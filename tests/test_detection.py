@@ -31,7 +31,7 @@ def test_goldens(spark):
     assert got[4] == got[5] == []
 
 
-#: The same languages in Python's dialect.
+#: The same languages in Python's dialect.
 PYTHON = {
     "PHONE_NUMBER": r"(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\d)",
     "US_SSN": r"(?<!\d)(?!000|666|9\d\d)\d{3}([- ]?)(?!00)\d{2}\1(?!0000)\d{4}(?!\d)",
