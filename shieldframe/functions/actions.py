@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import secrets
 
 from pyspark.sql import Column
@@ -43,6 +44,13 @@ def decode_key(text: str) -> bytes:
     return key
 
 
+def key_from_environment(name: str) -> bytes | None:
+    """The key in an environment variable of the driver; None where it is unset. Keys don't belong in Spark's settings, which
+    are shown and logged."""
+    found = os.environ.get(name)
+    return decode_key(found) if found else None
+
+
 def _xored(key: bytes, pad: int) -> str:
     return bytes(b ^ pad for b in key.ljust(64, b"\0")).hex()
 

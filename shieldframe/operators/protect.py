@@ -38,7 +38,7 @@ def span_table(df: DataFrame, keys: Sequence[str], text: str, policy: Policy, **
 
 
 def rewrite(text: Column, spans: Column, replacement) -> Column:
-    """The text with replacement(span) in the place of each of its disjoint, ordered spans."""
+    """The text with replacement(span) in the place of each of its disjoint, ordered spans; null where they are null."""
     raw = text.cast("binary")
     cut = lambda r, a, b: F.substring(r, a + 1, b - a).cast("string")
 
@@ -46,7 +46,7 @@ def rewrite(text: Column, spans: Column, replacement) -> Column:
         pieces = F.transform(all_, lambda s, i: F.concat(cut(r, F.when(i == 0, 0).otherwise(F.get(all_, i - 1)["end"]), s["start"]), replacement(s)))
         return F.concat(F.array_join(pieces, ""), cut(r, F.element_at(all_, -1)["end"], F.octet_length(r)))
 
-    return let(spans, lambda all_: F.when(F.size(all_) > 0, let(raw, lambda r: build(r, all_))).otherwise(text))
+    return let(spans, lambda all_: F.when(all_.isNull(), None).when(F.size(all_) > 0, let(raw, lambda r: build(r, all_))).otherwise(text))
 
 
 def _choose(policy: Policy, s: Column, key: bytes | None, mapped) -> Column:
@@ -69,8 +69,8 @@ def action_of(policy: Policy, entity: Column) -> Column:
 def protect(df: DataFrame, text: str, policy: Policy, *, scope: Column | str = "*", key: bytes | None = None, found: Sequence[Detector] | None = None, into: str = "protected") -> DataFrame:
     """`df` with a struct column: text, state and detections. For policies without reversible rules in the scope.
 
-    Fails closed: a missing detector or key blocks the whole batch (text null, state blocked, reason), and a row whose
-    result would be null is blocked, never passed through. Null text stays null and protected. Hashes and synthetic values
+    Fails closed: a missing detector or key blocks the whole batch (text null, state blocked, reason), and a row for which a
+    detector failed (its spans are null) or whose result would be null is blocked, never passed through. Null text stays null and protected. Hashes and synthetic values
     without a key come from a random one that is drawn for the call: they agree within it and can't be looked up.
     """
     found = detectors() if found is None else list(found)

@@ -215,6 +215,16 @@ def span_accuracy(cases: DataFrame, policy: Policy, found: Sequence[Detector] |
     return every.join(F.broadcast(n_blocked))
 
 
+def stability(outcomes: DataFrame, case: str, outcome: str) -> DataFrame:
+    """(case, n, stable): whether every repetition of a case had the same outcome."""
+    return outcomes.groupBy(case).agg(F.count("*").alias("n"), F.min(F.col(outcome)).eqNullSafe(F.max(F.col(outcome))).alias("stable"))
+
+
+def default_quasi(columns: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
+    """The first three columns that are no keys, for reports whose quasi-identifiers aren't named."""
+    return [c for c in columns if c not in keys][:3]
+
+
 def timing(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per group: samples, median, nearest-rank 95th percentile and minimum; null without samples.
 

@@ -34,7 +34,7 @@ def candidates(text: Column, policy: Policy, found: Sequence[Detector] | None =
 
 def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: Column | None = None) -> Column:
     """Every candidate with its outcome, in order of precedence among those eligible, the others first. `allow` is a column of
-    terms (array) that the row allows besides the policy's.
+    terms (array) that the row allows besides the policy's. Null where a detector failed (gave null spans).
 
     Outcomes: inactive_rule, below_confidence, allowed_value, overlap_suppressed, scope_not_claimed, applied. Confidence
     is checked before the allow list. Precedence: claimed by the scope, deny list, priority, confidence, byte length,
@@ -84,7 +84,7 @@ def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: C
         return F.concat(out, F.aggregate(eligible, zero, step)["out"])
 
     none = F.array().cast(f"array<{DECISION}>")
-    return let(spans, lambda s: F.when(F.size(s) > 0, let(F.transform(s, ranked), decide)).otherwise(none))
+    return let(spans, lambda s: F.when(s.isNull(), None).when(F.size(s) > 0, let(F.transform(s, ranked), decide)).otherwise(none))
 
 
 def applied(decided: Column) -> Column:

@@ -19,11 +19,24 @@ def canonical(token: Column) -> Column:
 def restore(text: Column, reverse: Column) -> Column:
     """`text` with every surface that `reverse` (map of surface to original) holds replaced by its original, in one pass.
 
-    Surfaces are tokens or a shown value, a blank and a token. Tokens are found in any ASCII case and with at most one
-    blank around their delimiters; a shown value before one is matched in any case. Other tokens stay as they are.
+    Surfaces are tokens, a shown value, a blank and a token, or plain texts. Tokens are found in any ASCII case and with at
+    most one blank around their delimiters; a shown value before one is matched in any case. Plain surfaces are found as
+    they are, in what lies between tokens, the longest first. Other tokens stay as they are.
     """
 
-    def build(entries: Column, tokens: Column) -> Column:
+    def literal(part: Column, plain: Column) -> Column:
+        quoted = F.transform(plain, lambda e: F.concat(F.lit("\\Q"), F.replace(e["shown"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+
+        def replaced(pattern: Column) -> Column:
+            def pieces(hits: Column) -> Column:
+                original = lambda v: F.filter(plain, lambda e: e["shown"] == v)[0]["original"]
+                return let(F.split(part, pattern, -1), lambda gaps: F.concat(F.array_join(F.transform(hits, lambda v, i: F.concat(gaps[i], original(v))), ""), F.element_at(gaps, -1)))
+
+            return let(F.regexp_extract_all(part, pattern, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, pieces(hits)).otherwise(part))
+
+        return F.when(F.size(plain) > 0, let(F.array_join(quoted, "|"), replaced)).otherwise(part)
+
+    def build(entries: Column, tokens: Column, plain: Column) -> Column:
         gaps = F.split(text, LOOSE_TOKEN, -1)
 
         def pieces(gs: Column) -> Column:
@@ -31,13 +44,13 @@ def restore(text: Column, reverse: Column) -> Column:
                 hit = F.filter(entries, lambda e: e["token"] == canonical(t))
                 return let(
                     F.get(hit, F.lit(0)),
-                    lambda e: F.when(e.isNull(), F.concat(gs[i], t))
-                    .when(e["shown"] == "", F.concat(gs[i], e["original"]))
-                    .when(F.endswith(F.lower(gs[i]), F.lower(e["shown"])), F.concat(F.expr("substr('', 1)"), F.left(gs[i], F.length(gs[i]) - F.length(e["shown"])), e["original"]))
-                    .otherwise(F.concat(gs[i], t)),
+                    lambda e: F.when(e.isNull(), F.concat(literal(gs[i], plain), t))
+                    .when(e["shown"] == "", F.concat(literal(gs[i], plain), e["original"]))
+                    .when(F.endswith(F.lower(gs[i]), F.lower(e["shown"])), F.concat(literal(F.left(gs[i], F.length(gs[i]) - F.length(e["shown"])), plain), e["original"]))
+                    .otherwise(F.concat(literal(gs[i], plain), t)),
                 )
 
-            return F.concat(F.array_join(F.transform(tokens, one), ""), F.element_at(gs, -1))
+            return F.concat(F.array_join(F.transform(tokens, one), ""), literal(F.element_at(gs, -1), plain))
 
         return let(gaps, pieces)
 
@@ -50,7 +63,11 @@ def restore(text: Column, reverse: Column) -> Column:
         ),
     )
     found = F.regexp_extract_all(text, F.lit(LOOSE_TOKEN), F.lit(0))
-    return let(found, lambda ts: F.when((F.size(ts) > 0) & reverse.isNotNull(), let(entries, lambda es: build(es, ts))).otherwise(text))
+    longest = lambda a, b: F.length(b["shown"]) - F.length(a["shown"])
+    plain = lambda es: F.array_sort(F.filter(es, lambda e: (e["token"] == "") & (e["shown"] != "")), longest)
+    some = lambda ts: (F.size(ts) > 0) | F.exists(F.map_keys(reverse), lambda k: ~k.rlike(LOOSE_TOKEN))
+    whole = lambda ts: let(entries, lambda es: let(plain(es), lambda ps: build(es, ts, ps)))
+    return let(found, lambda ts: F.when(reverse.isNotNull() & text.isNotNull() & some(ts), whole(ts)).otherwise(text))
 
 
 def reverse_maps(mappings: DataFrame, group: str = "session_id") -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shieldframe.functions.actions import hmac_sha256, joined_with_nul
-from shieldframe.operators import restore
-from shieldframe.policy import Policy
+from shieldframe.operators import protect, restore
+from shieldframe.policy import Blocked, Policy
 
 SCHEMAS = {
     "sessions": "id string, policy_json string, metadata_encrypted binary, created_at long, expires_at long",
@@ -24,6 +24,7 @@ SCHEMAS = {
     "detections": "id string, session_id string, mapping_id string, entity_type string, detector string, confidence_ppm int, action string, policy_name string, policy_version int, source_hash string, start_offset int, end_offset int, created_at long, expires_at long",
     "audit_events": "id string, session_id string, event_type string, outcome string, detail_json string, created_at long, expires_at long",
 }
+MOST_TRIES = 8
 PURGE_ORDER = ("audit_events", "detections", "mappings", "sessions")
 
 
@@ -209,6 +210,22 @@ class Vault:
         self.append("mappings", fresh)
         return placed.drop("offered")
 
+    def allocate(self, spans: DataFrame, policy: Policy, key: bytes, now: int) -> DataFrame:
+        """Mappings (session_id, entity, value, replacement) for the reversible values of a span table, stored before they are
+        given: live ones are used again, new ones are drawn, up to `MOST_TRIES` times where a draw collides. Then Blocked."""
+        for _ in range(MOST_TRIES):
+            known = reverse_mappings(self.read("sessions"), self.read("mappings"), key, now).checkpoint()
+            made = protect.allocate(spans, policy, key, known)
+            fresh = made.join(known, ["session_id", "entity", "value"], "left_anti").checkpoint()
+            try:
+                for action in sorted({r.action for r in policy.active().values() if r.reversible}):
+                    entities = [e for e, r in policy.active().items() if r.reversible and r.action == action]
+                    self.store_mappings(fresh.where(F.col("entity").isin(*entities)), policy, action, key, now)
+            except MappingCollision:
+                continue
+            return made
+        raise Blocked("no free replacement was found")
+
     def restore(self, df: DataFrame, text: str, key: bytes, now: int, row: str, into: str = "restored") -> DataFrame:
         """`df` (session_id, ...) with its texts restored from live mappings only; an audit event per session says how many rows."""
         mappings = reverse_mappings(self.read("sessions"), self.read("mappings"), key, now).checkpoint()
