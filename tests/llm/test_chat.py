@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from shieldframe.llm import chat
@@ -25,3 +27,17 @@ def test_parts_become_placeholders(spark):
     assert [(a.turn, a.part, a.type, a.ref, a.tokens) for a in row.attachments] == [(0, 2, "image", "i.png", 256), (0, 3, "audio", "a.wav", 7), (0, 4, "document", None, 512), (0, 5, "odd kind", "r", 0)]
     assert row.media_tokens == 775 and row.loss_spans == []
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_long_texts_and_long_conversations(spark):
+    long = "long <text> \\\\ " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, "assistant" if i % 2 else "user", f"t{i} <") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    got = {r.conv_id: r for r in chat.digests(chats).collect()}
+    for c in (1, 2):
+        own = [r for r in rows if r[0] == c]
+        said = "".join(r[3] for r in own if r[2] == "assistant")
+        turns = "".join(f"{r[2]}\n{r[3]}\n" for r in own)
+        assert (got[c].n_turns, got[c].loss_chars) == (len(own), len(said))
+        assert got[c].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 from conftest import table
@@ -7,6 +8,34 @@ from conftest import table
 from shieldframe.llm import toxicity
 
 
+def grams(text):
+    """Counts of a text's hashed n-grams, by loops."""
+    found = {}
+    for w in set((text or "").lower().split()):
+        chars = [32, *map(ord, w), 32]
+        for n in toxicity.ORDERS:
+            for k in range(len(chars) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for c in chars[k : k + n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+                h = h * 0x2C1B3C6D & 0xFFFFFFFF
+                h ^= h >> 12
+                h &= (1 << toxicity.BITS) - 1
+                found[h] = found.get(h, 0) + 1
+    return found
+
+
+def plain_score(model, text):
+    import numpy as np
+
+    w = np.frombuffer(model.weights, dtype="<f4")
+    found = grams(text)
+    n = sum(found.values())
+    z = model.bias + (sum(float(w[h]) * k for h, k in found.items()) / n**0.5 if n else 0.0)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
 def test_held_out_accuracy(spark):
     """The fold whose labels were never seen, on the larger table."""
     docs, labels = table(spark, "documents", "sf0.1"), table(spark, "labels", "sf0.1")
@@ -51,22 +80,6 @@ def test_fit_and_scores_against_a_plain_implementation():
     texts = [" ".join(rng.choice(good, 6)) + (" " + rng.choice(bad) if i % 3 == 0 else "") for i in range(60)]
     y = np.array([i % 3 == 0 for i in range(60)], dtype=int)
 
-    def grams(text):
-        found = {}
-        for w in set(text.lower().split()):
-            chars = [32, *map(ord, w), 32]
-            for n in toxicity.ORDERS:
-                for k in range(len(chars) - n + 1):
-                    h = n * 0x9E3779B1 & 0xFFFFFFFF
-                    for c in chars[k : k + n]:
-                        h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
-                    h ^= h >> 15
-                    h = h * 0x2C1B3C6D & 0xFFFFFFFF
-                    h ^= h >> 12
-                    h &= (1 << toxicity.BITS) - 1
-                    found[h] = found.get(h, 0) + 1
-        return found
-
     every = [grams(t) for t in texts]
     names = sorted(set().union(*every))
     x = np.array([[g.get(n, 0) for n in names] for g in every], dtype=float)

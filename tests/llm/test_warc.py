@@ -33,6 +33,12 @@ def test_pages(spark):
     assert read(pages) == want([(r.page_id, r.html) for r in pages.collect()])
 
 
+def test_long_payloads_and_tied_keys(spark):
+    big = "<p>é word</p>" * 200_000
+    rows = [(i, "http://same.example/x", big if i < 3 else f"{i}") for i in range(6)] + [(4, "http://same.example/x", "4")] * 2
+    assert read(spark.createDataFrame(rows, "page_id long, url string, html string")) == want([(r[0], r[2]) for r in rows])
+
+
 def test_revisits_and_odd_rows(spark):
     big = "<p>é</p>" * 200
     rows = [(1, "http://A.example:80/x", big), (2, None, big), (9, "https://b.example/\n q?x=1", big), (3, "no host", "small"), (4, "", "small"), (5, "http://u@c.example:8080", None), (6, "http://a.example/x", big + "x"), (6, "http://a.example/x", big + "x"), (None, "http://z", big)]
