@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shieldframe.functions.actions import hmac_sha256
 
@@ -46,6 +48,32 @@ def first_deliveries(df: DataFrame, delivery: str, ts: str, ttl: int = TOLERANCE
     return df.repartition(delivery).sortWithinPartitions(delivery, ts).mapInArrow(accepted, df.schema)
 
 
+class ReplayProcessor(StatefulProcessor):
+    """State per delivery id: the time at which it was last accepted. Rows of a micro-batch go in order of time."""
+
+    def __init__(self, ts: str, ttl: int):
+        self.ts, self.ttl = ts, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.state.get()[0] if self.state.exists() else None
+        for pdf in [pd.concat(rows).sort_values(self.ts, kind="stable")]:
+            keep = []
+            for at in pdf[self.ts]:
+                keep.append(bool(pd.isna(at) or last is None or at - last > self.ttl))
+                if keep[-1] and not pd.isna(at):
+                    last = int(at)
+            if last is not None:
+                self.state.update((last,))
+            yield pdf[keep]
+
+    def close(self) -> None:
+        pass
+
+
 def without_replays(stream: DataFrame, delivery: str, ts: str, ttl: int = TOLERANCE_SECONDS) -> DataFrame:
-    """The same for a stream: the first row of each id within the watermark goes through."""
-    return stream.withWatermark(ts, f"{ttl} seconds").dropDuplicatesWithinWatermark([delivery])
+    """The same for a stream, over micro-batches and restarts; `ts` is in whole seconds. Rows that come late, with a time before
+    the last accepted one, count as replays. A row goes through in the batch in which it comes. Needs the RocksDB state store."""
+    return stream.groupBy(delivery).transformWithStateInPandas(ReplayProcessor(ts, ttl), stream.schema, "Append", "None")

@@ -254,6 +254,16 @@ def test_replays_of_events_at_the_real_ttl(spark):
     assert sorted(map(tuple, webhooks.first_deliveries(rows, "id", "t").collect())) == want
 
 
+def test_replays_in_a_stream_over_batches(spark, tmp_path):
+    times = [[("d", 0), ("d", 10), ("e", 5)], [("d", 15), ("d", 22), ("e", 16)], [("d", 33), ("d", 26)]]
+    for part in times:
+        spark.createDataFrame(part, "id string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = webhooks.without_replays(stream, "id", "t", ttl=10).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("accepted").collect())) == [("d", 0), ("d", 15), ("d", 26), ("e", 5), ("e", 16)]
+
+
 def test_leaves_of_deep_trees(spark):
     deep = lambda n: '{"a":[' * n + '"x"' + "]}" * n
     df = spark.createDataFrame([(n, deep(n)) for n in (0, 1, 4, 5, 9)] + [(-1, None), (-2, "{}"), (-3, "[null, 1]"), (-4, "no")], "id int, j string")
