@@ -125,6 +125,10 @@ class Detector:
     def spans(self, text: Column, entities: Iterable[str]) -> Column:
         raise NotImplementedError
 
+    def parts(self, text: Column, entities: Iterable[str]) -> list[Column]:
+        """The same spans in several columns, where they can be told apart."""
+        return [self.spans(text, entities)]
+
 
 class RegexDetector(Detector):
     """Patterns with checksum validators. Recognizers of entities that aren't asked for are not in the plan at all."""
@@ -142,6 +146,16 @@ class RegexDetector(Detector):
         return F.concat(*found) if found else none
 
 
+    def parts(self, text: Column, entities: Iterable[str]) -> list[Column]:
+        wanted, none = set(entities), F.array().cast(SPANS)
+        out = []
+        for r in RECOGNIZERS:
+            if r.entity in wanted:
+                found = _checked(matches(text, r.pattern, r.entity, REGEX_CONFIDENCE, self.name), r)
+                out.append(found if r.gate is None else F.when(GATES[r.gate](text), found).otherwise(none))
+        return out
+
+
 def _checked(spans: Column, recognizer: Recognizer) -> Column:
     if recognizer.valid is None:
         return spans

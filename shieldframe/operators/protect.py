@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shieldframe.functions import actions
 from shieldframe.functions.nested import let
-from shieldframe.functions.recognizers import Detector, detectors
+from shieldframe.functions.recognizers import SPANS, DenyListDetector, Detector, detectors
 from shieldframe.operators import resolve
 from shieldframe.policy import Blocked, Policy
 
@@ -31,10 +31,33 @@ def trace(text: Column, policy: Policy, scope: Column | str = "*", found: Sequen
     return resolve.decisions(resolve.candidates(F.coalesce(text, F.lit("")), policy, found), policy, scope)
 
 
+def with_spans(df: DataFrame, text: str, policy: Policy, scope: Column | str = "*", found: Sequence[Detector] | None = None, into: str = "spans", only: Sequence[str] | None = None) -> DataFrame:
+    """`df` (its columns `only`) with a column of the accepted spans, as `detect` gives them.
+
+    Each recognizer has a column of its own first. They are read twice in the next step, so Spark keeps the two apart: one
+    expression with all recognizers runs at half the speed.
+    """
+    kept = list(df.columns if only is None else only)
+    whole, active = F.coalesce(F.col(text), F.lit("")), list(policy.active())
+    parts = [p for d in (detectors() if found is None else found) for p in d.parts(whole, active)]
+    if policy.deny_terms:
+        parts.append(DenyListDetector(policy.deny_terms).spans(whole, active))
+    taken = {c.lower() for c in df.columns}
+    names = [f"_part_{i}" for i in range(len(taken) + len(parts)) if f"_part_{i}" not in taken][: len(parts)]
+    wide = df.select(*dict.fromkeys([*kept, *([] if isinstance(scope, str) else df.columns)]), *(p.alias(n) for n, p in zip(names, parts, strict=True)))
+    none = F.array().cast(SPANS)
+    every = [F.when(F.col(n).isNull(), None).when(F.size(n) > 0, F.col(n)).otherwise(none) for n in names]
+    spans = resolve.resolve(F.concat(*every) if every else none, policy, scope)
+    return wide.select(*(c for c in kept if c.lower() != into.lower()), spans.alias(into))
+
+
 def span_table(df: DataFrame, keys: Sequence[str], text: str, policy: Policy, **options) -> DataFrame:
-    """One row per accepted span: the keys, entity, start, end, confidence_ppm, detector, value."""
-    spans = detect(F.col(text), policy, **options)
-    return df.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.entity", "s.start", "s.end", "s.confidence_ppm", "s.detector", "s.value")
+    """One row per accepted span: the keys, entity, start, end, confidence_ppm, detector, value.
+
+    The outer explode keeps Spark from putting a filter on the spans below it, which would find them all a second time.
+    """
+    spans = with_spans(df, text, policy, into="_spans", only=keys, **options).select(*keys, F.explode_outer("_spans").alias("s")).where("s is not null")
+    return spans.select(*keys, "s.entity", "s.start", "s.end", "s.confidence_ppm", "s.detector", "s.value")
 
 
 def rewrite(text: Column, spans: Column, replacement) -> Column:
@@ -85,9 +108,8 @@ def protect(df: DataFrame, text: str, policy: Policy, *, scope: Column | str = "
         return F.struct(*fields, action_of(policy, s["entity"]).alias("action"), _choose(policy, s, key, lambda x: x["value"]).alias("replacement")).cast(APPLIED)
 
     key = key or secrets.token_bytes(actions.KEY_BYTES)  # without a key, one for this call that nobody keeps
-    spans = F.transform(detect(F.col(text), policy, scope, found), with_replacement)
     body = lambda all_: F.struct(all_.alias("detections"), rewrite(F.col(text), all_, lambda s: s["replacement"]).alias("text"))
-    done = df.withColumn("_p", let(spans, body))
+    done = with_spans(df, text, policy, scope, found, "_p").withColumn("_p", let(F.transform("_p", with_replacement), body))
     state = F.when(F.col("_p.text").isNull() & F.col(text).isNotNull(), "blocked").otherwise("protected")
     reason = F.when(state == "blocked", "protection failed").otherwise(F.lit(None).cast("string"))
     return done.withColumn(into, F.struct(F.col("_p.text").alias("text"), state.alias("state"), F.col("_p.detections").alias("detections"), reason.alias("reason"))).drop("_p")
@@ -115,12 +137,12 @@ def allocate(spans: DataFrame, policy: Policy, key: bytes, known: DataFrame | No
 
 def marked(df: DataFrame, text: str, policy: Policy, scope: str = "*", into: str = "spans", **options) -> DataFrame:
     """`df` with a column of the accepted spans, checkpointed: what is allocated and rendered from it detects only once."""
-    return df.withColumn(into, detect(F.col(text), policy, scope, **options)).checkpoint()
+    return with_spans(df, text, policy, scope, into=into, **options).checkpoint()
 
 
 def spans_of(rows: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
     """A span table (keys, entity, value, ...) of a table that `marked` made."""
-    return rows.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.entity", "s.start", "s.end", "s.confidence_ppm", "s.detector", "s.value")
+    return rows.select(*keys, F.explode_outer(spans).alias("s")).where("s is not null").select(*keys, "s.entity", "s.start", "s.end", "s.confidence_ppm", "s.detector", "s.value")
 
 
 def render_marked(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", spans: str = "spans", into: str = "protected_text") -> DataFrame:

@@ -120,7 +120,7 @@ def decision_outcomes(spark, sf_dir):
     docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     own = {"IP_ADDRESS": {"minimum_confidence_ppm": 995_000}, "CREDIT_CARD": {"scopes": ("json:/card",)}, "US_SSN": {"enabled": False}}
     policy = Policy("mixed", tuple(Rule(e, "redact", **own.get(e, {})) for e in ENTITIES), allow_terms=("IDIOT",), deny_terms=_DENY)
-    traced = docs.select("doc_id", F.explode(protect.trace(F.col("text"), policy, "body")).alias("d"))
+    traced = docs.select("doc_id", F.explode_outer(protect.trace(F.col("text"), policy, "body")).alias("d")).where("d is not null")
     return traced.select("doc_id", "d.entity", "d.start", "d.end", "d.outcome")
 
 
