@@ -53,6 +53,7 @@ def _quoted(text: Column) -> Column:
 
 def rebuild(nodes: DataFrame, row: str, json: str = "json") -> DataFrame:
     """The JSON texts (row, json) of the nodes of `walk`, strings from their `text` as it is now. INVALID roots give null."""
+    nodes = nodes.checkpoint()  # every level reads them
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     built = None
     for depth in range(deepest, -1, -1):
