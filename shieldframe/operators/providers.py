@@ -100,7 +100,7 @@ def _request_texts(endpoint: Column) -> Column:
 
 
 def _scope(endpoint: Column) -> Column:
-    """A string's scope: the provider and the place, such as openai.messages/0/content."""
+    """A string's scope: the provider and the place, such as openai.messages/0/content (fixed values)."""
     short = F.regexp_replace(F.substring("pointer", 2, 1 << 30), "/function/", "/")
     provider = F.when(endpoint == MESSAGES, "anthropic.").when((endpoint == RESPONSES) & ~F.startswith("pointer", F.lit("/tools/")), "openai.responses/").otherwise("openai.")
     return F.concat(provider, short)
