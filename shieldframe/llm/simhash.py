@@ -7,8 +7,8 @@ are stored vertically (one 64-bit word holds one bit of 64 fingerprints), distan
 counted with carry-save bitwise counters, and words of which all lanes exceed the radius are abandoned early. No pairs
 leave a bucket: only a star of links for each of its connected groups. Links are between nodes, one per fingerprint,
 made of the least id that has it; so the least node of a component is the answer, and no step gathers a component or
-the copies of a text under one key. A bucket of over `BUCKET_ROWS` fingerprints goes
-another exact way, by hashes of all fingerprints within half the radius (see `_halfway`).
+the copies of a text under one key. A bucket of over `BUCKET_ROWS` fingerprints is divided by the same rule on the bits
+that its fingerprints needn't share, as often as it takes: after four times at most 14 bits are left.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ SHINGLE_WORDS = 4
 BLOCKS = 6
 KEPT = 2
 BUCKET_ROWS = 50_000
+#: Buckets with fewer bits left aren't divided: they hold at most 2 ** 11 different fingerprints.
+SPLIT_BITS = 12
+#: Marks of divided buckets are broadcast up to so many, 24 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 _LANES = np.arange(64, dtype=np.uint64)
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -159,10 +163,12 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, entri
     return label
 
 
-def _masks() -> list[int]:
-    edge = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    block = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(BLOCKS)]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(BLOCKS), KEPT)]
+def _masks(within: int = 0) -> list[int]:
+    """Each choice of KEPT of BLOCKS runs of the bits that `within` lacks, together with the bits of `within`."""
+    free = [b for b in range(64) if not within >> b & 1]
+    edge = [round(i * len(free) / BLOCKS) for i in range(BLOCKS + 1)]
+    block = [sum(1 << b for b in free[edge[i] : edge[i + 1]]) for i in range(BLOCKS)]
+    return [within | sum(block[i] for i in chosen) for chosen in combinations(range(BLOCKS), KEPT)]
 
 
 def _signed(x: int) -> int:
@@ -171,86 +177,72 @@ def _signed(x: int) -> int:
 
 #: A fingerprint's node: the least id that has it; fingerprints that only null ids have come after all others, by themselves.
 NODE = "struct<none:boolean,id:long>"
-_LINK = "un boolean, u long, vn boolean, v long, fp long"
+_LINK = "un boolean, u long, vn boolean, v long"
 
 
 def _bucketed(radius: int):
-    """Streams rows (t, key, fp, none, id) in order of (t, key): whole buckets at a time, gathered to batches of tens of
-    thousands. Gives links between nodes; the rows of buckets that are too large come out with their fp instead."""
+    """Streams rows (mask, key, fp, none, id) in order of (mask, key) and gives links between nodes: whole buckets at a time,
+    gathered to batches of tens of thousands."""
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         fps, none, ids = (part[c].to_numpy() for c in ("fp", "none", "id"))
-        group = np.cumsum(np.r_[0, (np.diff(part["key"].to_numpy()) != 0) | (np.diff(part["t"].to_numpy()) != 0)])
+        group = np.cumsum(np.r_[0, (np.diff(part["key"].to_numpy()) != 0) | (np.diff(part["mask"].to_numpy()) != 0)])
         label = bucket_links(fps.view(np.uint64), group, radius)
         u = np.flatnonzero(label != np.arange(len(fps)))
         v = label[u]
-        return pd.DataFrame({"un": none[u], "u": ids[u], "vn": none[v], "v": ids[v], "fp": pd.array([None] * len(u), dtype="Int64")})
-
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"un": part["none"], "u": part["id"], "vn": part["none"], "v": part["id"], "fp": part["fp"].astype("Int64")})
+        return pd.DataFrame({"un": none[u], "u": ids[u], "vn": none[v], "v": ids[v]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        rows, full = 0, None
+        rows = 0
         for pdf in batches:
-            if full is not None:
-                same = ((pdf["t"] == full[0]) & (pdf["key"] == full[1])).to_numpy()
-                yield whole(pdf[same])
-                pdf = pdf[~same]
-                if not len(pdf):
-                    continue
-                full = None
             held.append(pdf)
             rows += len(pdf)
             if rows < 40_000:
                 continue
             part = pd.concat(held, ignore_index=True)
-            t, key = part["t"].iloc[-1], part["key"].iloc[-1]
-            open_ = ((part["t"] == t) & (part["key"] == key)).to_numpy()
+            open_ = ((part["mask"] == part["mask"].iloc[-1]) & (part["key"] == part["key"].iloc[-1])).to_numpy()
             if not open_.all():
                 yield links(part[~open_])
-            part = part[open_]
-            if len(part) > BUCKET_ROWS:
-                full = (t, key)
-                yield whole(part)
-                part = part[:0]
-            held, rows = [part], len(part)
+            held, rows = [part[open_]], int(open_.sum())
         if rows:
             yield links(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def _halfway(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) of the nodes of `fps` (fp, node) without buckets: each fingerprint goes out under every value within half
-    the radius.
-
-    Two fingerprints share such a value exactly if they are within the radius (for even radii; odd ones are rounded up
-    and checked). Every value links its fingerprints to the least one, by a minimum that combines before the shuffle.
-    """
-    half = (radius + 1) // 2
-    flips = [0] + [_signed(sum(1 << b for b in c)) for k in range(1, half + 1) for c in combinations(range(64), k)]
-    near = fps.select("fp", "node", F.explode(F.lit(flips)).alias("flip"))  # 2,081 values for radius 4
-    near = near.select("fp", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    first = F.min(F.struct("fp", "node"))
-    least = near.groupBy("key").agg(first.alias("first"), F.max("fp").alias("w")).where("first.fp != w").select("key", "first")
-    found = attach(near, least, "key", F.col("fp")).where("fp != first.fp")
-    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
+def _compared(keyed: DataFrame, radius: int) -> DataFrame:
+    dealt = keyed.select("bucket.mask", "bucket.key", "fp", "node.none", "node.id").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    node = lambda n, i: F.struct(F.col(n).alias("none"), F.col(i).alias("id")).cast(NODE)
+    return dealt.mapInPandas(_bucketed(radius), _LINK).select(node("un", "u").alias("u"), node("vn", "v").alias("v"))
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between the nodes of distinct fingerprints (fp, node) whose components are those of all pairs within the
-    radius."""
+    radius.
+
+    Buckets are counted first, which combines before the shuffle. Those of over `BUCKET_ROWS` rows go to no task as a whole:
+    their fingerprints agree on the bucket's bits, so they are dealt again by choices of blocks of the other bits.
+    """
     if not 0 <= radius <= BLOCKS - KEPT:
         raise ValueError(f"the radius can be 0 to {BLOCKS - KEPT}")
-    tables = F.explode(F.array(*(F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(_masks()))))
-    keyed = fps.select("fp", "node", tables.alias("k")).select("k.t", "k.key", "fp", "node.none", "node.id")
-    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
-    found = checkpoint(dealt.mapInPandas(_bucketed(radius), _LINK))
-    node = lambda n, i: F.struct(F.col(n).alias("none"), F.col(i).alias("id")).cast(NODE)
-    near = found.where("fp is null").select(node("un", "u").alias("u"), node("vn", "v").alias("v"))
-    full = found.where("fp is not null").select("fp", node("un", "u").alias("node")).distinct()
-    return near if full.isEmpty() else near.union(_halfway(full, radius))
+    spark, out = fps.sparkSession, None
+    rows = fps.select("fp", "node", F.explode(F.lit([_signed(m) for m in _masks()])).alias("mask"))
+    while True:
+        keyed = rows.select("fp", "node", F.struct("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).alias("bucket"))
+        over = checkpoint(keyed.where(F.bit_count("bucket.mask") <= 64 - SPLIT_BITS).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket"))
+        n_over = over.count()
+        if n_over:
+            flag = over.withColumn("over", F.lit(True))
+            keyed = keyed.join(F.broadcast(flag), "bucket", "left") if n_over <= BROADCAST_BUCKETS else attach(keyed, flag, "bucket", F.col("fp"), how="left")
+        found = checkpoint(_compared(keyed.where("over is null") if n_over else keyed, radius))
+        out = found if out is None else out.union(found)
+        if not n_over:
+            return out
+        again = checkpoint(keyed.where("over").select("fp", "node", "bucket.mask"))
+        masks = [r[0] for r in over.select("bucket.mask").distinct().collect()]  # at most 15 for each step, whatever the input
+        finer = spark.createDataFrame([(m, _signed(f)) for m in masks for f in _masks(m & int(_ALL))], "mask long, finer long")
+        rows = again.join(F.broadcast(finer), "mask").select("fp", "node", F.col("finer").alias("mask"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -263,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = checkpoint(fingerprints(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
     least = F.min("id")
     node = F.struct(least.isNull().alias("none"), F.coalesce(least, F.col("fp")).alias("id")).cast(NODE)
-    each = fps.groupBy("fp").agg(node.alias("node"))
+    each = checkpoint(fps.groupBy("fp").agg(node.alias("node")))
     groups = connected_components(links(each, radius))
     named = each.join(groups, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
     named = named.select("fp", F.when(~F.col("label.none"), F.col("label.id")).alias("component_id"))

@@ -57,12 +57,13 @@ def test_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 4, 6, 8, 9}
 
 
-def test_buckets_and_the_other_exact_way(spark, monkeypatch):
+def test_buckets_and_their_division(spark, monkeypatch):
+    """Six groups of near fingerprints, in one bucket, in buckets of any size, and in buckets divided down to the last bits."""
     rng = np.random.default_rng(1)
     seed = rng.integers(0, 1 << 62, 6, dtype=np.uint64)
     fps = set()
     for s in seed.tolist():
-        for _ in range(60):
+        for _ in range(30):
             f = s
             for b in rng.integers(0, 64, rng.integers(0, 5)):
                 f ^= 1 << int(b)
@@ -74,13 +75,26 @@ def test_buckets_and_the_other_exact_way(spark, monkeypatch):
     for i, r in enumerate(label.tolist()):
         first.setdefault(r, i)
     assert [first[r] for r in label.tolist()] == want
-    df = spark.createDataFrame([(simhash._signed(f), (False, simhash._signed(f))) for f in fps[:120]], f"fp long, node {simhash.NODE}")
-    got = {r.node.id: r.label.id for r in components.connected_components(simhash._halfway(df, 4)).collect()}
-    part = groups(fps[:120], list(range(120)))
-    same = {}
-    for f, g in zip(fps[:120], part, strict=True):
-        same.setdefault(g, set()).add(got.get(simhash._signed(f), simhash._signed(f)))
-    assert all(len(v) == 1 for v in same.values()) and len(same) == len({next(iter(v)) for v in same.values()})
+    df = spark.createDataFrame([(simhash._signed(f), (False, i)) for i, f in enumerate(fps)], f"fp long, node {simhash.NODE}").repartition(3)
+    for most, marks in ((50_000, 100_000), (10, 100_000), (3, 0)):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
+        monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", marks)
+        found = {r.node.id: r.label.id for r in components.connected_components(simhash.links(df, 4)).collect()}
+        assert [found.get(i, i) for i in range(len(fps))] == want, most
+
+
+def test_divided_masks_lose_no_pair():
+    """Of any two values that agree on a mask and differ in at most the radius elsewhere, some finer mask has no difference."""
+    rng = np.random.default_rng(2)
+    mask = 0
+    while bin(mask).count("1") <= 64 - simhash.SPLIT_BITS:
+        finer = simhash._masks(mask)
+        assert all(m & mask == mask and m != mask for m in finer)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(500):
+            differ = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(not differ & m for m in finer)
+        mask = finer[int(rng.integers(len(finer)))]
 
 
 def test_components(spark):
@@ -90,11 +104,11 @@ def test_components(spark):
 
 
 def test_hubs_and_null_ids(spark, monkeypatch):
-    """A third of all rows in one group; groups that only null ids have; and the same with every bucket over the bound."""
+    """A third of all rows in one group; groups that only null ids have; and the same with most buckets over the bound."""
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(i, base + f" end{i % 40}") for i in range(300)] + [(1000 + i, f"text {i} " * (i % 9 + 1)) for i in range(300)]
     rows += [(None, base + " end3"), (None, "only null has this one text here"), (None, "only null has this one text here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(df)
-    monkeypatch.setattr(simhash, "BUCKET_ROWS", 0)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
     check(df.limit(400))
