@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shieldframe.llm import chat, decontam, license_scan, media, mixing, pii, simhash, sql, suffix_dedup, toxicity, warc
+from shieldframe.llm import chat, decontam, license_scan, media, mixing, periodic_runs, pii, simhash, sql, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, about a tenth of which are made periodic from some word on."""
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.with_repeats(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination, op11_periodic_runs, pipeline)}
 
 
 def oracle_sql():
