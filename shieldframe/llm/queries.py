@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shieldframe.llm import chat, decontam, license_scan, media, mixing, periodic_runs, pii, simhash, sql, suffix_dedup, toxicity, warc
+from shieldframe.llm import chat, decontam, license_scan, media, mixing, periodic_runs, pii, prefix_trie, secret_scan, simhash, sql, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +65,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find(periodic_runs.with_repeats(_table(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that those of a hundred share beginnings."""
+    return prefix_trie.of_rebuilt(_table(spark, sf_dir, "conversations"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination, op11_periodic_runs, pipeline)}
+    found = (
+        op1_pii, op2_toxicity, op3_suffix_dedup, op4_media, op5_license, op6_mixing, op7_warc, op8_simhash, op9_chat, op10_decontamination,
+        op11_periodic_runs, op12_prefix_trie, op13_secrets, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_pii": sql.PII, "op5_license": sql.LICENSE, "op6_mixing": sql.MIX, "op7_warc": sql.WARC, "op9_chat": sql.CHATS}
+    return {"op1_pii": sql.PII, "op5_license": sql.LICENSE, "op6_mixing": sql.MIX, "op7_warc": sql.WARC, "op9_chat": sql.CHATS, "op12_prefix_trie": sql.TRIE}

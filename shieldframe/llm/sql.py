@@ -110,3 +110,23 @@ select doc_id, path, own_license, own_score, n_matches, speaks, coalesce(own_lic
 
 
 PII, MIX, LICENSE, WARC, CHATS = _pii(), _mix(), _license(), _WARC, _CHATS
+
+#: The trie of rebuilt conversations: paths are strings of turn digests, CRC-32 goes bit by bit, subtrees come from shared paths.
+TRIE = """with recursive w as (select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') role, coalesce(text, '') txt from conversations where conv_id is not null),
+o as (select conv_id, length(txt)::bigint tokens, sha256(length(role) || ':' || role || txt) turn, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || txt)) place from w),
+x as (select conv_id, conv_id - conv_id % 100 family, conv_id::varchar id, 1 i, 4294967295::bigint crc, 0 bit from (select distinct conv_id from w)
+ union all select conv_id, family, id, case when bit = 8 then i + 1 else i end,
+  case when bit = 0 then xor(crc, ascii(substr(id, i, 1))::bigint) else xor(crc >> 1, case when crc % 2 = 1 then 3988292384 else 0 end) end, case when bit = 8 then 0 else bit + 1 end from x where i <= length(id)),
+h as (select conv_id, family, xor(crc, 4294967295) % 6 head from x where i > length(id)),
+t as (select h.conv_id, place depth, turn, tokens from h join o on o.conv_id = h.family and place <= head
+ union all select h.conv_id, place - head + least(head, (select count(*) from o f where f.conv_id = h.family)), turn, tokens from h join o on o.conv_id = h.conv_id and place > head),
+p as (select conv_id, 0::bigint depth, '' path, '' parent, 0::bigint tokens from h
+ union all select conv_id, depth, string_agg(turn, '') over r, coalesce(string_agg(turn, '') over (partition by conv_id order by depth rows between unbounded preceding and 1 preceding), ''), tokens
+  from t window r as (partition by conv_id order by depth rows between unbounded preceding and current row)),
+e as (select *, depth = max(depth) over (partition by conv_id) last from p),
+n as (select path, depth, min(parent) parent, min(conv_id) conv_id, count(*) n_convs, min(tokens) tokens, bool_and(last) leaf,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) ends_sha256 from e group by path, depth),
+s as (select n.path, sum((m.n_convs - 1) * m.tokens)::bigint saved_tokens, count(*) filter (m.leaf) n_leaves, count(*) filter (m.depth = n.depth + 1) n_children
+  from n join (select distinct a.path node, e.path below from e a join e on a.conv_id = e.conv_id and a.depth <= e.depth) b on b.node = n.path join n m on m.path = b.below group by n.path)
+select n.conv_id, n.depth, q.conv_id parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+ from n join s on s.path = n.path left join n q on n.depth > 0 and q.path = n.parent and q.depth = n.depth - 1"""
