@@ -72,7 +72,7 @@ def rewrite(text: Column, spans: Column, replacement) -> Column:
     return let(spans, lambda all_: F.when(all_.isNull(), None).when(F.size(all_) > 0, let(raw, lambda r: build(r, all_))).otherwise(text))
 
 
-def _choose(policy: Policy, s: Column, key: bytes | None, mapped) -> Column:
+def choose(policy: Policy, s: Column, key: bytes | None, mapped) -> Column:
     """The replacement of one span, by its entity's rule."""
     by_action: dict[tuple[str, bool], list[str]] = {}
     for e, r in policy.active().items():
@@ -105,7 +105,7 @@ def protect(df: DataFrame, text: str, policy: Policy, *, scope: Column | str = "
 
     def with_replacement(s: Column) -> Column:
         fields = [s[f].alias(f) for f in ("start", "end", "entity", "confidence_ppm", "detector", "value")]
-        return F.struct(*fields, action_of(policy, s["entity"]).alias("action"), _choose(policy, s, key, lambda x: x["value"]).alias("replacement")).cast(APPLIED)
+        return F.struct(*fields, action_of(policy, s["entity"]).alias("action"), choose(policy, s, key, lambda x: x["value"]).alias("replacement")).cast(APPLIED)
 
     key = key or secrets.token_bytes(actions.KEY_BYTES)  # without a key, one for this call that nobody keeps
     body = lambda all_: F.struct(all_.alias("detections"), rewrite(F.col(text), all_, lambda s: s["replacement"]).alias("text"))
@@ -121,18 +121,24 @@ def allocate(spans: DataFrame, policy: Policy, key: bytes, known: DataFrame | No
     Values that `known` has already keep their replacement. New ones get a token each around 16 random bytes; irreversible
     surfaces that stay reversible carry their token behind them. The result is checkpointed: tokens are drawn once.
     """
-    rules = {e: r for e, r in policy.active().items() if r.reversible}
+    rules = [e for e, r in policy.active().items() if r.reversible]
     values = spans.where(F.col("entity").isin(*rules)).select(group, "entity", "value").distinct()
     if known is not None:
         values = values.join(known.select(group, "entity", "value"), [group, "entity", "value"], "left_anti")
-    drawn = F.substring(F.sha2(F.concat(F.uuid(), F.uuid()).cast("binary"), 256), 1, 32)
-    fresh = values.withColumn("random_hex", drawn).checkpoint()
-    made = actions.token(F.col("entity"), key, F.col("random_hex"))
+    new = with_replacements(values, policy, key).select(group, "entity", "value", "replacement")
+    return (new if known is None else known.select(group, "entity", "value", "replacement").unionByName(new)).checkpoint()
+
+
+def with_replacements(values: DataFrame, policy: Policy, key: bytes) -> DataFrame:
+    """`values` (entity, value, ...) of reversible entities with a `replacement` for each, around 16 random bytes. Each run draws
+    anew: whoever reads it twice stores it first."""
+    rules = {e: r for e, r in policy.active().items() if r.reversible}
+    drawn = values.withColumn("_hex", F.substring(F.sha2(F.concat(F.uuid(), F.uuid()).cast("binary"), 256), 1, 32))
+    made = actions.token(F.col("entity"), key, F.col("_hex"))
     plain = [e for e, r in rules.items() if r.action == "tokenize"]
     shown = F.coalesce(*(F.when(F.col("entity") == e, actions.replacement(r.action, F.col("entity"), F.col("value"), key, (e,))) for e, r in rules.items() if r.action != "tokenize"), F.lit(""))
     text = F.when(F.col("entity").isin(*plain), made).otherwise(F.concat(shown, F.lit(" "), made)) if plain else F.concat(shown, F.lit(" "), made)
-    new = fresh.select(group, "entity", "value", text.alias("replacement"))
-    return (new if known is None else known.select(group, "entity", "value", "replacement").unionByName(new)).checkpoint()
+    return drawn.withColumn("replacement", text).drop("_hex")
 
 
 def marked(df: DataFrame, text: str, policy: Policy, scope: str = "*", into: str = "spans", **options) -> DataFrame:
@@ -152,7 +158,7 @@ def render_marked(df: DataFrame, text: str, policy: Policy, mappings: DataFrame,
     pairs = own.join(mappings, [group, "entity", "value"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "entity", "value"), "replacement"))).alias("_map"))
     joined = df.join(pairs, row, "left")
     mapped = lambda s: F.element_at(F.col("_map"), F.concat_ws("\x00", s["entity"], s["value"]))
-    return joined.withColumn(into, rewrite(F.col(text), F.col(spans), lambda s: _choose(policy, s, key, mapped))).drop(spans, "_map")
+    return joined.withColumn(into, rewrite(F.col(text), F.col(spans), lambda s: choose(policy, s, key, mapped))).drop(spans, "_map")
 
 
 def render(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", scope: str = "*", into: str = "protected_text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,24 +72,25 @@ def restore(text: Column, reverse: Column) -> Column:
     return let(found, lambda ts: F.when(reverse.isNotNull() & text.isNotNull() & some(ts), whole(ts)).otherwise(text))
 
 
-def reverse_maps(mappings: DataFrame, group: str = "session_id") -> DataFrame:
-    """A row per group with its map of replacement to original. A group is one session, bounded by what it protected."""
-    return mappings.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("replacement", "value"))).alias("reverse"))
+def token_pairs(df: DataFrame, text: str, mappings: DataFrame, *, row: str, group: str = "session_id", columns: Sequence[str] = ()) -> DataFrame:
+    """(row, replacement, *columns): the mappings (group, replacement, *columns) whose token is in a row's text. `row` names a
+    unique column. Nothing but tokens is looked at, so originals can stay sealed until a pair is found."""
+    token = lambda c: F.regexp_extract_all(c, F.lit(LOOSE_TOKEN), F.lit(0))
+    own = df.select(row, F.col(group).alias("_g"), F.explode(F.array_distinct(F.transform(token(F.col(text)), canonical))).alias("_t"))
+    known = mappings.select(F.col(group).alias("_g"), "replacement", *columns, F.explode(F.transform(token(F.col("replacement")), canonical)).alias("_t"))
+    return own.join(known, ["_g", "_t"]).select(row, "replacement", *columns)
 
 
-def restore_by_join(df: DataFrame, text: str, mappings: DataFrame, *, group: str = "session_id", into: str = "restored") -> DataFrame:
-    """`df` with the texts restored from their session's mappings (group, value, replacement); others stay."""
-    return df.join(reverse_maps(mappings, group), group, "left").withColumn(into, F.coalesce(restore(F.col(text), F.col("reverse")), F.col(text))).drop("reverse")
+def with_pairs(df: DataFrame, text: str, pairs: DataFrame, *, row: str, into: str = "restored") -> DataFrame:
+    """`df` with its texts restored from a row's own pairs (row, replacement, value); texts without any stay."""
+    maps = pairs.groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("replacement", "value"))).alias("_reverse"))
+    return df.join(maps, row, "left").withColumn(into, F.coalesce(restore(F.col(text), F.col("_reverse")), F.col(text))).drop("_reverse")
 
 
 def restore_found(df: DataFrame, text: str, mappings: DataFrame, *, row: str, group: str = "session_id", into: str = "restored") -> DataFrame:
-    """The same, with no more than a row's own mappings in its map: the tokens in its text are joined with the mappings. `row`
-    names a unique column."""
-    token = lambda c: F.regexp_extract_all(c, F.lit(LOOSE_TOKEN), F.lit(0))
-    own = df.select(row, group, F.explode(F.array_distinct(F.transform(token(F.col(text)), canonical))).alias("_t"))
-    known = mappings.select(group, "replacement", "value", F.explode(F.transform(token(F.col("replacement")), canonical)).alias("_t"))
-    pairs = own.join(known, [group, "_t"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("replacement", "value"))).alias("_reverse"))
-    return df.join(pairs, row, "left").withColumn(into, F.coalesce(restore(F.col(text), F.col("_reverse")), F.col(text))).drop("_reverse")
+    """`df` with the texts restored from their group's mappings (group, value, replacement), with no more than a row's own
+    mappings in its map: the tokens in its text are joined with the mappings."""
+    return with_pairs(df, text, token_pairs(df, text, mappings, row=row, group=group, columns=["value"]), row=row, into=into)
 
 
 def seal(reverse: Column, key: bytes, session: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import time
 from collections.abc import Sequence
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from shieldframe.functions import actions
 from shieldframe.functions.recognizers import Detector
 from shieldframe.operators import json_trees, protect, restore
-from shieldframe.operators.vault import Vault
+from shieldframe.operators.vault import Vault, audit_rows, detection_rows, fingerprint, live, source_digest
 from shieldframe.policy import Policy, uniform
 
 
@@ -22,6 +23,7 @@ class Shield:
     def __init__(self, spark: SparkSession, policy: Policy, key: bytes | None = None, vault: Vault | None = None, found: Sequence[Detector] | None = None):
         self.spark, self.policy, self.key, self.vault = spark, policy, key, vault
         self.options = {} if found is None else {"found": list(found)}
+        self._digests = key or secrets.token_bytes(actions.KEY_BYTES)  # without a key, hashes of one call agree and can't be looked up
 
     def _reversible(self, scope: str) -> bool:
         return any(r.reversible and r.claims(scope) for r in self.policy.active().values())
@@ -30,20 +32,63 @@ class Shield:
         return self.vault.create_session(self.policy, int(time.time()) if now is None else now, metadata, self.key)
 
     def protect(self, df: DataFrame, text: str, row: str, scope: str = "*", now: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """`df` (session_id where values are to be reversible) with `protected_text`, and the mappings (null without any).
-        Blocked where a key or detector is missing."""
+        """`df` (session_id where values are to be reversible, or with a vault) with `protected_text`, and the mappings (null
+        without any). Blocked where a key or detector is missing.
+
+        With a vault, one commit stores the mappings, a detection per applied span and an audit event per row, before any text
+        can be read. Rows of unknown or expired sessions, and those for which a detector failed, get a null text; their
+        audit events say `blocked`.
+        """
         names = [d.name for d in self.options["found"]] if self.options else ["regex-v1"]
         self.policy.gate(names, scope, has_key=self.key is not None)
-        if not self._reversible(scope):
+        if self.vault is None and not self._reversible(scope):
             done = protect.protect(df, text, self.policy, scope=scope, key=self.key, into="_done", **self.options)
             return done.withColumn("protected_text", F.col("_done.text")).drop("_done"), None
-        marked = protect.marked(df, text, self.policy, scope, "_spans", **self.options)
-        spans = protect.spans_of(marked, ["session_id"], "_spans")
+        now = int(time.time()) if now is None else now
         if self.vault is not None:
-            mappings = self.vault.allocate(spans, self.policy, self.key, int(time.time()) if now is None else now)
-        else:
+            alive = live(self.vault.read("sessions"), now).select(F.col("id").alias("session_id"), F.lit(True).alias("_alive"))
+            df = df.join(alive, "session_id", "left")
+        found = protect.with_spans(df, text, self.policy, scope, into="_spans", **self.options)
+        if self.vault is not None:
+            found = found.withColumn("_spans", F.when(F.col("_alive"), F.col("_spans")))
+        marked = found.checkpoint()
+        spans, mappings = protect.spans_of(marked, ["session_id"], "_spans"), None
+        if self.vault is None:
             mappings = protect.allocate(spans, self.policy, self.key)
-        return protect.render_marked(marked, text, self.policy, mappings, self.key, row=row, spans="_spans"), mappings
+        elif self._reversible(scope):
+            mappings = self.vault.allocate(spans, self.policy, self.key, now, lambda placed: self._records(marked, text, placed, now))
+        else:
+            self.vault.append_all(self._records(marked, text, None, now))
+        shown = marked.drop("_alive")
+        if mappings is None:
+            rendered = shown.withColumn("protected_text", protect.rewrite(F.col(text), F.col("_spans"), lambda s: protect.choose(self.policy, s, self._digests, lambda x: x["value"]))).drop("_spans")
+        else:
+            rendered = protect.render_marked(shown, text, self.policy, mappings, self.key, row=row, spans="_spans")
+        return rendered, mappings
+
+    def _records(self, marked: DataFrame, text: str, placed: DataFrame | None, now: int) -> dict[str, DataFrame]:
+        """Rows of `detections` and `audit_events` for rows with their spans; `placed` are the mappings as stored."""
+        rows = marked.select("session_id", "_alive", source_digest(self._digests, F.coalesce(F.col(text), F.lit(""))).alias("source_hash"), "_spans")
+        spans = rows.select("session_id", "source_hash", F.explode("_spans").alias("s"))
+        applied = spans.select("session_id", "source_hash", "s.entity", "s.detector", "s.confidence_ppm", protect.action_of(self.policy, F.col("s.entity")).alias("action"), "s.start", "s.end", "s.value")
+        if placed is None:
+            applied = applied.withColumn("mapping_id", F.lit(None).cast("string"))
+        else:
+            known = placed.select("session_id", F.col("entity_type").alias("entity"), "original_hmac", "mapping_id")
+            hashed = applied.withColumn("original_hmac", fingerprint(self.key, F.col("session_id"), F.col("entity"), F.col("value")))
+            applied = hashed.join(known, ["session_id", "entity", "original_hmac"], "left")
+        done = F.col("_spans").isNotNull()
+        facts = {"policy": F.lit(self.policy.name), "policy_version": F.lit(self.policy.version), "source_hash": F.col("source_hash")}
+        reason = F.when(F.col("_alive"), "protection failed").otherwise("unknown or expired session")
+        detail = F.when(done, F.to_json(F.struct(F.size("_spans").alias("detections"), *(v.alias(k) for k, v in facts.items())))).otherwise(
+            F.to_json(F.struct(facts["policy"].alias("policy"), facts["policy_version"].alias("policy_version"), reason.alias("reason"), facts["source_hash"].alias("source_hash")))
+        )
+        events = rows.select(F.when(F.col("_alive"), F.col("session_id")).alias("session_id"), F.lit("transform").alias("event_type"), F.when(done, "protected").otherwise("blocked").alias("outcome"), detail.alias("detail"))
+        return {"detections": detection_rows(applied, self.policy, self._digests, now), "audit_events": audit_rows(events, now, self.policy.audit_retention_seconds)}
+
+    def summary(self, session: str, now: int | None = None) -> DataFrame:
+        """A session's live detections, counted."""
+        return self.vault.summary(session, int(time.time()) if now is None else now)
 
     def protect_json(self, df: DataFrame, row: str, json: str, session: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
         return json_trees.protect_trees(df, row, json, self.policy, key=self.key, session=session, **self.options)

@@ -1,23 +1,28 @@
 """The mapping vault: sessions, mappings, detections and audit events as tables, with expiry, uniqueness and cascades.
 
 Tables are DataFrames in, DataFrames out. `VaultStore` keeps them as Parquet in a folder, with numbered manifests that
-name their parts; `JdbcVault` keeps them in a database. Both do the same with sessions, mappings and audit events.
+name their parts; `vault_jdbc` keeps them in a database. Both do the same with sessions, mappings and audit events.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shieldframe.functions.actions import hmac_sha256, joined_with_nul
 from shieldframe.operators import protect, restore
-from shieldframe.policy import Blocked, Policy
+from shieldframe.policy import DAY, Blocked, Policy
 
+#: The tables' names and columns.
 SCHEMAS = {
     "sessions": "id string, policy_json string, metadata_encrypted binary, created_at long, expires_at long",
     "mappings": "id string, session_id string, entity_type string, original_hmac string, original_encrypted binary, replacement string, action string, created_at long, expires_at long",
@@ -25,6 +30,8 @@ SCHEMAS = {
     "audit_events": "id string, session_id string, event_type string, outcome string, detail_json string, created_at long, expires_at long",
 }
 MOST_TRIES = 8
+#: Parts under SMALL_BYTES are merged, MERGED at a time; what that replaces stays for KEPT more commits.
+SMALL_BYTES, MERGED, KEPT = 64 << 20, 16, 4
 PURGE_ORDER = ("audit_events", "detections", "mappings", "sessions")
 
 
@@ -128,28 +135,25 @@ def session_rows(requests: DataFrame, policy: Policy, now: int, key: bytes | Non
     return requests.select("id", F.lit(policy.to_json()).alias("policy_json"), sealed.alias("metadata_encrypted"), F.lit(now).cast("long").alias("created_at"), F.lit(now + lives).cast("long").alias("expires_at"))
 
 
-def mapping_rows(made: DataFrame, action: str, key: bytes, now: int, retention: int) -> DataFrame:
-    """Rows of `mappings` for (session_id, entity, value, replacement): originals fingerprinted and sealed, bound to their session
-    and id. The ids are drawn once: the rows are checkpointed."""
-    drawn = made.select(F.uuid().alias("id"), "session_id", F.col("entity").alias("entity_type"), "value", "replacement").checkpoint()
-    context = F.concat_ws(":", F.lit("mapping"), "session_id", "id")
-    return drawn.select(
-        "id", "session_id", "entity_type", fingerprint(key, F.col("session_id"), F.col("entity_type"), F.col("value")).alias("original_hmac"), _sealed(F.col("value"), key, context).alias("original_encrypted"),
-        "replacement", F.lit(action).alias("action"), F.lit(now).cast("long").alias("created_at"), F.lit(now + retention).cast("long").alias("expires_at"),
-    )
-
-
 def detection_rows(applied: DataFrame, policy: Policy, key: bytes, now: int) -> DataFrame:
-    """Rows of `detections` for accepted spans (session_id, text, entity, detector, confidence_ppm, action, start, end, mapping_id)."""
+    """Rows of `detections` for accepted spans (session_id, text or source_hash, entity, detector, confidence_ppm, action, start, end,
+    mapping_id)."""
+    hashed = F.col("source_hash") if "source_hash" in applied.columns else source_digest(key, F.col("text"))
     return applied.select(
         F.uuid().alias("id"), "session_id", "mapping_id", F.col("entity").alias("entity_type"), "detector", "confidence_ppm", "action", F.lit(policy.name).alias("policy_name"), F.lit(policy.version).alias("policy_version"),
-        source_digest(key, F.col("text")).alias("source_hash"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.audit_retention_seconds).cast("long").alias("expires_at"),
+        hashed.alias("source_hash"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.audit_retention_seconds).cast("long").alias("expires_at"),
     )
 
 
-def audit_rows(events: DataFrame, now: int, retention: int = 30 * 86_400) -> DataFrame:
-    """Rows of `audit_events` for (session_id, event_type, outcome, detail: map): details as canonical JSON."""
-    return events.select(F.uuid().alias("id"), "session_id", "event_type", "outcome", canonical_json(F.col("detail")).alias("detail_json"), F.lit(now).cast("long").alias("created_at"), F.lit(now + retention).cast("long").alias("expires_at"))
+def audit_rows(events: DataFrame, now: int, retention: int | Column = 30 * DAY) -> DataFrame:
+    """Rows of `audit_events` for (session_id, event_type, outcome, detail): a map as canonical JSON, or JSON as it is."""
+    detail = F.col("detail") if dict(events.dtypes)["detail"] == "string" else canonical_json(F.col("detail"))
+    until = F.lit(now) + (F.lit(retention) if isinstance(retention, int) else retention)
+    return events.select(F.uuid().alias("id"), "session_id", "event_type", "outcome", detail.alias("detail_json"), F.lit(now).cast("long").alias("created_at"), until.cast("long").alias("expires_at"))
+
+
+def _columns(name: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[name].split(", ")]
 
 
 def reverse_mappings(sessions: DataFrame, mappings: DataFrame, key: bytes, now: int) -> DataFrame:
@@ -161,20 +165,45 @@ def reverse_mappings(sessions: DataFrame, mappings: DataFrame, key: bytes, now:
     return own.select("session_id", F.col("entity_type").alias("entity"), value.alias("value"), "replacement").where("value is not null")
 
 
+class MappingCollision(Exception):
+    """A replacement already stands for another value of the session."""
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the vault in between."""
+
+
 class Vault:
-    """What both kinds of vault do with their tables. Subclasses read, append and replace; one writer at a time."""
+    """What both kinds of vault do with their tables. Subclasses read, append several tables in one commit, and erase.
+
+    Values are found by their fingerprints. Nothing of a session is opened for another one, and what is checkpointed on the way
+    holds fingerprints, replacements and sealed originals only.
+    """
 
     spark: SparkSession
 
     def read(self, name: str) -> DataFrame:
         raise NotImplementedError
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def mark(self) -> object:
+        """What `append_all` compares to see whether mappings were added since."""
         raise NotImplementedError
 
-    def apply(self, tables: Mapping[str, DataFrame]) -> None:
+    def append_all(self, tables: Mapping[str, DataFrame], unchanged: object = None) -> None:
+        """Adds rows to several tables: all of them or none. With `unchanged` (of `mark`) raises Conflict if mappings were added."""
         raise NotImplementedError
 
+    def purge(self, now: int) -> dict[str, int]:
+        """Erases what has expired, with what hangs on it; the numbers of expired rows by table."""
+        raise NotImplementedError
+
+    def delete(self, session: str) -> bool:
+        """Erases a session with its mappings and detections, and its name from audit events; whether there was one."""
+        raise NotImplementedError
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.append_all({name: rows})
+
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.read(n) for n in SCHEMAS}
 
@@ -193,75 +222,82 @@ class Vault:
             self.delete(session)
         raise KeyError(f"unknown or expired session: {session}")
 
-    def store_mappings(self, made: DataFrame, policy: Policy, action: str, key: bytes, now: int) -> DataFrame:
-        """Stores mappings for (session_id, entity, value, replacement) and gives each with its id: the one stored, or that of the
-        live one which its value has already. Raises MappingCollision where a replacement is another value's."""
-        known = self.read("mappings")
-        offered = mapping_rows(made, action, key, now, policy.mapping_retention_seconds).checkpoint()
-        fresh = new_mappings(offered, known, now).checkpoint()
-        on = ["session_id", "entity_type", "original_hmac"]
-        every = fresh.select(*on, F.col("id").alias("mapping_id"), "replacement").unionByName(live(known, now).select(*on, F.col("id").alias("mapping_id"), "replacement"))
-        placed = offered.select(*on, F.col("replacement").alias("offered")).distinct().join(every, on, "left").checkpoint()
-        if not placed.where("mapping_id is null").isEmpty():
+    def summary(self, session: str, now: int) -> DataFrame:
+        """`session_summary` of a live session; KeyError for others."""
+        self.policy_for(session, now)
+        return session_summary(self.read("detections"), now, session)
+
+    def find(self, requests: DataFrame, key: bytes, now: int) -> DataFrame:
+        """`requests` (session_id, entity, value) with the mapping_id and replacement of the value's live mapping, or nulls."""
+        asked = requests.withColumns({"entity_type": F.col("entity"), "original_hmac": fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value"))})
+        return find_mappings(asked, self.read("mappings"), now).select(*requests.columns, "mapping_id", "replacement")
+
+    def store_mappings(self, made: DataFrame, policy: Policy, action: str | Column, key: bytes, now: int, also: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None) -> DataFrame:
+        """Stores mappings for (session_id, entity, value, replacement) and gives (session_id, entity_type, original_hmac, mapping_id,
+        replacement): the one stored, or the live one that its value has already. `also` makes rows of other tables from
+        those; all go into one commit. Raises MappingCollision where a replacement is another value's, Conflict where mappings
+        were added meanwhile."""
+        mark, on = self.mark(), ["session_id", "entity_type", "original_hmac"]
+        known = live(self.read("mappings"), now)
+        hashed = made.select("session_id", F.col("entity").alias("entity_type"), fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value")).alias("original_hmac"), "value", "replacement")
+        action = F.lit(action) if isinstance(action, str) else action
+        offered = hashed.groupBy(*on).agg(F.min("replacement").alias("offered")).withColumn("id", F.uuid())
+        placed = find_mappings(offered, known, now).select(*on, F.coalesce("mapping_id", "id").alias("mapping_id"), F.coalesce("replacement", "offered").alias("replacement"), F.col("mapping_id").isNull().alias("fresh")).checkpoint()
+        fresh = placed.where("fresh")
+        twice = fresh.groupBy("session_id", "replacement").count().where("count > 1").select("session_id", "replacement")
+        if not fresh.join(known, ["session_id", "replacement"], "left_semi").select("session_id", "replacement").union(twice).isEmpty():
             raise MappingCollision("a replacement is taken by another value")
-        dead = known.where(F.col("expires_at") <= now)
-        if not dead.join(fresh, on, "left_semi").isEmpty() or not dead.join(fresh, ["session_id", "replacement"], "left_semi").isEmpty():
-            self.apply({"mappings": live(known, now).checkpoint()})  # expired rows give way, as the unique keys count them
-        self.append("mappings", fresh)
-        return placed.drop("offered")
-
-    def allocate(self, spans: DataFrame, policy: Policy, key: bytes, now: int) -> DataFrame:
-        """Mappings (session_id, entity, value, replacement) for the reversible values of a span table, stored before they are
-        given: live ones are used again, new ones are drawn, up to `MOST_TRIES` times where a draw collides. Then Blocked."""
+        values = hashed.select(*on, "value").dropDuplicates(on)
+        rows = values.join(fresh, on).select(
+            F.col("mapping_id").alias("id"), *on, _sealed(F.col("value"), key, F.concat_ws(":", F.lit("mapping"), "session_id", "mapping_id")).alias("original_encrypted"), "replacement",
+            action.alias("action"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.mapping_retention_seconds).cast("long").alias("expires_at"),
+        )
+        placed = placed.drop("fresh")
+        self.append_all({"mappings": rows} | dict(also(placed) if also else {}), mark)
+        return placed
+
+    def allocate(self, spans: DataFrame, policy: Policy, key: bytes, now: int, also: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None) -> DataFrame:
+        """Mappings (session_id, entity, value, replacement, mapping_id) for the reversible values of a span table, and of no others,
+        stored before they are given: live ones are used again, new ones are drawn. Up to `MOST_TRIES` times where a draw
+        collides or another writer was first; then Blocked."""
+        rules = {e: r for e, r in policy.active().items() if r.reversible}
+        values = spans.where(F.col("entity").isin(*rules)).select("session_id", "entity", "value").distinct()
         for _ in range(MOST_TRIES):
-            known = reverse_mappings(self.read("sessions"), self.read("mappings"), key, now).checkpoint()
-            made = protect.allocate(spans, policy, key, known)
-            fresh = made.join(known, ["session_id", "entity", "value"], "left_anti").checkpoint()
+            drawn = protect.with_replacements(values, policy, key)
             try:
-                for action in sorted({r.action for r in policy.active().values() if r.reversible}):
-                    entities = [e for e, r in policy.active().items() if r.reversible and r.action == action]
-                    self.store_mappings(fresh.where(F.col("entity").isin(*entities)), policy, action, key, now)
-            except MappingCollision:
+                placed = self.store_mappings(drawn, policy, protect.action_of(policy, F.col("entity_type")), key, now, also)
+            except (MappingCollision, Conflict):
                 continue
-            return made
+            mine = values.withColumns({"entity_type": F.col("entity"), "original_hmac": fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value"))})
+            return mine.join(placed, ["session_id", "entity_type", "original_hmac"]).select("session_id", "entity", "value", "replacement", "mapping_id")
         raise Blocked("no free replacement was found")
 
     def restore(self, df: DataFrame, text: str, key: bytes, now: int, row: str, into: str = "restored") -> DataFrame:
-        """`df` (session_id, ...) with its texts restored from live mappings only; an audit event per session says how many rows."""
-        mappings = reverse_mappings(self.read("sessions"), self.read("mappings"), key, now).checkpoint()
-        out = restore.restore_found(df, text, mappings, row=row, into=into).checkpoint()
-        counts = out.groupBy("session_id").agg(F.count("*").alias("n"), F.count(F.when(~F.col(text).eqNullSafe(F.col(into)), 1)).alias("changed"))
-        known = self.read("sessions").select(F.col("id").alias("session_id"))
-        detail = F.create_map(F.lit("rows"), F.col("n").cast("string"), F.lit("changed"), F.col("changed").cast("string"))
-        self.append("audit_events", audit_rows(counts.join(known, "session_id", "left_semi").select("session_id", F.lit("restore").alias("event_type"), F.lit("ok").alias("outcome"), detail.alias("detail")), now).checkpoint())
-        return out
-
-    def purge(self, now: int) -> dict[str, int]:
-        """Deletes what has expired, with what hangs on it; the numbers of expired rows by table."""
-        tables = self.tables()
-        counts = {r["table"]: r["purged"] for r in purge_counts(tables, now).collect()}
-        self.apply({n: t.checkpoint() for n, t in purge(tables, now).items()})
-        return counts
-
-    def delete(self, session: str) -> bool:
-        """Deletes a session with its mappings and detections; whether there was one."""
-        tables = self.tables()
-        if tables["sessions"].where(F.col("id") == session).isEmpty():
-            return False
-        self.apply({n: t.checkpoint() for n, t in delete_session(tables, session).items()})
-        return True
-
-
-class MappingCollision(Exception):
-    """A replacement already stands for another value of the session."""
+        """`df` (session_id, ...) with its texts restored from live mappings of their live sessions. Before anything is shown, an
+        audit event with the keyed hash of its text is stored for each row of a live session.
+
+        Mappings are joined by the tokens in a row's text first; only what they hit is opened, and only when the result is read.
+        """
+        sessions = live(self.read("sessions"), now).select(F.col("id").alias("session_id"), F.get_json_object("policy_json", "$.audit_retention_seconds").cast("long").alias("_keep"))
+        mappings = live(self.read("mappings"), now).join(sessions, "session_id", "left_semi")
+        known = mappings.select("session_id", "replacement", F.concat_ws(":", F.lit("mapping"), "session_id", "id").alias("_context"), F.col("original_encrypted").alias("_sealed"))
+        hits = restore.token_pairs(df, text, known, row=row, columns=["_context", "_sealed"]).checkpoint()
+        pairs = hits.select(row, "replacement", _opened(F.col("_sealed"), key, F.col("_context")).alias("value")).where("value is not null")
+        hashed = hmac_sha256(key, joined_with_nul("restore", F.coalesce(F.col(text), F.lit(""))))
+        events = df.select("session_id", hashed.alias("_h")).join(sessions, "session_id").select("session_id", F.lit("restore").alias("event_type"), F.lit("restored").alias("outcome"), F.to_json(F.struct(F.col("_h").alias("input_hash"))).alias("detail"), "_keep")
+        self.append("audit_events", audit_rows(events, now, F.coalesce("_keep", F.lit(DAY * 30))))
+        return restore.with_pairs(df, text, pairs, row=row, into=into)
 
 
 class VaultStore(Vault):
-    """The four tables in a folder. A table is the list of part folders that the newest manifest names.
-
-    An append writes one new part and a manifest with it added; nothing is rewritten. A change of several tables writes
-    all parts first and then one manifest for all of them, which appears under its name by a rename: readers see all of a
-    change or nothing. Manifests are numbered; a number that is taken fails the writer, who hasn't changed anything then.
+    """The four tables in a folder. A table is the list of parts that the newest manifest names, each with its earliest and
+    latest expiry.
+
+    A change of several tables writes all new parts first and then one manifest, so readers see all of it or nothing.
+    Manifests are numbered; the writer that is second to a number tries again on what the first one left. Small parts of
+    one day's expiry are merged, and what merging replaces is removed `KEPT` commits later, as readers may still have it open.
+    Erasing drops parts whose rows have all expired, rewrites those in which only some rows go, and then removes
+    what it replaced and all older manifests at once: a reader that has those open fails rather than sees erased rows.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -269,72 +305,233 @@ class VaultStore(Vault):
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
-        """The newest manifest's number and the parts of each table."""
+    def _numbers(self) -> list[int]:
         folder = self._path(f"{self.folder}/_manifests")
         if not self._fs.exists(folder):
-            return 0, {n: [] for n in SCHEMAS}
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return 0, {n: [] for n in SCHEMAS}
-        line = self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).first()[0]
-        return int(names[-1].removesuffix(".json")), json.loads(line)
-
-    def _commit(self, number: int, parts: Mapping[str, list[str]]) -> None:
-        target = f"{self.folder}/_manifests/{number:012d}.json"
-        draft = self._path(f"{self.folder}/_manifests/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft)
-        stream.write(bytearray(json.dumps(dict(parts), sort_keys=True).encode()))
-        stream.close()
-        if self._fs.exists(self._path(target)) or not self._fs.rename(draft, self._path(target)):
-            self._fs.delete(draft, False)
-            raise RuntimeError("another writer changed the vault")
-
-    def _write(self, name: str, rows: DataFrame) -> str:
-        part = f"{name}/p-{uuid.uuid4().hex}"
-        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.folder}/{part}")
-        return part
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def _load(self, number: int) -> str:
+        stream = self._fs.open(self._path(f"{self.folder}/_manifests/{number:012d}.json"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The newest manifest's number, the parts of each table, and what waits for its removal."""
+        for _ in range(MOST_TRIES):
+            numbers = self._numbers()
+            if not numbers:
+                return 0, {"tables": {n: [] for n in SCHEMAS}, "retired": []}
+            try:
+                return numbers[-1], json.loads(self._load(numbers[-1]))
+            except Exception:  # noqa: BLE001 - erased between the two steps: look again
+                if numbers[-1] in self._numbers():
+                    raise
+        raise Conflict("the vault changes too fast to be read")
+
+    def _commit(self, number: int, manifest: dict) -> None:
+        """Writes a manifest that nobody else has written: by a hard link or a rename, which fail where the name is taken, or by
+        a store's own creation of absent objects. What is there afterwards has to be ours."""
+        body = json.dumps(manifest | {"writer": uuid.uuid4().hex}, sort_keys=True)
+        target, draft = (self._path(f"{self.folder}/_manifests/{n}") for n in (f"{number:012d}.json", f".{uuid.uuid4().hex}"))
+        scheme = self._fs.getUri().getScheme()
+        direct = scheme not in ("file", "hdfs", "viewfs")
+        try:
+            if self._fs.exists(target):
+                raise Conflict("another writer changed the vault")
+            stream = self._fs.create(target if direct else draft, False)
+            stream.write(bytearray(body.encode()))
+            stream.close()
+            if scheme == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            elif not direct and not self._fs.rename(draft, target):
+                raise Conflict("another writer changed the vault")
+        except (FileExistsError, Py4JJavaError) as e:
+            if not self._fs.exists(target):
+                raise
+            raise Conflict("another writer changed the vault") from e
+        finally:
+            if not direct:
+                self._fs.delete(draft, False)
+        if self._load(number) != body:
+            raise Conflict("another writer changed the vault")
+
+    def _change(self, make: Callable[[dict[str, list[dict]]], dict[str, list[dict]]], written: list[dict], erase: bool = False) -> None:
+        """Commits make(parts by table), tried again where another writer was first. Parts in `written` are removed if it fails."""
+        try:
+            for _ in range(MOST_TRIES):
+                number, old = self._manifest()
+                new = make({n: list(old["tables"].get(n, [])) for n in SCHEMAS})
+                held = {p["path"] for ps in new.values() for p in ps}
+                gone = [p["path"] for ps in old["tables"].values() for p in ps if p["path"] not in held]
+                due = number + 1 if erase else number + 1 + KEPT
+                waits = [[number + 1 if erase else at, p] for at, p in old["retired"] if at >= number]
+                manifest = {"tables": new, "retired": waits + [[due, p] for p in gone]}
+                try:
+                    self._commit(number + 1, manifest)
+                except Conflict:
+                    continue
+                written.clear()
+                self._remove([p for at, p in manifest["retired"] if at <= number + 1])
+                for n in self._numbers():
+                    if n <= number + 1 - (1 if erase else KEPT):
+                        self._fs.delete(self._path(f"{self.folder}/_manifests/{n:012d}.json"), False)
+                return
+            raise Conflict("other writers were always first")
+        finally:
+            self._remove([p["path"] for p in written])
+
+    def _remove(self, paths: Iterable[str]) -> None:
+        for p in paths:
+            self._fs.delete(self._path(f"{self.folder}/{p}"), True)
+
+    def _write(self, name: str, rows: DataFrame, written: list[dict]) -> list[dict]:
+        """A new part with the rows, noted in `written`; none if there are no rows."""
+        part, seen = {"path": f"{name}/p-{uuid.uuid4().hex}"}, Observation()
+        written.append(part)
+        counted = rows.select(*_columns(name)).observe(seen, F.count(F.lit(1)).alias("rows"), F.min("expires_at").alias("least"), F.max("expires_at").alias("most"))
+        counted.write.parquet(f"{self.folder}/{part['path']}")
+        part |= {"rows": 0} | seen.get
+        part["bytes"] = self._fs.getContentSummary(self._path(f"{self.folder}/{part['path']}")).getLength()
+        if part["rows"]:
+            return [part]
+        self._remove([part["path"]])
+        return []
+
+    def _frame(self, name: str, parts: Iterable[dict]) -> DataFrame:
+        paths = [f"{self.folder}/{p['path']}" for p in parts]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def read(self, name: str) -> DataFrame:
         """A table as the newest manifest has it."""
-        _, parts = self._manifest()
-        paths = [f"{self.folder}/{p}" for p in parts[name]]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        number, parts = self._manifest()
-        self._commit(number + 1, parts | {name: [*parts[name], self._write(name, rows)]})
+        return self._frame(name, self._manifest()[1]["tables"].get(name, []))
+
+    def mark(self) -> object:
+        return self._manifest()[1]["tables"].get("mappings", [])
+
+    def append_all(self, tables: Mapping[str, DataFrame], unchanged: object = None) -> None:
+        written: list[dict] = []
+        new = {name: self._write(name, rows, written) for name, rows in tables.items()}
+
+        def make(parts: dict[str, list[dict]]) -> dict[str, list[dict]]:
+            if unchanged is not None and {p["path"] for p in parts["mappings"]} - {p["path"] for p in unchanged}:
+                raise Stale("mappings were added meanwhile")
+            return {n: ps + new.get(n, []) for n, ps in parts.items()}
+
+        try:
+            self._change(make, written)
+        except Stale as e:
+            raise Conflict(str(e)) from e
+        self._merge()
+
+    def _merge(self) -> None:
+        """Puts small parts of a table together where `MERGED` of them expire on one day."""
+        for name, parts in self._manifest()[1]["tables"].items():
+            days: dict[int, list[dict]] = {}
+            for p in parts:
+                if p["bytes"] < SMALL_BYTES:
+                    days.setdefault(p["most"] // DAY, []).append(p)
+            for small in days.values():
+                if len(small) >= MERGED:
+                    written: list[dict] = []
+                    paths = {p["path"] for p in small}
+                    whole = self._write(name, self._frame(name, small).hint("rebalance"), written)
+
+                    def make(now: dict[str, list[dict]], name=name, paths=paths, whole=whole) -> dict[str, list[dict]]:
+                        if not paths <= {p["path"] for p in now[name]}:
+                            raise Stale("another writer merged them")
+                        return now | {name: [p for p in now[name] if p["path"] not in paths] + whole}
+
+                    with contextlib.suppress(Conflict, Stale):
+                        self._change(make, written)
+
+    def _holding(self, name: str, parts: list[dict], column: str, keys: DataFrame) -> set[str]:
+        """The parts with rows whose `column` is in `keys` (of one column): as many as there are parts at most."""
+        if not parts:
+            return set()
+        rows = self._frame(name, parts).select(F.col(column).alias("_key"), F.regexp_extract(F.col("_metadata.file_path"), f"{name}/p-[0-9a-f]{{32}}", 0).alias("_part"))
+        return {r["_part"] for r in rows.join(keys.toDF("_key"), "_key", "left_semi").select("_part").distinct().collect()}
+
+    def _erase(self, gone_of: Callable[[DataFrame], DataFrame], now: int | None) -> dict[str, int]:
+        """Erases the sessions that gone_of(sessions) names, with what hangs on them, and what has expired at `now`."""
+        written: list[dict] = []
+        counts: dict[str, int] = {}
+
+        def make(parts: dict[str, list[dict]]) -> dict[str, list[dict]]:
+            self._remove([p["path"] for p in written])
+            written.clear()
+            alive = (lambda df: df) if now is None else (lambda df: live(df, now))
+            dead = {n: [p for p in ps if now is not None and p["most"] <= now] for n, ps in parts.items()}
+            mixed = {n: [p for p in ps if now is not None and p["least"] <= now < p["most"]] for n, ps in parts.items()}
+            for n in parts:
+                counts[n] = sum(p["rows"] for p in dead[n]) + (self._frame(n, mixed[n]).where(F.col("expires_at") <= now).count() if mixed[n] else 0)
+            gone = gone_of(self._frame("sessions", parts["sessions"]))
+            some = not gone.isEmpty()
+            lost = self._frame("mappings", dead["mappings"] + mixed["mappings"]).where(F.col("expires_at") <= (now or 0)).select("id")
+            out = {}
+            for n, ps in parts.items():
+                kept = [p for p in ps if p not in dead[n]]
+                hit = {p["path"] for p in mixed[n]}
+                if some:
+                    hit |= self._holding(n, kept, "id" if n == "sessions" else "session_id", gone)
+                if n == "detections" and counts["mappings"]:
+                    hit |= self._holding(n, kept, "mapping_id", lost)
+                rows = alive(self._frame(n, [p for p in kept if p["path"] in hit]))
+                if n == "audit_events":
+                    rows = rows.join(gone.toDF("_gone"), F.col("session_id") == F.col("_gone"), "left").withColumn("session_id", F.when(F.col("_gone").isNull(), F.col("session_id")))
+                else:
+                    rows = rows.join(gone.toDF("_gone"), F.col("id" if n == "sessions" else "session_id") == F.col("_gone"), "left_anti")
+                if n == "detections":
+                    rows = rows.join(lost.toDF("_lost"), F.col("mapping_id") == F.col("_lost"), "left").withColumn("mapping_id", F.when(F.col("_lost").isNull(), F.col("mapping_id")))
+                out[n] = [p for p in kept if p["path"] not in hit] + (self._write(n, rows, written) if hit else [])
+            return out
+
+        self._change(make, written, erase=True)
+        return counts
 
-    def apply(self, tables: Mapping[str, DataFrame]) -> None:
-        number, parts = self._manifest()
-        self._commit(number + 1, parts | {name: [self._write(name, rows)] for name, rows in tables.items()})
+    def purge(self, now: int) -> dict[str, int]:
+        counts = self._erase(lambda sessions: sessions.where(F.col("expires_at") <= now).select("id"), now)
+        self.vacuum()
+        return counts
 
+    def delete(self, session: str) -> bool:
+        if self.read("sessions").where(F.col("id") == session).isEmpty():
+            return False
+        self._erase(lambda sessions: self.spark.createDataFrame([(session,)], "id string"), None)
+        return True
 
-def open_vault(spark: SparkSession, target: str) -> VaultStore | JdbcVault:
-    """A vault by its address: a PostgreSQL URL or a folder."""
-    if target.startswith(("postgres://", "postgresql://", "jdbc:postgresql:")):
+    def apply(self, tables: Mapping[str, DataFrame]) -> None:
+        """Replaces whole tables; what was there is erased."""
+        written: list[dict] = []
+        new = {name: self._write(name, rows, written) for name, rows in tables.items()}
+        self._change(lambda parts: parts | new, written, erase=True)
+
+    def vacuum(self, seconds: int = DAY) -> int:
+        """Removes parts that no manifest names and that are older than `seconds`: what writers that died have left. How many."""
+        number, manifest = self._manifest()
+        named = {p["path"] for ps in manifest["tables"].values() for p in ps} | {p for _, p in manifest["retired"]}
+        before, found = (time.time() - seconds) * 1000, []
+        for name in SCHEMAS:
+            folder = self._path(f"{self.folder}/{name}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+                path = f"{name}/{s.getPath().getName()}"
+                if path not in named and s.getModificationTime() <= before:
+                    found.append(path)
+        self._remove(found)
+        return len(found)
+
+
+class Stale(Exception):
+    """A change no longer fits what is there; trying it again doesn't help."""
+
+
+def open_vault(spark: SparkSession, target: str) -> Vault:
+    """A vault by its address: a JDBC or PostgreSQL URL, or a folder."""
+    from shieldframe.operators.vault_jdbc import JdbcVault
+
+    if target.startswith(("postgres://", "postgresql://", "jdbc:")):
         return JdbcVault(spark, target)
     return VaultStore(spark, target)
-
-
-class JdbcVault(Vault):
-    """The same tables in PostgreSQL through Spark's JDBC source; needs the driver's jar on the class path.
-
-    A table is replaced by truncating and refilling it (its rows are checkpointed before), so its definition, keys and
-    indexes stay. JDBC writes of several tables are no one transaction: a failed purge or delete is repeated.
-    """
-
-    def __init__(self, spark: SparkSession, url: str, **options: str):
-        self.spark, self.options = spark, options
-        self.url = url if url.startswith("jdbc:") else "jdbc:postgresql://" + url.split("://", 1)[1]
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.format("jdbc").options(url=self.url, dbtable=name, **self.options).mode("append").save()
-
-    def apply(self, tables: Mapping[str, DataFrame]) -> None:
-        for name in reversed(PURGE_ORDER):  # parents before what refers to them
-            if name in tables:
-                tables[name].write.format("jdbc").options(url=self.url, dbtable=name, truncate="true", cascadeTruncate="false", **self.options).mode("overwrite").save()

@@ -694,7 +694,7 @@ def webhook_signatures(spark, sf_dir):
 
 @query(
     """with t as (select user_id, event_type, floor(epoch(ts))::bigint t from events),
-    f as (select user_id, list_reduce(list(t order by t), lambda a, x: case when x - a.last > 300 then {'last': x, 'n': a.n + 1} else a end, {'last': -1000000::bigint, 'n': 0::bigint}) a from t group by user_id, event_type)
+    f as (select user_id, list_reduce(list(t order by t), lambda a, x: case when x - a.last >= 300 then {'last': x, 'n': a.n + 1} else a end, {'last': -1000000::bigint, 'n': 0::bigint}) a from t group by user_id, event_type)
     select user_id, sum(a.n)::bigint n from f group by 1"""
 )
 def replay_first(spark, sf_dir):
@@ -703,6 +703,31 @@ def replay_first(spark, sf_dir):
     return webhooks.first_deliveries(rows, "delivery", "t").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+_SIGNED = "event_id % 5 != 0"
+
+
+@query(
+    f"""with e as (select event_id, floor(epoch(ts))::bigint at_, user_id || '/' || event_type id, {_SIGNED} signed,
+     case event_id % 7 when 0 then -301 when 1 then 301 when 2 then 300 when 3 then -300 else 0 end skew from events),
+    w as (select *, at_ + skew sent, case when event_id % 13 = 0 then 'body_not_an_object' when event_id % 11 = 0 then 'bad_headers' when abs(skew) > 300 then 'out_of_tolerance' end why from e),
+    f as (select list_reduce(list({{'at_': at_, 'sent': sent, 'signed': signed, 'event_id': event_id}} order by at_, signed, sent), lambda a, x: {{'until': case when a.until <= x.at_ and x.signed then greatest(x.at_, x.sent) + 300 else a.until end,
+      'out': list_append(a.out, {{'event_id': x.event_id, 'outcome': case when a.until > x.at_ then 'replayed' when not x.signed then 'bad_signature' else 'accepted' end}})}},
+      {{'until': 0::bigint, 'out': []::struct(event_id bigint, outcome varchar)[]}}).out o from w where why is null group by id)
+    select event_id, why outcome from w where why is not null union all select u.event_id, u.outcome from (select unnest(o) u from f)"""
+)
+def webhook_outcomes(spark, sf_dir):
+    """Every event as a delivery, some with broken bodies, ids, times or signatures; one user's events of a type share an id."""
+    e = _table(spark, sf_dir, "events").withColumns({"at": F.unix_timestamp("ts"), "n": F.col("event_id")})
+    hashed = F.md5(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").cast("binary"))
+    named = F.when(F.col("n") % 3 == 0, F.upper(hashed)).otherwise(F.concat(F.lit("urn:uuid:"), hashed))
+    skew = F.element_at(F.array(*map(F.lit, (-301, 301, 300, -300, 0, 0, 0))), (F.col("n") % 7 + 1).cast("int"))
+    body = F.when(F.col("n") % 26 == 0, "[{}]").when(F.col("n") % 13 == 0, '{"k":1} {').otherwise(F.to_json(F.struct(F.col("n").alias("k"))))
+    sent = e.select("event_id", "n", "at", body.alias("body"), (F.col("at") + skew).cast("string").alias("timestamp"), F.when(F.col("n") % 11 == 0, "no-id").otherwise(named).alias("delivery"))
+    keys = F.when(F.expr(_SIGNED), F.lit(0)).otherwise(F.lit(1))
+    signed = [webhooks.signature(k, F.col("timestamp"), webhooks.delivery_id(F.col("delivery")), F.col("body")) for k in (KEY, bytes([1]) * 32)]
+    return webhooks.verified(sent.withColumn("signature", F.coalesce(F.when(keys == 0, signed[0]).otherwise(signed[1]), F.lit("none"))), KEY).select("event_id", "outcome")
+
+
 #: What the presets are to do, entity by entity, as plain rows.
 _PRESET_ROWS = """('balanced', 'API_KEY', 'redact'), ('balanced', 'DATE_TIME', 'generalize'), ('balanced', 'MONEY', 'generalize'), ('balanced', 'URL', 'keep'),
  ('strict', 'API_KEY', 'redact'), ('strict', 'CREDIT_CARD', 'redact'), ('strict', 'US_SSN', 'redact'), ('strict', 'IBAN_CODE', 'redact'), ('strict', 'US_BANK_NUMBER', 'redact'), ('strict', 'PASSPORT', 'redact'), ('strict', 'DRIVER_LICENSE', 'redact'), ('strict', 'MEDICAL_LICENSE', 'redact'),

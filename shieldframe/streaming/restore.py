@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+import time
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from shieldframe.operators.shield import Shield
 
 MOST_HELD = 512
+#: Characters before a token that stay with it: the longest value that a rule shows in front of its token.
+LEAD = 128
+#: A stream that gets no chunk for so long is forgotten.
+IDLE_SECONDS = 86_400
 _TOKEN = re.compile(r"\[\[ ?PG1 ?\| ?([A-Z_]+) ?\| ?([A-Z2-7]{26}) ?\| ?([A-Z2-7]{16}) ?\]\]", re.IGNORECASE | re.ASCII)
 
 
@@ -83,11 +91,11 @@ class Restorer:
 class RestoreProcessor(StatefulProcessor):
     """State per stream: what is held back, and whether it is finished. Chunks of a batch go in order of seq."""
 
-    def __init__(self, reverse: Mapping[str, str]):
-        self.reverse = dict(reverse)
+    def __init__(self, reverse: Mapping[str, str], idle_seconds: int):
+        self.reverse, self.idle_seconds = dict(reverse), idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "held string, finished boolean")
+        self.state = handle.getValueState("held", "held string, finished boolean", self.idle_seconds * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         chunks = pd.concat(rows).sort_values("seq", kind="stable")
@@ -104,10 +112,72 @@ class RestoreProcessor(StatefulProcessor):
         pass
 
 
-def restore_streams(chunks: DataFrame, reverse: Mapping[str, str]) -> DataFrame:
+def restore_streams(chunks: DataFrame, reverse: Mapping[str, str], idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """chunks (stream_id, seq, chunk, is_last) of a streaming or batch DataFrame to (stream_id, seq, text). A chunk after the
-    last one fails the query. Needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(reverse), "stream_id string, seq long, text string", "Append", "None")
+    last one fails the query. What is known of a stream is forgotten `idle_seconds` after its latest chunk, finished
+    or not. Needs the RocksDB state store."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(reverse, idle_seconds), "stream_id string, seq long, text string", "Append", "ProcessingTime")
+
+
+class PieceProcessor(StatefulProcessor):
+    """State per stream: its session, and the end of its text that may still belong to a token."""
+
+    def __init__(self, lead: int, idle_seconds: int):
+        self.lead, self.idle_seconds = lead, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", "session_id string, held string, finished boolean", self.idle_seconds * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        chunks = pd.concat(rows).sort_values("seq", kind="stable")
+        session, held, finished = self.state.get() if self.state.exists() else (chunks["session_id"].iloc[0], "", False)
+        out = []
+        for c in chunks.itertuples(index=False):
+            if finished or c.session_id != session:
+                raise RuntimeError("the stream is finished, or belongs to another session")
+            held += c.chunk or ""
+            cut = len(held) if c.is_last else max(0, min(_open_token(held), len(held) - self.lead))
+            inside = next((m.start() for m in _TOKEN.finditer(held) if m.start() < cut + self.lead and m.end() > cut), None) if not c.is_last else None
+            cut = cut if inside is None else max(0, inside - self.lead)
+            out.append((key[0], session, c.seq, held[:cut]))
+            held, finished = held[cut:], bool(c.is_last)
+        self.state.update((session, held, finished))
+        yield pd.DataFrame(out, columns=["stream_id", "session_id", "seq", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def _open_token(text: str) -> int:
+    """Where a token begins that isn't finished; the length of the text, if there is none."""
+    at = text.rfind("[[", max(0, len(text) - MOST_HELD))
+    if at >= 0 and "]]" not in text[at:]:
+        return at
+    return len(text) - 1 if text.endswith("[") else len(text)
+
+
+def pieces(chunks: DataFrame, lead: int = LEAD, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """chunks (stream_id, session_id, seq, chunk, is_last) to (stream_id, session_id, seq, text): the same text, cut where neither
+    a token nor the `lead` characters before it are parted, so that each piece can be restored by itself. A chunk after the
+    last one, or of another session, fails the query. Needs the RocksDB state store."""
+    schema = "stream_id string, session_id string, seq long, text string"
+    return chunks.groupBy("stream_id").transformWithStateInPandas(PieceProcessor(lead, idle_seconds), schema, "Append", "ProcessingTime")
+
+
+def restore_sessions(chunks: DataFrame, shield: Shield, folder: str, checkpoint: str, *, now: Callable[[], int] = lambda: int(time.time()), lead: int = LEAD, idle_seconds: int = IDLE_SECONDS, **trigger) -> StreamingQuery:
+    """Starts a query that restores each stream from its session's live mappings in the vault, as they are at each batch, and
+    writes (stream_id, session_id, seq, restored) as Parquet, a folder per micro-batch. A batch that is done again
+    replaces its folder. Restoring is audited as `Shield.restore` does."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("_row", F.to_json(F.struct("stream_id", "seq"))).persist()  # the state moves on once a batch
+        try:
+            back = shield.restore(rows, "text", "_row", now=now())
+            back.select("stream_id", "session_id", "seq", "restored").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return pieces(chunks, lead, idle_seconds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def restore_batch(chunks: DataFrame, reverse: Mapping[str, str]) -> DataFrame:

@@ -83,10 +83,10 @@ def test_tokens_round_trip_and_are_tolerant(spark):
     shown = protect.render(df, "t", policy, maps, KEY, row="id").cache()
     texts = {r.id: r.protected_text for r in shown.collect()}
     assert "example.com" not in texts[1] + texts[3] and texts[2] is None and texts[1][5:60] == texts[1].split(" or ")[1][:55]
-    back = {r.id: r.restored for r in restore.restore_by_join(shown, "protected_text", maps).collect()}
+    back = {r.id: r.restored for r in restore.restore_found(shown, "protected_text", maps, row="id").collect()}
     assert back == {1: "call a@example.com or a@example.com", 2: None, 3: "a@example.com"}
     loose = spark.createDataFrame([("t", texts[3].lower().replace("|", " | ").replace("[[", "[[ ").replace("]]", " ]]")), ("t", texts[3].replace("|", "  |")), ("t", "[[PG1|PERSON|" + "A" * 26 + "|" + "B" * 16 + "]]")], "session_id string, x string")
-    got = {r.x: r.restored for r in restore.restore_by_join(loose, "x", maps).collect()}
+    got = {r.x: r.restored for r in restore.restore_found(loose, "x", maps, row="x").collect()}
     assert list(got.values()).count("a@example.com") == 1 and sum(k == v for k, v in got.items()) == 2
 
 
