@@ -89,9 +89,10 @@ RECOGNIZERS = (
 )
 
 
-def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detector: str) -> Column:
+def matches(text: Column, pattern: Column | str, entity: Column | str, confidence_ppm: int, detector: str) -> Column:
     """Every leftmost, non-overlapping match as a span. The pattern must consume at least one character."""
     none = F.array().cast(SPANS)
+    of, regex = (F.lit(x) if isinstance(x, str) else x for x in (entity, pattern))
 
     def spans(found: Column) -> Column:
         def placed(gaps: Column) -> Column:
@@ -102,7 +103,7 @@ def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detect
                 lambda at, m: F.struct(
                     (at + m["gap"]).cast("int").alias("start"),
                     (at + m["gap"] + m["bytes"]).cast("int").alias("end"),
-                    F.lit(entity).alias("entity"),
+                    of.alias("entity"),
                     F.lit(confidence_ppm).alias("confidence_ppm"),
                     F.lit(detector).alias("detector"),
                     m["value"].alias("value"),
@@ -112,7 +113,7 @@ def matches(text: Column, pattern: str, entity: str, confidence_ppm: int, detect
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), placed)).otherwise(none)
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, regex, F.lit(0))
     return let(hits, spans)
 
 
@@ -162,6 +163,12 @@ def _checked(spans: Column, recognizer: Recognizer) -> Column:
     return F.filter(spans, lambda s: recognizer.valid(s["value"]))
 
 
+def deny_spans(text: Column, term: Column, entity: Column) -> Column:
+    """A row's own denied term in its text, in any case, with full confidence."""
+    quoted = F.concat(F.lit("(?Ui)\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return matches(text, quoted, entity, 1_000_000, DenyListDetector.name)
+
+
 class DenyListDetector(Detector):
     """Literal terms, found in any case, with full confidence."""
 

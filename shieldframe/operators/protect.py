@@ -7,16 +7,16 @@ a token for each once and checkpoints them; `render` then joins nothing but a do
 from __future__ import annotations
 
 import secrets
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.functions import actions
 from shieldframe.functions.nested import let
-from shieldframe.functions.recognizers import SPANS, DenyListDetector, Detector, detectors
+from shieldframe.functions.recognizers import SPANS, DenyListDetector, Detector, deny_spans, detectors
 from shieldframe.operators import resolve
-from shieldframe.policy import Blocked, Policy
+from shieldframe.policy import ACTIONS, ENTITIES, Blocked, Policy
 
 APPLIED = "struct<start:int,end:int,entity:string,confidence_ppm:int,detector:string,value:string,action:string,replacement:string>"
 
@@ -125,20 +125,84 @@ def allocate(spans: DataFrame, policy: Policy, key: bytes, known: DataFrame | No
     values = spans.where(F.col("entity").isin(*rules)).select(group, "entity", "value").distinct()
     if known is not None:
         values = values.join(known.select(group, "entity", "value"), [group, "entity", "value"], "left_anti")
-    new = with_replacements(values, policy, key).select(group, "entity", "value", "replacement")
+    new = with_replacements(values.withColumn("action", action_of(policy, F.col("entity"))), key).select(group, "entity", "value", "replacement")
     return (new if known is None else known.select(group, "entity", "value", "replacement").unionByName(new)).checkpoint()
 
 
-def with_replacements(values: DataFrame, policy: Policy, key: bytes) -> DataFrame:
-    """`values` (entity, value, ...) of reversible entities with a `replacement` for each, around 16 random bytes. Each run draws
-    anew: whoever reads it twice stores it first."""
-    rules = {e: r for e, r in policy.active().items() if r.reversible}
+def with_replacements(values: DataFrame, key: bytes) -> DataFrame:
+    """`values` (entity, value, action, ...) of reversible rules with a `replacement` for each, around 16 random bytes. Each run
+    draws anew: whoever reads it twice stores it first."""
     drawn = values.withColumn("_hex", F.substring(F.sha2(F.concat(F.uuid(), F.uuid()).cast("binary"), 256), 1, 32))
     made = actions.token(F.col("entity"), key, F.col("_hex"))
-    plain = [e for e, r in rules.items() if r.action == "tokenize"]
-    shown = F.coalesce(*(F.when(F.col("entity") == e, actions.replacement(r.action, F.col("entity"), F.col("value"), key, (e,))) for e, r in rules.items() if r.action != "tokenize"), F.lit(""))
-    text = F.when(F.col("entity").isin(*plain), made).otherwise(F.concat(shown, F.lit(" "), made)) if plain else F.concat(shown, F.lit(" "), made)
-    return drawn.withColumn("replacement", text).drop("_hex")
+    shown = F.coalesce(*(F.when(F.col("action") == a, actions.replacement(a, F.col("entity"), F.col("value"), key, ENTITIES)) for a in ("generalize", "synthetic")), F.lit(""))
+    return drawn.withColumn("replacement", F.when(F.col("action") == "tokenize", made).otherwise(F.concat(shown, F.lit(" "), made))).drop("_hex")
+
+
+#: A row's own policy: what `rules_of` reads from its JSON.
+_JSON = "struct<name:string,version:int,rules:array<struct<entity:string,action:string,enabled:boolean,reversible:boolean,minimum_confidence_ppm:int,priority:int,scopes:array<string>,required_detectors:array<string>>>,allow_terms:array<string>,deny_terms:map<string,string>,mapping_retention_seconds:bigint,audit_retention_seconds:bigint>"
+
+
+def rules_of(policy_json: Column) -> Column:
+    """A policy (see `Policy.to_json`) as a struct: name, version, rules (active ones by entity), allow, deny, required (names of
+    detectors), mapping_retention, audit_retention. Null where there is none."""
+
+    def read(p: Column) -> Column:
+        active = F.filter(p["rules"], lambda r: r["enabled"] & (r["action"] != "keep"))
+        entry = lambda r: F.struct(r["entity"], F.struct(r["action"], r["reversible"], r["minimum_confidence_ppm"], r["priority"], r["scopes"]))
+        out = F.struct(
+            p["name"].alias("name"), p["version"].alias("version"), F.map_from_entries(F.transform(active, entry)).cast(resolve.RULES).alias("rules"), p["allow_terms"].alias("allow"), p["deny_terms"].alias("deny"),
+            F.array_distinct(F.flatten(F.transform(active, lambda r: r["required_detectors"]))).alias("required"),
+            p["mapping_retention_seconds"].alias("mapping_retention"), p["audit_retention_seconds"].alias("audit_retention"),
+        )
+        return F.when(p["rules"].isNotNull(), out)
+
+    return let(F.from_json(policy_json, _JSON), read)
+
+
+def with_policies(df: DataFrame, policies: Mapping[str, Policy], by: str, into: str = "policy") -> DataFrame:
+    """`df` with the policy that its column `by` names, as `rules_of` gives it; null where there is none of that name."""
+    table = df.sparkSession.createDataFrame([(n, p.to_json()) for n, p in policies.items()], "_name string, _json string")
+    parsed = table.select("_name", rules_of(F.col("_json")).alias(into))
+    return df.join(parsed, F.col(by) == F.col("_name"), "left").drop("_name")
+
+
+def trace_by(text: Column, policy: Column, scope: Column | str = "*", found: Sequence[Detector] | None = None) -> Column:
+    """Every candidate of a text with its outcome under the row's own policy (see `rules_of`)."""
+    whole = F.coalesce(text, F.lit(""))
+    every = [d.spans(whole, ENTITIES) for d in (detectors() if found is None else found)]
+    return resolve.decisions(F.concat(*every, _denied(whole, policy)), None, scope, policy["allow"], policy["rules"])
+
+
+def _denied(text: Column, policy: Column) -> Column:
+    terms = F.coalesce(policy["deny"], F.create_map().cast("map<string,string>"))
+    return F.flatten(F.transform(F.map_entries(terms), lambda e: deny_spans(text, e["key"], e["value"])))
+
+
+def with_spans_by(df: DataFrame, text: str, policy: str, scope: Column | str = "*", found: Sequence[Detector] | None = None, into: str = "spans") -> DataFrame:
+    """`df` with the accepted spans of each row under its own policy (a column of `rules_of`): one plan for any number of
+    policies, whose rules are data. All recognizers run; what a row's policy has no active rule for is left out. Null where a
+    detector failed, or the row has no policy, or its policy requires a detector that isn't there."""
+    found = detectors() if found is None else list(found)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    parts = [p for d in found for p in d.parts(whole, ENTITIES)]
+    taken = {c.lower() for c in df.columns}
+    names = [f"_part_{i}" for i in range(len(taken) + len(parts) + 1) if f"_part_{i}" not in taken][: len(parts) + 1]
+    wide = df.select("*", *(p.alias(n) for n, p in zip(names, [*parts, _denied(whole, F.col(policy))], strict=True)))
+    none = F.array().cast(SPANS)
+    every = [F.when(F.col(n).isNull(), None).when(F.size(n) > 0, F.col(n)).otherwise(none) for n in names]
+    there = F.size(F.array_except(F.col(policy)["required"], F.array(*(F.lit(d.name) for d in found)).cast("array<string>"))) == 0
+    spans = F.when(F.coalesce(there, F.lit(False)), resolve.resolve(F.concat(*every), None, scope, F.col(policy)["allow"], F.col(policy)["rules"]))
+    return wide.select(*(c for c in df.columns if c.lower() != into.lower()), spans.alias(into))
+
+
+def choose_by(rules: Column, s: Column, key: bytes | None, mapped) -> Column:
+    """The replacement of one span under a row's own rules."""
+
+    def chosen(r: Column) -> Column:
+        by_action = (F.when(r["action"] == a, actions.replacement(a, s["entity"], s["value"], key, ENTITIES)) for a in ACTIONS if a not in ("keep", "tokenize"))
+        return F.when(r["reversible"], mapped(s)).otherwise(F.coalesce(*by_action))
+
+    return F.coalesce(let(F.try_element_at(rules, s["entity"]), chosen), F.lit("[BLOCKED]"))
 
 
 def marked(df: DataFrame, text: str, policy: Policy, scope: str = "*", into: str = "spans", **options) -> DataFrame:
@@ -154,11 +218,15 @@ def spans_of(rows: DataFrame, keys: Sequence[str], spans: str = "spans") -> Data
 def render_marked(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", spans: str = "spans", into: str = "protected_text") -> DataFrame:
     """`df` (see `marked`) with its text protected under `policy`, reversible values by `mappings` (see `allocate`). `row` names
     a unique column. A row whose value has no mapping gets [BLOCKED] in its place."""
+    joined, mapped = with_map(df, mappings, row=row, group=group, spans=spans)
+    return joined.withColumn(into, rewrite(F.col(text), F.col(spans), lambda s: choose(policy, s, key, mapped))).drop(spans, "_map")
+
+
+def with_map(df: DataFrame, mappings: DataFrame, *, row: str, group: str = "session_id", spans: str = "spans") -> tuple[DataFrame, Callable[[Column], Column]]:
+    """`df` with a map of each row's own mappings, and what finds a span's replacement in it."""
     own = df.select(row, group, F.explode(spans).alias("s")).select(row, group, "s.entity", "s.value").distinct()
     pairs = own.join(mappings, [group, "entity", "value"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "entity", "value"), "replacement"))).alias("_map"))
-    joined = df.join(pairs, row, "left")
-    mapped = lambda s: F.element_at(F.col("_map"), F.concat_ws("\x00", s["entity"], s["value"]))
-    return joined.withColumn(into, rewrite(F.col(text), F.col(spans), lambda s: choose(policy, s, key, mapped))).drop(spans, "_map")
+    return df.join(pairs, row, "left"), lambda s: F.element_at(F.col("_map"), F.concat_ws("\x00", s["entity"], s["value"]))
 
 
 def render(df: DataFrame, text: str, policy: Policy, mappings: DataFrame, key: bytes, *, row: str, group: str = "session_id", scope: str = "*", into: str = "protected_text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shieldframe.functions.nested import let
+from shieldframe.functions.nested import BLOCK, let
 from shieldframe.functions.recognizers import SPANS, DenyListDetector, Detector, detectors
 from shieldframe.policy import Policy
 
@@ -15,6 +15,8 @@ _FIELDS = "start:int,end:int,entity:string,confidence_ppm:int,detector:string,va
 #: Candidates in order of precedence: the rank first, so that sorting the structs sorts by precedence.
 RANKED = f"struct<unclaimed:int,not_denied:int,minus_priority:int,minus_confidence:int,minus_bytes:int,{_FIELDS},claimed:boolean,verdict:string>"
 DECISION = f"struct<{_FIELDS},outcome:string>"
+#: Up to so many spans are decided as they are; more are put into clusters first.
+FEW = 32
 _STATE = f"struct<taken:array<struct<start:int,end:int>>,out:array<{DECISION}>>"
 
 
@@ -32,26 +34,37 @@ def candidates(text: Column, policy: Policy, found: Sequence[Detector] | None =
     return F.concat(*every) if every else F.array().cast(SPANS)
 
 
-def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: Column | None = None) -> Column:
+#: The rules of a row's own policy, by entity; only active ones are there.
+RULES = "map<string,struct<action:string,reversible:boolean,floor:int,priority:int,scopes:array<string>>>"
+
+
+def decisions(spans: Column, policy: Policy | None, scope: Column | str = "*", allow: Column | None = None, rules: Column | None = None) -> Column:
     """Every candidate with its outcome, in order of precedence among those eligible, the others first. `allow` is a column of
-    terms (array) that the row allows besides the policy's. Null where a detector failed (gave null spans).
+    terms (array) that the row allows besides the policy's. Null where a detector failed (gave null spans). The rules are
+    those of `policy`, in the plan, or those of a column `rules` (of type RULES), a row's own; without rules nothing applies.
 
     Outcomes: inactive_rule, below_confidence, allowed_value, overlap_suppressed, scope_not_claimed, applied. Confidence
     is checked before the allow list. Precedence: claimed by the scope, deny list, priority, confidence, byte length,
     then start, entity and detector. A span that no rule of the scope claims still shadows those after it.
     """
     scope = F.lit(scope) if isinstance(scope, str) else scope
-    rules = policy.active()
-    more, allow = allow, F.array(*(fold_case(F.lit(t)) for t in policy.allow_terms)).cast("array<string>")
+    listed, active = rules, policy.active() if policy else {}
+    more, allow = allow, F.array(*(fold_case(F.lit(t)) for t in (policy.allow_terms if policy else ()))).cast("array<string>")
     if more is not None:
         allow = F.concat(allow, F.transform(F.coalesce(more, F.array().cast("array<string>")), fold_case))
 
-    def look(entity: Column, value) -> Column:
-        return F.coalesce(*(F.when(entity == e, value(r)) for e, r in rules.items()), F.lit(None)) if rules else F.lit(None)
+    def look(entity: Column, value, field: str) -> Column:
+        if listed is not None:
+            return F.try_element_at(listed, entity)[field]
+        return F.coalesce(*(F.when(entity == e, value(r)) for e, r in active.items()), F.lit(None)) if active else F.lit(None)
 
     def ranked(s: Column) -> Column:
-        floor = look(s["entity"], lambda r: F.lit(r.minimum_confidence_ppm)).cast("int")
-        claimed = F.coalesce(look(s["entity"], lambda r: F.lit(True) if "*" in r.scopes else scope.isin(*r.scopes)).cast("boolean"), F.lit(False))
+        floor = look(s["entity"], lambda r: F.lit(r.minimum_confidence_ppm), "floor").cast("int")
+        if listed is None:
+            claimed = look(s["entity"], lambda r: F.lit(True) if "*" in r.scopes else scope.isin(*r.scopes), "scopes").cast("boolean")
+        else:
+            claimed = let(look(s["entity"], None, "scopes"), lambda scopes: F.array_contains(scopes, "*") | F.array_contains(scopes, scope))
+        claimed = F.coalesce(claimed, F.lit(False))
         verdict = (
             F.when(floor.isNull(), "inactive_rule")
             .when(s["confidence_ppm"] < floor, "below_confidence")
@@ -60,7 +73,7 @@ def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: C
         return F.struct(
             F.when(claimed, 0).otherwise(1).alias("unclaimed"),
             F.when(s["detector"] == DenyListDetector.name, 0).otherwise(1).alias("not_denied"),
-            (-F.coalesce(look(s["entity"], lambda r: F.lit(r.priority)).cast("int"), F.lit(0))).alias("minus_priority"),
+            (-F.coalesce(look(s["entity"], lambda r: F.lit(r.priority), "priority").cast("int"), F.lit(0))).alias("minus_priority"),
             (-s["confidence_ppm"]).alias("minus_confidence"),
             (s["start"] - s["end"]).alias("minus_bytes"),
             *(s[f.split(":")[0]].alias(f.split(":")[0]) for f in _FIELDS.split(",")),
@@ -77,16 +90,49 @@ def decisions(spans: Column, policy: Policy, scope: Column | str = "*", allow: C
         taken = F.when(clash, state["taken"]).otherwise(F.array_append(state["taken"], F.struct(c["start"].alias("start"), c["end"].alias("end"))))
         return F.struct(taken.alias("taken"), F.array_append(state["out"], decided(c, outcome)).alias("out")).cast(_STATE)
 
+    def fold(eligible: Column) -> Column:
+        zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("taken"), F.array().cast(f"array<{DECISION}>").alias("out")).cast(_STATE)
+        return F.aggregate(eligible, zero, step)["out"]
+
+    def many(eligible: Column) -> Column:
+        beside = lambda cs: let(fold(cs), lambda out: F.transform(cs, lambda c, i: F.struct(c.alias("rank"), F.get(out, i).alias("out"))))
+        every = F.flatten(F.transform(clusters(eligible), lambda part: let(F.array_sort(part), beside)))
+        return F.transform(F.array_sort(every), lambda x: x["out"])
+
     def decide(all_: Column) -> Column:
         out = F.transform(F.filter(all_, lambda c: c["verdict"].isNotNull()), lambda c: decided(c, c["verdict"]))
-        eligible = F.array_sort(F.filter(all_, lambda c: c["verdict"].isNull()))
-        zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("taken"), F.array().cast(f"array<{DECISION}>").alias("out")).cast(_STATE)
-        return F.concat(out, F.aggregate(eligible, zero, step)["out"])
+        eligible = F.filter(all_, lambda c: c["verdict"].isNull())
+        return F.concat(out, let(eligible, lambda es: F.when(F.size(es) <= FEW, fold(F.array_sort(es))).otherwise(many(es))))
 
     none = F.array().cast(f"array<{DECISION}>")
     return let(spans, lambda s: F.when(s.isNull(), None).when(F.size(s) > 0, let(F.transform(s, ranked), decide)).otherwise(none))
 
 
+def clusters(spans: Column) -> Column:
+    """The spans in groups that don't overlap each other's: sorted by start, and cut where all that began before has ended.
+
+    The greatest end so far is carried over the sorted spans in blocks, so the cost is that of sorting; what is chosen in one
+    cluster says nothing about another, so each is decided by itself.
+    """
+
+    def ends(block: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    def cut(by: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(by) - 1, F.lit(BLOCK)), lambda b: F.transform(F.slice(by, b + 1, F.lit(BLOCK)), lambda x: F.struct(x["end"].alias("end"))))
+        zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        done = F.aggregate(blocks, zero, lambda a, part: let(ends(part, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out"))))
+        return let(F.flatten(done["out"]), lambda reach: pieces(by, reach))
+
+    def pieces(by: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(by) - 1), lambda i: F.get(by, i)["start"] >= F.get(reach, i))
+        return let(heads, lambda hs: F.transform(hs, lambda h, i: F.transform(F.slice(by, h + 1, F.coalesce(F.get(hs, i + 1), F.size(by)) - h), lambda x: x["span"])))
+
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("span")))
+    return let(F.array_sort(keyed), cut)
+
+
 def applied(decided: Column) -> Column:
     """The accepted spans of decisions, in order of start."""
     kept = F.filter(decided, lambda d: d["outcome"] == "applied")
@@ -94,6 +140,6 @@ def applied(decided: Column) -> Column:
     return F.array_sort(order)
 
 
-def resolve(spans: Column, policy: Policy, scope: Column | str = "*", allow: Column | None = None) -> Column:
+def resolve(spans: Column, policy: Policy | None, scope: Column | str = "*", allow: Column | None = None, rules: Column | None = None) -> Column:
     """Accepted spans: disjoint, in order of start."""
-    return applied(decisions(spans, policy, scope, allow))
+    return applied(decisions(spans, policy, scope, allow, rules))

@@ -13,14 +13,15 @@ from shieldframe.functions import actions
 from shieldframe.functions.recognizers import Detector
 from shieldframe.operators import json_trees, protect, restore
 from shieldframe.operators.vault import Vault, audit_rows, detection_rows, fingerprint, live, source_digest
-from shieldframe.policy import Policy, uniform
+from shieldframe.policy import DAY, Blocked, Policy, uniform
 
 
 class Shield:
-    """Protects and restores tables under one policy. With a vault, reversible values share their replacements over all calls
-    of a session; without one, each call has its own mappings, which it gives back."""
+    """Protects and restores tables. With a vault, reversible values share their replacements over all calls of a session; without
+    one, each call has its own mappings, which it gives back. Without a policy, each row is under its own session's, as the
+    vault has it."""
 
-    def __init__(self, spark: SparkSession, policy: Policy, key: bytes | None = None, vault: Vault | None = None, found: Sequence[Detector] | None = None):
+    def __init__(self, spark: SparkSession, policy: Policy | None, key: bytes | None = None, vault: Vault | None = None, found: Sequence[Detector] | None = None):
         self.spark, self.policy, self.key, self.vault = spark, policy, key, vault
         self.options = {} if found is None else {"found": list(found)}
         self._digests = key or secrets.token_bytes(actions.KEY_BYTES)  # without a key, hashes of one call agree and can't be looked up
@@ -28,8 +29,8 @@ class Shield:
     def _reversible(self, scope: str) -> bool:
         return any(r.reversible and r.claims(scope) for r in self.policy.active().values())
 
-    def create_session(self, metadata: dict[str, str] | None = None, now: int | None = None) -> str:
-        return self.vault.create_session(self.policy, int(time.time()) if now is None else now, metadata, self.key)
+    def create_session(self, metadata: dict[str, str] | None = None, now: int | None = None, policy: Policy | None = None) -> str:
+        return self.vault.create_session(policy or self.policy, int(time.time()) if now is None else now, metadata, self.key)
 
     def protect(self, df: DataFrame, text: str, row: str, scope: str = "*", now: int | None = None) -> tuple[DataFrame, DataFrame | None]:
         """`df` (session_id where values are to be reversible, or with a vault) with `protected_text`, and the mappings (null
@@ -40,51 +41,66 @@ class Shield:
         audit events say `blocked`.
         """
         names = [d.name for d in self.options["found"]] if self.options else ["regex-v1"]
-        self.policy.gate(names, scope, has_key=self.key is not None)
+        if self.policy is not None:
+            self.policy.gate(names, scope, has_key=self.key is not None)
+        elif self.vault is None:
+            raise Blocked("sessions have policies only in a vault")
         if self.vault is None and not self._reversible(scope):
             done = protect.protect(df, text, self.policy, scope=scope, key=self.key, into="_done", **self.options)
             return done.withColumn("protected_text", F.col("_done.text")).drop("_done"), None
         now = int(time.time()) if now is None else now
-        if self.vault is not None:
-            alive = live(self.vault.read("sessions"), now).select(F.col("id").alias("session_id"), F.lit(True).alias("_alive"))
-            df = df.join(alive, "session_id", "left")
-        found = protect.with_spans(df, text, self.policy, scope, into="_spans", **self.options)
-        if self.vault is not None:
-            found = found.withColumn("_spans", F.when(F.col("_alive"), F.col("_spans")))
-        marked = found.checkpoint()
-        spans, mappings = protect.spans_of(marked, ["session_id"], "_spans"), None
         if self.vault is None:
-            mappings = protect.allocate(spans, self.policy, self.key)
-        elif self._reversible(scope):
-            mappings = self.vault.allocate(spans, self.policy, self.key, now, lambda placed: self._records(marked, text, placed, now))
+            marked = protect.marked(df, text, self.policy, scope, "_spans", **self.options)
+            mappings = protect.allocate(protect.spans_of(marked, ["session_id"], "_spans"), self.policy, self.key)
+            return protect.render_marked(marked, text, self.policy, mappings, self.key, row=row, spans="_spans"), mappings
+        own = protect.rules_of(F.col("policy_json") if self.policy is None else F.lit(self.policy.to_json()))
+        alive = live(self.vault.read("sessions"), now).select(F.col("id").alias("session_id"), own.alias("_policy"))
+        df = df.join(alive, "session_id", "left")
+        if self.policy is None:
+            found = protect.with_spans_by(df, text, "_policy", scope, into="_spans", **self.options)
+            keyless = F.exists(F.map_values("_policy.rules"), lambda r: r["reversible"] & (F.array_contains(r["scopes"], "*") | F.array_contains(r["scopes"], scope)))
+            ready = F.lit(True) if self.key else ~keyless
         else:
-            self.vault.append_all(self._records(marked, text, None, now))
-        shown = marked.drop("_alive")
-        if mappings is None:
-            rendered = shown.withColumn("protected_text", protect.rewrite(F.col(text), F.col("_spans"), lambda s: protect.choose(self.policy, s, self._digests, lambda x: x["value"]))).drop("_spans")
+            found, ready = protect.with_spans(df, text, self.policy, scope, into="_spans", **self.options), F.lit(True)
+        marked = found.withColumn("_spans", F.when(F.col("_policy").isNotNull() & ready, F.col("_spans"))).checkpoint()
+        applied = self._applied(marked, text)
+        if self.policy is None and self.key or self.policy is not None and self._reversible(scope):
+            mappings = self.vault.allocate(applied.where("reversible"), None, self.key, now, lambda placed: self._records(marked, text, applied, placed, now))
+            joined, mapped = protect.with_map(marked, mappings, row=row, spans="_spans")
         else:
-            rendered = protect.render_marked(shown, text, self.policy, mappings, self.key, row=row, spans="_spans")
-        return rendered, mappings
-
-    def _records(self, marked: DataFrame, text: str, placed: DataFrame | None, now: int) -> dict[str, DataFrame]:
+            self.vault.append_all(self._records(marked, text, applied, None, now))
+            mappings, joined, mapped = None, marked, lambda s: F.lit(None).cast("string")
+        if self.policy is None:
+            chosen = lambda s: protect.choose_by(F.col("_policy.rules"), s, self._digests, mapped)
+        else:
+            chosen = lambda s: protect.choose(self.policy, s, self._digests, mapped)
+        return joined.withColumn("protected_text", protect.rewrite(F.col(text), F.col("_spans"), chosen)).drop("_spans", "_map", "_policy"), mappings
+
+    def _applied(self, marked: DataFrame, text: str) -> DataFrame:
+        """A row per applied span, with its rule and its policy's name and retentions, and the keyed hash of its text."""
+        rows = marked.select("session_id", "_policy", source_digest(self._digests, F.coalesce(F.col(text), F.lit(""))).alias("source_hash"), F.explode("_spans").alias("s"))
+        rule = F.try_element_at(F.col("_policy.rules"), F.col("s.entity"))
+        return rows.select(
+            "session_id", "source_hash", "s.entity", "s.detector", "s.confidence_ppm", rule["action"].alias("action"), rule["reversible"].alias("reversible"), "s.start", "s.end", "s.value",
+            F.col("_policy.name").alias("policy_name"), F.col("_policy.version").alias("policy_version"), "_policy.mapping_retention", "_policy.audit_retention",
+        )
+
+    def _records(self, marked: DataFrame, text: str, applied: DataFrame, placed: DataFrame | None, now: int) -> dict[str, DataFrame]:
         """Rows of `detections` and `audit_events` for rows with their spans; `placed` are the mappings as stored."""
-        rows = marked.select("session_id", "_alive", source_digest(self._digests, F.coalesce(F.col(text), F.lit(""))).alias("source_hash"), "_spans")
-        spans = rows.select("session_id", "source_hash", F.explode("_spans").alias("s"))
-        applied = spans.select("session_id", "source_hash", "s.entity", "s.detector", "s.confidence_ppm", protect.action_of(self.policy, F.col("s.entity")).alias("action"), "s.start", "s.end", "s.value")
         if placed is None:
             applied = applied.withColumn("mapping_id", F.lit(None).cast("string"))
         else:
             known = placed.select("session_id", F.col("entity_type").alias("entity"), "original_hmac", "mapping_id")
-            hashed = applied.withColumn("original_hmac", fingerprint(self.key, F.col("session_id"), F.col("entity"), F.col("value")))
+            hashed = applied.withColumn("original_hmac", F.when(F.col("reversible"), fingerprint(self.key, F.col("session_id"), F.col("entity"), F.col("value"))))
             applied = hashed.join(known, ["session_id", "entity", "original_hmac"], "left")
-        done = F.col("_spans").isNotNull()
-        facts = {"policy": F.lit(self.policy.name), "policy_version": F.lit(self.policy.version), "source_hash": F.col("source_hash")}
-        reason = F.when(F.col("_alive"), "protection failed").otherwise("unknown or expired session")
-        detail = F.when(done, F.to_json(F.struct(F.size("_spans").alias("detections"), *(v.alias(k) for k, v in facts.items())))).otherwise(
-            F.to_json(F.struct(facts["policy"].alias("policy"), facts["policy_version"].alias("policy_version"), reason.alias("reason"), facts["source_hash"].alias("source_hash")))
-        )
-        events = rows.select(F.when(F.col("_alive"), F.col("session_id")).alias("session_id"), F.lit("transform").alias("event_type"), F.when(done, "protected").otherwise("blocked").alias("outcome"), detail.alias("detail"))
-        return {"detections": detection_rows(applied, self.policy, self._digests, now), "audit_events": audit_rows(events, now, self.policy.audit_retention_seconds)}
+        done, known = F.col("_spans").isNotNull(), F.col("_policy").isNotNull()
+        facts = [F.col("_policy.name").alias("policy"), F.col("_policy.version").alias("policy_version")]
+        digest = source_digest(self._digests, F.coalesce(F.col(text), F.lit(""))).alias("source_hash")
+        reason = F.when(known, "protection failed").otherwise("unknown or expired session").alias("reason")
+        detail = F.when(done, F.to_json(F.struct(F.size("_spans").alias("detections"), *facts, digest))).otherwise(F.to_json(F.struct(*facts, reason, digest)))
+        keep = F.coalesce(F.col("_policy.audit_retention"), F.lit(30 * DAY))
+        events = marked.select(F.when(known, F.col("session_id")).alias("session_id"), F.lit("transform").alias("event_type"), F.when(done, "protected").otherwise("blocked").alias("outcome"), detail.alias("detail"), keep.alias("_keep"))
+        return {"detections": detection_rows(applied, None, self._digests, now), "audit_events": audit_rows(events, now, F.col("_keep"))}
 
     def summary(self, session: str, now: int | None = None) -> DataFrame:
         """A session's live detections, counted."""

@@ -57,10 +57,10 @@ def new_mappings(offered: DataFrame, mappings: DataFrame, now: int) -> DataFrame
     return fresh.withColumn("_r", F.row_number().over(by_surface)).where("_r = 1").drop("_r").select(*offered.columns)
 
 
-def session_summary(detections: DataFrame, now: int, session: str | None = None) -> DataFrame:
-    """Live detections counted by entity, detector, action and policy, with the least and most confidence."""
+def session_summary(detections: DataFrame, now: int, session: str | None = None, by_session: bool = False) -> DataFrame:
+    """Live detections counted by entity, detector, action and policy (and session), with the least and most confidence."""
     rows = live(detections, now)
-    keys = ["entity_type", "detector", "action", "policy_name", "policy_version"]
+    keys = [*(["session_id"] if by_session else []), "entity_type", "detector", "action", "policy_name", "policy_version"]
     rows = rows.where(F.col("session_id") == session) if session else rows
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("confidence_ppm").alias("least_ppm"), F.max("confidence_ppm").alias("most_ppm"))
 
@@ -135,13 +135,15 @@ def session_rows(requests: DataFrame, policy: Policy, now: int, key: bytes | Non
     return requests.select("id", F.lit(policy.to_json()).alias("policy_json"), sealed.alias("metadata_encrypted"), F.lit(now).cast("long").alias("created_at"), F.lit(now + lives).cast("long").alias("expires_at"))
 
 
-def detection_rows(applied: DataFrame, policy: Policy, key: bytes, now: int) -> DataFrame:
+def detection_rows(applied: DataFrame, policy: Policy | None, key: bytes, now: int) -> DataFrame:
     """Rows of `detections` for accepted spans (session_id, text or source_hash, entity, detector, confidence_ppm, action, start, end,
-    mapping_id)."""
+    mapping_id; without a policy also policy_name, policy_version and audit_retention)."""
+    if policy is not None:
+        applied = applied.withColumns({"policy_name": F.lit(policy.name), "policy_version": F.lit(policy.version), "audit_retention": F.lit(policy.audit_retention_seconds)})
     hashed = F.col("source_hash") if "source_hash" in applied.columns else source_digest(key, F.col("text"))
     return applied.select(
-        F.uuid().alias("id"), "session_id", "mapping_id", F.col("entity").alias("entity_type"), "detector", "confidence_ppm", "action", F.lit(policy.name).alias("policy_name"), F.lit(policy.version).alias("policy_version"),
-        hashed.alias("source_hash"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.audit_retention_seconds).cast("long").alias("expires_at"),
+        F.uuid().alias("id"), "session_id", "mapping_id", F.col("entity").alias("entity_type"), "detector", "confidence_ppm", "action", "policy_name", "policy_version",
+        hashed.alias("source_hash"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lit(now).cast("long").alias("created_at"), (F.lit(now) + F.col("audit_retention")).cast("long").alias("expires_at"),
     )
 
 
@@ -173,6 +175,10 @@ class Conflict(RuntimeError):
     """Another writer changed the vault in between."""
 
 
+#: From mappings as stored to rows of other tables that go into the same commit.
+Also = Callable[[DataFrame], Mapping[str, DataFrame]]
+
+
 class Vault:
     """What both kinds of vault do with their tables. Subclasses read, append several tables in one commit, and erase.
 
@@ -232,40 +238,45 @@ class Vault:
         asked = requests.withColumns({"entity_type": F.col("entity"), "original_hmac": fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value"))})
         return find_mappings(asked, self.read("mappings"), now).select(*requests.columns, "mapping_id", "replacement")
 
-    def store_mappings(self, made: DataFrame, policy: Policy, action: str | Column, key: bytes, now: int, also: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None) -> DataFrame:
-        """Stores mappings for (session_id, entity, value, replacement) and gives (session_id, entity_type, original_hmac, mapping_id,
-        replacement): the one stored, or the live one that its value has already. `also` makes rows of other tables from
-        those; all go into one commit. Raises MappingCollision where a replacement is another value's, Conflict where mappings
-        were added meanwhile."""
+    def store_mappings(self, made: DataFrame, policy: Policy, action: str, key: bytes, now: int, also: Also | None = None) -> DataFrame:
+        """`store` for (session_id, entity, value, replacement) under one policy's retention."""
+        return self.store(made.withColumns({"action": F.lit(action), "mapping_retention": F.lit(policy.mapping_retention_seconds)}), key, now, also)
+
+    def store(self, made: DataFrame, key: bytes, now: int, also: Also | None = None) -> DataFrame:
+        """Stores mappings for (session_id, entity, value, replacement, action, mapping_retention) and gives (session_id, entity_type,
+        original_hmac, mapping_id, replacement): the one stored, or the live one that its value has already. `also` makes rows of
+        other tables from those; all go into one commit. Raises MappingCollision where a replacement is another value's,
+        Conflict where mappings were added meanwhile."""
         mark, on = self.mark(), ["session_id", "entity_type", "original_hmac"]
         known = live(self.read("mappings"), now)
-        hashed = made.select("session_id", F.col("entity").alias("entity_type"), fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value")).alias("original_hmac"), "value", "replacement")
-        action = F.lit(action) if isinstance(action, str) else action
+        hashed = made.select("session_id", F.col("entity").alias("entity_type"), fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value")).alias("original_hmac"), "value", "replacement", "action", "mapping_retention")
         offered = hashed.groupBy(*on).agg(F.min("replacement").alias("offered")).withColumn("id", F.uuid())
         placed = find_mappings(offered, known, now).select(*on, F.coalesce("mapping_id", "id").alias("mapping_id"), F.coalesce("replacement", "offered").alias("replacement"), F.col("mapping_id").isNull().alias("fresh")).checkpoint()
         fresh = placed.where("fresh")
         twice = fresh.groupBy("session_id", "replacement").count().where("count > 1").select("session_id", "replacement")
         if not fresh.join(known, ["session_id", "replacement"], "left_semi").select("session_id", "replacement").union(twice).isEmpty():
             raise MappingCollision("a replacement is taken by another value")
-        values = hashed.select(*on, "value").dropDuplicates(on)
+        values = hashed.select(*on, "value", "action", "mapping_retention").dropDuplicates(on)
         rows = values.join(fresh, on).select(
             F.col("mapping_id").alias("id"), *on, _sealed(F.col("value"), key, F.concat_ws(":", F.lit("mapping"), "session_id", "mapping_id")).alias("original_encrypted"), "replacement",
-            action.alias("action"), F.lit(now).cast("long").alias("created_at"), F.lit(now + policy.mapping_retention_seconds).cast("long").alias("expires_at"),
+            "action", F.lit(now).cast("long").alias("created_at"), (F.lit(now) + F.col("mapping_retention")).cast("long").alias("expires_at"),
         )
         placed = placed.drop("fresh")
         self.append_all({"mappings": rows} | dict(also(placed) if also else {}), mark)
         return placed
 
-    def allocate(self, spans: DataFrame, policy: Policy, key: bytes, now: int, also: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None) -> DataFrame:
+    def allocate(self, spans: DataFrame, policy: Policy | None, key: bytes, now: int, also: Also | None = None) -> DataFrame:
         """Mappings (session_id, entity, value, replacement, mapping_id) for the reversible values of a span table, and of no others,
         stored before they are given: live ones are used again, new ones are drawn. Up to `MOST_TRIES` times where a draw
-        collides or another writer was first; then Blocked."""
-        rules = {e: r for e, r in policy.active().items() if r.reversible}
-        values = spans.where(F.col("entity").isin(*rules)).select("session_id", "entity", "value").distinct()
+        collides or another writer was first; then Blocked. Without a policy all spans are reversible, and carry their action
+        and mapping_retention."""
+        if policy is not None:
+            rules = [e for e, r in policy.active().items() if r.reversible]
+            spans = spans.where(F.col("entity").isin(*rules)).withColumns({"action": protect.action_of(policy, F.col("entity")), "mapping_retention": F.lit(policy.mapping_retention_seconds)})
+        values = spans.select("session_id", "entity", "value", "action", "mapping_retention").distinct()
         for _ in range(MOST_TRIES):
-            drawn = protect.with_replacements(values, policy, key)
             try:
-                placed = self.store_mappings(drawn, policy, protect.action_of(policy, F.col("entity_type")), key, now, also)
+                placed = self.store(protect.with_replacements(values, key), key, now, also)
             except (MappingCollision, Conflict):
                 continue
             mine = values.withColumns({"entity_type": F.col("entity"), "original_hmac": fingerprint(key, F.col("session_id"), F.col("entity"), F.col("value"))})

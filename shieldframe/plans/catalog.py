@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shieldframe.functions import actions, checks
 from shieldframe.functions.recognizers import SPANS
-from shieldframe.operators import json_trees, payloads, protect, providers, reports, resolve, restore, synthesis, vault
+from shieldframe.operators import json_trees, payloads, protect, providers, reports, resolve, restore, shield, synthesis, vault
 from shieldframe.plans import detection_sql
 from shieldframe.plans.cases import CASES
 from shieldframe.policy import ENTITIES, PRESETS, Policy, Rule, preset, uniform
@@ -379,6 +380,75 @@ def new_mappings(spark, sf_dir):
     return vault.new_mappings(offered, known, 5).select("c_custkey", "c_mktsegment")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    _checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    detection_sql.resolved("documents", "text", "coalesce(source, '') session_id")
+    + """ select d.session_id, entity entity_type, 'regex-v1' detector, 'tokenize' as action, 'uniform-tokenize' policy_name, 1 policy_version, count(*) n, count(distinct v) mappings, min(x.texts) as events
+    from a join d using (r) join (select coalesce(source, '') session_id, count(*) texts from documents group by 1) x on x.session_id = d.session_id where ok group by 1, 2"""
+)
+def vault_session_summary(spark, sf_dir):
+    """All documents protected under sessions by source; what the vault then has of each session's live detections, mappings and
+    audit events."""
+    store = vault.VaultStore(spark, _folder(spark, "vault"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("session_id"), "text"))
+    policy = uniform("tokenize")
+    store.append("sessions", vault.session_rows(docs.select(F.col("session_id").alias("id")).distinct(), policy, 0))
+    shield.Shield(spark, policy, KEY, store).protect(docs, "text", "doc_id", now=1)
+    found = vault.session_summary(store.read("detections"), 2, by_session=True).drop("least_ppm", "most_ppm")
+    mappings = vault.live(store.read("mappings"), 2).groupBy("session_id", "entity_type").agg(F.count("*").alias("mappings"))
+    events = store.read("audit_events").where("outcome = 'protected'").groupBy("session_id").agg(F.count("*").alias("events"))
+    return found.join(mappings, ["session_id", "entity_type"], "left").join(events, "session_id", "left")
+
+
+@query(
+    "with s as (select distinct user_id, user_id % 3 = 0 gone from events where user_id is not null), e as (select event_id, user_id, gone, 400 + (event_id % 5) * 300 m, 900 + (event_id % 3) * 100 d, 800 + (event_id % 4) * 100 a from events join s using (user_id)) "
+    "select 'sessions' as \"table\", count(*) filter (gone) purged, count(*) filter (not gone) kept, count(*) filter (not gone) linked from s "
+    "union all select 'mappings', count(*) filter (m <= 1000), count(*) filter (m > 1000 and not gone), count(*) filter (m > 1000 and not gone) from e "
+    "union all select 'detections', count(*) filter (d <= 1000), count(*) filter (d > 1000 and not gone), count(*) filter (d > 1000 and not gone and m > 1000) from e "
+    "union all select 'audit_events', count(*) filter (a <= 1000), count(*) filter (a > 1000), count(*) filter (a > 1000 and not gone) from e"
+)
+def vault_purge(spark, sf_dir):
+    """Sessions by user with a mapping, a detection and an audit event for each of their events, purged: how many rows of each
+    table had expired, how many are left, and how many of those still have the mapping or the session they name."""
+    store, events = vault.VaultStore(spark, _folder(spark, "vault")), _table(spark, sf_dir, "events").where("user_id is not null")
+    users, one = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    e = F.col("event_id")
+    known = events.select("user_id").distinct().select(users.alias("id"), F.lit("{}").alias("policy_json"), F.lit(None).cast("binary").alias("metadata_encrypted"), F.lit(0).cast("long").alias("created_at"), F.when(F.col("user_id") % 3 == 0, 500).otherwise(2000).cast("long").alias("expires_at"))
+    own = {"id": one, "session_id": users, "entity_type": F.lit("URL"), "created_at": F.lit(0).cast("long")}
+    mappings = events.select(*(c.alias(n) for n, c in own.items()), one.alias("original_hmac"), F.lit(b"x").alias("original_encrypted"), one.alias("replacement"), F.lit("tokenize").alias("action"), (400 + e % 5 * 300).cast("long").alias("expires_at"))
+    detections = events.select(
+        *(c.alias(n) for n, c in own.items()), one.alias("mapping_id"), F.lit("x").alias("detector"), F.lit(1).alias("confidence_ppm"), F.lit("tokenize").alias("action"), F.lit("p").alias("policy_name"), F.lit(1).alias("policy_version"),
+        F.lit("h").alias("source_hash"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset"), (900 + e % 3 * 100).cast("long").alias("expires_at"),
+    )
+    audit = events.select(one.alias("id"), users.alias("session_id"), F.lit("e").alias("event_type"), F.lit("ok").alias("outcome"), F.lit("{}").alias("detail_json"), F.lit(0).cast("long").alias("created_at"), (800 + e % 4 * 100).cast("long").alias("expires_at"))
+    store.append_all({"sessions": known, "mappings": mappings, "detections": detections, "audit_events": audit})
+    purged = spark.createDataFrame(list(store.purge(1000).items()), "table string, purged long")
+    left, linked = None, {"sessions": "id", "mappings": "session_id", "detections": "mapping_id", "audit_events": "session_id"}
+    for name, column in linked.items():
+        one_table = store.read(name).agg(F.count("*").alias("kept"), F.count(column).alias("linked")).select(F.lit(name).alias("table"), "kept", "linked")
+        left = one_table if left is None else left.union(one_table)
+    return purged.join(left, "table").select("table", "purged", "kept", "linked")
+
+
+@query(
+    "select c_custkey, case when c_custkey % 4 >= 2 and c_nationkey % 2 = 0 then 'm' || c_custkey end mapping_id, case when c_custkey % 4 >= 2 and c_nationkey % 2 = 0 then 'r' || c_custkey end replacement from customer"
+)
+def find_mappings(spark, sf_dir):
+    """Mappings found by the fingerprint of a value: of the same session, live, and with the same key."""
+    c = _table(spark, sf_dir, "customer").withColumns({"entity_type": F.lit("PERSON"), "session_id": F.col("c_nationkey").cast("string"), "key": F.col("c_custkey").cast("string")})
+    print_of = lambda session: vault.fingerprint(KEY, session, F.col("entity_type"), F.col("c_name"))
+    known = c.select("session_id", "entity_type", print_of(F.col("session_id")).alias("original_hmac"), F.concat(F.lit("m"), "key").alias("id"), F.concat(F.lit("r"), "key").alias("replacement"), (F.col("c_custkey") % 4 * 5).alias("expires_at"))
+    asked_in = F.when(F.col("c_nationkey") % 2 == 0, F.col("session_id")).otherwise(F.concat("session_id", F.lit("x")))
+    asked = c.select("c_custkey", asked_in.alias("session_id"), "entity_type", print_of(asked_in).alias("original_hmac"))
+    return vault.find_mappings(asked, known, 5).select("c_custkey", "mapping_id", "replacement")
+
+
 # profiles and reports
 
 _PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
@@ -753,6 +823,28 @@ def policy_lookup(spark, sf_dir):
     return found.join(F.broadcast(table), ["preset", "entity"], "left").select("event_id", "action", "reversible", outcome.alias("outcome"))
 
 
+_FIVE = list(PRESETS)
+_PRESET_OF = f"{_FIVE}[(ascii(coalesce(source, '')) % 5 + 1)::int]"
+
+
+@query(
+    detection_sql.resolved(
+        f"(select *, {_PRESET_OF} preset from documents)", "text", "doc_id, preset",
+        verdict=f"case when exists (select 1 from (values {_PRESET_ROWS}) p(preset, entity, act) where act = 'keep' and p.entity = z.entity and p.preset = z.preset) then 'inactive_rule' end",
+    ).replace("false denied from c", "false denied from (select c.*, d.preset from c join d using (r))").replace("from (select *, false denied", "from (select *, false denied", 1).replace(") verdict", ") verdict")
+    .replace("claimed from (select *, false denied from (select c.*, d.preset from c join d using (r)))", "claimed from (select *, false denied from (select c.*, d.preset from c join d using (r))) z")
+    + f" select doc_id, d.preset, a.entity, s as start, e as \"end\", coalesce(act, 'tokenize') as action, outcome from a join d using (r) left join (values {_PRESET_ROWS}) p(preset, entity, act) on p.preset = d.preset and p.entity = a.entity"
+)
+def policies_by_source(spark, sf_dir):
+    """Every candidate of all documents under the preset of its source: five policies as data in one plan."""
+    named = F.element_at(F.array(*map(F.lit, _FIVE)), (F.ascii(F.coalesce("source", F.lit(""))) % 5 + 1).cast("int"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text", named.alias("preset")))
+    rows = protect.with_policies(docs, {n: preset(n) for n in _FIVE}, "preset")
+    traced = rows.select("doc_id", "preset", "policy", F.explode(protect.trace_by(F.col("text"), F.col("policy"))).alias("d"))
+    action = F.coalesce(F.try_element_at(F.col("policy.rules"), F.col("d.entity"))["action"], F.lit("keep"))
+    return traced.select("doc_id", "preset", "d.entity", "d.start", "d.end", action.alias("action"), "d.outcome")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

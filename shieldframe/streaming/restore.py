@@ -88,49 +88,73 @@ class Restorer:
         return self._replace(ready)
 
 
-class RestoreProcessor(StatefulProcessor):
+class _Forgetting(StatefulProcessor):
+    """A processor whose state has until when it is kept: a timer in the batches' own time clears it then."""
+
+    def kept(self, handle: StatefulProcessorHandle, schema: str, idle_seconds: int) -> None:
+        self.handle, self.idle = handle, idle_seconds * 1000
+        self.state = handle.getValueState("held", f"{schema}, until long")
+
+    def put(self, values: tuple, chunks: pd.DataFrame) -> None:
+        if self.state.exists():
+            self.handle.deleteTimer(self.state.get()[-1])
+        until = int(chunks["batch_time"].max().timestamp() * 1000) + self.idle
+        self.state.update((*values, until))
+        self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(chunks: DataFrame) -> DataFrame:
+    """Chunks with the time of their batch, by which timers go."""
+    return chunks.withColumn("batch_time", F.current_timestamp()).withWatermark("batch_time", "1 second")
+
+
+class RestoreProcessor(_Forgetting):
     """State per stream: what is held back, and whether it is finished. Chunks of a batch go in order of seq."""
 
     def __init__(self, reverse: Mapping[str, str], idle_seconds: int):
         self.reverse, self.idle_seconds = dict(reverse), idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "held string, finished boolean", self.idle_seconds * 1000)
+        self.kept(handle, "held string, finished boolean", self.idle_seconds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         chunks = pd.concat(rows).sort_values("seq", kind="stable")
-        held, finished = self.state.get() if self.state.exists() else ("", False)
+        held, finished = self.state.get()[:2] if self.state.exists() else ("", False)
         r = Restorer(self.reverse, held, finished)
         out = []
         for c in chunks.itertuples(index=False):
             text = r.feed(c.chunk or "") + (r.finish() if c.is_last else "")
             out.append((key[0], c.seq, text))
-        self.state.update((r.held, r.finished))
+        self.put((r.held, r.finished), chunks)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    def close(self) -> None:
-        pass
-
 
 def restore_streams(chunks: DataFrame, reverse: Mapping[str, str], idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """chunks (stream_id, seq, chunk, is_last) of a streaming or batch DataFrame to (stream_id, seq, text). A chunk after the
-    last one fails the query. What is known of a stream is forgotten `idle_seconds` after its latest chunk, finished
-    or not. Needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(reverse, idle_seconds), "stream_id string, seq long, text string", "Append", "ProcessingTime")
+    """chunks (stream_id, seq, chunk, is_last) of a streaming DataFrame to (stream_id, seq, text). A chunk after the last one
+    fails the query. What is known of a stream is forgotten `idle_seconds` after its latest chunk, finished or not.
+    Needs the RocksDB state store."""
+    return _timed(chunks).groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(reverse, idle_seconds), "stream_id string, seq long, text string", "Append", "EventTime")
 
 
-class PieceProcessor(StatefulProcessor):
+class PieceProcessor(_Forgetting):
     """State per stream: its session, and the end of its text that may still belong to a token."""
 
     def __init__(self, lead: int, idle_seconds: int):
         self.lead, self.idle_seconds = lead, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "session_id string, held string, finished boolean", self.idle_seconds * 1000)
+        self.kept(handle, "session_id string, held string, finished boolean", self.idle_seconds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         chunks = pd.concat(rows).sort_values("seq", kind="stable")
-        session, held, finished = self.state.get() if self.state.exists() else (chunks["session_id"].iloc[0], "", False)
+        session, held, finished = self.state.get()[:3] if self.state.exists() else (chunks["session_id"].iloc[0], "", False)
         out = []
         for c in chunks.itertuples(index=False):
             if finished or c.session_id != session:
@@ -141,12 +165,9 @@ class PieceProcessor(StatefulProcessor):
             cut = cut if inside is None else max(0, inside - self.lead)
             out.append((key[0], session, c.seq, held[:cut]))
             held, finished = held[cut:], bool(c.is_last)
-        self.state.update((session, held, finished))
+        self.put((session, held, finished), chunks)
         yield pd.DataFrame(out, columns=["stream_id", "session_id", "seq", "text"])
 
-    def close(self) -> None:
-        pass
-
 
 def _open_token(text: str) -> int:
     """Where a token begins that isn't finished; the length of the text, if there is none."""
@@ -161,7 +182,7 @@ def pieces(chunks: DataFrame, lead: int = LEAD, idle_seconds: int = IDLE_SECONDS
     a token nor the `lead` characters before it are parted, so that each piece can be restored by itself. A chunk after the
     last one, or of another session, fails the query. Needs the RocksDB state store."""
     schema = "stream_id string, session_id string, seq long, text string"
-    return chunks.groupBy("stream_id").transformWithStateInPandas(PieceProcessor(lead, idle_seconds), schema, "Append", "ProcessingTime")
+    return _timed(chunks).groupBy("stream_id").transformWithStateInPandas(PieceProcessor(lead, idle_seconds), schema, "Append", "EventTime")
 
 
 def restore_sessions(chunks: DataFrame, shield: Shield, folder: str, checkpoint: str, *, now: Callable[[], int] = lambda: int(time.time()), lead: int = LEAD, idle_seconds: int = IDLE_SECONDS, **trigger) -> StreamingQuery:

@@ -76,7 +76,7 @@ def verified(df: DataFrame, secret: bytes, *, body: str = "body", ts: str = "tim
     rows = df.withColumns(marks)
     refused = rows.where("_why is not null").select(*df.columns, F.col("_why").alias("outcome"))
     rest = rows.where("_why is null").withColumn("_at", F.col(at).cast("long"))
-    schema = rest.select(*df.columns, F.lit("").alias("outcome")).schema
+    schema, columns = rest.select(*df.columns, F.lit("").alias("outcome")).schema, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = until = None
@@ -87,8 +87,7 @@ def verified(df: DataFrame, secret: bytes, *, body: str = "body", ts: str = "tim
                     current, until = key, None
                 outcome, until = _judge(until, now, sent, signed, tolerance)
                 out.append(outcome)
-            kept = batch.select(df.columns)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*df.columns, "outcome"])
+            yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, pa.array(out, pa.string())], names=[*columns, "outcome"])
 
     judged = rest.repartition("_id").sortWithinPartitions("_id", "_at", "_signed", "_sent").mapInArrow(run, schema)
     return refused.unionByName(judged)
@@ -98,8 +97,8 @@ class VerifyProcessor(StatefulProcessor):
     """State per delivery id: until when it is remembered. A timer at that time clears it, so the state is no larger than what
     was accepted within the tolerance and the lateness."""
 
-    def __init__(self, columns: list[str], tolerance: int):
-        self.columns, self.tolerance = columns, tolerance
+    def __init__(self, names: list[str], columns: list[str], tolerance: int):
+        self.names, self.columns, self.tolerance = names, columns, tolerance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -108,7 +107,9 @@ class VerifyProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = self.state.get()[0] if self.state.exists() else None
         before = until
-        pdf = pd.concat(rows).sort_values(["_at", "_signed", "_sent"], kind="stable")
+        pdf = pd.concat(rows)
+        pdf.columns = self.names  # names that aren't Python's come as numbers
+        pdf = pdf.sort_values(["_at", "_signed", "_sent"], kind="stable")
         out = []
         for now, sent, signed, why in zip(pdf["_at"], pdf["_sent"], pdf["_signed"], pdf["_why"], strict=True):
             if isinstance(why, str):
@@ -142,7 +143,7 @@ def verified_stream(
     own = F.coalesce(F.when(F.col("_why").isNull(), F.col("_id")), F.concat(F.lit("refused:"), F.md5(F.coalesce(F.col(body).cast("binary"), F.lit(b"")))))
     timed = rows.withColumns({"_key": own, "_time": F.timestamp_seconds(F.coalesce(F.col(at), F.unix_timestamp()))}).withWatermark("_time", f"{late} seconds")
     schema = stream.select("*", F.lit("").alias("outcome")).schema
-    return timed.groupBy("_key").transformWithStateInPandas(VerifyProcessor(stream.columns, tolerance), schema, "Append", "EventTime")
+    return timed.groupBy("_key").transformWithStateInPandas(VerifyProcessor(timed.columns, stream.columns, tolerance), schema, "Append", "EventTime")
 
 
 def first_deliveries(df: DataFrame, delivery: str, ts: str, ttl: int = TOLERANCE_SECONDS) -> DataFrame:
@@ -171,8 +172,8 @@ class ReplayProcessor(StatefulProcessor):
     """State per delivery id: the time at which it was last accepted, cleared by a timer once that no longer counts. Rows of a
     micro-batch go in order of time."""
 
-    def __init__(self, columns: list[str], ts: str, ttl: int):
-        self.columns, self.ts, self.ttl = columns, ts, ttl
+    def __init__(self, names: list[str], columns: list[str], ts: str, ttl: int):
+        self.names, self.columns, self.ts, self.ttl = names, columns, ts, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -180,7 +181,9 @@ class ReplayProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = last = self.state.get()[0] if self.state.exists() else None
-        pdf, keep = pd.concat(rows).sort_values(self.ts, kind="stable"), []
+        pdf, keep = pd.concat(rows), []
+        pdf.columns = self.names
+        pdf = pdf.sort_values(self.ts, kind="stable")
         for at in pdf[self.ts]:
             keep.append(bool(pd.isna(at) or last is None or at - last >= self.ttl))
             if keep[-1] and not pd.isna(at):
@@ -205,4 +208,4 @@ def without_replays(stream: DataFrame, delivery: str, ts: str, ttl: int = TOLERA
     the last accepted one, count as replays; those over `late` seconds behind the latest row are dropped. A row goes through in
     the batch in which it comes, and an id's state goes once its time is over. Needs the RocksDB state store."""
     timed = stream.withColumn("_time", F.timestamp_seconds(F.coalesce(F.col(ts), F.unix_timestamp()))).withWatermark("_time", f"{late} seconds")
-    return timed.groupBy(delivery).transformWithStateInPandas(ReplayProcessor(stream.columns, ts, ttl), stream.schema, "Append", "EventTime")
+    return timed.groupBy(delivery).transformWithStateInPandas(ReplayProcessor(timed.columns, stream.columns, ts, ttl), stream.schema, "Append", "EventTime")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shieldframe.functions.recognizers import ModelDetector, RegexDetector
 from shieldframe.operators import protect, shield, vault, vault_jdbc
-from shieldframe.policy import DAY, uniform
+from shieldframe.policy import DAY, Policy, Rule, uniform
 
 KEY = bytes(range(32))
 MAIL = uniform("tokenize", ("EMAIL_ADDRESS",))
@@ -215,3 +215,23 @@ def test_a_failure_in_between_loses_nothing(spark, database, monkeypatch):
     with pytest.raises(vault.Conflict):
         database.append("mappings", rows)
     assert database.read("mappings").count() == 1
+
+
+def test_each_row_is_under_its_own_sessions_policy(spark, tmp_path):
+    policies = {"a": uniform("tokenize", ("EMAIL_ADDRESS",)), "b": uniform("label"), "c": Policy("own", (Rule("ORGANIZATION", "redact"), Rule("EMAIL_ADDRESS", "synthetic", reversible=True, priority=-1)), 3, ("IGNORE@post.example",), {"a.b|c\\E(": "ORGANIZATION", "ne": "ORGANIZATION"}), "d": uniform("redact", required_detectors=("absent",)), "e": uniform("keep")}
+    s = shield.Shield(spark, None, KEY, store_at(spark, tmp_path))
+    ids = {n: s.create_session(now=0, policy=p) for n, p in policies.items()}
+    text = "Ann ne A.B|c\\e( x@post.example ignore@post.example 10.1.2.3"
+    df = spark.createDataFrame([(i, ids.get(n, "nobody"), text) for i, n in enumerate("abcdef")] + [(9, ids["a"], None)], DOCS)
+    shown = {r.id: r.protected_text for r in s.protect(df, "t", "id", now=1)[0].collect()}
+    alone = {n: [r.protected.text for r in protect.protect(df.where("id = 0"), "t", p, key=KEY).collect()][0] for n, p in policies.items() if n in "be"}
+    assert shown[1] == alone["b"] and shown[4] == text == alone["e"] and (shown[3], shown[5], shown[9]) == (None, None, None)
+    assert shown[0].startswith("Ann ne A.B|c\\e( [[PG1|EMAIL_ADDRESS|") and shown[0].endswith("]] 10.1.2.3")
+    one, two, three, rest = shown[2].split(" ", 3)
+    assert (one, two, three) == ("Ann", "[REDACTED:ORGANIZATION]", "[REDACTED:ORGANIZATION]") and rest.endswith(" ignore@post.example 10.1.2.3") and rest.startswith("person") and "[[PG1|" in rest
+    kept = {(r.policy_name, r.policy_version, r.entity_type, r.action, r.mapping_id is None) for r in s.vault.read("detections").collect()}
+    assert ("own", 3, "EMAIL_ADDRESS", "synthetic", False) in kept and ("own", 3, "ORGANIZATION", "redact", True) in kept and ("uniform-label", 1, "IP_ADDRESS", "label", True) in kept
+    back = s.restore(spark.createDataFrame([(i, ids[n], shown[i]) for i, n in ((0, "a"), (2, "c"))], DOCS), "t", "id", now=2)
+    assert {r.id: r.restored for r in back.collect()} == {0: text, 2: text.replace(" ne A.B|c\\e(", " [REDACTED:ORGANIZATION] [REDACTED:ORGANIZATION]")}
+    keyless = shield.Shield(spark, None, None, s.vault)
+    assert {r.id: r.protected_text is None for r in keyless.protect(df, "t", "id", now=3)[0].collect()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 9: True}
