@@ -1,7 +1,7 @@
 """JSON trees and chat payloads: protection and restoration of their texts, with everything else left as it is.
 
-Known shapes are walked at planning time (`transform_strings`); JSON texts are taken apart into a leaf table by a
-recursive variant walk (`leaves`). Scopes of leaves are `json:/a/b`, by raw keys.
+Known shapes are walked at planning time (`transform_strings`); JSON texts are taken apart into a leaf table in one pass
+(`leaves`). Scopes of leaves are `json:/a/b`, by raw keys.
 """
 
 from __future__ import annotations
@@ -42,23 +42,13 @@ def escape_pointer(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
-def leaves(df: DataFrame, keys: list[str], json: str, depth: int = 8) -> DataFrame:
-    """A row per string leaf of the JSON text column: the keys, pointer and value. Levels are walked by exploding variants,
-    however many there are: what is left nested after each `depth` levels is checkpointed and walked on. Texts that
-    `try_parse_json` doesn't take (such as over 1000 levels) have no leaves."""
-    level = df.select(*keys, F.lit("").alias("pointer"), F.try_parse_json(json).alias("v"))
-    out = None
-    while True:
-        for _ in range(depth):
-            typed = level.withColumn("t", F.schema_of_variant("v"))
-            strings = typed.where("t = 'STRING'").select(*keys, F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("pointer"), F.expr("variant_get(v, '$', 'string')").alias("value"))
-            out = strings if out is None else out.unionByName(strings)
-            nested = typed.where("t like 'OBJECT<%' or t like 'ARRAY<%'")
-            exploded = nested.select(*keys, "pointer", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-            level = exploded.select(*keys, F.concat("pointer", F.lit("/"), F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("pointer"), F.col("value").alias("v"))
-        level = level.where("v is not null").checkpoint()
-        if level.isEmpty():
-            return out
+def leaves(df: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """A row per string leaf of the JSON text column, of whatever depth: the keys, pointer (RFC 6901, `/` for the root) and value. Null
+    and malformed texts have no leaves."""
+    from shieldframe.operators import json_trees
+
+    found = json_trees.nodes_of(df, keys, json).where("kind = 'STRING'")
+    return found.select(*keys, F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("pointer"), F.col("text").alias("value"))
 
 
 def content_ok(content: Column) -> Column:

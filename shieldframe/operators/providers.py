@@ -130,7 +130,7 @@ def protect_requests(df: DataFrame, row: str, body: str, endpoint: str, policy:
     reasons = reasons.join(prompt, row).select(row, F.coalesce("reason", F.when((~F.coalesce("_touched", F.lit(False))), "no prompt field")).alias("reason")).checkpoint()
     fine = nodes.join(reasons.where("reason is null").select(row), row, "left_semi")
     done, mappings = json_trees.protect_nodes(fine.drop("kids"), row, policy, texts, _scope(where), **options)
-    made = json_trees.rebuild(done, row, body)
+    made = json_trees.rebuild(done, df, row, body)
     out = reasons.join(made, row, "left")
     return out.select(row, body, F.when(F.col(body).isNull(), "blocked").otherwise("protected").alias("state"), "reason"), mappings
 
@@ -177,5 +177,5 @@ def restore_responses(df: DataFrame, row: str, body: str, endpoint: str, mapping
     fine = nodes.drop("kids").join(reasons.where("reason is null").select(row), row, "left_semi")
     fine = fine.join(acting, (F.col(row) == F.col("_row")) & (top == F.col("_acts")), "left")
     done = json_trees.restore_nodes(fine.withColumn("_text", texts & F.col("_acts").isNull()).drop("_row", "_acts"), row, mappings, F.col("_text"), session)
-    out = reasons.join(json_trees.rebuild(done, row, body), row, "left")
+    out = reasons.join(json_trees.rebuild(done, df, row, body), row, "left")
     return out.select(row, body, F.when(F.col(body).isNull(), "blocked").otherwise("restored").alias("state"), "reason")

@@ -684,23 +684,23 @@ def json_leaves(spark, sf_dir):
 
 
 def _bodies(spark, sf_dir) -> DataFrame:
-    """A request per conversation: its turns as messages of text blocks; odd turns are plain texts."""
-    turns = _table(spark, sf_dir, "conversations").where("text is not null and role is not null")
-    quoted = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    """A request per conversation: its turns as messages of text blocks; odd turns are plain texts. Missing roles and texts are null."""
+    turns = _table(spark, sf_dir, "conversations")
+    quoted = lambda c: F.expr(f"coalesce(substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2), 'null')")
     content = F.when(F.col("turn") % 2 == 1, quoted("text")).otherwise(F.concat(F.lit('[{"type":"text","text":'), quoted("text"), F.lit("}]")))
     message = F.concat(F.lit('{"role":'), quoted("role"), F.lit(',"content":'), content, F.lit("}"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",")
-    body = F.concat(F.lit('{"model":"m","messages":['), listed, F.lit(']}'))
+    body = F.concat(F.lit('{"top": 1.10, "model" :"m","seed":12345678901234567890123456789012345678901234567,\t"messages":['), listed, F.lit('],"a":0e1 }'))
     return turns.groupBy("conv_id").agg(body.alias("body")).withColumn("endpoint", payloads.endpoint(F.lit("/v1/chat/completions")))
 
 
-_TURNS = "(select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 i from conversations where text is not null and role is not null)"
+_TURNS = "(select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 i from conversations)"
 
 
 @query(
-    detection_sql.resolved(_TURNS, "text", "conv_id, turn, role, i") + ", " + detection_sql.rewritten("'[REDACTED:' || entity || ']'")
-    + """, b as (select conv_id, bool_or(role not in ('system', 'developer', 'user', 'assistant', 'tool')) bad from d group by 1)
-    select conv_id, case when turn % 2 = 1 then '/messages/' || i || '/content' else '/messages/' || i || '/content/0/text' end pointer, md5(p.t) text_md5 from p join d using (r) join b using (conv_id) where not bad"""
+    detection_sql.resolved(_TURNS, "text", "conv_id, turn, role, i, text is null missing") + ", " + detection_sql.rewritten("'[REDACTED:' || entity || ']'")
+    + """, b as (select conv_id, bool_or(coalesce(role not in ('system', 'developer', 'user', 'assistant', 'tool'), true) or (missing and turn % 2 = 0)) bad from d group by 1)
+    select conv_id, case when turn % 2 = 1 then '/messages/' || i || '/content' else '/messages/' || i || '/content/0/text' end pointer, md5(p.t) text_md5 from p join d using (r) join b using (conv_id) where not bad and not missing"""
 )
 def chat_bodies(spark, sf_dir):
     """Whole request bodies protected, and the texts in them."""
@@ -711,16 +711,16 @@ def chat_bodies(spark, sf_dir):
 
 
 @query(
-    "select conv_id, '/messages/' || i || '/content' || case when turn % 2 = 1 then '' else '/0/text' end pointer, md5(text) text_md5 from " + _TURNS
+    """with m as (select conv_id, turn, coalesce(to_json(role)::varchar, 'null') role, coalesce(to_json(text)::varchar, 'null') t from conversations)
+    select conv_id, md5('{"top": 1.10, "model" :"m","seed":12345678901234567890123456789012345678901234567,' || chr(9) || '"messages":[' || string_agg('{"role":' || role || ',"content":' || case when turn % 2 = 1 then t else '[{"type":"text","text":' || t || '}]' end || '}', ',' order by turn) || '],"a":0e1 }') body_md5, 'protected' state from m group by 1"""
 )
 def tree_round_trip(spark, sf_dir):
-    """Whole JSON trees with their values made tokens, and restored."""
+    """Whole JSON texts with their values made tokens, and restored: byte for byte what they were."""
     _checkpoints(spark)
     bodies = _bodies(spark, sf_dir).select("conv_id", "body")
     done, mappings = json_trees.protect_trees(bodies, "conv_id", "body", uniform("tokenize"), key=KEY)
     back = json_trees.restore_trees(done.select("conv_id", "body"), "conv_id", "body", mappings)
-    texts = payloads.leaves(back, ["conv_id"], "body").where(F.col("pointer").rlike("^/messages/[0-9]+/content(?:/0/text)?$"))
-    return texts.select("conv_id", "pointer", F.md5("value").alias("text_md5"))
+    return back.join(done.select("conv_id", "state"), "conv_id").select("conv_id", F.md5("body").alias("body_md5"), "state")
 
 
 @query(
@@ -729,20 +729,23 @@ def tree_round_trip(spark, sf_dir):
      case k when 0 then 'to ' || event_type when 1 then event_type when 2 then event_type end text from e"""
 )
 def provider_responses(spark, sf_dir):
-    """Responses of all providers restored from the mappings; the ones with a token in a tool's input are blocked."""
+    """Responses of all providers restored from the mappings; the ones with a token in a tool's input are blocked, however the
+    token is written."""
     _checkpoints(spark)
     events = _table(spark, sf_dir, "events").select("event_id", "event_type")
     kinds = events.select("event_type").distinct().select(F.lit("s").alias("session_id"), F.lit("PERSON").alias("entity"), F.col("event_type").alias("value"))
     mappings = protect.allocate(kinds, uniform("tokenize", ("PERSON",)), KEY)
     k = F.col("event_id") % 4
+    loose = F.replace(F.lower("replacement"), F.lit("|"), F.lit(" | "))
+    written = F.when(F.col("event_id") % 8 < 4, F.col("replacement")).otherwise(loose)
     body = (
         F.when(k == 0, F.concat(F.lit('{"choices":[{"message":{"content":"to '), "replacement", F.lit('"}}]}')))
         .when(k == 1, F.concat(F.lit('{"output":[{"type":"message","content":[{"type":"output_text","text":"'), "replacement", F.lit('"}]}]}')))
         .when(k == 2, F.concat(F.lit('{"content":[{"type":"thinking","thinking":"'), "replacement", F.lit('"}]}')))
-        .otherwise(F.concat(F.lit('{"content":[{"type":"tool_use","input":{"a":"'), "replacement", F.lit('"}}]}')))
+        .otherwise(F.concat(F.lit('{"content":[{"type":"tool_use","input":{"a":"'), written, F.lit('"}}]}')))
     )
     path = F.when(k == 0, "chat/completions").when(k == 1, "responses").otherwise("v1/messages")
-    rows = events.join(F.broadcast(mappings), events["event_type"] == mappings["value"]).select("event_id", body.alias("body"), payloads.endpoint(path).alias("endpoint"))
+    rows = events.join(mappings, events["event_type"] == mappings["value"]).select("event_id", body.alias("body"), payloads.endpoint(path).alias("endpoint"))
     done = providers.restore_responses(rows, "event_id", "body", "endpoint", mappings, rows.select("event_id", F.lit("s").alias("session_id")))
     paths = ("$.choices[0].message.content", "$.output[0].content[0].text", "$.content[0].thinking")
     return done.select("event_id", "state", "reason", F.coalesce(*(F.get_json_object("body", p) for p in paths)).alias("text"))

@@ -37,6 +37,21 @@ def test_trees_of_any_shape_and_depth(spark):
         assert got[i] == want, i
 
 
+def test_bytes_outside_of_changed_strings_stay(spark):
+    red = '"' + RED + '"'
+    texts = [
+        (' {"b" : 1.10,\t"a":[' + "9" * 47 + ', 1E5,-0.0],"t":"\\u00e9\\/\\n" , "m": "' + MAIL + '","é":"ü","n":null}\n', lambda t: t.replace(f'"{MAIL}"', red)),
+        ('{"m":"\\u0061nn@post.example","x":"' + MAIL.replace("@", "\\u0040") + '"}', lambda _: '{"m":' + red + ',"x":' + red + "}"),
+        ('{"a":1,"a":2}', lambda _: None), ('["\\ud800"]', lambda _: None), ("[NaN]", lambda _: None), ("[1] [2]", lambda _: None), ("[" * 100_000, lambda _: None), ('"' + MAIL + '"', lambda _: red),
+        ("[" * 300 + f'"{MAIL}"' + "]" * 300, lambda t: t.replace(f'"{MAIL}"', red)),
+    ]
+    df = trees(spark, [t for t, _ in texts])
+    made, _ = json_trees.protect_trees(df, "id", "body", uniform("redact", ("EMAIL_ADDRESS",)))
+    assert {r.id: r.body for r in made.collect()} == {i: want(t) for i, (t, want) in enumerate(texts)}
+    leaves = payloads.leaves(trees(spark, [{"a/b": "x", "a": {"b": "y", "~": ["z"]}}]), ["id"], "body")
+    assert {r.pointer: r.value for r in leaves.collect()} == {"/a~1b": "x", "/a/b": "y", "/a/~0/0": "z"}
+
+
 def test_scopes_are_raw_paths_and_pointers_are_escaped(spark):
     df = trees(spark, [{"a/b": MAIL, "c": [MAIL]}])
     nodes = {r.pointer: r.path for r in json_trees.walk(df, "id", "body").collect()}
@@ -121,6 +136,8 @@ def test_responses(spark):
         ("responses", {"output": [{"type": "reasoning"}]}, "unsupported output"),
         ("messages", {"content": [{"type": "text", "text": token}, {"type": "thinking", "thinking": token}, {"type": "tool_use", "text": "x"}]}, 2),
         ("messages", {"content": [{"type": "tool_use", "input": {token: 1}}]}, "a token would reach a tool or side effect"),
+        ("messages", {"content": [{"type": "tool_use", "input": {"a": [token.lower()]}}]}, "a token would reach a tool or side effect"),
+        ("messages", {"content": [{"type": "tool_use", "input": {"a": token.replace("|", " | ").replace("[[", "[[ ")}}]}, "a token would reach a tool or side effect"),
         ("messages", {"content": [{"type": "image"}]}, "unsupported content block"),
         ("messages", {"content": "x"}, "content must be an array"),
     ]
