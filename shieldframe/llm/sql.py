@@ -52,7 +52,7 @@ select d.id doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::bigint n_{k.name}" for
 
 
 def _mix() -> str:
-    b, m = mixing.BLOCK_WORDS, mixing.MOST_REPEATS
+    m = mixing.MOST_REPEATS
     weight = " ".join(f"when {i} then {w}" for i, w in enumerate(mixing.WEIGHTS))
     return rf"""with r as (select row_number() over () rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::bigint size,
   md5(concat_ws(':', '{mixing.SEED}', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))) k from documents),
@@ -62,14 +62,9 @@ w as (select *, case (row_number() over (order by source is null, source) - 1) %
 l as (select *, {m} * source_size cap, (total - coalesce(sum({m} * source_size) over o, 0))::double / (sum(weight) over () - coalesce(sum(weight) over o, 0)) lev
   from w window o as (order by {m} * source_size / weight::double, place rows between unbounded preceding and 1 preceding)),
 f as (select *, case when cap <= weight * lev then cap::double else weight * max(case when cap > weight * lev then lev end) over () end target from l),
-c as (select *, sum(target) over (order by place) / total hi, (sum(target) over (order by place) - target) / total lo, max(place) filter (target > 0) over () last from f),
-s as (select slot, slot * {mixing.GOLDEN} - floor(slot * {mixing.GOLDEN}) point from range((select coalesce(ceil(sum(source_size) / {b}::double), 0)::bigint from t)) x(slot)),
-p as (select place, source_size, row_number() over (partition by place order by slot) - 1 n from s join c on target > 0 and point >= lo and (point < hi or place = last)),
-q as (select place, n % ((source_size + {b - 1}) // {b}) block, count(*) times from p where n < {m} * ((source_size + {b - 1}) // {b}) group by 1, 2),
-o as (select r.*, c.place, sum(size) over (partition by c.place order by k, doc_id, rid) stop from r join c on r.source is not distinct from c.source),
-e as (select rid, place, stop - size b0, stop, unnest(range(((stop - size) // {b})::bigint, ((stop - 1) // {b})::bigint + 1)) block from o where size > 0),
-a as (select rid, sum((least(stop, (e.block + 1) * {b}) - greatest(b0, e.block * {b})) * times) taken from e join q using (place, block) group by rid)
-select doc_id, size, c.source_size, round(c.target, 6) target, coalesce(taken, 0)::bigint taken from o join c using (place) left join a using (rid)"""
+o as (select r.*, f.place, f.source_size, f.target, floor(f.target + 0.5)::bigint take, sum(size) over (partition by f.place order by k, doc_id, rid) stop from r join f on r.source is not distinct from f.source)
+select doc_id, size, source_size, round(target, 6) target, (case when size = 0 then 0 else list_sum(list_transform(range({m}), lambda c: greatest(0, least(c * source_size + stop, take) - c * source_size - stop + size))) end)::bigint taken from o"""
+
 
 
 _CHATS = r"""with m as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations

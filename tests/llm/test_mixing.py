@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 from conftest import table
+from pyspark.sql import functions as F
 
 from shieldframe.llm import mixing
 
@@ -39,19 +40,31 @@ def check(df, near):
 
 
 def test_documents(spark):
-    check(table(spark, "documents", "sf0.01"), lambda t: 0.02 * t + 128)
+    check(table(spark, "documents", "sf0.01"), lambda t: 0.5)
 
 
 def test_skew_caps_and_odd_rows(spark):
     rows = [(i, "w " * (i % 7 * 10 + 1), f"s{i % 3}" if i % 40 else None, 0) for i in range(300)]
     rows += [(1000, "a b c d e f", "tiny", 0), (1001, None, "zz", 0), (1002, "  ", "zz", 0), (1003, "x " * 50_000, "big", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
-    check(df, lambda t: 0.05 * t + 128)
+    check(df, lambda t: 0.5)
     assert mixing.mix(df.limit(0)).count() == 0
     kept = mixing.mixed_documents(df)
     assert kept.where("taken = 0").count() == 0 and kept.count() > 200
 
 
+def test_small_sources_take_their_targets_to_the_word(spark):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(70, "a"), (10_000, "b"), (10_000, "c"), (1, "d"), (3, "e"), (64, "f"), (2, None), (129, "g")])]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), lambda t: 0.5)
+
+
+def test_points_of_late_slots_are_whole_numbers(spark):
+    slots = [0, 1, 2, 12345, 1 << 24, (1 << 24) + 1, 10**12, 10**12 + 1, (1 << 47) + 3]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in slots], "s long").select(mixing.point(F.col("s"))).collect()]
+    assert got == [s * mixing.GOLDEN % (1 << mixing.POINT_BITS) for s in slots]
+    assert abs(mixing.GOLDEN / (1 << mixing.POINT_BITS) - 0.6180339887498949) < 1e-14 and mixing.GOLDEN % 2
+
+
 def test_schedule_stays_near_the_weights(spark):
     df = table(spark, "documents", "sf0.01")
     t = mixing.source_targets(mixing.sized(df).groupBy("source").agg({"size": "sum"}).withColumnRenamed("sum(size)", "source_size")).cache()
