@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.buffers import Powers, joined, mixed
-from shieldframe.llm.scratch import attach, checkpoint, small_batches
+from shieldframe.llm.scratch import attach, checkpoint, small_batches, unused
 
 WINDOW = 13
 MATCHES = 11
@@ -139,9 +139,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[hit])), pa.array(h[hit].view(np.int64)), pa.array(place[hit])], names=["doc_id", "h", "place"])
 
     likely = own.mapInArrow(candidates, "doc_id long, h long, place long")
-    if n_keys * 32 <= BROADCAST_BYTES:
-        keys = F.broadcast(keys)
-    hits = likely.alias("d").join(keys.alias("k"), "h").select("d.doc_id", "k.item_id", (F.col("d.place") - F.col("k.place")).alias("shift")).distinct()
+    named = keys.select("h", "item_id", F.col("place").alias("item_place"))
+    hits = likely.join(F.broadcast(named), "h") if n_keys * 32 <= BROADCAST_BYTES else attach(likely, named, "h", F.struct("doc_id", "place"))
+    hits = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     lists = checkpoint(tests.mapInArrow(_item_tokens, "item_id long, item array<long>").distinct().withColumn("row", F.monotonically_increasing_id()))
     rows = lists.select(F.col("item_id").alias("own"), "row", F.size("item").alias("n"))
     n_lists, list_bytes = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("item") * 8 + 32), F.lit(0))).first()
@@ -203,6 +203,17 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents in which a benchmark item is found; the columns stay as they are."""
-    bad = find(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """`docs` without the documents in which a benchmark item is found; the columns stay as they are.
+
+    Rows that share an id are one document. Rows without an id are each by itself, known by their text.
+    """
+    bad = find(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(bad, named["doc_id"] == bad["_bad"], "left_anti")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    own = unused("text_hash", docs.columns)
+    nameless = nameless.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    leaks = find(nameless.select(own, "text"), benchmark, id_col=own).select(F.col("doc_id").alias(own)).distinct()
+    return kept.unionByName(nameless.join(leaks, own, "left_anti").select(*docs.columns))

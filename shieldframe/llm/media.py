@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.buffers import mixed
-from shieldframe.llm.scratch import small_batches, stored
+from shieldframe.llm.scratch import attach, small_batches, stored
 
 PAD = 64
 LEAST_CHUNK, MEAN_BITS, MOST_CHUNK = 512, 11, 16384
 BITMAP_BITS = 26
+HOT_REFS = 1000
 SENT_DIGESTS = 50_000
 _RATE = 8000
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
@@ -154,9 +155,14 @@ def write_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def read_clips(clips: DataFrame, store: DataFrame) -> DataFrame:
     """(id, clip): every clip, put together from its ordered chunk list. Raises where a chunk is missing or isn't
-    what its digest says. A digest that very many clips share is left to Spark's skew join: both sides are sorted."""
+    what its digest says. A chunk that more than `HOT_REFS` places name is there as often as it takes for no task to send
+    it to more places than that."""
     refs = clips.where("n_shared > 0").select("rid", F.posexplode("chunks").alias("pos", "c")).where("c.data is null").select("rid", "pos", F.col("c.digest").alias("digest"))
-    got = refs.join(store, "digest").groupBy("rid").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
+    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_REFS).select("digest", F.ceil(F.col("n") / HOT_REFS).cast("int").alias("copies"))
+    hot = stored(hot, "hot-chunks")
+    refs = attach(refs, hot, "digest", F.col("rid"), how="left").withColumn("copy", F.pmod(F.xxhash64("rid", "pos"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    copies = store.join(hot, "digest", "left").select("digest", "data", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    got = refs.join(copies, ["digest", "copy"]).groupBy("rid").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
     whole = clips.where("n_shared = 0").select("id", "chunks", F.lit(None).cast("array<struct<pos:int,data:binary>>").alias("got"))
     mended = clips.where("n_shared > 0").join(got, "rid", "left").select("id", "chunks", "got")
 

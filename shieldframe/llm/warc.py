@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shieldframe.llm.files import Output, open_fs, read_range
-from shieldframe.llm.scratch import new_path, small_batches, stored
+from shieldframe.llm.scratch import attach, new_path, small_batches, stored
 
 BLOCK_LINES = 512
 REVISIT_BYTES = 1000
@@ -84,7 +84,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("payload"))
     keys = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
     last = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = stored(keys.join(last, "digest").where("page_id is null or page_id != refers_to").where("refers_to is not null").distinct(), "revisits")
+    again = stored(attach(keys, last, "digest", F.col("page_id")).where("page_id is null or page_id != refers_to").where("refers_to is not null").distinct(), "revisits")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     same = rows["page_id"].eqNullSafe(again["page_id"]) & (rows["digest"] == again["digest"])
@@ -247,7 +247,9 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     parts = write_index(captures, folder)
     read = lookup(request_keys(pages), folder, parts)
     rows = stored(read.select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("n")), "read")
-    full = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("n").alias("full_n")).distinct()
+    name = lambda page: F.concat_ws(":", page, "payload_digest").alias("response")
+    full = rows.where("record_type = 'response'").select(name(F.col("page_id")), F.col("n").alias("full_n")).distinct()
     plain = rows.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    again = rows.where("record_type = 'revisit'").join(full, ["refers_to", "payload_digest"]).select("page_id", F.col("full_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits = rows.where("record_type = 'revisit'").select("*", name(F.col("refers_to")))
+    again = attach(revisits, full, "response", F.col("page_id")).select("page_id", F.col("full_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return plain.union(again)

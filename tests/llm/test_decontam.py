@@ -75,6 +75,14 @@ def test_odd_rows(spark):
     assert decontam.find(d.limit(0), b).count() == 0 and decontam.find(d, b.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_judged_each_by_itself(spark):
+    item = "a b c d e f g h i j k l m n o p"
+    rows = [(None, "x " + item, 1), (None, "clean text", 2), (None, None, 3), (3, item, 4), (3, "rest of three", 5), (4, "fine", 6), (None, "clean text", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    left = decontam.drop_contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text_hash for r in left.collect()) == [2, 3, 6, 7] and left.columns == d.columns
+
+
 def test_without_any_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     test_odd_rows(spark)

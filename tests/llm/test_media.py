@@ -48,6 +48,11 @@ def test_shared_chunks_are_stored_once(spark):
     assert inline + store.agg(F.sum(F.octet_length("data"))).first()[0] < 4 * len(common)
 
 
+def test_a_chunk_that_half_of_all_places_name(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT_REFS", 7)
+    check(spark.createDataFrame([(i, ("same " * 8000 if i % 2 else f"own {i} " * 300)) for i in range(60)], "doc_id long, text string"))
+
+
 def test_cuts_follow_content():
     import random
 

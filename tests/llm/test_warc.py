@@ -47,6 +47,12 @@ def test_revisits_and_odd_rows(spark):
     assert read(df.limit(0)) == []
 
 
+def test_a_payload_that_half_of_all_pages_share(spark):
+    rows = [(i, f"http://h{i % 9}.example/{i}", "<p>same</p>" * 200 if i % 2 else f"<p>{i}</p>" * 200) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert read(df) == want([(r[0], r[2]) for r in rows])
+
+
 def test_keys_and_lookups(spark):
     assert warc.url_key("https://Blog.Example.com:443/a b#c") == "com,example,blog)/a%20b#c"
     assert warc.url_key("http://h:81") == "h:81)/" and warc.url_key(None) == ")/"
