@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from shieldframe.functions import checks
 from shieldframe.functions.nested import let, running
 
+try:  # only for many denied terms; without it each is a pattern
+    import ahocorasick
+except ModuleNotFoundError:
+    ahocorasick = None
+
+#: Denied terms up to so many are patterns of their own.
+FEW_TERMS = 16
 SPAN = "struct<start:int,end:int,entity:string,confidence_ppm:int,detector:string,value:string>"
 SPANS = f"array<{SPAN}>"
 REGEX_CONFIDENCE = 990_000
@@ -170,7 +177,11 @@ def deny_spans(text: Column, term: Column, entity: Column) -> Column:
 
 
 class DenyListDetector(Detector):
-    """Literal terms, found in any case, with full confidence."""
+    """Literal terms, found in any case, with full confidence. Each term's matches go from left to right without overlaps.
+
+    Up to `FEW_TERMS` are patterns in the plan, a pass over the text each. More go through one automaton over all terms, in
+    Arrow batches: its time is that of the text and its matches, however many terms there are.
+    """
 
     name = "deny-list"
 
@@ -179,11 +190,60 @@ class DenyListDetector(Detector):
 
     def spans(self, text: Column, entities: Iterable[str]) -> Column:
         wanted = set(entities)
+        terms = {t: e for t, e in self.terms.items() if e in wanted}
+        if len(terms) > FEW_TERMS and ahocorasick is not None:
+            return _by_automaton(terms)(text)
         quoted = lambda t: "".join(c if c.isalnum() or c in " _" else re.escape(c) if c.isascii() else c for c in t)
-        found = [matches(text, f"(?Ui){quoted(t)}", e, 1_000_000, self.name) for t, e in self.terms.items() if e in wanted]
+        found = [matches(text, f"(?Ui){quoted(t)}", e, 1_000_000, self.name) for t, e in terms.items()]
         return F.concat(*found) if found else F.array().cast(SPANS)
 
 
+class _Folds(dict):
+    """Characters by what they are compared as, as far as asked for: single ones, so that places stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        up = c.upper() if len(c.upper()) == 1 else c
+        self[code] = up.lower()[0]  # one character has two in lower case: I with a dot, which is an i here
+        return self[code]
+
+
+def _by_automaton(terms: Mapping[str, str]) -> Callable[[Column], Column]:
+    made: dict[str, object] = {}
+
+    def build() -> tuple:
+        folds, automaton, named = _Folds(), ahocorasick.Automaton(), {}
+        for term, entity in terms.items():
+            named.setdefault(term.translate(folds), []).append(entity)
+        for folded, of in named.items():
+            automaton.add_word(folded, (folded, of))
+        automaton.make_automaton()
+        return folds, automaton
+
+    def one(text: str, folds: _Folds, automaton) -> list[dict]:
+        ends: dict[str, int] = {}
+        hits = []
+        for last, (folded, of) in automaton.iter(text.translate(folds)):
+            start = last + 1 - len(folded)
+            if start >= ends.get(folded, 0):
+                ends[folded] = last + 1
+                hits.append((start, last + 1, of))
+        out, at, size = [], 0, 0
+        for start, end, of in sorted(hits, key=lambda h: h[:2]):
+            size += len(text[at:start].encode())
+            at, value = start, text[start:end]
+            out += [{"start": size, "end": size + len(value.encode()), "entity": e, "confidence_ppm": 1_000_000, "detector": DenyListDetector.name, "value": value} for e in of]
+        return out
+
+    @F.pandas_udf(SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        if not made:
+            made["it"] = build()
+        return pd.Series([one(t or "", *made["it"]) for t in texts], dtype=object)
+
+    return run
+
+
 class ModelDetector(Detector):
     """A detector around a function from a text to (start, end, entity, confidence in 0 to 1) with places in code points, such
     as a model's. It runs in Arrow batches; a text for which it raises gets null spans, which block the row.

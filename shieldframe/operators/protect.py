@@ -173,6 +173,30 @@ def trace_by(text: Column, policy: Column, scope: Column | str = "*", found: Seq
     return resolve.decisions(F.concat(*every, _denied(whole, policy)), None, scope, policy["allow"], policy["rules"])
 
 
+def explained(df: DataFrame, text: str, policy: Policy, scope: str = "*", key: bytes | None = None, found: Sequence[Detector] | None = None, into: str = "trace") -> DataFrame:
+    """`df` with how its policy came to its result: every candidate with its outcome and a snapshot of the rule it was judged by
+    (null where no rule is active), the gate (what is required, what is missing, whether it passed), the number of applied
+    spans, and the state. Blocked rows, and rows for which a detector failed, have no decisions."""
+    own = detectors() if found is None else list(found)
+    names, required = [d.name for d in own], sorted({d for r in policy.active().values() for d in r.required_detectors})
+    try:
+        policy.gate(names, scope, has_key=key is not None)
+        reason = None
+    except Blocked as e:
+        reason = str(e)
+    rules = rules_of(F.lit(policy.to_json()))["rules"]
+    made = trace(F.col(text), policy, scope, own) if reason is None else F.lit(None).cast(f"array<{resolve.DECISION}>")
+    names_of = [f.split(":")[0] for f in resolve.DECISION.removeprefix("struct<").removesuffix(">").split(",")]
+    with_rule = F.transform(made, lambda d: F.struct(*(d[n].alias(n) for n in names_of), F.try_element_at(rules, d["entity"]).alias("rule")))
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    gate = F.struct(strings(required).alias("required"), strings(sorted(set(required) - set(names))).alias("missing"), F.lit(reason is None).alias("passed"), F.lit(reason).cast("string").alias("reason"))
+    body = lambda ds: F.struct(
+        ds.alias("decisions"), gate.alias("gate"), F.when(ds.isNotNull(), F.size(F.filter(ds, lambda d: d["outcome"] == "applied"))).alias("applied_count"),
+        F.when(ds.isNull(), "blocked").otherwise("protected").alias("state"), F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"),
+    )
+    return df.withColumn(into, let(with_rule, body))
+
+
 def _denied(text: Column, policy: Column) -> Column:
     terms = F.coalesce(policy["deny"], F.create_map().cast("map<string,string>"))
     return F.flatten(F.transform(F.map_entries(terms), lambda e: deny_spans(text, e["key"], e["value"])))

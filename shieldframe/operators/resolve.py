@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -20,9 +21,16 @@ FEW = 32
 _STATE = f"struct<taken:array<struct<start:int,end:int>>,out:array<{DECISION}>>"
 
 
+#: What full case folding makes of characters beyond ASCII, by Unicode's own table, where it changes them.
+FOLDED = json.dumps({c: c.casefold() for c in map(chr, range(128, 0x110000)) if c.casefold() != c}, ensure_ascii=True)
+
+
 def fold_case(text: Column) -> Column:
-    """Lower case with the full folding of sharp s, close to Unicode case folding."""
-    return F.replace(F.lower(F.replace(text, F.lit("ẞ"), F.lit("ss"))), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding: sharp s is ss, ligatures are their letters, all sigmas are one."""
+    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
+    table = F.from_json(F.lit(FOLDED), "map<string,string>")
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.when(c < "\x80", F.lower(c)).otherwise(c))), "")
+    return F.when(ascii_only, F.lower(text)).otherwise(whole)
 
 
 def candidates(text: Column, policy: Policy, found: Sequence[Detector] | None = None) -> Column:

@@ -544,10 +544,10 @@ def l_diversity(spark, sf_dir):
     return reports.l_diversity(_table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment")
 
 
-@query("select o_orderkey, o_custkey from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 != 0)")
+@query("select doc_id, source from documents where not exists (select 1 from labels where labels.doc_id = documents.doc_id)")
 def foreign_key_orphans(spark, sf_dir):
-    orphans = synthesis.orphans(_table(spark, sf_dir, "orders"), "o_custkey", _table(spark, sf_dir, "customer").where("c_custkey % 10 != 0"), "c_custkey")
-    return orphans.select("o_orderkey", "o_custkey")
+    """Documents without a label."""
+    return synthesis.orphans(_table(spark, sf_dir, "documents"), "doc_id", _table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
 @query(
@@ -646,17 +646,23 @@ def inferred_kinds(spark, sf_dir):
 
 
 @query(
-    """with b as (select *, l_orderkey % 2 h from lineitem), a as (select h, count(*) n, avg(l_quantity) q, max(l_quantity) - min(l_quantity) r, avg((l_returnflag = 'N')::int) from b group by 1),
-    w as (select l_returnflag f, count(*) filter (h = 0) / (select count(*) from b where h = 0) p, count(*) filter (h = 1) / (select count(*) from b where h = 1) q from b group by 1)
-    select 'l_quantity' as "column", 'float' kind, 0.0::double source_null_rate, 0.0::double synthetic_null_rate, 1.0::double synthetic_type_valid_rate, null::double category_coverage, null::double category_total_variation,
+    """with b as (select *, l_orderkey % 2 h, case when l_orderkey % 2 = 1 and l_linenumber = 5 then 'Q' else l_returnflag end f from lineitem),
+    a as (select h, avg(l_quantity) filter (h = 0 or l_linenumber not in (6, 7)) q, max(l_quantity) - min(l_quantity) r, avg((l_linenumber = 6)::int) empty, avg((l_linenumber not in (6, 7))::int) fine, avg((l_linenumber != 5)::int) known from b group by 1),
+    w as (select f, count(*) filter (h = 0) / (select count(*) from b where h = 0) p, count(*) filter (h = 1) / (select count(*) from b where h = 1) q from b group by 1)
+    select 'l_quantity' as "column", 'float' kind, 0.0::double source_null_rate, round((select empty from a where h = 1), 6) synthetic_null_rate, round((select fine from a where h = 1), 6) synthetic_type_valid_rate, null::double category_coverage, null::double category_total_variation,
      round(abs((select q from a where h = 0) - (select q from a where h = 1)) / greatest((select r from a where h = 0), 1), 6) normalized_mean_delta
-    union all select 'l_returnflag', 'category', 0.0, 0.0, 1.0, (select count(*) filter (q > 0) / count(*) filter (p > 0) from w), (select round(sum(abs(p - q)) / 2, 6) from w), null"""
+    union all select 'l_returnflag', 'category', 0.0, 0.0, round((select known from a where h = 1), 6), (select count(*) filter (q > 0 and p > 0) / count(*) filter (p > 0) from w), (select round(sum(abs(p - q)) / 2, 6) from w), null"""
 )
 def quality_table(spark, sf_dir):
-    """The quality report of the odd orders' lines against a specification of the even ones'."""
-    real, made = (h.select("l_quantity", "l_returnflag") for h in _halves(spark, sf_dir))
+    """The quality report of the odd orders' lines against a specification of the even ones'; some of the cells are empty, no
+    number or of no known category."""
+    real, made = _halves(spark, sf_dir)
+    n, line = F.col("l_quantity").cast("string"), F.col("l_linenumber")
+    made = made.select(F.when(line == 7, "x").when(line == 6, "").otherwise(n).alias("l_quantity"), F.when(line == 5, "Q").otherwise(F.col("l_returnflag")).alias("l_returnflag"))
+    real = real.select("l_quantity", "l_returnflag")
     report = synthesis.quality_report(real, made, synthesis.infer(real, "lines"))
-    return report.select("column", "kind", "source_null_rate", "synthetic_null_rate", "synthetic_type_valid_rate", "category_coverage", "category_total_variation", "normalized_mean_delta")
+    rates = {c: F.round(c, 6) for c in ("synthetic_null_rate", "synthetic_type_valid_rate")}
+    return report.withColumns(rates).select("column", "kind", "source_null_rate", "synthetic_null_rate", "synthetic_type_valid_rate", "category_coverage", "category_total_variation", "normalized_mean_delta")
 
 
 # payloads and deliveries
@@ -848,9 +854,15 @@ def policies_by_source(spark, sf_dir):
     return traced.select("doc_id", "preset", "d.entity", "d.start", "d.end", action.alias("action"), "d.outcome")
 
 
+def _all() -> None:
+    from shieldframe.plans import round_trips  # noqa: F401 - registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shieldframe.functions import recognizers
-from shieldframe.operators import protect
+from shieldframe.functions.recognizers import DenyListDetector
+from shieldframe.operators import protect, resolve
 from shieldframe.policy import ENTITIES, Policy, Rule, preset, uniform
 
 
@@ -100,3 +101,28 @@ def test_missing_detector_or_key_blocks(spark):
     row = protect.protect(df, "t", strict).first().protected
     assert row.state == "blocked" and row.text is None and "model" in row.reason
     assert protect.protect(df, "t", preset("balanced")).first().protected.state == "blocked"
+
+
+def test_many_terms_by_automaton_are_what_patterns_find(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["a", "A", "b", "é", "É", "ß", "ſ", "K", "k", "İ", "i", ".", "|", "\\E", " ", "ab", "😀", "σ", "ς", "Σ"]
+    terms = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 4))): rng.choice(("PERSON", "URL")) for _ in range(60)}
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    many, names = DenyListDetector(terms), list(terms)
+    got = {r.id: sorted(map(tuple, r.s)) for r in df.select("id", many.spans(F.coalesce("t", F.lit("")), ["PERSON", "URL"]).alias("s")).collect()}
+    want = {i: [] for i in got}
+    for k in range(0, len(names), 12):
+        few = DenyListDetector({n: terms[n] for n in names[k : k + 12]})
+        for r in df.select("id", few.spans(F.coalesce("t", F.lit("")), ["PERSON", "URL"]).alias("s")).collect():
+            want[r.id] += map(tuple, r.s)
+    assert got == {i: sorted(v) for i, v in want.items()}
+
+
+def test_allowed_terms_fold_as_unicode_does(spark):
+    odd = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
+    values = [*odd, "Straße", "STRASSE", "ΣΊΣΥΦΟΣ", "ﬁsh", "İstanbul", "plain ASCII", "", "a\nÉ😀"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r.v: r.f for r in df.select("v", resolve.fold_case(F.col("v")).alias("f")).collect()} == {v: v.casefold() for v in values}

@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shieldframe.functions import checks
 from shieldframe.functions.actions import TOKEN
 from shieldframe.operators import json_trees, payloads, protect, providers
 from shieldframe.policy import Blocked, Policy, Rule, uniform
+from shieldframe.sources import tables
 
 KEY = bytes(32)
 MAIL = "ann@post.example"
@@ -150,3 +152,28 @@ def test_responses(spark):
         else:
             assert got[i].state == "restored" and got[i].body.count(MAIL) == want, (i, got[i].body)
     assert TOKEN and payloads.endpoint is not None
+
+
+def test_forwarding_rules(spark):
+    urls = ["https://api.example", "https://api.example/v1", "http://localhost:80/x", "http://127.0.0.1", "http://[::1]:9/", "http://api.example", "https://u:p@api.example", "https://api.example/?q", "https://api.example#f", "ftp://x", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    got = {r.i: r.ok for r in df.select("i", checks.upstream_url(F.col("u")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(urls))] == [True] * 5 + [False] * 5 + [None]
+    heads = spark.createDataFrame([({"Authorization": "a", "X-API-Key": "b", "Cookie": "c", "content-type": "d"},)], "h map<string,string>")
+    assert heads.select(payloads.allowed_headers(F.col("h")).alias("h")).first().h == {"Authorization": "a", "X-API-Key": "b", "content-type": "d"}
+    bodies = ['{"stream":true}', '{"stream":false}', "{}", '{"stream":null}', '{"stream":1}', '{"stream":"no"}']
+    asked = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").select("i", payloads.streaming_refused(F.parse_json("b")).alias("no"))
+    assert [r.no for r in asked.orderBy("i").collect()] == [True, False, False, False, True, True]
+    chunks = spark.createDataFrame([("a", 2, "c"), ("a", 0, "a"), ("a", 1, None), ("b", 5, "x")], "k string, n int, c string")
+    assert {r.k: r.body for r in tables.joined_chunks(chunks, "k", "n", "c").collect()} == {"a": "ac", "b": "x"}
+
+
+def test_traces_have_rules_and_gates(spark):
+    df = spark.createDataFrame([(1, f"to {MAIL} or http://a.example/"), (2, None)], "id int, t string")
+    policy = Policy("p", (Rule("EMAIL_ADDRESS", "label", priority=3), Rule("URL", "keep")), 7)
+    got = {r.id: r.trace for r in protect.explained(df, "t", policy).collect()}
+    assert [(d.entity, d.outcome, d.rule and (d.rule.action, d.rule.priority)) for d in got[1].decisions] == [("EMAIL_ADDRESS", "applied", ("label", 3))]
+    assert (got[1].applied_count, got[1].state, got[1].gate.passed, got[1].version, got[2].applied_count) == (1, "protected", True, 7, 0)
+    none = protect.explained(df, "t", uniform("redact", ("EMAIL_ADDRESS",), required_detectors=("absent",))).first().trace
+    assert (none.state, none.decisions, none.gate.passed, none.gate.missing) == ("blocked", None, False, ["absent"])
+    assert not protect.explained(df, "t", uniform("tokenize")).first().trace.gate.passed
