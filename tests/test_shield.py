@@ -73,7 +73,7 @@ def test_allocation_gives_up_after_collisions(spark, tmp_path, monkeypatch):
         tries.append(1)
         raise vault.MappingCollision("taken")
 
-    monkeypatch.setattr(store, "store_mappings", collide)
+    monkeypatch.setattr(store, "store", collide)
     spans = spark.createDataFrame([("s", "EMAIL_ADDRESS", MAIL)], "session_id string, entity string, value string")
     with pytest.raises(Blocked):
         store.allocate(spans, policy, KEY, 0)
