@@ -61,7 +61,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = turns.groupBy("conv_id").agg(F.count("*").alias("own_turns"))
     convs = own.select("conv_id", (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("family"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % MOST_HEAD).alias("head"), "own_turns")
     firsts = own.select(F.col("conv_id").alias("family"), F.col("own_turns").alias("first_turns"))
-    convs = convs.join(firsts, "family", "left").withColumn("taken", F.least("head", F.coalesce("first_turns", F.lit(0)))).drop("first_turns")
+    convs = stored(convs.join(firsts, "family", "left").withColumn("taken", F.least("head", F.coalesce("first_turns", F.lit(0)))).drop("first_turns"), "heads")
     heads = turns.where(F.col("place") < MOST_HEAD).withColumnRenamed("conv_id", "family")
     borrowed = convs.join(heads, "family").where("place <= taken").select("conv_id", F.col("place").alias("depth"), "turn_hash", "tokens")
     kept = attach(turns, convs.select("conv_id", "head", "taken"), "conv_id", F.col("place")).where("place > head").select("conv_id", (F.col("place") - F.col("head") + F.col("taken")).alias("depth"), "turn_hash", "tokens")
@@ -180,5 +180,5 @@ def plain_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def of_rebuilt(conversations: DataFrame) -> DataFrame:
     """`trie` of the rebuilt conversations of a table (conv_id, turn, role, text). Rows without a conv_id belong to no
     conversation; repeated rows are turns of their own; other columns are ignored."""
-    convs, turns = rebuilt(numbered(conversations))
+    convs, turns = rebuilt(stored(numbered(conversations), "numbered"))
     return trie(stored(convs, "conversations"), stored(turns, "rebuilt"))
