@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ except ModuleNotFoundError:
 FEW_TERMS = 16
 SPAN = "struct<start:int,end:int,entity:string,confidence_ppm:int,detector:string,value:string>"
 SPANS = f"array<{SPAN}>"
+_HITS = "array<struct<start:int,end:int,which:int>>"
 REGEX_CONFIDENCE = 990_000
 MONEY_BYTES = 128
 
@@ -209,18 +213,21 @@ class _Folds(dict):
 
 
 def _by_automaton(terms: Mapping[str, str]) -> Callable[[Column], Column]:
+    """Spans of all terms. Python gives three whole numbers a hit, as Arrow arrays; Spark makes the spans of them, row by row,
+    so a batch of texts full of hits stays small."""
     made: dict[str, object] = {}
+    entities = sorted(set(terms.values()))
 
     def build() -> tuple:
         folds, automaton, named = _Folds(), ahocorasick.Automaton(), {}
         for term, entity in terms.items():
-            named.setdefault(term.translate(folds), []).append(entity)
+            named.setdefault(term.translate(folds), []).append(entities.index(entity))
         for folded, of in named.items():
             automaton.add_word(folded, (folded, of))
         automaton.make_automaton()
         return folds, automaton
 
-    def one(text: str, folds: _Folds, automaton) -> list[dict]:
+    def hits_of(text: str, folds: _Folds, automaton) -> list[tuple]:
         ends: dict[str, int] = {}
         hits = []
         for last, (folded, of) in automaton.iter(text.translate(folds)):
@@ -228,20 +235,42 @@ def _by_automaton(terms: Mapping[str, str]) -> Callable[[Column], Column]:
             if start >= ends.get(folded, 0):
                 ends[folded] = last + 1
                 hits.append((start, last + 1, of))
-        out, at, size = [], 0, 0
-        for start, end, of in sorted(hits, key=lambda h: h[:2]):
-            size += len(text[at:start].encode())
-            at, value = start, text[start:end]
-            out += [{"start": size, "end": size + len(value.encode()), "entity": e, "confidence_ppm": 1_000_000, "detector": DenyListDetector.name, "value": value} for e in of]
-        return out
+        return sorted(hits, key=lambda h: h[:2])
 
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(_HITS)
+    def run(texts: pa.Array) -> pa.Array:
         if not made:
             made["it"] = build()
-        return pd.Series([one(t or "", *made["it"]) for t in texts], dtype=object)
-
-    return run
+        offsets, starts, ends, which = array("i", [0]), array("i"), array("i"), array("i")
+        for one in texts:
+            text = one.as_py() or ""
+            plain, at, size = text.isascii(), 0, 0
+            for start, end, of in hits_of(text, *made["it"]):
+                if not plain:
+                    size += len(text[at:start].encode())
+                    at, end = start, size + len(text[start:end].encode())
+                    start = size
+                for e in of:
+                    starts.append(start)
+                    ends.append(end)
+                    which.append(e)
+            offsets.append(len(starts))
+        columns = [pa.array(np.frombuffer(c, np.int32)) if len(c) else pa.array([], pa.int32()) for c in (starts, ends, which)]
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.StructArray.from_arrays(columns, ["start", "end", "which"]))
+
+    once = run.asNondeterministic()  # so that no filter on the spans is put below them, where they would be found a second time
+
+    def spans(text: Column) -> Column:
+        named = F.array(*map(F.lit, entities))
+
+        def one(raw: Column, h: Column) -> Column:
+            value = F.substring(raw, h["start"] + 1, h["end"] - h["start"]).cast("string")
+            return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.get(named, h["which"]).alias("entity"), F.lit(1_000_000).alias("confidence_ppm"), F.lit(DenyListDetector.name).alias("detector"), value.alias("value"))
+
+        both = F.struct(once(text).alias("hits"), text.cast("binary").alias("raw"))
+        return let(both, lambda x: F.transform(x["hits"], lambda h: one(x["raw"], h))).cast(SPANS)
+
+    return spans
 
 
 class ModelDetector(Detector):

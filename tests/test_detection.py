@@ -126,3 +126,14 @@ def test_allowed_terms_fold_as_unicode_does(spark):
     values = [*odd, "Straße", "STRASSE", "ΣΊΣΥΦΟΣ", "ﬁsh", "İstanbul", "plain ASCII", "", "a\nÉ😀"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     assert {r.v: r.f for r in df.select("v", resolve.fold_case(F.col("v")).alias("f")).collect()} == {v: v.casefold() for v in values}
+
+
+def test_many_terms_are_looked_for_once(spark):
+    terms = {f"w{i}": ("PERSON", "URL")[i % 2] for i in range(40)}
+    df = spark.createDataFrame([(1, "é W1w2 " * 20_000), (2, ""), (3, None)], "id int, t string")
+    found = df.select("id", DenyListDetector(terms).spans(F.coalesce("t", F.lit("")), ["PERSON", "URL"]).alias("s")).where("size(s) > 0")
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("EvalPython") == 1  # a filter on the spans must not find them again
+    row = found.collect()
+    assert [r.id for r in row] == [1] and len(row[0].s) == 40_000
+    assert [tuple(x) for x in row[0].s[-2:]] == [(159_995, 159_997, "URL", 1_000_000, "deny-list", "W1"), (159_997, 159_999, "PERSON", 1_000_000, "deny-list", "w2")]
