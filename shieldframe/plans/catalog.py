@@ -32,6 +32,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """`df` in four tasks a core at least, for rows that are short and take long: a file of a few megabytes has hours of work, and
+    its splits say nothing of its rows, which lie in few row groups."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def query(sql: str | None = None):
     def add(f):
         _Q[f.__name__] = f
@@ -89,13 +95,13 @@ _RECORDS = f"(select c_custkey, {_RECORD_SQL} t from customer)"
 @query(detection_sql.resolved(_RECORDS, "t", "c_custkey") + " select c_custkey, entity, s as start, e as \"end\", v as value from a join d using (r) where ok")
 def detect_records(spark, sf_dir):
     """Spans of every recognizer in made texts, with values that its checks and boundaries refuse among them."""
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RECORD_SPARK).alias("t"))
+    rows = _dealt(_table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.expr(_RECORD_SPARK).alias("t"))
     return protect.span_table(rows, ["c_custkey"], "t", uniform("redact")).select("c_custkey", "entity", "start", "end", "value")
 
 
 @query(detection_sql.candidates(_RECORDS, "t", "c_custkey") + " select c_custkey, list_aggregate(list(v order by s), 'string_agg', ' ') keys from c join d using (r) where entity = 'API_KEY' group by 1")
 def detect_access_keys(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RECORD_SPARK).alias("t"))
+    rows = _dealt(_table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.expr(_RECORD_SPARK).alias("t"))
     spans = protect.detect(F.col("t"), uniform("redact", ("API_KEY",)))
     return rows.select("c_custkey", F.array_join(F.transform(spans, lambda s: s["value"]), " ").alias("keys")).where("keys != ''")
 

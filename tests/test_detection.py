@@ -137,3 +137,24 @@ def test_many_terms_are_looked_for_once(spark):
     row = found.collect()
     assert [r.id for r in row] == [1] and len(row[0].s) == 40_000
     assert [tuple(x) for x in row[0].s[-2:]] == [(159_995, 159_997, "URL", 1_000_000, "deny-list", "W1"), (159_997, 159_999, "PERSON", 1_000_000, "deny-list", "w2")]
+
+
+def test_one_pass_of_a_pattern_finds_what_two_do(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["\0", "\x01", "12", "3", "٣", " ", "-", ".", ":", "a@b.co", "é", "😀", "$", "1,2", "EUR", "http://x.y/\0z", "DE", "89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "::1", "127.0.0.1", "sk-" + "a" * 16, "2024-01-02", "021000021", "ſ", "x", "_", "(202) 555-0100", "219-09-9999"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for r in recognizers.RECOGNIZERS:
+        old = re.sub(r"\(\?=(?:\[(?:\\.|[^\]\\])*\]|\\d|h)\)", "", r.pattern).replace("}+@", "}@")
+        two = recognizers._checked(recognizers.matches(F.col("t"), old, r.entity, recognizers.REGEX_CONFIDENCE, "regex-v1"), r)
+        one = recognizers.RegexDetector().spans(F.col("t"), [r.entity])
+        assert old != r.pattern and df.where(~two.eqNullSafe(one)).count() == 0, r.entity
+
+
+def test_made_records_are_dealt_to_all_cores(spark):
+    from shieldframe.plans import catalog
+
+    cores = spark.sparkContext.defaultParallelism
+    assert catalog.queries()["detect_records"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * cores
