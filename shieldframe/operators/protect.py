@@ -160,10 +160,12 @@ def rules_of(policy_json: Column) -> Column:
 
 
 def with_policies(df: DataFrame, policies: Mapping[str, Policy], by: str, into: str = "policy") -> DataFrame:
-    """`df` with the policy that its column `by` names, as `rules_of` gives it; null where there is none of that name."""
+    """`df` with the policy that its column `by` names, as `rules_of` gives it; null where there is none of that name. The
+    policies are on the driver as they are, so they go to the rows, which a join by name would send to as few tasks as there
+    are names."""
     table = df.sparkSession.createDataFrame([(n, p.to_json()) for n, p in policies.items()], "_name string, _json string")
     parsed = table.select("_name", rules_of(F.col("_json")).alias(into))
-    return df.join(parsed, F.col(by) == F.col("_name"), "left").drop("_name")
+    return df.join(F.broadcast(parsed), F.col(by) == F.col("_name"), "left").drop("_name")
 
 
 def trace_by(text: Column, policy: Column, scope: Column | str = "*", found: Sequence[Detector] | None = None) -> Column:

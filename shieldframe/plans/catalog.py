@@ -855,7 +855,7 @@ def policies_by_source(spark, sf_dir):
     named = F.element_at(F.array(*map(F.lit, _FIVE)), (F.ascii(F.coalesce("source", F.lit(""))) % 5 + 1).cast("int"))
     docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text", named.alias("preset")))
     rows = protect.with_policies(docs, {n: preset(n) for n in _FIVE}, "preset")
-    traced = rows.select("doc_id", "preset", "policy", F.explode(protect.trace_by(F.col("text"), F.col("policy"))).alias("d"))
+    traced = rows.select("doc_id", "preset", "policy", F.explode_outer(protect.trace_by(F.col("text"), F.col("policy"))).alias("d")).where("d is not null")
     action = F.coalesce(F.try_element_at(F.col("policy.rules"), F.col("d.entity"))["action"], F.lit("keep"))
     return traced.select("doc_id", "preset", "d.entity", "d.start", "d.end", action.alias("action"), "d.outcome")
 

@@ -158,3 +158,11 @@ def test_made_records_are_dealt_to_all_cores(spark):
 
     cores = spark.sparkContext.defaultParallelism
     assert catalog.queries()["detect_records"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * cores
+
+
+def test_policies_go_to_the_rows(spark):
+    rows = spark.range(100).withColumn("preset", F.when(F.col("id") < 99, "strict").otherwise("none"))
+    joined = protect.with_policies(rows, {"strict": preset("strict"), "balanced": preset("balanced")}, "preset")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert joined.groupBy(F.col("policy.name").alias("n")).count().orderBy("n").collect() == [(None, 1), ("strict", 99)]
