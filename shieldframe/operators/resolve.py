@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -21,15 +20,27 @@ FEW = 32
 _STATE = f"struct<taken:array<struct<start:int,end:int>>,out:array<{DECISION}>>"
 
 
-#: What full case folding makes of characters beyond ASCII, by Unicode's own table, where it changes them.
-FOLDED = json.dumps({c: c.casefold() for c in map(chr, range(128, 0x110000)) if c.casefold() != c}, ensure_ascii=True)
+#: What full case folding makes of characters, by Unicode's own table, where it changes them: single ones, and those that
+#: become several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+_SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+_ANY_OF_SEVERAL = "[" + "".join(_SEVERAL) + "]"
 
 
 def fold_case(text: Column) -> Column:
-    """Full Unicode case folding: sharp s is ss, ligatures are their letters, all sigmas are one."""
+    """Full Unicode case folding: sharp s is ss, ligatures are their letters, all sigmas are one.
+
+    Single characters are translated; only those that become several are looked up, one by one."""
     ascii_only = text.rlike(r"^[\x00-\x7F]*$")
-    table = F.from_json(F.lit(FOLDED), "map<string,string>")
-    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.when(c < "\x80", F.lower(c)).otherwise(c))), "")
+    table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    single = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+
+    def spread(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(_ANY_OF_SEVERAL), F.lit(0))
+        return let(hits, lambda hs: F.array_join(F.transform(F.split(t, _ANY_OF_SEVERAL, -1), lambda gap, i: F.concat(gap, F.coalesce(F.try_element_at(table, F.get(hs, i)), F.lit("")))), ""))
+
+    whole = let(single, lambda t: F.when(t.rlike(_ANY_OF_SEVERAL), spread(t)).otherwise(t))
     return F.when(ascii_only, F.lower(text)).otherwise(whole)
 
 

@@ -8,7 +8,7 @@ from shieldframe.functions import actions
 from shieldframe.functions.recognizers import DenyListDetector
 from shieldframe.operators import payloads, protect, providers, reports, resolve, restore, synthesis
 from shieldframe.plans import detection_sql
-from shieldframe.plans.catalog import KEY, _checkpoints, _seed_sql, _spread, _table, query
+from shieldframe.plans.catalog import KEY, _checkpoints, _dealt, _seed_sql, _spread, _table, query
 from shieldframe.policy import Policy, Rule, uniform
 
 #: By turn modulo 3: the endpoint, and where a body of it has the turn's text.
@@ -169,5 +169,6 @@ def folded_names(spark, sf_dir):
     k = F.col("c_custkey") % 5
     head = F.when(k == 0, "STRASSE").when(k == 1, "straße").when(k == 2, "ﬁsch").when(k == 3, "ΣΊΣΥΦΟΣ").otherwise("İx")
     value = F.concat(head, "c_name")
-    return _table(spark, sf_dir, "customer").select("c_custkey", value.alias("v"), resolve.fold_case(value).alias("folded"))
+    rows = _dealt(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    return rows.select("c_custkey", value.alias("v"), resolve.fold_case(value).alias("folded"))
 

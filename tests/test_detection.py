@@ -166,3 +166,13 @@ def test_policies_go_to_the_rows(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
     assert joined.groupBy(F.col("policy.name").alias("n")).count().orderBy("n").collect() == [(None, 1), ("strict", 99)]
+
+
+def test_folded_names_are_dealt_and_long_texts_fold(spark):
+    from shieldframe.plans import catalog
+
+    names = catalog.queries()["folded_names"](spark, "/root/testdata/sf0.001")
+    assert names.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert "from_json" not in names._jdf.queryExecution().toString()  # the table is not read again for each character
+    text = "Éa😀ẞﬃİ\n" * 2_000
+    assert spark.createDataFrame([(text,)], "t string").select(resolve.fold_case(F.col("t"))).first()[0] == text.casefold()
