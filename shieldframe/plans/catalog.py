@@ -175,7 +175,7 @@ _NUMBER = "lpad((o_orderkey * 7919 + o_custkey)::varchar, 16, '4')"
 )
 def luhn_valid(spark, sf_dir):
     v = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 16, "4")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.luhn(v).alias("ok"))
+    return _dealt(_table(spark, sf_dir, "orders")).select("o_orderkey", checks.luhn(v).alias("ok"))
 
 
 @query(
@@ -184,7 +184,7 @@ def luhn_valid(spark, sf_dir):
 )
 def aba_valid(spark, sf_dir):
     v = F.lpad((F.col("o_orderkey") * 131 + F.col("o_custkey")).cast("string"), 9, "0")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.aba(v).alias("ok"))
+    return _dealt(_table(spark, sf_dir, "orders")).select("o_orderkey", checks.aba(v).alias("ok"))
 
 
 @query(
@@ -192,7 +192,7 @@ def aba_valid(spark, sf_dir):
 )
 def iban_valid(spark, sf_dir):
     v = F.concat(F.lit("DE"), F.lpad((F.col("c_custkey") % 97).cast("string"), 2, "0"), F.lpad((F.col("c_custkey") * 7907).cast("string"), 18, "0"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", checks.iban(v).alias("ok"))
+    return _dealt(_table(spark, sf_dir, "customer")).select("c_custkey", checks.iban(v).alias("ok"))
 
 
 @query(
@@ -226,7 +226,7 @@ _DIGEST = "sha256(unhex('" + _OPAD + "' || sha256(unhex('" + _IPAD + "' || hex(e
 
 @query(f"select c_custkey, 'sha256:' || left({_DIGEST.format(e='PERSON', v='c_name')}, 48) hashed from customer")
 def hash_keyed(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", actions.replacement("hash", F.lit("PERSON"), F.col("c_name"), KEY).alias("hashed"))
+    return _dealt(_table(spark, sf_dir, "customer")).select("c_custkey", actions.replacement("hash", F.lit("PERSON"), F.col("c_name"), KEY).alias("hashed"))
 
 
 def _seed_sql(e: str, v: str) -> str:
@@ -243,7 +243,7 @@ def _seed_sql(e: str, v: str) -> str:
 )
 def synthetic_values(spark, sf_dir):
     made = lambda e: actions.replacement("synthetic", F.lit(e), F.col("c_name"), KEY, (e,))
-    return _table(spark, sf_dir, "customer").select("c_custkey", made("EMAIL_ADDRESS").alias("email"), made("PHONE_NUMBER").alias("phone"), made("IP_ADDRESS").alias("ip"), made("DATE_TIME").alias("made_on"), made("PERSON").alias("person"))
+    return _dealt(_table(spark, sf_dir, "customer")).select("c_custkey", made("EMAIL_ADDRESS").alias("email"), made("PHONE_NUMBER").alias("phone"), made("IP_ADDRESS").alias("ip"), made("DATE_TIME").alias("made_on"), made("PERSON").alias("person"))
 
 
 _STREAM = "(lpad({n}::varchar, 20, '0') || lpad(('0x' || left(sha256({n}::varchar), 16))::ubigint::varchar, 20, '0'))"
@@ -272,7 +272,7 @@ def synthetic_checks(spark, sf_dir):
     """Made-up values of the kinds with check digits or fixed forms, as they are."""
     made = lambda e, name: actions.replacement("synthetic", F.lit(e), F.col("c_name"), KEY, (e,)).alias(name)
     kinds = {"card": "CREDIT_CARD", "bank": "US_BANK_NUMBER", "iban": "IBAN_CODE", "ssn": "US_SSN", "org": "ORGANIZATION", "place": "LOCATION", "money": "MONEY", "passport": "PASSPORT", "driver": "DRIVER_LICENSE", "medical": "MEDICAL_LICENSE", "url": "URL"}
-    return _table(spark, sf_dir, "customer").select("c_custkey", *(made(e, name) for name, e in kinds.items()))
+    return _dealt(_table(spark, sf_dir, "customer")).select("c_custkey", *(made(e, name) for name, e in kinds.items()))
 
 
 @query("select o_orderkey, '$~10^' || greatest(0, length(ltrim(floor(o_totalprice)::bigint::varchar, '0')) - 1) money, left(strftime(o_orderdate, '%Y-%m-%d'), 4) y from orders")
@@ -335,7 +335,7 @@ def _checkpoints(spark: SparkSession) -> None:
 @query("select c_custkey, c_name opened, null::varchar wrong_key, null::varchar wrong_session, null::varchar cut_short from customer")
 def capsules(spark, sf_dir):
     """Reverse maps sealed and opened again; nothing comes out with another key or session, or from a part of a capsule."""
-    one = _table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.concat(F.lit("t"), F.col("c_custkey").cast("string")), "c_name").alias("reverse"), F.col("c_name").alias("session"))
+    one = _dealt(_table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.create_map(F.concat(F.lit("t"), F.col("c_custkey").cast("string")), "c_name").alias("reverse"), F.col("c_name").alias("session"))
     sealed = one.withColumn("capsule", restore.seal(F.col("reverse"), KEY, F.col("session")))
     value = lambda capsule, key, session: F.map_values(restore.open_capsule(capsule, key, session))[0]
     c, session = F.col("capsule"), F.col("session")

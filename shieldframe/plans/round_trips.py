@@ -62,7 +62,7 @@ def synthetic_keys(spark, sf_dir):
     """Made-up access keys that keep the family of the real one."""
     n = F.col("c_custkey") % 4
     value = F.concat(F.when(n == 0, "AKIA").when(n == 1, "ghp_").when(n == 2, "gho_").otherwise("sk-"), F.upper(F.md5(F.col("c_name").cast("binary"))))
-    return _table(spark, sf_dir, "customer").select("c_custkey", actions.replacement("synthetic", F.lit("API_KEY"), value, KEY, ("API_KEY",)).alias("made"))
+    return _dealt(_table(spark, sf_dir, "customer")).select("c_custkey", actions.replacement("synthetic", F.lit("API_KEY"), value, KEY, ("API_KEY",)).alias("made"))
 
 
 def _tokenized(spark, sf_dir, policy):

@@ -176,3 +176,10 @@ def test_folded_names_are_dealt_and_long_texts_fold(spark):
     assert "from_json" not in names._jdf.queryExecution().toString()  # the table is not read again for each character
     text = "Éa😀ẞﬃİ\n" * 2_000
     assert spark.createDataFrame([(text,)], "t string").select(resolve.fold_case(F.col("t"))).first()[0] == text.casefold()
+
+
+@pytest.mark.parametrize("name", ["capsules", "synthetic_checks", "synthetic_keys", "iban_valid"])
+def test_short_rows_that_take_long_are_dealt(spark, name):
+    from shieldframe.plans import catalog
+
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
