@@ -32,6 +32,10 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Stored mappings up to so many go to the rows, not the rows to them.
+_FEW = 100_000
+
+
 def _dealt(df: DataFrame) -> DataFrame:
     """`df` in four tasks a core at least, for rows that are short and take long: a file of a few megabytes has hours of work, and
     its splits say nothing of its rows, which lie in few row groups."""
@@ -744,7 +748,7 @@ def provider_responses(spark, sf_dir):
     """Responses of all providers restored from the mappings; the ones with a token in a tool's input are blocked, however the
     token is written."""
     _checkpoints(spark)
-    events = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    events = _dealt(_table(spark, sf_dir, "events").select("event_id", "event_type"))
     kinds = events.select("event_type").distinct().select(F.lit("s").alias("session_id"), F.lit("PERSON").alias("entity"), F.col("event_type").alias("value"))
     mappings = protect.allocate(kinds, uniform("tokenize", ("PERSON",)), KEY)
     k = F.col("event_id") % 4
@@ -757,7 +761,8 @@ def provider_responses(spark, sf_dir):
         .otherwise(F.concat(F.lit('{"content":[{"type":"tool_use","input":{"a":"'), written, F.lit('"}}]}')))
     )
     path = F.when(k == 0, "chat/completions").when(k == 1, "responses").otherwise("v1/messages")
-    rows = events.join(mappings, events["event_type"] == mappings["value"]).select("event_id", body.alias("body"), payloads.endpoint(path).alias("endpoint"))
+    beside = F.broadcast(mappings) if mappings.limit(_FEW + 1).count() <= _FEW else mappings  # else each type's events would be one task
+    rows = events.join(beside, events["event_type"] == mappings["value"]).select("event_id", body.alias("body"), payloads.endpoint(path).alias("endpoint"))
     done = providers.restore_responses(rows, "event_id", "body", "endpoint", mappings, rows.select("event_id", F.lit("s").alias("session_id")))
     paths = ("$.choices[0].message.content", "$.output[0].content[0].text", "$.content[0].thinking")
     return done.select("event_id", "state", "reason", F.coalesce(*(F.get_json_object("body", p) for p in paths)).alias("text"))

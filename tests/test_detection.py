@@ -183,3 +183,13 @@ def test_short_rows_that_take_long_are_dealt(spark, name):
     from shieldframe.plans import catalog
 
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_responses_are_not_sent_to_a_task_by_event_type(spark, monkeypatch):
+    from shieldframe.plans import catalog
+
+    given = []
+    monkeypatch.setattr(catalog.providers, "restore_responses", lambda df, *a: given.append(df) or df.select("event_id", F.lit("").alias("state"), F.lit("").alias("reason"), "body"))
+    catalog.queries()["provider_responses"](spark, "/root/testdata/sf0.001")
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and given[0].rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
